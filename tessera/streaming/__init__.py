@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference works on static matrices only (no watermark, window, state or
+late data), so there is no streaming operator to rebuild. Batch plans of this
+package can be used inside ``foreachBatch`` by a caller who needs one.
+"""
