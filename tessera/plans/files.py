@@ -1,4 +1,155 @@
-"""Named queries that write and read files (Matrix Market, vector text)."""
+"""Named queries that write files to the shared scratch folder and read them back.
 
-FILE_QUERIES: dict = {}
-FILE_ORACLE: dict = {}
+The folder is a fresh sub-folder of ``spark.checkpoint.dir`` (see
+``tessera.session``); writing is part of the query, reading gives the result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.checks import check_results as _check_results
+from ..session import scratch_path
+from ..sinks.matrix_market import (write_array, write_matrix_market, write_vector_pairs,
+                                   write_vector_text)
+from ..sources.matrix_market import check_entries, read_entries, read_info, read_matrix, read_vector
+from ..sources.tables import DriverTables
+from .oracle import N_NATIONS, N_ORDERS, N_PARTS, _with
+
+
+def _r(df: DataFrame, digits: int, col: str) -> DataFrame:
+    return df.withColumn(col, F.round(F.col(col).cast("double"), digits))
+
+
+def mm_round_trip(spark, sf):
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "li.mtx")
+    write_matrix_market(t.li(), path)
+    return read_matrix(spark, path, by_folder=True).entries
+
+
+def mm_sym_round_trip(spark, sf):
+    """Write SYM with symmetry detection (stores the lower triangle), read, expand."""
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "sym.mtx")
+    write_matrix_market(t.sym().expand().canonicalize(), path, symmetry=None)
+    m = read_matrix(spark, path, by_folder=True)
+    if m.symmetry != "symmetric":
+        raise AssertionError(f"detected {m.symmetry}")
+    return _r(m.expand().canonicalize().entries, 2, "v")
+
+
+def mm_array_round_trip(spark, sf):
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "nt_array.mtx")
+    write_array(t.nt().canonicalize(), path)
+    return _r(read_matrix(spark, path, by_folder=True).entries, 2, "v")
+
+
+def mm_pattern_round_trip(spark, sf):
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "li_pattern.mtx")
+    write_matrix_market(t.li(), path, field="pattern")
+    m = read_matrix(spark, path, by_folder=True)
+    return m.entries
+
+
+def mm_info(spark, sf):
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "li_info.mtx")
+    write_matrix_market(t.li(), path)
+    (m,) = read_info(spark, path, by_folder=True)
+    return spark.createDataFrame(
+        [(m.representation, m.field, m.symmetry, m.n_rows, m.n_cols, m.nnz)],
+        "representation string, field string, symmetry string, n_rows long, n_cols long, nnz long")
+
+
+def mm_check(spark, sf):
+    """Declare half the rows on the size line: the checker reports the entries outside."""
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "li_cut.mtx")
+    write_matrix_market(t.li(), path, n_rows=t.n_orders // 2)
+    entries, infos = read_entries(spark, path, by_folder=True)
+    return check_entries(entries, infos, spark).select("check", "n")
+
+
+def vector_round_trip(spark, sf):
+    t = DriverTables(spark, sf)
+    y = t.li().multiply(t.px())
+    path = scratch_path(spark, "y.txt")
+    write_vector_text(y, path)
+    back = read_vector(spark, path, length=t.n_orders)
+    return _r(back.df, 4, "x")
+
+
+def vector_pairs_round_trip(spark, sf):
+    t = DriverTables(spark, sf)
+    y = t.li().multiply(t.ox(), trans=True)
+    path = scratch_path(spark, "y_pairs")
+    write_vector_pairs(y, path)
+    back = spark.read.schema("i long, x double").csv(path)
+    return _r(back, 4, "x")
+
+
+def check_results(spark, sf):
+    """Several matrices, vectors and recorded results paired by name, one plan."""
+    t = DriverTables(spark, sf)
+    base = scratch_path(spark, "check")
+    write_matrix_market(t.li(), f"{base}/matrices/li.mtx")
+    write_matrix_market(t.nt(), f"{base}/matrices/nt.mtx")
+    write_vector_text(t.px(), f"{base}/vectors/li.mtx_rd.txt")
+    write_vector_text(t.customers_per_nation(), f"{base}/vectors/nt.mtx_rd.txt")
+    write_vector_text(t.ox(), f"{base}/output/li.mtx_rd.txt")
+    write_vector_text(t.customers_per_nation(), f"{base}/output/nt.mtx_rd.txt")
+    res = _check_results(spark, f"{base}/matrices/*/part-*", f"{base}/vectors/*/part-*",
+                         f"{base}/output/*/part-*", by_folder=True)
+    return _r(_r(res, 2, "max_abs"), 2, "norm2")
+
+
+FILE_QUERIES = {
+    "mm_round_trip": mm_round_trip,
+    "mm_sym_round_trip": mm_sym_round_trip,
+    "mm_array_round_trip": mm_array_round_trip,
+    "mm_pattern_round_trip": mm_pattern_round_trip,
+    "mm_info": mm_info,
+    "mm_check": mm_check,
+    "vector_round_trip": vector_round_trip,
+    "vector_pairs_round_trip": vector_pairs_round_trip,
+    "check_results": check_results,
+}
+
+FILE_ORACLE = {
+    "mm_round_trip": _with("canon") + "SELECT i, j, v FROM canon WHERE v <> 0",
+    "mm_sym_round_trip": _with("symf") + "SELECT i, j, ROUND(SUM(v), 2) AS v FROM symf GROUP BY i, j "
+                                         "HAVING SUM(v) <> 0",
+    "mm_array_round_trip": _with("nt") + f", g AS (SELECT CAST(unnest(range(0, {N_NATIONS} * {N_NATIONS})) "
+                           f"AS BIGINT) AS id), c AS (SELECT i, j, SUM(v) AS v FROM nt GROUP BY i, j) "
+                           f"SELECT g.id % {N_NATIONS} AS i, g.id // {N_NATIONS} AS j, "
+                           f"ROUND(COALESCE(c.v, 0), 2) AS v FROM g LEFT JOIN c "
+                           f"ON c.i = g.id % {N_NATIONS} AND c.j = g.id // {N_NATIONS}",
+    "mm_pattern_round_trip": _with("canon") + "SELECT i, j, 1.0 AS v FROM canon WHERE v <> 0",
+    "mm_info": _with("canon") + f"SELECT 'coordinate' AS representation, 'real' AS field, "
+                                f"'general' AS symmetry, {N_ORDERS} AS n_rows, {N_PARTS} AS n_cols, "
+                                "count(*) AS nnz FROM canon WHERE v <> 0",
+    "mm_check": _with("canon") + f"SELECT 'out_of_shape' AS \"check\", count(*) AS n FROM canon "
+                                 f"WHERE v <> 0 AND i >= {N_ORDERS} // 2 HAVING count(*) > 0",
+    "vector_round_trip": _with("li", "px") + f", r AS (SELECT CAST(unnest(range(0, {N_ORDERS})) AS BIGINT) AS i), "
+                         "y AS (SELECT e.i AS i, SUM(e.v * COALESCE(x.x, 0)) AS x "
+                         "FROM li e LEFT JOIN px x ON e.j = x.i GROUP BY e.i) "
+                         "SELECT r.i AS i, ROUND(COALESCE(y.x, 0.0), 4) AS x FROM r LEFT JOIN y ON r.i = y.i",
+    "vector_pairs_round_trip": _with("li", "ox") + "SELECT e.j AS i, ROUND(SUM(e.v * COALESCE(x.x, 0)), 4) AS x "
+                               "FROM li e LEFT JOIN ox x ON e.i = x.i GROUP BY e.j",
+    "check_results": _with("li", "px", "ox", "nt", "cpn")
+    + ", y1 AS (SELECT e.i AS i, SUM(e.v * COALESCE(x.x, 0)) AS x FROM li e LEFT JOIN px x ON e.j = x.i "
+      "GROUP BY e.i), r1 AS (SELECT i, COALESCE(x, 0) AS x FROM "
+      f"(SELECT CAST(unnest(range(0, {N_ORDERS})) AS BIGINT) AS i) LEFT JOIN ox USING (i)), "
+      "d1 AS (SELECT i, SUM(x) AS x FROM (SELECT i, x FROM y1 UNION ALL SELECT i, -x FROM r1) GROUP BY i), "
+      "y2 AS (SELECT e.i AS i, SUM(e.v * COALESCE(x.x, 0)) AS x FROM nt e LEFT JOIN cpn x ON e.j = x.i "
+      "GROUP BY e.i), r2 AS (SELECT i, COALESCE(x, 0) AS x FROM "
+      f"(SELECT CAST(unnest(range(0, {N_NATIONS})) AS BIGINT) AS i) LEFT JOIN cpn USING (i)), "
+      "d2 AS (SELECT i, SUM(x) AS x FROM (SELECT i, x FROM y2 UNION ALL SELECT i, -x FROM r2) GROUP BY i) "
+      "SELECT 'li.mtx' AS matrix_id, ROUND(COALESCE(max(abs(x)), 0), 2) AS max_abs, "
+      "ROUND(sqrt(COALESCE(SUM(x * x), 0)), 2) AS norm2 FROM d1 UNION ALL "
+      "SELECT 'nt.mtx', ROUND(COALESCE(max(abs(x)), 0), 2), ROUND(sqrt(COALESCE(SUM(x * x), 0)), 2) FROM d2",
+}
