@@ -191,7 +191,7 @@ class MatrixFrame:
             bc = may_broadcast(spark, n_in) if broadcast is None else broadcast
             y = _spmv.multiply_packed(packed, blocks, width, broadcast=bc)
         else:
-            y = _spmv.multiply_blocked(_st.canonicalize(e), x.to_dense().df, n_in, width=width)
+            y = _spmv.multiply_blocked(e, x.to_dense().df, width=width)
         return VectorFrame(y, n_out, unique=True)
 
     def __matmul__(self, x: VectorFrame) -> VectorFrame:

@@ -110,24 +110,28 @@ def _tile_kernel(width: int, by: Sequence[str]):
     return kernel
 
 
-def multiply_blocked(canonical: DataFrame, dense_vec: DataFrame, n_cols: int, *,
+def multiply_blocked(entries: DataFrame, dense_vec: DataFrame, *,
                      width: int = DEFAULT_WIDTH, tile_entries: int = DEFAULT_TILE_ENTRIES,
                      by: Sequence[str] = ()) -> DataFrame:
     """Tiles of canonical entries times the matching slice of ``x``.
 
-    A column block with ``c`` entries is cut into ``ceil(c / tile_entries)``
+    A column block with ``c`` stored entries is cut into ``ceil(c / tile_entries)``
     chunks by a hash of the row index, so a hot column is spread over many
     tasks; the block's slice of ``x`` (``width`` values) is copied to each chunk.
-    The per-block count table has at most ``ceil(n_cols / width)`` rows per
-    matrix, a proven bound, so it is broadcast.
+    Duplicates are summed first (map-side combined), so a tile holds at most
+    about ``tile_entries + width`` distinct cells. The per-block counts come from
+    the stored entries (an upper bound of the canonical ones) by a partial
+    aggregate over the scan; the table has at most ``ceil(n_cols / width)`` rows
+    per matrix, a proven bound, so it is broadcast.
     """
-    e = canonical.select(*by, "i", "j", F.col("v").cast("double").alias("v"),
-                         block_of("j", width).alias("s"))
-    counts = (e.groupBy(*by, "s").agg(F.count(F.lit(1)).alias("n"))
+    counts = (entries.select(*by, block_of("j", width).alias("s"))
+              .groupBy(*by, "s").agg(F.count(F.lit(1)).alias("n"))
               .select(*by, "s", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(tile_entries)))
                       .cast("long").alias("k")))
     counts = F.broadcast(counts)
-    tagged = (e.join(counts, on=[*by, "s"])
+    canon = (entries.groupBy(*by, "i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
+             .withColumn("s", block_of("j", width)))
+    tagged = (canon.join(counts, on=[*by, "s"])
               .withColumn("c", F.pmod(F.xxhash64("i"), F.col("k")))
               .drop("k"))
     xrep = (dense_vec.select(*by, F.col("i").alias("o"), F.col("x").cast("double").alias("x"),
@@ -135,7 +139,7 @@ def multiply_blocked(canonical: DataFrame, dense_vec: DataFrame, n_cols: int, *,
             .join(counts, on=[*by, "s"])
             .withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
             .drop("k"))
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in canonical.schema.fields
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields
                         if f.name in by] + ["i bigint", "x double"])
     partial = (tagged.groupBy(*by, "s", "c")
                .cogroup(xrep.groupBy(*by, "s", "c"))
