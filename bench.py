@@ -58,6 +58,7 @@ def main() -> None:
     sym = t.sym().cache()
     for m in (li, nt, sym):
         m.entries.count()
+    li.prepare("packed").prepare("blocked")
     px, ox, cpn = t.px(), t.ox(), t.customers_per_nation()
 
     cases = {

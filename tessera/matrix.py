@@ -29,6 +29,7 @@ class MatrixFrame:
         self._n_cols = None if n_cols is None or n_cols <= 0 else int(n_cols)
         self.symmetry = _st.check_symmetry(symmetry)
         self.canonical_entries = canonical
+        self._prepared: dict[tuple, DataFrame] = {}
 
     # ------------------------------------------------------------ building
     @classmethod
@@ -174,26 +175,57 @@ class MatrixFrame:
         if check and x.length != n_in:
             raise ValueError(f"vector length {x.length} does not match the matrix "
                              f"({'rows' if trans else 'columns'} = {n_in})")
-        a = self.transpose() if trans else self
-        e = a.full_entries()
+        if layout == "graph" and self.n_rows != self.n_cols:
+            raise ValueError(f"graph layout needs a square matrix, got {self.shape}")
+        form = self._layout_form(layout, trans, width)
         spark = self.spark
         if layout == "join":
             bc = may_broadcast(spark, x.row_bound()) if broadcast is None else broadcast
-            y = _spmv.multiply_join(e, x.df, broadcast=bc)
+            y = _spmv.multiply_join(form, x.df, broadcast=bc)
         elif layout == "graph":
-            if self.n_rows != self.n_cols:
-                raise ValueError(f"graph layout needs a square matrix, got {self.shape}")
             bc = may_broadcast(spark, x.row_bound()) if broadcast is None else broadcast
-            y = _spmv.multiply_graph(_spmv.graph_edges(e), x.df, broadcast=bc)
+            y = _spmv.multiply_graph(form, x.df, broadcast=bc)
         elif layout == "packed":
-            packed = _spmv.pack_rows(_st.canonicalize(e), width)
             blocks = _spmv.vector_blocks(x.to_dense().df, width)
             bc = may_broadcast(spark, n_in) if broadcast is None else broadcast
-            y = _spmv.multiply_packed(packed, blocks, width, broadcast=bc)
+            y = _spmv.multiply_packed(form, blocks, width, broadcast=bc)
         else:
-            y = _spmv.multiply_blocked(e, x.to_dense().df, width=width)
+            y = _spmv.multiply_blocked(form, x.to_dense().df, width=width, canonical=True)
         return VectorFrame(y, n_out, unique=True)
 
+    def _layout_form(self, layout: str, trans: bool, width: int) -> DataFrame:
+        """The layout's input: full entries (join), edges (graph), packed row
+        segments (packed) or canonical entries (blocked), of ``A`` or ``A'``."""
+        key = (layout, trans, width if layout in ("packed", "blocked") else 0)
+        if key in self._prepared:
+            return self._prepared[key]
+        e = (self.transpose() if trans else self).full_entries()
+        if layout == "join":
+            return e
+        if layout == "graph":
+            return _spmv.graph_edges(e)
+        canon = _st.canonicalize(e)
+        return _spmv.pack_rows(canon, width) if layout == "packed" else canon
+
+    def prepare(self, layout: str = "join", trans: bool = False,
+                width: int = _spmv.DEFAULT_WIDTH) -> "MatrixFrame":
+        """Build and cache the layout's form once for repeated products (the
+        reference keeps its row and column forms persisted the same way)."""
+        if layout not in LAYOUTS:
+            raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
+        key = (layout, trans, width if layout in ("packed", "blocked") else 0)
+        self._prepared.pop(key, None)
+        form = self._layout_form(layout, trans, width).cache()
+        form.count()
+        self._prepared[key] = form
+        return self
+
+    def unprepare(self) -> "MatrixFrame":
+        for form in self._prepared.values():
+            form.unpersist()
+        self._prepared.clear()
+        return self
+
     def __matmul__(self, x: VectorFrame) -> VectorFrame:
         return self.multiply(x)
 

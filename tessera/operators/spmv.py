@@ -112,7 +112,7 @@ def _tile_kernel(width: int, by: Sequence[str]):
 
 def multiply_blocked(entries: DataFrame, dense_vec: DataFrame, *,
                      width: int = DEFAULT_WIDTH, tile_entries: int = DEFAULT_TILE_ENTRIES,
-                     by: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = (), canonical: bool = False) -> DataFrame:
     """Tiles of canonical entries times the matching slice of ``x``.
 
     A column block with ``c`` stored entries is cut into ``ceil(c / tile_entries)``
@@ -129,8 +129,9 @@ def multiply_blocked(entries: DataFrame, dense_vec: DataFrame, *,
               .select(*by, "s", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(tile_entries)))
                       .cast("long").alias("k")))
     counts = F.broadcast(counts)
-    canon = (entries.groupBy(*by, "i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
-             .withColumn("s", block_of("j", width)))
+    canon = entries if canonical else (
+        entries.groupBy(*by, "i", "j").agg(F.sum(F.col("v").cast("double")).alias("v")))
+    canon = canon.withColumn("s", block_of("j", width))
     tagged = (canon.join(counts, on=[*by, "s"])
               .withColumn("c", F.pmod(F.xxhash64("i"), F.col("k")))
               .drop("k"))
