@@ -37,7 +37,7 @@ def hash_normal(key: Column | str, seed: int, mean: float = 0.0, stddev: float =
 
 def tokens(line: Column | str) -> Column:
     """Split a text line on runs of blanks and tabs; no empty tokens."""
-    return F.split(F.trim(F.regexp_replace(_as_col(line), r"\s+", " ")), " ")
+    return F.split(F.btrim(_as_col(line), F.lit(" \t\r\f")), r"[ \t\r\f]+")
 
 
 def token(arr: Column, k: int) -> Column:

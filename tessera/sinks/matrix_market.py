@@ -9,6 +9,7 @@ only the entry count (for the size line) is computed there as a scalar.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,8 @@ def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
     if sym != "general":
         cells = cells.where(F.col("i") > F.col("j") if sym == "skew-symmetric"
                             else F.col("i") >= F.col("j"))
+    # the count (size line), the range sample and the write share one computation
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     count = cells.count()
     r = n_rows if n_rows is not None else m.n_rows
     c = n_cols if n_cols is not None else m.n_cols
@@ -71,16 +74,30 @@ def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
         text = F.concat_ws(" ", i1, j1, number_text(F.col("v"), precision))
     body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),
                         text.alias("value"))
-    _write_ordered(head.unionByName(body), path, partitions, mode)
+    try:
+        _write_ordered(head.unionByName(body), path, partitions, mode)
+    finally:
+        cells.unpersist()
     return count
 
 
-def write_array(m: MatrixFrame, path: str, *, precision: int | None = None,
-                partitions: int | None = None, mode: str = "errorifexists") -> None:
-    """Dense ``array real general`` file, column-major (a densified matrix: only for
-    shapes whose cell count is meant to be written)."""
+def write_array(m: MatrixFrame, path: str, *, symmetry: str = "general",
+                precision: int | None = None, partitions: int | None = None,
+                mode: str = "errorifexists") -> None:
+    """Dense ``array real`` file, column-major. ``symmetric`` writes each column from
+    the diagonal down, ``skew-symmetric`` from below the diagonal (the densified
+    matrix: only for shapes whose cell count is meant to be written)."""
+    sym = st.check_symmetry(symmetry)
+    if sym == "hermitian":
+        raise ValueError("hermitian array output needs complex values")
+    if sym != "general" and m.n_rows != m.n_cols:
+        raise ValueError(f"{sym} array output needs a square matrix, got {m.shape}")
     dense = m.to_dense()
-    header = ["%%MatrixMarket matrix array real general", f"{m.n_rows} {m.n_cols}"]
+    if sym == "symmetric":
+        dense = dense.where(F.col("i") >= F.col("j"))
+    elif sym == "skew-symmetric":
+        dense = dense.where(F.col("i") > F.col("j"))
+    header = [f"%%MatrixMarket matrix array real {sym}", f"{m.n_rows} {m.n_cols}"]
     head = m.spark.createDataFrame([(0, k, 0, line) for k, line in enumerate(header)],
                                    "g int, a long, b long, value string")
     body = dense.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),

@@ -87,23 +87,38 @@ def _matrix_id(key: Column) -> Column:
 
 def read_info(spark: SparkSession, path: str, by_folder: bool = False) -> list[MatrixInfo]:
     """Header facts of every matrix under ``path`` (a file, folder or glob): one job,
-    one row per matrix to the driver. Banner words are matched case-insensitively."""
-    lines = _lines(spark, path, by_folder)
-    is_banner = F.lower(F.ltrim("value")).startswith(BANNER)
-    kept = ~_is_comment(F.col("value")) & ~_is_blank(F.col("value"))
-    first = F.struct("f", "b", F.monotonically_increasing_id().alias("m"), "value")
-    rows = (lines.select("key", "value", first.alias("t"), is_banner.alias("is_banner"), kept.alias("kept"))
-            .groupBy("key")
-            .agg(F.min("t").alias("first"),
-                 F.min(F.when(F.col("is_banner"), F.col("t"))).alias("banner"),
-                 F.min(F.when(F.col("kept"), F.col("t"))).alias("size"),
-                 F.count(F.when(F.col("kept"), F.lit(1))).alias("kept_lines"))
-            .collect())
+    one row per matrix to the driver. Banner words are matched case-insensitively.
+
+    Two-level aggregation: per split on long counters only (first line, first
+    banner line, first kept line, kept count), then per matrix over the split rows.
+    """
+    v = F.col("value")
+    m = F.col("m")
+    lines = _lines(spark, path, by_folder).withColumn("m", F.monotonically_increasing_id())
+    is_comment = _is_comment(v)
+    is_banner = is_comment & F.lower(F.ltrim(v)).startswith(BANNER)
+    kept = ~is_comment & ~_is_blank(v)
+    m_banner = F.when(is_banner, m)
+    m_kept = F.when(kept, m)
+    per_split = lines.groupBy("key", "f", "b").agg(
+        F.min(m).alias("m_first"),
+        F.min(m_banner).alias("m_banner"), F.min_by(v, m_banner).alias("banner"),
+        F.min(m_kept).alias("m_size"), F.min_by(v, m_kept).alias("size"),
+        F.count(m_kept).alias("kept"))
+    has = lambda c: F.col(c).isNotNull()
+    rows = (per_split.groupBy("key").agg(
+        F.min(F.struct("f", "b", "m_first")).alias("first"),
+        F.min(F.when(has("m_banner"), F.struct("f", "b", F.col("m_banner").alias("m_first"),
+                                               "banner"))).alias("banner"),
+        F.min(F.when(has("m_size"), F.struct("f", "b", "m_size", "size"))).alias("size"),
+        F.sum("kept").alias("kept_lines"))
+        .collect())
     out = []
     for r in rows:
-        if r["banner"] is None or r["first"] != r["banner"]:
+        first, banner = r["first"], r["banner"]
+        if banner is None or tuple(first) != tuple(banner)[:3]:
             raise ValueError(f"{r['key']}: first line is not a %%MatrixMarket banner")
-        words = r["banner"]["value"].lower().split()
+        words = banner["banner"].lower().split()
         if len(words) < 5:
             raise ValueError(f"{r['key']}: banner needs 5 words, got {words}")
         obj, rep, field, sym = words[1:5]
@@ -111,7 +126,7 @@ def read_info(spark: SparkSession, path: str, by_folder: bool = False) -> list[M
             raise ValueError(f"{r['key']}: unknown banner words {words[1:5]}")
         if r["size"] is None:
             raise ValueError(f"{r['key']}: no size line")
-        size = r["size"]["value"].split()
+        size = r["size"]["size"].split()
         if rep == "coordinate" and len(size) < 3 or rep == "array" and len(size) < 2:
             raise ValueError(f"{r['key']}: bad size line {size}")
         n_rows, n_cols = int(size[0]), int(size[1])
@@ -176,8 +191,15 @@ def read_entries(spark: SparkSession, path: str, by_folder: bool = False,
     pos = positioned(_lines(spark, path, by_folder)).where(F.col("p") >= 1)
     t = pos.join(info, on="key").withColumn("tok", tokens(F.col("value")))
     tok = lambda k: F.get(F.col("tok"), k)
-    coord = F.col("representation") == "coordinate"
-    field = F.col("field")
+    kinds = {(m.representation, m.field) for m in infos}
+    # per-row choice only when the files differ; otherwise plain expressions
+    if len(kinds) == 1:
+        ((rep, fld),) = kinds
+        coord = F.lit(rep == "coordinate")
+        field = F.lit(fld)
+    else:
+        coord = F.col("representation") == "coordinate"
+        field = F.col("field")
     t = t.withColumn("k", F.col("p") - 1)
     if any(m.representation == "array" for m in infos):
         t = _with_array_position(t)

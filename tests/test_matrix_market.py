@@ -203,3 +203,15 @@ def test_vector_text_and_pairs(spark, tmpdir_path):
     write_vector_pairs(v, q)
     back = spark.read.schema("i long, x double").csv(q)
     assert sorted((r.i, r.x) for r in back.collect()) == [(0, 1.5), (3, -2.0)]
+
+
+@pytest.mark.parametrize("symmetry", ["symmetric", "skew-symmetric"])
+def test_array_write_triangle_kinds(spark, tmpdir_path, symmetry):
+    stored = [(1, 0, 2.0), (2, 1, -3.0), (3, 0, 1.5)] + ([(2, 2, 4.0)] if symmetry == "symmetric" else [])
+    a = mat(spark, stored, 4, 4, symmetry)
+    path = os.path.join(tmpdir_path, "tri.mtx")
+    write_array(a, path, symmetry=symmetry, partitions=2)
+    back = read_matrix(spark, path, by_folder=True)
+    assert back.symmetry == symmetry
+    x = vec(spark, [1, 2, 3, 4])
+    assert dense_values(back.multiply(x)) == dense_values(a.multiply(x))
