@@ -117,3 +117,37 @@ def write_vector_text(x: VectorFrame, path: str, *, precision: int | None = None
 def write_vector_pairs(x: VectorFrame, path: str, mode: str = "errorifexists") -> None:
     """Stored entries as ``i,x`` CSV part files (no order, no densifying)."""
     x.df.select("i", "x").write.mode(mode).csv(path)
+
+
+def write_complex_matrix_market(entries: DataFrame, path: str, n_rows: int, n_cols: int, *,
+                                symmetry: str | None = None, field: str | None = None,
+                                precision: int | None = None, partitions: int | None = None,
+                                mode: str = "errorifexists") -> tuple[str, str, int]:
+    """Write full complex entries ``(i, j, v, im)``. ``field=None`` detects real vs
+    complex (no non-zero imaginary part: ``real``, imaginary parts dropped);
+    ``symmetry=None`` detects symmetric, skew-symmetric, hermitian or general.
+    Returns ``(field, symmetry, count)``."""
+    from ..operators import complex as cx
+
+    fld = field or cx.value_field(entries).first()["field"]
+    sym = symmetry or cx.symmetry_kind(entries, n_rows == n_cols).first()["kind"]
+    cells = cx.canonicalize(entries).where((F.col("v") != 0) | (F.col("im") != 0))
+    if sym != "general":
+        cells = cells.where(F.col("i") > F.col("j") if sym == "skew-symmetric"
+                            else F.col("i") >= F.col("j"))
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    count = cells.count()
+    header = [f"%%MatrixMarket matrix coordinate {fld} {sym}", f"{n_rows} {n_cols} {count}"]
+    head = entries.sparkSession.createDataFrame(
+        [(0, k, 0, line) for k, line in enumerate(header)], "g int, a long, b long, value string")
+    parts = [(F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"),
+             number_text(F.col("v"), precision)]
+    if fld == "complex":
+        parts.append(number_text(F.col("im"), precision))
+    body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),
+                        F.concat_ws(" ", *parts).alias("value"))
+    try:
+        _write_ordered(head.unionByName(body), path, partitions, mode)
+    finally:
+        cells.unpersist()
+    return fld, sym, count
