@@ -45,8 +45,9 @@ def spmv_dense(spark, sf):
 
 
 def spmv_trans(spark, sf):
+    """Per-part sums grow with the data: exact DECIMAL values, one rounding at the end."""
     t = DriverTables(spark, sf)
-    return _vec(t.li().multiply(t.ox(), trans=True), 4)
+    return _vec(t.li(exact=True).multiply(t.ox(exact=True), trans=True), 4)
 
 
 def spmv_pattern(spark, sf):

@@ -16,7 +16,7 @@ CTE = {
     "px": "SELECT CAST(p_partkey AS BIGINT) AS i, p_retailprice AS x FROM part",
     "ox": "SELECT CAST(o_orderkey AS BIGINT) AS i, o_totalprice AS x FROM orders",
     "nt": "SELECT CAST(c.c_nationkey AS BIGINT) AS i, CAST(s.s_nationkey AS BIGINT) AS j, "
-          "l.l_extendedprice AS v FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey "
+          "l.l_quantity AS v FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey "
           "JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey",
     "syms": "SELECT greatest(i, j) AS i, least(i, j) AS j, v FROM nt",
     "symf": "SELECT i, j, v FROM syms UNION ALL SELECT j AS i, i AS j, v FROM syms WHERE i <> j",
@@ -57,10 +57,15 @@ def _with(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({CTE[n]})" for n in order) + " "
 
 
-def spmv_sql(matrix: str, vector: str, digits: int, trans: bool = False) -> str:
+def spmv_sql(matrix: str, vector: str, digits: int, trans: bool = False, exact: bool = False) -> str:
     ri, cj = ("j", "i") if trans else ("i", "j")
+    if exact:   # two-decimal inputs multiplied and summed as DECIMAL, one rounding at the end
+        prod = "CAST(e.v AS DECIMAL(15,2)) * CAST(COALESCE(x.x, 0) AS DECIMAL(15,2))"
+        total = f"CAST(SUM({prod}) AS DOUBLE)"
+    else:
+        total = "SUM(e.v * COALESCE(x.x, 0))"
     return (_with(matrix, vector)
-            + f"SELECT e.{ri} AS i, ROUND(SUM(e.v * COALESCE(x.x, 0)), {digits}) AS x "
+            + f"SELECT e.{ri} AS i, ROUND({total}, {digits}) AS x "
               f"FROM {matrix} e LEFT JOIN {vector} x ON e.{cj} = x.i GROUP BY e.{ri}")
 
 
@@ -100,7 +105,7 @@ ORACLE: dict[str, str] = {
                   "y AS (SELECT e.i AS i, ROUND(SUM(e.v * COALESCE(x.x, 0)), 4) AS x "
                   "FROM li e LEFT JOIN px x ON e.j = x.i GROUP BY e.i) "
                   "SELECT r.i AS i, COALESCE(y.x, 0.0) AS x FROM r LEFT JOIN y ON r.i = y.i",
-    "spmv_trans": spmv_sql("li", "ox", 4, trans=True),
+    "spmv_trans": spmv_sql("li", "ox", 4, trans=True, exact=True),
     "spmv_pattern": spmv_sql("ev", "ept", 4),
     "spmv_embedding": spmv_sql("em", "fe", 4),
     "spmv_sym": spmv_sql("symf", "cpn", 2),

@@ -11,7 +11,8 @@ LI     lineitem: i = l_orderkey, j = l_partkey, v = l_quantity      orders x par
 PX     part: i = p_partkey, x = p_retailprice                      parts
 OX     orders: i = o_orderkey, x = o_totalprice                    orders
 NT     lineitem-orders-customer-supplier: i = customer nation,     nations x nations,
-       j = supplier nation, v = l_extendedprice                    parallel edges
+       j = supplier nation, v = l_quantity (integer sums stay      parallel edges
+       exact in double at any scale)
 SYM    NT folded onto its lower triangle (i >= j), stored as       nations, symmetric
        ``symmetric``: the full matrix is NT + NT' - diag(NT)
 EM     embeddings: i = vec_id, j = position, v = element           vectors x dims, dense
@@ -74,7 +75,7 @@ class DriverTables:
         return MatrixFrame.from_df(df, n_rows=self.n_orders, n_cols=self.n_parts)
 
     def nation_trade_entries(self) -> DataFrame:
-        li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+        li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         cust = self.table("customer").select("c_custkey", "c_nationkey")
         supp = self.table("supplier").select("s_suppkey", "s_nationkey")
@@ -83,7 +84,7 @@ class DriverTables:
                 .join(supp, F.col("l_suppkey") == supp.s_suppkey)
                 .select(F.col("c_nationkey").cast("long").alias("i"),
                         F.col("s_nationkey").cast("long").alias("j"),
-                        F.col("l_extendedprice").alias("v")))
+                        F.col("l_quantity").alias("v")))
 
     def nt(self) -> MatrixFrame:
         return MatrixFrame(self.nation_trade_entries(), self.n_nations, self.n_nations)
