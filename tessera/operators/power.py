@@ -1,13 +1,18 @@
 """Power iteration (dominant eigenvector), named in the reference's notes.
 
 Each step is one distributed product and one norm (a scalar to the driver).
-The lineage grows by one join + aggregate per step, so every
-``checkpoint_every`` steps the vector is written to the shared checkpoint
-folder (``spark.checkpoint.dir``), which also survives lost executors.
+The product of a step is persisted (memory and disk) and materialized by the
+norm, so the next step reads it instead of recomputing the chain; the
+previous step's copy is then dropped. Every ``checkpoint_every`` steps the
+vector is also written to the shared checkpoint folder
+(``spark.checkpoint.dir``), which cuts the lineage that a lost executor
+would otherwise replay.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
+
 from ..matrix import MatrixFrame
 from ..vector import VectorFrame
 
@@ -18,11 +23,17 @@ def power_iteration(a: MatrixFrame, x0: VectorFrame, steps: int, layout: str = "
     if a.n_rows != a.n_cols:
         raise ValueError(f"power iteration needs a square matrix, got {a.shape}")
     x, norm = x0, 0.0
+    held = None
     for k in range(1, steps + 1):
         y = a.multiply(x, layout=layout, check=(k == 1))
         if checkpoint_every and k % checkpoint_every == 0:
             y = y.checkpoint()
-        norm = y.norm_value()
+        else:
+            y = VectorFrame(y.df.persist(StorageLevel.MEMORY_AND_DISK), y.known_length(), True)
+        norm = y.norm_value()          # materializes y
+        if held is not None:
+            held.unpersist()
+        held = y.df
         if norm == 0.0:
             return y, 0.0
         x = y / norm
