@@ -79,3 +79,37 @@ def test_hot_row_and_column(spark, layout, bcast):
     got = {r.i: r.x for r in a.multiply(x, layout=layout, broadcast=bcast, width=32).df.collect()}
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-9 * max(1, abs(want[k])) for k in want)
+
+
+def test_shuffled_join_splits_a_hot_column(spark):
+    """Without a broadcast, a column holding a third of the entries is split by AQE."""
+    from tessera import MatrixFrame
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(60000).selectExpr(
+            "id % 3000 AS i", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 2003 END AS j", "1.0 AS v")
+        a = MatrixFrame(df, 3000, 2003)
+        x = VectorFrame(spark.range(2003).selectExpr("id AS i", "CAST(id AS DOUBLE) AS x"), 2003, True)
+        y = a.multiply(x, broadcast=False)
+        got = {r.i: r.x for r in y.df.collect()}
+        assert "SortMergeJoin(skew=true)" in physical_plan(y.df)
+        want = {}
+        for k in range(60000):
+            j = 0 if k % 3 == 0 else k % 2003
+            want[k % 3000] = want.get(k % 3000, 0.0) + float(j)
+        assert got == want
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
