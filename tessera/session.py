@@ -50,13 +50,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     cluster a missing setting is an error, as a machine-local folder would be
     lost with its executor.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no context
+        sc = None
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if sc.getCheckpointDir() is None:
+        if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if sc is None or not master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; name a shared folder (HDFS, S3, ...) for it")
     path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -21,7 +21,7 @@ from ..vector import VectorFrame
 
 def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: str) -> None:
     """``lines(g, a, b, value)``: write ``value`` ordered by ``(g, a, b)``."""
-    n = partitions or max(1, lines.sparkSession.sparkContext.defaultParallelism)
+    n = partitions or max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["g", "a", "b"]
     (lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
      .select("value").write.mode(mode).text(path))
