@@ -215,3 +215,29 @@ def test_array_write_triangle_kinds(spark, tmpdir_path, symmetry):
     assert back.symmetry == symmetry
     x = vec(spark, [1, 2, 3, 4])
     assert dense_values(back.multiply(x)) == dense_values(a.multiply(x))
+
+
+def test_mixed_kinds_in_one_read(spark, tmpdir_path, small_splits):
+    """Files of different representation / field / symmetry in one glob: per-row parsing."""
+    folder = os.path.join(tmpdir_path, "mixed")
+    os.makedirs(folder)
+    _write(os.path.join(folder, "a.mtx"),
+           "%%MatrixMarket matrix coordinate real general\n% x\n2 3 2\n1 3 1.5\n2 1 -2\n")
+    _write(os.path.join(folder, "b.mtx"),
+           "%%MatrixMarket matrix coordinate pattern symmetric\n3 3 2\n2 1\n3 3\n")
+    _write(os.path.join(folder, "c.mtx"),
+           "%%MatrixMarket matrix array real general\n2 2\n1\n2\n3\n4\n")
+    _write(os.path.join(folder, "d.mtx"),
+           "%%MatrixMarket matrix coordinate integer general\n2 2 3\n1 1 7\n2 2 8\n")
+    entries, infos = read_entries(spark, f"{folder}/*.mtx")
+    got = {}
+    for r in entries.where("ok").collect():
+        got.setdefault(r.matrix_id, set()).add((r.i, r.j, r.v))
+    assert got["a.mtx"] == {(0, 2, 1.5), (1, 0, -2.0)}
+    assert got["b.mtx"] == {(1, 0, 1.0), (2, 2, 1.0)}
+    assert got["c.mtx"] == {(0, 0, 1.0), (1, 0, 2.0), (0, 1, 3.0), (1, 1, 4.0)}
+    assert got["d.mtx"] == {(0, 0, 7.0), (1, 1, 8.0)}
+    checks = {(r.matrix_id, r.check, r.n) for r in check_entries(entries, infos, spark).collect()}
+    assert checks == {("d.mtx", "count", -1)}
+    kinds = {m.matrix_id: (m.representation, m.field, m.symmetry) for m in infos}
+    assert kinds["b.mtx"] == ("coordinate", "pattern", "symmetric")
