@@ -40,11 +40,6 @@ def tokens(line: Column | str) -> Column:
     return F.split(F.btrim(_as_col(line), F.lit(" \t\r\f")), r"[ \t\r\f]+")
 
 
-def token(arr: Column, k: int) -> Column:
-    """k-th token (0-based) or null; ``get`` never raises under ANSI mode."""
-    return F.get(arr, k)
-
-
 def to_long(c: Column) -> Column:
     return c.try_cast("bigint")
 

@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..matrix import MatrixFrame
 from ..operators import structure as st
 from ..operators.power import power_iteration
 from ..sources.tables import DriverTables
