@@ -3,9 +3,9 @@
 Only one decision is ours: whether to put a ``broadcast`` hint on the operand
 vector. It is taken from a *proven* row bound (a known length of a vector
 whose indices are unique, or a counted row number), never from an estimate.
-Without the hint Spark plans a shuffled join; AQE may still switch to a
-broadcast at run time from measured shuffle sizes, and splits skewed
-partitions of the entries side.
+Above the bound the vector side gets a ``shuffle_hash`` hint instead, so the
+entries are hashed and streamed, not sorted; AQE splits skewed partitions of
+the entries side.
 """
 
 from __future__ import annotations
@@ -27,7 +27,15 @@ def may_broadcast(spark: SparkSession, row_bound: int | None) -> bool:
 
 
 def hint_broadcast(df: DataFrame, yes: bool) -> DataFrame:
-    return F.broadcast(df) if yes else df
+    """Hint for the small (vector) side of a product join.
+
+    Broadcast when its bound allows; otherwise a shuffled hash join that builds on
+    this side: the entries side is hashed and streamed, never sorted (a sort-merge
+    join would sort every entry by column). Each build partition holds about
+    ``rows / shuffle partitions`` rows, and AQE still splits skewed partitions of
+    the entries side (``ShuffledHashJoin(skew=true)``).
+    """
+    return F.broadcast(df) if yes else df.hint("shuffle_hash")
 
 
 def physical_plan(df: DataFrame, mode: str = "formatted") -> str:
