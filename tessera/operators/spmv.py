@@ -27,7 +27,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import block_of
@@ -62,6 +62,23 @@ def pack_rows(entries: DataFrame, width: int = DEFAULT_WIDTH, by: Sequence[str]
             .select(*by, "i", "s", F.col("e.j").alias("idx"), F.col("e.v").alias("val")))
 
 
+def row_positions(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Explode packed segments to ``(by..., i, pos, j, v)``, ``pos`` = the entry's
+    0-based place in its whole row (ordered by column).
+
+    Segment offsets come from a running sum over a one-row-per-segment table
+    (the window sees segment sizes only), joined back on the unique ``(i, s)``
+    key, so a long row is exploded by the tasks that hold its segments, not by
+    one task."""
+    before = Window.partitionBy(*by, "i").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = packed.select(*by, "i", "s", F.size("idx").alias("n")).select(
+        *by, "i", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("off"))
+    with_off = packed.join(offsets, on=[*by, "i", "s"])
+    z = with_off.select(*by, "i", "off", F.posexplode(F.arrays_zip("idx", "val")).alias("p", "t"))
+    return z.select(*by, "i", (F.col("off") + F.col("p")).alias("pos"),
+                    F.col("t.idx").alias("j"), F.col("t.val").alias("v"))
+
+
 def vector_blocks(dense_vec: DataFrame, width: int = DEFAULT_WIDTH,
                   by: Sequence[str] = ()) -> DataFrame:
     """Dense blocks ``(by..., s, xb)`` of a dense vector: ``xb[k] = x(s * width + k)``."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import structure as st
@@ -141,13 +141,9 @@ def active_size(spark, sf):
 
 
 def indexed_rows(spark, sf):
-    packed = DriverTables(spark, sf).li().indexed_rows()
-    before = Window.partitionBy("i").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum(F.size("idx")).over(before), F.lit(0)).cast("long")
-    with_off = packed.select("i", "idx", "val", off.alias("off"))
-    z = with_off.select("i", "off", F.posexplode(F.arrays_zip("idx", "val")).alias("p", "t"))
-    return z.select("i", (F.col("off") + F.col("p")).alias("pos"),
-                    F.col("t.idx").alias("j"), F.col("t.val").alias("v"))
+    from ..operators.spmv import row_positions
+
+    return row_positions(DriverTables(spark, sf).li().indexed_rows().drop("size"))
 
 
 def row_matrix(spark, sf):

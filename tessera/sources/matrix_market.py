@@ -233,8 +233,8 @@ def read_matrix(spark: SparkSession, path: str, by_folder: bool = False,
         raise ValueError(f"{path}: complex values are read by read_entries (v, im), "
                          "not as a real MatrixFrame")
     e = entries.where("ok").select("i", "j", "v")
-    if partitions:
-        e = e.repartition(int(partitions), "i")
+    if partitions:   # hash on the cell, so a hot row or column is spread too
+        e = e.repartition(int(partitions), "i", "j")
     return MatrixFrame(e, m.n_rows, m.n_cols, m.symmetry)
 
 

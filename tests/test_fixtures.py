@@ -167,3 +167,13 @@ def test_graph_vertices_include_isolated_destinations(spark):
     vertices, edges = g.graph()
     assert sorted(r.id for r in vertices.collect()) == [0, 2]
     assert edges.columns == ["src", "dst", "attr"]
+
+
+def test_row_positions_across_segments(spark):
+    from tessera.operators.spmv import row_positions
+
+    a = mat(spark, [(0, c, float(c)) for c in range(9, -1, -1)] + [(1, 3, 1.0), (1, 9, 2.0)], 2, 10)
+    rows = row_positions(a.indexed_rows(width=4).drop("size")).collect()
+    got = sorted((r.i, r.pos, r.j, r.v) for r in rows)
+    want = [(0, c, c, float(c)) for c in range(10)] + [(1, 0, 3, 1.0), (1, 1, 9, 2.0)]
+    assert got == want
