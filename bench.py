@@ -71,6 +71,18 @@ def main() -> None:
         "spmv_dense": lambda: _force(li.multiply(px).to_dense().df),
         "spmv_parquet": lambda: _force(spmv_query(spark, sf_dir)),
     }
+    from tessera.operators.power import power_iteration
+    from tessera.operators.spmv import row_positions
+    from tessera.vector import VectorFrame
+
+    y_li = li.multiply(px)
+    ones = VectorFrame(spark.range(sym.n_rows).selectExpr("id AS i", "1.0 AS x"), sym.n_rows, True)
+    cases.update({
+        "dot": lambda: y_li.dot_value(li.multiply(px, layout="packed")),
+        "power_5": lambda: power_iteration(sym, ones, 5, checkpoint_every=None),
+        "indexed_rows": lambda: _force(row_positions(li.indexed_rows().drop("size"))),
+        "symmetry_kind": lambda: sym.symmetry_kind().collect(),
+    })
     mm_path = scratch_path(spark, "bench_li.mtx")
     write_matrix_market(li, mm_path)
 
