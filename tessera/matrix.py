@@ -167,7 +167,9 @@ class MatrixFrame:
         """``A x`` (or ``A' x`` with ``trans``) as a sparse ``VectorFrame``.
 
         ``broadcast=None`` broadcasts the operand only below a proven row bound
-        (``tessera.broadcast.maxRows``); otherwise a shuffled join, re-planned by AQE.
+        (``tessera.broadcast.maxRows``); otherwise a shuffled hash join built on the
+        vector side, whose skewed entry partitions AQE splits. ``prepare(layout)``
+        first keeps the layout's form cached for repeated products.
         """
         if layout not in LAYOUTS:
             raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
