@@ -19,9 +19,21 @@ from ..operators import structure as st
 from ..vector import VectorFrame
 
 
-def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: str) -> None:
-    """``lines(g, a, b, value)``: write ``value`` ordered by ``(g, a, b)``."""
-    n = partitions or max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+LINES_PER_FILE = 4_000_000   # about 100 MB of text per part file
+
+
+def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: str,
+                   rows: int | None = None) -> None:
+    """``lines(g, a, b, value)``: write ``value`` ordered by ``(g, a, b)``.
+
+    The number of part files follows the (known) line count, not the cluster's
+    shuffle setting: about ``LINES_PER_FILE`` lines each."""
+    if partitions:
+        n = int(partitions)
+    elif rows is not None:
+        n = max(1, -(-int(rows) // LINES_PER_FILE))
+    else:
+        n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["g", "a", "b"]
     (lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
      .select("value").write.mode(mode).text(path))
@@ -75,7 +87,7 @@ def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
     body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),
                         text.alias("value"))
     try:
-        _write_ordered(head.unionByName(body), path, partitions, mode)
+        _write_ordered(head.unionByName(body), path, partitions, mode, rows=count + len(header))
     finally:
         cells.unpersist()
     return count
@@ -102,7 +114,7 @@ def write_array(m: MatrixFrame, path: str, *, symmetry: str = "general",
                                    "g int, a long, b long, value string")
     body = dense.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),
                         number_text(F.col("v"), precision).alias("value"))
-    _write_ordered(head.unionByName(body), path, partitions, mode)
+    _write_ordered(head.unionByName(body), path, partitions, mode, rows=m.n_rows * m.n_cols)
 
 
 def write_vector_text(x: VectorFrame, path: str, *, precision: int | None = None,
@@ -111,7 +123,7 @@ def write_vector_text(x: VectorFrame, path: str, *, precision: int | None = None
     dense = x.to_dense().df
     lines = dense.select(F.lit(1).alias("g"), F.col("i").alias("a"), F.lit(0).cast("long").alias("b"),
                          number_text(F.col("x"), precision).alias("value"))
-    _write_ordered(lines, path, partitions, mode)
+    _write_ordered(lines, path, partitions, mode, rows=x.length)
 
 
 def write_vector_pairs(x: VectorFrame, path: str, mode: str = "errorifexists") -> None:
@@ -147,7 +159,7 @@ def write_complex_matrix_market(entries: DataFrame, path: str, n_rows: int, n_co
     body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),
                         F.concat_ws(" ", *parts).alias("value"))
     try:
-        _write_ordered(head.unionByName(body), path, partitions, mode)
+        _write_ordered(head.unionByName(body), path, partitions, mode, rows=count + len(header))
     finally:
         cells.unpersist()
     return fld, sym, count
