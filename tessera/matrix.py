@@ -9,6 +9,8 @@ method returns a new lazy DataFrame-backed object; only shapes and counts
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +22,23 @@ from .vector import VectorFrame
 
 LAYOUTS = ("join", "packed", "blocked", "graph")
 
+DimLike = int | None | Callable[[], int]
+
+
+def _dim(d: DimLike) -> DimLike:
+    if d is None or callable(d):
+        return d
+    return None if d <= 0 else int(d)
+
 
 class MatrixFrame:
-    def __init__(self, entries: DataFrame, n_rows: int | None = None, n_cols: int | None = None,
+    def __init__(self, entries: DataFrame, n_rows: DimLike = None, n_cols: DimLike = None,
                  symmetry: str = "general", canonical: bool = False):
+        """``n_rows`` / ``n_cols``: a number, ``None`` (max index + 1, computed once
+        when first needed), or a callable giving the number when first needed."""
         self.entries = entries
-        self._n_rows = None if n_rows is None or n_rows <= 0 else int(n_rows)
-        self._n_cols = None if n_cols is None or n_cols <= 0 else int(n_cols)
+        self._n_rows = _dim(n_rows)
+        self._n_cols = _dim(n_cols)
         self.symmetry = _st.check_symmetry(symmetry)
         self.canonical_entries = canonical
         self._prepared: dict[tuple, DataFrame] = {}
@@ -72,12 +84,16 @@ class MatrixFrame:
 
     @property
     def n_rows(self) -> int:
+        if callable(self._n_rows):
+            self._n_rows = _dim(self._n_rows())
         if self._n_rows is None:
             self._compute_shape()
         return self._n_rows
 
     @property
     def n_cols(self) -> int:
+        if callable(self._n_cols):
+            self._n_cols = _dim(self._n_cols())
         if self._n_cols is None:
             self._compute_shape()
         return self._n_cols
@@ -173,7 +189,8 @@ class MatrixFrame:
         """
         if layout not in LAYOUTS:
             raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
-        n_in, n_out = (self.n_rows, self.n_cols) if trans else (self.n_cols, self.n_rows)
+        n_in = self.n_rows if trans else self.n_cols
+        n_out = (lambda: self.n_cols) if trans else (lambda: self.n_rows)
         if check and x.length != n_in:
             raise ValueError(f"vector length {x.length} does not match the matrix "
                              f"({'rows' if trans else 'columns'} = {n_in})")

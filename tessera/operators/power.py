@@ -29,7 +29,7 @@ def power_iteration(a: MatrixFrame, x0: VectorFrame, steps: int, layout: str = "
         if checkpoint_every and k % checkpoint_every == 0:
             y = y.checkpoint()
         else:
-            y = VectorFrame(y.df.persist(StorageLevel.MEMORY_AND_DISK), y.known_length(), True)
+            y = y.with_df(y.df.persist(StorageLevel.MEMORY_AND_DISK))
         norm = y.norm_value()          # materializes y
         if held is not None:
             held.unpersist()

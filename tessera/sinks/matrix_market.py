@@ -20,6 +20,14 @@ from ..vector import VectorFrame
 
 
 LINES_PER_FILE = 4_000_000   # about 100 MB of text per part file
+MIN_LINES_PER_FILE = 50_000  # small outputs: no more files than this allows
+
+
+def _parallelism(spark) -> int:
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: str,
@@ -27,11 +35,15 @@ def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: st
     """``lines(g, a, b, value)``: write ``value`` ordered by ``(g, a, b)``.
 
     The number of part files follows the (known) line count, not the cluster's
-    shuffle setting: about ``LINES_PER_FILE`` lines each."""
+    shuffle setting: at most ``LINES_PER_FILE`` lines each (about 100 MB), and for
+    small outputs up to one file per core as long as each keeps
+    ``MIN_LINES_PER_FILE`` lines, so that reading it back is parallel too."""
     if partitions:
         n = int(partitions)
     elif rows is not None:
-        n = max(1, -(-int(rows) // LINES_PER_FILE))
+        rows = int(rows)
+        n = max(1, -(-rows // LINES_PER_FILE),
+                min(_parallelism(lines.sparkSession), rows // MIN_LINES_PER_FILE))
     else:
         n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["g", "a", "b"]

@@ -72,7 +72,7 @@ class DriverTables:
         li = self.table("lineitem")
         v = F.col("l_quantity").cast(EXACT) if exact else F.col("l_quantity")
         df = li.select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), v.alias("v"))
-        return MatrixFrame.from_df(df, n_rows=self.n_orders, n_cols=self.n_parts)
+        return MatrixFrame.from_df(df, n_rows=lambda: self.n_orders, n_cols=lambda: self.n_parts)
 
     def nation_trade_entries(self) -> DataFrame:
         li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
@@ -87,19 +87,19 @@ class DriverTables:
                         F.col("l_quantity").alias("v")))
 
     def nt(self) -> MatrixFrame:
-        return MatrixFrame(self.nation_trade_entries(), self.n_nations, self.n_nations)
+        return MatrixFrame(self.nation_trade_entries(), lambda: self.n_nations, lambda: self.n_nations)
 
     def sym(self, diagonal: bool = True) -> MatrixFrame:
         e = self.nation_trade_entries().select(
             F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), "v")
         if not diagonal:
             e = e.where(F.col("i") != F.col("j"))
-        return MatrixFrame(e, self.n_nations, self.n_nations, "symmetric")
+        return MatrixFrame(e, lambda: self.n_nations, lambda: self.n_nations, "symmetric")
 
     def skew(self) -> MatrixFrame:
         """The strictly lower part of SYM stored as skew-symmetric (``A - A'``)."""
         e = self.sym(diagonal=False).entries
-        return MatrixFrame(e, self.n_nations, self.n_nations, "skew-symmetric")
+        return MatrixFrame(e, lambda: self.n_nations, lambda: self.n_nations, "skew-symmetric")
 
     def em(self) -> MatrixFrame:
         emb = self.table("embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "val"))
@@ -117,23 +117,23 @@ class DriverTables:
     def px(self, exact: bool = False) -> VectorFrame:
         p = self.table("part")
         x = F.col("p_retailprice").cast(EXACT) if exact else F.col("p_retailprice")
-        return VectorFrame(p.select(F.col("p_partkey").alias("i"), x.alias("x")), self.n_parts, True)
+        return VectorFrame(p.select(F.col("p_partkey").alias("i"), x.alias("x")), lambda: self.n_parts, True)
 
     def part_size(self) -> VectorFrame:
         p = self.table("part")
         return VectorFrame(p.select(F.col("p_partkey").alias("i"),
-                                    F.col("p_size").cast("double").alias("x")), self.n_parts, True)
+                                    F.col("p_size").cast("double").alias("x")), lambda: self.n_parts, True)
 
     def ox(self, exact: bool = False) -> VectorFrame:
         o = self.table("orders")
         x = F.col("o_totalprice").cast(EXACT) if exact else F.col("o_totalprice")
-        return VectorFrame(o.select(F.col("o_orderkey").alias("i"), x.alias("x")), self.n_orders, True)
+        return VectorFrame(o.select(F.col("o_orderkey").alias("i"), x.alias("x")), lambda: self.n_orders, True)
 
     def customers_per_nation(self) -> VectorFrame:
         c = self.table("customer")
         df = c.groupBy(F.col("c_nationkey").cast("long").alias("i")).agg(
             F.count(F.lit(1)).cast("double").alias("x"))
-        return VectorFrame(df, self.n_nations, True)
+        return VectorFrame(df, lambda: self.n_nations, True)
 
     def events_per_type(self) -> VectorFrame:
         ev = self.table("events").select(event_type_code(F.col("event_type")).alias("i"))

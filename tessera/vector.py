@@ -59,10 +59,15 @@ class VectorFrame:
     def known_length(self) -> int | None:
         return self._length if isinstance(self._length, int) else None
 
+    def with_df(self, df: DataFrame) -> "VectorFrame":
+        """The same vector metadata (length, uniqueness) over another DataFrame."""
+        return VectorFrame(df, self._length, self.unique)
+
     def row_bound(self) -> int:
-        """A proven upper bound on the number of rows (for the broadcast choice)."""
-        if self.unique and isinstance(self._length, int):
-            return self._length
+        """A proven upper bound on the number of rows (for the broadcast choice):
+        the length when indices are unique, else the counted rows."""
+        if self.unique and self._length is not None:
+            return self.length
         if self._rows is None:
             self._rows = self.df.count()
         return self._rows
@@ -152,7 +157,7 @@ class VectorFrame:
         from .session import checkpoint_dir
 
         checkpoint_dir(self.spark)
-        return VectorFrame(self.df.checkpoint(eager), self._length, self.unique)
+        return self.with_df(self.df.checkpoint(eager))
 
     def __repr__(self) -> str:
         return f"VectorFrame(length={self._length!r}, unique={self.unique})"
