@@ -64,6 +64,11 @@ def canonicalize(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def symmetry_kind(entries: DataFrame, square: bool, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., kind)`` over full entries; hermitian is tested only when some
     imaginary part is non-zero, as for a real matrix it equals symmetric."""
+    return describe(entries, square, by).drop("field")
+
+
+def describe(entries: DataFrame, square: bool, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., kind, field)``: storage symmetry and real-vs-complex, one aggregation."""
     nz = canonicalize(entries, by).where((F.col("v") != 0) | (F.col("im") != 0))
     mirror = nz.select(*by, F.col("j").alias("i"), F.col("i").alias("j"),
                        F.col("v").alias("mv"), F.col("im").alias("mim"))
@@ -82,7 +87,8 @@ def symmetry_kind(entries: DataFrame, square: bool, by: Sequence[str] = ()) -> D
             .when(F.coalesce(F.col("max_im"), F.lit(0.0)) > 0,
                   F.when(F.coalesce(F.col("herm"), t), F.lit("hermitian")).otherwise(F.lit("general")))
             .otherwise(F.lit("general")))
-    return flags.select(*by, kind.alias("kind"))
+    field = F.when(F.coalesce(F.col("max_im"), F.lit(0.0)) > 0, F.lit("complex")).otherwise(F.lit("real"))
+    return flags.select(*by, kind.alias("kind"), field.alias("field"))
 
 
 def value_field(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:

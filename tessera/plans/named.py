@@ -232,6 +232,31 @@ def power_step_3(spark, sf):
     return _vec(x, 8)
 
 
+# ------------------------------------------------------------------ complex
+def complex_spmv(spark, sf):
+    from ..operators import complex as cx
+
+    t = DriverTables(spark, sf)
+    y = cx.multiply(t.li_complex(), t.px_complex())
+    return _r(_r(y, 4, "x"), 4, "xi")
+
+
+def hermitian_spmv(spark, sf):
+    from ..operators import complex as cx
+
+    t = DriverTables(spark, sf)
+    full = cx.expand(t.hermitian_trade(), "hermitian")
+    return _r(_r(cx.multiply(full, t.customers_per_nation().df), 2, "x"), 2, "xi")
+
+
+def complex_kind(spark, sf):
+    from ..operators import complex as cx
+
+    t = DriverTables(spark, sf)
+    full = cx.expand(t.hermitian_trade(), "hermitian")
+    return cx.describe(full, True)
+
+
 QUERIES: dict[str, Query] = {
     "spmv": spmv,
     "spmv_dense": spmv_dense,
@@ -268,4 +293,7 @@ QUERIES: dict[str, Query] = {
     "residual": residual,
     "random_vector": random_vector,
     "power_step_3": power_step_3,
+    "complex_spmv": complex_spmv,
+    "hermitian_spmv": hermitian_spmv,
+    "complex_kind": complex_kind,
 }

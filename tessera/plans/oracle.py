@@ -99,6 +99,14 @@ _NZ = ("nz AS (SELECT matrix_id, i, j, SUM(v) AS v FROM ("
        "UNION ALL SELECT 'skew', i, j, v FROM skewf) GROUP BY matrix_id, i, j HAVING SUM(v) <> 0)")
 
 
+_HERM = ("WITH cpn AS (" + CTE["cpn"] + "), h0 AS (SELECT CAST(c.c_nationkey AS BIGINT) AS a, "
+         "CAST(s.s_nationkey AS BIGINT) AS b, l.l_quantity AS v, round(l.l_discount * 100) AS d "
+         "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c "
+         "ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey), "
+         "hs AS (SELECT greatest(a, b) AS i, least(a, b) AS j, v, CASE WHEN a = b THEN 0.0 ELSE d END AS im "
+         "FROM h0), hf AS (SELECT i, j, v, im FROM hs UNION ALL SELECT j AS i, i AS j, v, -im AS im "
+         "FROM hs WHERE i <> j) ")
+
 ORACLE: dict[str, str] = {
     "spmv": spmv_sql("li", "px", 4),
     "spmv_dense": _with("li", "px") + f", r AS ({_dense_range(N_ORDERS)}), "
@@ -161,4 +169,24 @@ ORACLE: dict[str, str] = {
                 "GROUP BY i) SELECT ROUND(COALESCE(max(abs(x)), 0), 2) AS max_abs, "
                 "ROUND(sqrt(COALESCE(SUM(x * x), 0)), 2) AS norm2 FROM d",
     "power_step_3": _power_sql(3, 8),
+    "complex_spmv": "WITH e AS (SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j, "
+                    "l_quantity AS v, round(l_discount * 100) AS im FROM lineitem), "
+                    "x AS (SELECT CAST(p_partkey AS BIGINT) AS i, p_retailprice AS xr, "
+                    "CAST(p_size AS DOUBLE) AS xi FROM part) "
+                    "SELECT e.i AS i, ROUND(SUM(e.v * COALESCE(x.xr, 0) - e.im * COALESCE(x.xi, 0)), 4) AS x, "
+                    "ROUND(SUM(e.v * COALESCE(x.xi, 0) + e.im * COALESCE(x.xr, 0)), 4) AS xi "
+                    "FROM e LEFT JOIN x ON e.j = x.i GROUP BY e.i",
+    "hermitian_spmv": _HERM + "SELECT e.i AS i, ROUND(SUM(e.v * COALESCE(c.x, 0)), 2) AS x, "
+                      "ROUND(SUM(e.im * COALESCE(c.x, 0)), 2) AS xi FROM hf e LEFT JOIN cpn c ON e.j = c.i "
+                      "GROUP BY e.i",
+    "complex_kind": _HERM + ", nz AS (SELECT i, j, SUM(v) AS v, SUM(im) AS im FROM hf GROUP BY i, j "
+                    "HAVING SUM(v) <> 0 OR SUM(im) <> 0), f AS (SELECT bool_and(a.v = coalesce(b.v, 0) "
+                    "AND a.im = coalesce(b.im, 0)) AS sym, bool_and(a.v = -coalesce(b.v, 0) AND "
+                    "a.im = -coalesce(b.im, 0)) AS skew, bool_and(a.v = coalesce(b.v, 0) AND "
+                    "a.im = -coalesce(b.im, 0)) AS herm, max(abs(a.im)) AS max_im FROM nz a LEFT JOIN nz b "
+                    "ON a.i = b.j AND a.j = b.i) SELECT CASE WHEN coalesce(sym, true) THEN 'symmetric' "
+                    "WHEN coalesce(skew, true) THEN 'skew-symmetric' WHEN coalesce(max_im, 0) > 0 THEN "
+                    "(CASE WHEN coalesce(herm, true) THEN 'hermitian' ELSE 'general' END) ELSE 'general' END "
+                    "AS kind, (SELECT CASE WHEN coalesce(max(abs(im)), 0) > 0 THEN 'complex' ELSE 'real' END "
+                    "FROM hf) AS field FROM f",
 }

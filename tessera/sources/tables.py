@@ -113,12 +113,41 @@ class DriverTables:
         pat = ev.where(F.col("j").isNotNull()).distinct()
         return MatrixFrame.from_df(pat, v=None, n_cols=len(EVENT_TYPES))
 
+    def li_complex(self) -> DataFrame:
+        """Complex entries ``(i, j, v, im)``: lineitem quantity + i * (discount in percent)."""
+        li = self.table("lineitem")
+        return li.select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"),
+                         F.col("l_quantity").alias("v"),
+                         F.round(F.col("l_discount") * 100).alias("im"))
+
+    def hermitian_trade(self) -> DataFrame:
+        """Nation trade folded onto the lower triangle with an imaginary part
+        (discount in percent, 0 on the diagonal): stored ``hermitian`` entries."""
+        li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount")
+        orders = self.table("orders").select("o_orderkey", "o_custkey")
+        cust = self.table("customer").select("c_custkey", "c_nationkey")
+        supp = self.table("supplier").select("s_suppkey", "s_nationkey")
+        e = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+             .join(cust, F.col("o_custkey") == cust.c_custkey)
+             .join(supp, F.col("l_suppkey") == supp.s_suppkey)
+             .select(F.col("c_nationkey").cast("long").alias("a"),
+                     F.col("s_nationkey").cast("long").alias("b"),
+                     F.col("l_quantity").alias("v"), F.round(F.col("l_discount") * 100).alias("d")))
+        return e.select(F.greatest("a", "b").alias("i"), F.least("a", "b").alias("j"), "v",
+                        F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.col("d")).alias("im"))
+
     # ----------------------------------------------------------- vectors
     def px(self, exact: bool = False) -> VectorFrame:
         p = self.table("part")
         x = F.col("p_retailprice").cast(EXACT) if exact else F.col("p_retailprice")
         return VectorFrame(p.select(F.col("p_partkey").alias("i"), x.alias("x")), lambda: self.n_parts, True)
 
+    def px_complex(self) -> DataFrame:
+        """Complex vector ``(i, x, xi)``: retail price + i * size."""
+        p = self.table("part")
+        return p.select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("x"),
+                        F.col("p_size").cast("double").alias("xi"))
+
     def part_size(self) -> VectorFrame:
         p = self.table("part")
         return VectorFrame(p.select(F.col("p_partkey").alias("i"),
