@@ -22,6 +22,7 @@ writer of this package produces (parts in name order).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,7 +50,7 @@ class MatrixInfo:
     n_rows: int
     n_cols: int
     nnz: int          # entries declared on the size line (array: rows * cols or triangle)
-    data_lines: int   # kept lines after the size line
+    data_lines: int | None   # kept lines after the size line (None: not counted)
 
 
 def _lines(spark: SparkSession, path: str, by_folder: bool) -> DataFrame:
@@ -85,13 +86,79 @@ def _matrix_id(key: Column) -> Column:
     return F.regexp_extract(key, r"([^/]+)$", 1)
 
 
-def read_info(spark: SparkSession, path: str, by_folder: bool = False) -> list[MatrixInfo]:
-    """Header facts of every matrix under ``path`` (a file, folder or glob): one job,
-    one row per matrix to the driver. Banner words are matched case-insensitively.
-
-    Two-level aggregation: per split on long counters only (first line, first
-    banner line, first kept line, kept count), then per matrix over the split rows.
+HEAD_LINES = 2000   # lines taken from the start of a single matrix to find its header
+
+
+def _parse_header(key: str, banner: str, size_line: str | None,
+                  data_lines: int | None) -> MatrixInfo:
+    words = banner.lower().split()
+    if len(words) < 5:
+        raise ValueError(f"{key}: banner needs 5 words, got {words}")
+    obj, rep, field, sym = words[1:5]
+    if obj not in OBJECTS or rep not in REPRESENTATIONS or field not in FIELDS or sym not in SYMMETRIES:
+        raise ValueError(f"{key}: unknown banner words {words[1:5]}")
+    if size_line is None:
+        raise ValueError(f"{key}: no size line")
+    size = size_line.split()
+    if rep == "coordinate" and len(size) < 3 or rep == "array" and len(size) < 2:
+        raise ValueError(f"{key}: bad size line {size}")
+    n_rows, n_cols = int(size[0]), int(size[1])
+    if rep == "coordinate":
+        nnz = int(size[2])
+    elif sym == "general":
+        nnz = n_rows * n_cols
+    elif sym == "skew-symmetric":
+        nnz = n_rows * (n_rows - 1) // 2
+    else:
+        nnz = n_rows * (n_rows + 1) // 2
+    return MatrixInfo(key, key.rstrip("/").rsplit("/", 1)[-1], rep, field, sym,
+                      n_rows, n_cols, nnz, data_lines)
+
+
+def _head_info(spark: SparkSession, path: str, by_folder: bool) -> list[MatrixInfo] | None:
+    """Header of a single matrix from the first lines of its first file only.
+
+    ``limit(...).collect()`` runs incrementally from partition 0, which holds the
+    first split of the file, so only the start of the file is read instead of all
+    of it. ``None`` (use the full aggregation) for several matrices, or when the
+    header is not within the first ``HEAD_LINES`` lines of the first split."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return None
+    keys = {f.rsplit("/", 1)[0] for f in files} if by_folder else set(files)
+    if len(keys) != 1:
+        return None
+    rows = (spark.read.text(files[0])
+            .select("value", F.col("_metadata.file_path").alias("f"),
+                    F.col("_metadata.file_block_start").alias("b"))
+            .limit(HEAD_LINES).collect())
+    if not rows or any(r["b"] != 0 for r in rows):
+        return None
+    f = rows[0]["f"]
+    key = re.match(r"^(.*)/[^/]*$", f).group(1) if by_folder else f
+    if not rows[0]["value"].lstrip().lower().startswith(BANNER):
+        raise ValueError(f"{key}: first line is not a %%MatrixMarket banner")
+    for r in rows[1:]:
+        t = r["value"].strip()
+        if t and not t.startswith("%"):
+            return [_parse_header(key, rows[0]["value"], t, None)]
+    return None
+
+
+def read_info(spark: SparkSession, path: str, by_folder: bool = False,
+              full: bool = False) -> list[MatrixInfo]:
+    """Header facts of every matrix under ``path`` (a file, folder or glob), one
+    row per matrix to the driver. Banner words are matched case-insensitively.
+
+    A single matrix is read from its first lines only (see ``_head_info``).
+    Otherwise, or with ``full=True`` (which also counts the data lines), one job
+    aggregates all lines: per split on long counters only (first line, first banner
+    line, first kept line, kept count), then per matrix over the split rows.
     """
+    if not full:
+        head = _head_info(spark, path, by_folder)
+        if head is not None:
+            return head
     v = F.col("value")
     m = F.col("m")
     lines = _lines(spark, path, by_folder).withColumn("m", F.monotonically_increasing_id())
@@ -118,29 +185,8 @@ def read_info(spark: SparkSession, path: str, by_folder: bool = False) -> list[M
         first, banner = r["first"], r["banner"]
         if banner is None or tuple(first) != tuple(banner)[:3]:
             raise ValueError(f"{r['key']}: first line is not a %%MatrixMarket banner")
-        words = banner["banner"].lower().split()
-        if len(words) < 5:
-            raise ValueError(f"{r['key']}: banner needs 5 words, got {words}")
-        obj, rep, field, sym = words[1:5]
-        if obj not in OBJECTS or rep not in REPRESENTATIONS or field not in FIELDS or sym not in SYMMETRIES:
-            raise ValueError(f"{r['key']}: unknown banner words {words[1:5]}")
-        if r["size"] is None:
-            raise ValueError(f"{r['key']}: no size line")
-        size = r["size"]["size"].split()
-        if rep == "coordinate" and len(size) < 3 or rep == "array" and len(size) < 2:
-            raise ValueError(f"{r['key']}: bad size line {size}")
-        n_rows, n_cols = int(size[0]), int(size[1])
-        if rep == "coordinate":
-            nnz = int(size[2])
-        elif sym == "general":
-            nnz = n_rows * n_cols
-        elif sym == "skew-symmetric":
-            nnz = n_rows * (n_rows - 1) // 2
-        else:
-            nnz = n_rows * (n_rows + 1) // 2
-        key = r["key"]
-        out.append(MatrixInfo(key, key.rstrip("/").rsplit("/", 1)[-1], rep, field, sym,
-                              n_rows, n_cols, nnz, int(r["kept_lines"]) - 1))
+        size = r["size"]["size"] if r["size"] is not None else None
+        out.append(_parse_header(r["key"], banner["banner"], size, int(r["kept_lines"]) - 1))
     return sorted(out, key=lambda m: m.key)
 
 
@@ -257,17 +303,18 @@ def check_entries(entries: DataFrame, infos: list[MatrixInfo], spark: SparkSessi
     ``malformed`` lines, entries ``out_of_shape``, ``count`` = data lines minus the
     declared number, ``upper_triangle`` entries in a triangle-stored file."""
     info = F.broadcast(info_frame(spark, infos).select("matrix_id", "n_rows", "n_cols", "symmetry",
-                                                       "nnz", "data_lines"))
+                                                       "nnz"))
     e = entries.join(info, on="matrix_id")
     bad_shape = F.col("ok") & ((F.col("i") < 0) | (F.col("j") < 0) | (F.col("i") >= F.col("n_rows"))
                                | (F.col("j") >= F.col("n_cols")))
     upper = F.col("ok") & (F.col("symmetry") != "general") & (F.col("i") < F.col("j"))
     agg = e.groupBy("matrix_id").agg(
+        F.count(F.lit(1)).alias("lines"),
         F.count(F.when(~F.col("ok"), 1)).alias("malformed"),
         F.count(F.when(bad_shape, 1)).alias("out_of_shape"),
         F.count(F.when(upper, 1)).alias("upper_triangle"))
-    counts = info.select("matrix_id", (F.col("data_lines") - F.col("nnz")).alias("count"))
-    full = counts.join(agg, on="matrix_id", how="left").fillna(0)
+    full = (info.select("matrix_id", "nnz").join(agg, on="matrix_id", how="left").fillna(0)
+            .withColumn("count", F.col("lines") - F.col("nnz")))
     stacked = full.select("matrix_id", F.expr(
         "stack(4, 'count', `count`, 'malformed', malformed, 'out_of_shape', out_of_shape, "
         "'upper_triangle', upper_triangle) AS (check, n)"))
