@@ -107,7 +107,18 @@ def check_results(spark, sf):
     return _r(_r(res, 2, "max_abs"), 2, "norm2")
 
 
+def parquet_round_trip(spark, sf):
+    from ..sinks.parquet import write_matrix_parquet
+    from ..sources.parquet import read_matrix_parquet
+
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "li_parquet")
+    write_matrix_parquet(t.li(), path)
+    return read_matrix_parquet(spark, path).entries
+
+
 FILE_QUERIES = {
+    "parquet_round_trip": parquet_round_trip,
     "mm_round_trip": mm_round_trip,
     "mm_sym_round_trip": mm_sym_round_trip,
     "mm_array_round_trip": mm_array_round_trip,
@@ -120,6 +131,7 @@ FILE_QUERIES = {
 }
 
 FILE_ORACLE = {
+    "parquet_round_trip": _with("li") + "SELECT i, j, v FROM li",
     "mm_round_trip": _with("canon") + "SELECT i, j, v FROM canon WHERE v <> 0",
     "mm_sym_round_trip": _with("symf") + "SELECT i, j, ROUND(SUM(v), 2) AS v FROM symf GROUP BY i, j "
                                          "HAVING SUM(v) <> 0",
