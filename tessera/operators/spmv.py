@@ -5,7 +5,8 @@ vector ``(by..., i, x)`` and return ``(by..., i, x)`` with one row per non-empty
 matrix row. They differ in how the work is grouped:
 
 * ``join``    - every entry meets ``x(j)`` by an equi-join, then one keyed sum.
-                One Catalyst plan: [broadcast] join -> partial agg -> exchange(i) -> agg.
+                One Catalyst plan: broadcast (or shuffled hash) join -> partial agg
+                -> exchange(i) -> agg.
 * ``packed``  - rows packed into sorted segments of at most ``width`` entries,
                 ``x`` packed into dense blocks of ``width`` values; a segment meets
                 its block by a join on the block number and is reduced with a
@@ -17,8 +18,9 @@ matrix row. They differ in how the work is grouped:
 
 Scale notes. A hot row (many entries with one ``i``) is harmless: the sum is
 partially aggregated before the shuffle. A hot column only matters when ``x``
-is not broadcast: AQE's skew join splits the entries side. Segments and tiles
-never hold more than a bounded number of entries, whatever the skew.
+is not broadcast: the join is then a shuffled hash join built on the vector
+side, and AQE's skew join splits the entries side. Segments and tiles never
+hold more than a bounded number of entries, whatever the skew.
 """
 
 from __future__ import annotations
