@@ -110,3 +110,11 @@ def test_power_iteration_finds_dominant_direction(spark):
     v = _as_dict(x)
     assert abs(lam - 5.0) < 0.01
     assert abs(abs(v[0]) - 1.0) < 0.01
+
+
+def test_repeat_multiply_reports_first_and_rest(spark):
+    from tessera.operators.repeat import repeat_multiply
+
+    a = _random(spark, 21, 30, 20, 100)
+    out = repeat_multiply(a, _rvec(spark, 22, 20), runs=3, layout="packed")
+    assert len(out["runs"]) == 3 and out["first"] > 0 and out["mean_rest"] > 0
