@@ -61,8 +61,11 @@ def number_text(c: Column | str, precision: int | None = None) -> Column:
 
 
 def block_of(index: Column | str, width: int) -> Column:
-    """Block number of a 0-based index for blocks of ``width`` consecutive indices."""
-    return F.floor(_as_col(index) / F.lit(int(width))).cast("long")
+    """Block number of a 0-based index for blocks of ``width`` consecutive indices
+    (integer ``div`` for a column name: exact for every 64-bit index)."""
+    if isinstance(index, str):
+        return F.expr(f"`{index}` div {int(width)}")
+    return F.floor(index / F.lit(int(width))).cast("long")
 
 
 def keep_or_double(df, name: str) -> Column:
