@@ -140,7 +140,7 @@ FILE_ORACLE = {
                            f"SELECT g.id % {N_NATIONS} AS i, g.id // {N_NATIONS} AS j, "
                            f"ROUND(COALESCE(c.v, 0), 2) AS v FROM g LEFT JOIN c "
                            f"ON c.i = g.id % {N_NATIONS} AND c.j = g.id // {N_NATIONS}",
-    "mm_pattern_round_trip": _with("canon") + "SELECT i, j, 1.0 AS v FROM canon WHERE v <> 0",
+    "mm_pattern_round_trip": _with("canon") + "SELECT i, j, CAST(1.0 AS DOUBLE) AS v FROM canon WHERE v <> 0",
     "mm_info": _with("canon") + f"SELECT 'coordinate' AS representation, 'real' AS field, "
                                 f"'general' AS symmetry, {N_ORDERS} AS n_rows, {N_PARTS} AS n_cols, "
                                 "count(*) AS nnz FROM canon WHERE v <> 0",

@@ -150,7 +150,7 @@ ORACLE: dict[str, str] = {
                    "SUM(l_quantity) AS x FROM lineitem GROUP BY 1) "
                    "SELECT r.i AS i, ROUND(COALESCE(s.x, 0), 4) AS x FROM r LEFT JOIN s ON r.i = s.i",
     "symmetry_kind": _with("symf", "skewf")[:-1] + ", " + _NZ + _KIND,
-    "graph_vertices": _with("nt") + "SELECT id, 0.0 AS attr FROM (SELECT i AS id FROM nt UNION "
+    "graph_vertices": _with("nt") + "SELECT id, CAST(0.0 AS DOUBLE) AS attr FROM (SELECT i AS id FROM nt UNION "
                                     "SELECT j AS id FROM nt)",
     "vec_dot": "SELECT CAST(SUM(CAST(p_retailprice AS DECIMAL(15,2)) * CAST(p_retailprice AS DECIMAL(15,2))) "
                "AS DOUBLE) AS dot FROM part",

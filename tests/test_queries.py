@@ -26,6 +26,14 @@ def duck():
     return con
 
 
+def _spark_type(duck: str) -> str:
+    d = duck.upper()
+    if d.startswith("DECIMAL"):
+        return "decimal" + d[len("DECIMAL"):].lower().replace(" ", "")
+    return {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "INTEGER": "int",
+            "BOOLEAN": "boolean"}.get(d, d.lower())
+
+
 def _norm(rows):
     out = []
     for r in rows:
@@ -55,3 +63,5 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(sql)
     assert df.columns == [d[0] for d in res.description]
     assert rows == _norm(res.fetchall())
+    duck_types = [_spark_type(r[1]) for r in duck.execute(f"DESCRIBE {sql}").fetchall()]
+    assert [f.dataType.simpleString() for f in df.schema.fields] == duck_types
