@@ -177,3 +177,17 @@ def test_row_positions_across_segments(spark):
     got = sorted((r.i, r.pos, r.j, r.v) for r in rows)
     want = [(0, c, c, float(c)) for c in range(10)] + [(1, 0, 3, 1.0), (1, 1, 9, 2.0)]
     assert got == want
+
+
+def test_decimal_values_stay_exact(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(0, 0, Decimal("0.10")), (0, 1, Decimal("0.20")), (1, 1, Decimal("0.30"))],
+                               "i long, j long, v decimal(15,2)")
+    a = MatrixFrame.from_df(df, n_rows=2, n_cols=2)
+    x = VectorFrame(spark.createDataFrame([(0, Decimal("0.10")), (1, Decimal("0.20"))],
+                                          "i long, x decimal(15,2)"), 2, True)
+    for layout in ("join", "graph"):
+        y = {r.i: r.x for r in a.multiply(x, layout=layout).df.collect()}
+        assert y == {0: Decimal("0.0500"), 1: Decimal("0.0600")}, layout
+    assert a.multiply(x).df.schema["x"].dataType.typeName() == "decimal"
