@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.matrix_market import info_frame, read_entries, read_vectors
+from ..sources.matrix_market import info_frame, read_entries, read_vectors, valid_entries
 from . import spmv, structure
 
 
@@ -20,7 +20,7 @@ def check_results(spark: SparkSession, matrices: str, vectors: str, results: str
     vector and a result. ``by_folder``: each matrix / vector is a folder of parts."""
     entries, infos = read_entries(spark, matrices, by_folder=by_folder)
     sym = F.broadcast(info_frame(spark, infos).select("matrix_id", "symmetry"))  # one row per matrix
-    stored = entries.where("ok").select("matrix_id", "i", "j", "v").join(sym, on="matrix_id")
+    stored = valid_entries(entries).select("matrix_id", "i", "j", "v").join(sym, on="matrix_id")
     full = structure.expand(stored, F.col("symmetry"), by=["matrix_id"])
 
     def keyed(path: str) -> DataFrame:

@@ -264,13 +264,28 @@ def read_entries(spark: SparkSession, path: str, by_folder: bool = False,
     cols = [F.col("matrix_id"), i.alias("i"), j.alias("j"), v.alias("v")]
     if any(m.field == "complex" for m in infos):
         cols.append(im.alias("im"))
-    return t.select(*cols, ok.alias("ok")), infos
+    return t.select(*cols, ok.alias("ok"), F.col("value").alias("line")), infos
+
+
+def valid_entries(entries: DataFrame, strict: bool = True) -> DataFrame:
+    """Entries without the ``ok`` / ``line`` columns. ``strict``: a malformed line
+    fails the job when the scan reaches it (``raise_error``, no extra pass over
+    the data); otherwise malformed lines are left out, as the caller asked."""
+    keep = [c for c in entries.columns if c not in ("ok", "line")]
+    if not strict:
+        return entries.where("ok").select(*keep)
+    fail = F.raise_error(F.concat(F.lit("malformed Matrix Market line in "),
+                                  F.col("matrix_id"), F.lit(": "), F.col("line")))
+    return entries.select(*[F.when(F.col("ok"), F.col(c)).otherwise(fail).alias(c)
+                            if c in ("i", "j", "v") else F.col(c) for c in keep])
 
 
 def read_matrix(spark: SparkSession, path: str, by_folder: bool = False,
-                partitions: int | None = None) -> MatrixFrame:
+                partitions: int | None = None, strict: bool = True) -> MatrixFrame:
     """One Matrix Market matrix as a ``MatrixFrame`` with the declared shape and
-    storage symmetry (only the stored triangle is kept; products expand it)."""
+    storage symmetry (only the stored triangle is kept; products expand it).
+    A malformed line fails the job (``strict``) or is left out (``strict=False``);
+    ``check_entries`` reports all violations without failing."""
     entries, infos = read_entries(spark, path, by_folder)
     if len(infos) != 1:
         raise ValueError(f"{path}: expected one matrix, found {len(infos)}; use read_entries")
@@ -278,24 +293,35 @@ def read_matrix(spark: SparkSession, path: str, by_folder: bool = False,
     if m.field == "complex":
         raise ValueError(f"{path}: complex values are read by read_entries (v, im), "
                          "not as a real MatrixFrame")
-    e = entries.where("ok").select("i", "j", "v")
+    e = valid_entries(entries, strict).select("i", "j", "v")
     if partitions:   # hash on the cell, so a hot row or column is spread too
         e = e.repartition(int(partitions), "i", "j")
     return MatrixFrame(e, m.n_rows, m.n_cols, m.symmetry)
 
 
-def read_vector(spark: SparkSession, path: str, length: int | None = None) -> VectorFrame:
-    """Dense vector text, one number per line, line order = index (blank lines skipped)."""
+def _number(value: Column, strict: bool) -> Column:
+    x = to_double(F.trim(value))
+    if not strict:
+        return x
+    return F.when(x.isNotNull(), x).otherwise(
+        F.raise_error(F.concat(F.lit("malformed vector line: "), value)))
+
+
+def read_vector(spark: SparkSession, path: str, length: int | None = None,
+                strict: bool = True) -> VectorFrame:
+    """Dense vector text, one number per line, line order = index (blank lines skipped).
+    A line that is not a number fails the job (``strict``) or reads as null."""
     pos = positioned(_lines(spark, path, by_folder=True))
-    df = pos.select(F.col("p").alias("i"), to_double(F.trim("value")).alias("x"))
+    df = pos.select(F.col("p").alias("i"), _number(F.col("value"), strict).alias("x"))
     return VectorFrame(df, length, unique=True)
 
 
-def read_vectors(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+def read_vectors(spark: SparkSession, path: str, by_folder: bool = False,
+                 strict: bool = True) -> DataFrame:
     """Many vector files at once: ``(vector_id, i, x)``, ``vector_id`` = file (or folder) name."""
     pos = positioned(_lines(spark, path, by_folder=by_folder))
     return pos.select(_matrix_id(F.col("key")).alias("vector_id"), F.col("p").alias("i"),
-                      to_double(F.trim("value")).alias("x"))
+                      _number(F.col("value"), strict).alias("x"))
 
 
 def check_entries(entries: DataFrame, infos: list[MatrixInfo], spark: SparkSession) -> DataFrame:

@@ -241,3 +241,20 @@ def test_mixed_kinds_in_one_read(spark, tmpdir_path, small_splits):
     assert checks == {("d.mtx", "count", -1)}
     kinds = {m.matrix_id: (m.representation, m.field, m.symmetry) for m in infos}
     assert kinds["b.mtx"] == ("coordinate", "pattern", "symmetric")
+
+
+def test_malformed_line_fails_or_is_left_out_on_request(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "bad_line.mtx"),
+               "%%MatrixMarket matrix coordinate real general\n2 2 2\n1 1 3\n2 x 4\n")
+    with pytest.raises(Exception, match="malformed Matrix Market line"):
+        read_matrix(spark, p).entries.collect()
+    lenient = read_matrix(spark, p, strict=False)
+    assert [(r.i, r.j, r.v) for r in lenient.entries.collect()] == [(0, 0, 3.0)]
+
+
+def test_malformed_vector_line_fails(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "v_bad.txt"), "1.5\nabc\n2\n")
+    with pytest.raises(Exception, match="malformed vector line"):
+        read_vector(spark, p).df.collect()
+    lenient = read_vector(spark, p, strict=False)
+    assert sorted((r.i, r.x) for r in lenient.df.collect()) == [(0, 1.5), (1, None), (2, 2.0)]
