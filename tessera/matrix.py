@@ -48,7 +48,10 @@ class MatrixFrame:
     def from_df(cls, df: DataFrame, i: str = "i", j: str = "j", v: str | None = "v",
                 n_rows: int | None = None, n_cols: int | None = None,
                 symmetry: str = "general") -> "MatrixFrame":
-        """Any DataFrame with two index columns and a value column (``v=None``: pattern, 1.0)."""
+        """Any DataFrame with two index columns and a value column (``v=None``: pattern, 1.0).
+
+        Indices are cast to LONG as they are and must not be null (no per-row guard is
+        added, so that filters on ``i`` / ``j`` still reach a parquet scan)."""
         vcol = F.lit(1.0) if v is None else keep_or_double(df, v)
         entries = df.select(F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"),
                             vcol.alias("v"))
