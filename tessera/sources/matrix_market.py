@@ -61,6 +61,18 @@ def _lines(spark: SparkSession, path: str, by_folder: bool) -> DataFrame:
                       F.col("_metadata.file_block_start").alias("b"))
 
 
+def _part_no(f: Column) -> Column:
+    """Numeric part number of a ``part-NNNNN...`` file (0 otherwise): part files are
+    ordered by it, as names stop sorting numerically past 99 999 parts."""
+    digits = F.regexp_extract(f, r"/part-(\d+)[^/]*$", 1)
+    return F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
+
+
+def _file_order(path: str) -> tuple[int, str]:
+    m = re.search(r"/part-(\d+)[^/]*$", path)
+    return (int(m.group(1)) if m else 0, path)
+
+
 def _is_comment(value: Column) -> Column:
     return F.ltrim(value).startswith("%")
 
@@ -74,7 +86,8 @@ def positioned(lines: DataFrame) -> DataFrame:
     kept = (lines.where(~_is_comment(F.col("value")) & ~_is_blank(F.col("value")))
             .withColumn("m", F.monotonically_increasing_id()))
     splits = kept.groupBy("key", "f", "b").agg(F.min("m").alias("m0"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("key").orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.partitionBy("key").orderBy(_part_no(F.col("f")), "f", "b")
+              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = splits.select("f", "b", "m0",
                             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     # one row per file split, about 100 bytes (the path) per 128 MB of input: broadcast
@@ -122,7 +135,7 @@ def _head_info(spark: SparkSession, path: str, by_folder: bool) -> list[MatrixIn
     first split of the file, so only the start of the file is read instead of all
     of it. ``None`` (use the full aggregation) for several matrices, or when the
     header is not within the first ``HEAD_LINES`` lines of the first split."""
-    files = sorted(spark.read.text(path).inputFiles())
+    files = sorted(spark.read.text(path).inputFiles(), key=_file_order)
     if not files:
         return None
     keys = {f.rsplit("/", 1)[0] for f in files} if by_folder else set(files)
@@ -167,23 +180,24 @@ def read_info(spark: SparkSession, path: str, by_folder: bool = False,
     kept = ~is_comment & ~_is_blank(v)
     m_banner = F.when(is_banner, m)
     m_kept = F.when(kept, m)
-    per_split = lines.groupBy("key", "f", "b").agg(
+    lines = lines.withColumn("pn", _part_no(F.col("f")))
+    per_split = lines.groupBy("key", "pn", "f", "b").agg(
         F.min(m).alias("m_first"),
         F.min(m_banner).alias("m_banner"), F.min_by(v, m_banner).alias("banner"),
         F.min(m_kept).alias("m_size"), F.min_by(v, m_kept).alias("size"),
         F.count(m_kept).alias("kept"))
     has = lambda c: F.col(c).isNotNull()
     rows = (per_split.groupBy("key").agg(
-        F.min(F.struct("f", "b", "m_first")).alias("first"),
-        F.min(F.when(has("m_banner"), F.struct("f", "b", F.col("m_banner").alias("m_first"),
+        F.min(F.struct("pn", "f", "b", "m_first")).alias("first"),
+        F.min(F.when(has("m_banner"), F.struct("pn", "f", "b", F.col("m_banner").alias("m_first"),
                                                "banner"))).alias("banner"),
-        F.min(F.when(has("m_size"), F.struct("f", "b", "m_size", "size"))).alias("size"),
+        F.min(F.when(has("m_size"), F.struct("pn", "f", "b", "m_size", "size"))).alias("size"),
         F.sum("kept").alias("kept_lines"))
         .collect())
     out = []
     for r in rows:
         first, banner = r["first"], r["banner"]
-        if banner is None or tuple(first) != tuple(banner)[:3]:
+        if banner is None or tuple(first) != tuple(banner)[:4]:
             raise ValueError(f"{r['key']}: first line is not a %%MatrixMarket banner")
         size = r["size"]["size"] if r["size"] is not None else None
         out.append(_parse_header(r["key"], banner["banner"], size, int(r["kept_lines"]) - 1))

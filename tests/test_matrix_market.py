@@ -258,3 +258,18 @@ def test_malformed_vector_line_fails(spark, tmpdir_path):
         read_vector(spark, p).df.collect()
     lenient = read_vector(spark, p, strict=False)
     assert sorted((r.i, r.x) for r in lenient.df.collect()) == [(0, 1.5), (1, None), (2, 2.0)]
+
+
+def test_part_files_ordered_by_number_not_name(spark, tmpdir_path):
+    """part-100000 follows part-99999: names stop sorting numerically past 5 digits."""
+    folder = os.path.join(tmpdir_path, "parts")
+    os.makedirs(folder)
+    _write(os.path.join(folder, "part-99999-x.txt"),
+           "%%MatrixMarket matrix array real general\n% h\n2 2\n1\n2\n")
+    _write(os.path.join(folder, "part-100000-x.txt"), "3\n4\n")
+    for full in (False, True):
+        (info,) = read_info(spark, folder, by_folder=True, full=full)
+        assert (info.n_rows, info.n_cols) == (2, 2)
+    back = read_matrix(spark, folder, by_folder=True)
+    cells = {(r.i, r.j): r.v for r in back.entries.collect()}
+    assert cells == {(0, 0): 1.0, (1, 0): 2.0, (0, 1): 3.0, (1, 1): 4.0}
