@@ -43,7 +43,7 @@ def expand(entries: DataFrame, symmetry: str | Column, by: Sequence[str] = ()) -
     return entries.select(*by, F.inline(arr))
 
 
-def multiply(entries: DataFrame, vec: DataFrame, *, broadcast: bool = False,
+def multiply(entries: DataFrame, vec: DataFrame, *, broadcast: bool | None = None,
              by: Sequence[str] = ()) -> DataFrame:
     """``y = A x`` for complex ``A`` and ``x`` (``xi`` column optional, 0 when absent);
     returns ``(by..., i, x, xi)``. Same plan as the real join layout."""

@@ -44,7 +44,7 @@ def _zero_like(df: DataFrame, column: str):
 
 
 # ---------------------------------------------------------------- join layout
-def multiply_join(entries: DataFrame, vec: DataFrame, *, broadcast: bool = False,
+def multiply_join(entries: DataFrame, vec: DataFrame, *, broadcast: bool | None = None,
                   by: Sequence[str] = ()) -> DataFrame:
     xs = vec.select(*by, F.col("i").alias("j"), F.col("x"))
     joined = entries.join(hint_broadcast(xs, broadcast), on=[*by, "j"], how="left")
@@ -92,7 +92,7 @@ def vector_blocks(dense_vec: DataFrame, width: int = DEFAULT_WIDTH,
 
 
 def multiply_packed(packed: DataFrame, blocks: DataFrame, width: int = DEFAULT_WIDTH, *,
-                    broadcast: bool = False, by: Sequence[str] = ()) -> DataFrame:
+                    broadcast: bool | None = None, by: Sequence[str] = ()) -> DataFrame:
     joined = packed.join(hint_broadcast(blocks, broadcast), on=[*by, "s"], how="left")
     base = F.col("s") * F.lit(int(width))
 
@@ -180,7 +180,7 @@ def graph_vertices(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ids.distinct().withColumn("attr", F.lit(0.0))
 
 
-def multiply_graph(edges: DataFrame, vec: DataFrame, *, broadcast: bool = False,
+def multiply_graph(edges: DataFrame, vec: DataFrame, *, broadcast: bool | None = None,
                    by: Sequence[str] = ()) -> DataFrame:
     """Aggregate messages ``attr * x(dst)`` at their source vertex."""
     vals = vec.select(*by, F.col("i").alias("dst"), F.col("x").alias("xd"))

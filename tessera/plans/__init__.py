@@ -26,15 +26,18 @@ def may_broadcast(spark: SparkSession, row_bound: int | None) -> bool:
     return row_bound is not None and 0 <= row_bound <= max_broadcast_rows(spark)
 
 
-def hint_broadcast(df: DataFrame, yes: bool) -> DataFrame:
+def hint_broadcast(df: DataFrame, yes: bool | None) -> DataFrame:
     """Hint for the small (vector) side of a product join.
 
-    Broadcast when its bound allows; otherwise a shuffled hash join that builds on
-    this side: the entries side is hashed and streamed, never sorted (a sort-merge
-    join would sort every entry by column). Each build partition holds about
-    ``rows / shuffle partitions`` rows, and AQE still splits skewed partitions of
-    the entries side (``ShuffledHashJoin(skew=true)``).
+    ``True``: broadcast (its bound allows). ``False``: a shuffled hash join that
+    builds on this side: the entries side is hashed and streamed, never sorted (a
+    sort-merge join would sort every entry by column); each build partition holds
+    about ``rows / shuffle partitions`` rows, and AQE still splits skewed partitions
+    of the entries side (``ShuffledHashJoin(skew=true)``). ``None``: no hint, for
+    sides of unknown size; Spark and AQE choose from (measured) sizes.
     """
+    if yes is None:
+        return df
     return F.broadcast(df) if yes else df.hint("shuffle_hash")
 
 
