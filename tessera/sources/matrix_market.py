@@ -212,6 +212,13 @@ def info_frame(spark: SparkSession, infos: list[MatrixInfo]) -> DataFrame:
         "n_rows long, n_cols long, nnz long, data_lines long")
 
 
+def read_info_frame(spark: SparkSession, path: str, by_folder: bool = False,
+                    full: bool = False) -> DataFrame:
+    """``read_info`` as a DataFrame, one row per matrix (``matrix_id, representation,
+    field, symmetry, n_rows, n_cols, nnz, data_lines``)."""
+    return info_frame(spark, read_info(spark, path, by_folder, full)).drop("key")
+
+
 def _with_array_position(t: DataFrame) -> DataFrame:
     """Column-major position ``k`` -> ``(ai, aj)``; triangle kinds list each column from
     the diagonal (symmetric) or below it (skew-symmetric) down. One projection per

@@ -273,3 +273,15 @@ def test_part_files_ordered_by_number_not_name(spark, tmpdir_path):
     back = read_matrix(spark, folder, by_folder=True)
     cells = {(r.i, r.j): r.v for r in back.entries.collect()}
     assert cells == {(0, 0): 1.0, (1, 0): 2.0, (0, 1): 3.0, (1, 1): 4.0}
+
+
+@pytest.mark.skipif(not HAVE_REF, reason="reference matrices not present")
+def test_info_frame_over_a_glob(spark):
+    from tessera.sources.matrix_market import read_info_frame
+
+    df = read_info_frame(spark, f"{REF}/matrices/*.mtx", full=True)
+    rows = {r.matrix_id: r for r in df.collect()}
+    assert set(rows) == set(EXPECTED)
+    for name, (r, c, stored, sym) in EXPECTED.items():
+        assert (rows[name].n_rows, rows[name].n_cols, rows[name].nnz, rows[name].symmetry) == (r, c, stored, sym)
+        assert rows[name].data_lines == stored
