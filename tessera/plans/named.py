@@ -14,7 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import complex as cx
 from ..operators import structure as st
+from ..operators.spmv import row_positions
 from ..operators.power import power_iteration
 from ..sources.tables import DriverTables
 from ..vector import VectorFrame
@@ -141,8 +143,6 @@ def active_size(spark, sf):
 
 
 def indexed_rows(spark, sf):
-    from ..operators.spmv import row_positions
-
     return row_positions(DriverTables(spark, sf).li().indexed_rows().drop("size"))
 
 
@@ -234,24 +234,17 @@ def power_step_3(spark, sf):
 
 # ------------------------------------------------------------------ complex
 def complex_spmv(spark, sf):
-    from ..operators import complex as cx
-
     t = DriverTables(spark, sf)
-    y = cx.multiply(t.li_complex(), t.px_complex())
-    return _r(_r(y, 4, "x"), 4, "xi")
+    return _r(cx.multiply(t.li_complex(), t.px_complex()), 4, "x", "xi")
 
 
 def hermitian_spmv(spark, sf):
-    from ..operators import complex as cx
-
     t = DriverTables(spark, sf)
     full = cx.expand(t.hermitian_trade(), "hermitian")
-    return _r(_r(cx.multiply(full, t.customers_per_nation().df), 2, "x"), 2, "xi")
+    return _r(cx.multiply(full, t.customers_per_nation().df), 2, "x", "xi")
 
 
 def complex_kind(spark, sf):
-    from ..operators import complex as cx
-
     t = DriverTables(spark, sf)
     full = cx.expand(t.hermitian_trade(), "hermitian")
     return cx.describe(full, True)
