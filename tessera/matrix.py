@@ -18,6 +18,7 @@ from .functions import keep_or_double
 from .operators import spmv as _spmv
 from .operators import structure as _st
 from .plans import may_broadcast
+from .session import default_parallelism
 from .vector import VectorFrame
 
 LAYOUTS = ("join", "packed", "blocked", "graph")
@@ -230,14 +231,26 @@ class MatrixFrame:
         return _spmv.pack_rows(canon, width) if layout == "packed" else canon
 
     def prepare(self, layout: str = "join", trans: bool = False,
-                width: int = _spmv.DEFAULT_WIDTH) -> "MatrixFrame":
+                width: int = _spmv.DEFAULT_WIDTH,
+                entries_per_partition: int = 4_000_000) -> "MatrixFrame":
         """Build and cache the layout's form once for repeated products (the
-        reference keeps its row and column forms persisted the same way)."""
+        reference keeps its row and column forms persisted the same way).
+
+        The join and graph forms are range-partitioned on (row, column) first: each
+        task then covers a narrow row range, so the partial sums it sends through the
+        product's shuffle number about one per row instead of one per entry, and a
+        hot row is still split across tasks by column."""
         if layout not in LAYOUTS:
             raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
         key = (layout, trans, width if layout in ("packed", "blocked") else 0)
         self._prepared.pop(key, None)
-        form = self._layout_form(layout, trans, width).cache()
+        form = self._layout_form(layout, trans, width)
+        if layout in ("join", "graph"):
+            rows, cols = ("i", "j") if layout == "join" else ("src", "dst")
+            n = max(1, -(-self.stored_count() // int(entries_per_partition)),
+                    default_parallelism(self.spark))
+            form = form.repartitionByRange(n, rows, cols)
+        form = form.cache()
         form.count()
         self._prepared[key] = form
         return self

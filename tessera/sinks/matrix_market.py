@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import number_text
 from ..matrix import MatrixFrame
 from ..operators import structure as st
+from ..session import default_parallelism
 from ..vector import VectorFrame
 
 
@@ -23,11 +24,6 @@ LINES_PER_FILE = 4_000_000   # about 100 MB of text per part file
 MIN_LINES_PER_FILE = 50_000  # small outputs: no more files than this allows
 
 
-def _parallelism(spark) -> int:
-    try:
-        return int(spark.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: str,
@@ -43,7 +39,7 @@ def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: st
     elif rows is not None:
         rows = int(rows)
         n = max(1, -(-rows // LINES_PER_FILE),
-                min(_parallelism(lines.sparkSession), rows // MIN_LINES_PER_FILE))
+                min(default_parallelism(lines.sparkSession), rows // MIN_LINES_PER_FILE))
     else:
         n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["g", "a", "b"]

@@ -1,8 +1,9 @@
 """Parquet storage of matrices and vectors (the fast format for repeated use).
 
-Entries are range-partitioned on the row index and sorted by ``(i, j)`` inside
-each file, so every file and row group covers a narrow row range: filters on
-``i`` (row blocks, triangles) prune row groups by their min/max statistics.
+Entries are range-partitioned on ``(i, j)`` and sorted inside each file, so every
+file and row group covers a narrow row range (a hot row still spreads over
+several files): filters on ``i`` (row blocks, triangles) prune row groups by
+their min/max statistics, and a product's partial sums per task stay few.
 The shape, symmetry and length are kept in a one-row ``_meta`` table next to
 the data (read back by ``tessera.sources.parquet``).
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 
 from ..matrix import MatrixFrame
+from ..session import default_parallelism
 from ..vector import VectorFrame
 
 ROWS_PER_FILE = 8_000_000   # about 100 MB of (long, long, double) parquet
@@ -19,10 +21,7 @@ META_SCHEMA = "kind string, n_rows long, n_cols long, symmetry string, is_unique
 
 
 def _files(spark, rows: int) -> int:
-    try:
-        cores = int(spark.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - Spark Connect
-        cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = default_parallelism(spark)
     return max(1, -(-rows // ROWS_PER_FILE), min(cores, rows // 100_000))
 
 
@@ -38,7 +37,7 @@ def write_matrix_parquet(m: MatrixFrame, path: str, mode: str = "errorifexists",
     entries = m.entries.select("i", "j", "v").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = files or _files(spark, entries.count())
-        (entries.repartitionByRange(n, "i").sortWithinPartitions("i", "j")
+        (entries.repartitionByRange(n, "i", "j").sortWithinPartitions("i", "j")
          .write.mode(mode).parquet(f"{path}/entries"))
     finally:
         entries.unpersist()
