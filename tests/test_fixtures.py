@@ -191,3 +191,12 @@ def test_decimal_values_stay_exact(spark):
         y = {r.i: r.x for r in a.multiply(x, layout=layout).df.collect()}
         assert y == {0: Decimal("0.0500"), 1: Decimal("0.0600")}, layout
     assert a.multiply(x).df.schema["x"].dataType.typeName() == "decimal"
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_nan_propagates(spark, layout):
+    import math
+
+    a = mat(spark, [(0, 0, float("nan")), (0, 1, 1.0), (1, 1, 2.0)], 2, 2)
+    y = {r.i: r.x for r in a.multiply(vec(spark, [1, 1]), layout=layout).df.collect()}
+    assert math.isnan(y[0]) and y[1] == 2.0
