@@ -43,6 +43,7 @@ class MatrixFrame:
         self.symmetry = _st.check_symmetry(symmetry)
         self.canonical_entries = canonical
         self._prepared: dict[tuple, DataFrame] = {}
+        self._prepared_rows: dict[tuple, int] = {}
 
     # ------------------------------------------------------------ building
     @classmethod
@@ -213,7 +214,11 @@ class MatrixFrame:
             bc = may_broadcast(spark, n_in) if broadcast is None else broadcast
             y = _spmv.multiply_packed(form, blocks, width, broadcast=bc)
         else:
-            y = _spmv.multiply_blocked(form, x.to_dense().df, width=width, canonical=True)
+            rows = self._prepared_rows.get(("blocked", trans, width))
+            tile = _spmv.DEFAULT_TILE_ENTRIES if rows is None else int(min(
+                _spmv.DEFAULT_TILE_ENTRIES, max(1 << 16, rows // (2 * default_parallelism(spark)))))
+            y = _spmv.multiply_blocked(form, x.to_dense().df, width=width, tile_entries=tile,
+                                       canonical=True)
         return VectorFrame(y, n_out, unique=True)
 
     def _layout_form(self, layout: str, trans: bool, width: int) -> DataFrame:
@@ -251,7 +256,7 @@ class MatrixFrame:
                     default_parallelism(self.spark))
             form = form.repartitionByRange(n, rows, cols)
         form = form.cache()
-        form.count()
+        self._prepared_rows[key] = form.count()
         self._prepared[key] = form
         return self
 
@@ -259,6 +264,7 @@ class MatrixFrame:
         for form in self._prepared.values():
             form.unpersist()
         self._prepared.clear()
+        self._prepared_rows.clear()
         return self
 
     def __matmul__(self, x: VectorFrame) -> VectorFrame:
