@@ -68,6 +68,7 @@ def main() -> None:
 
     cases = {
         "spmv_join": lambda: _force(li.multiply(px).df),
+        "spmv_join_shuffled": lambda: _force(li.multiply(px, broadcast=False).df),
         "spmv_trans": lambda: _force(li.multiply(ox, trans=True).df),
         "spmv_packed": lambda: _force(li.multiply(px, layout="packed").df),
         "spmv_blocked": lambda: _force(li.multiply(px, layout="blocked").df),
