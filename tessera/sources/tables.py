@@ -74,17 +74,26 @@ class DriverTables:
         df = li.select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), v.alias("v"))
         return MatrixFrame.from_df(df, n_rows=lambda: self.n_orders, n_cols=lambda: self.n_parts)
 
-    def nation_trade_entries(self) -> DataFrame:
-        li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    def _trade(self, *values: str) -> DataFrame:
+        """Lineitem rows with the customer's nation ``a`` and the supplier's nation ``b``.
+
+        Join order for scale: orders x customer first (orders-sized), lineitem x
+        supplier, then one join on the order key, so the lineitem-sized data is
+        shuffled at most twice (three times in the order lineitem-orders-customer-
+        supplier), and a dimension small enough is broadcast by Spark."""
+        li = self.table("lineitem").select("l_orderkey", "l_suppkey", *values)
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         cust = self.table("customer").select("c_custkey", "c_nationkey")
         supp = self.table("supplier").select("s_suppkey", "s_nationkey")
-        return (li.join(orders, li.l_orderkey == orders.o_orderkey)
-                .join(cust, F.col("o_custkey") == cust.c_custkey)
-                .join(supp, F.col("l_suppkey") == supp.s_suppkey)
-                .select(F.col("c_nationkey").cast("long").alias("i"),
-                        F.col("s_nationkey").cast("long").alias("j"),
-                        F.col("l_quantity").alias("v")))
+        oc = (orders.join(cust, orders.o_custkey == cust.c_custkey)
+              .select("o_orderkey", F.col("c_nationkey").cast("long").alias("a")))
+        ls = (li.join(supp, li.l_suppkey == supp.s_suppkey)
+              .select("l_orderkey", F.col("s_nationkey").cast("long").alias("b"), *values))
+        return ls.join(oc, ls.l_orderkey == oc.o_orderkey).select("a", "b", *values)
+
+    def nation_trade_entries(self) -> DataFrame:
+        t = self._trade("l_quantity")
+        return t.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("l_quantity").alias("v"))
 
     def nt(self) -> MatrixFrame:
         return MatrixFrame(self.nation_trade_entries(), lambda: self.n_nations, lambda: self.n_nations)
@@ -123,16 +132,8 @@ class DriverTables:
     def hermitian_trade(self) -> DataFrame:
         """Nation trade folded onto the lower triangle with an imaginary part
         (discount in percent, 0 on the diagonal): stored ``hermitian`` entries."""
-        li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount")
-        orders = self.table("orders").select("o_orderkey", "o_custkey")
-        cust = self.table("customer").select("c_custkey", "c_nationkey")
-        supp = self.table("supplier").select("s_suppkey", "s_nationkey")
-        e = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-             .join(cust, F.col("o_custkey") == cust.c_custkey)
-             .join(supp, F.col("l_suppkey") == supp.s_suppkey)
-             .select(F.col("c_nationkey").cast("long").alias("a"),
-                     F.col("s_nationkey").cast("long").alias("b"),
-                     F.col("l_quantity").alias("v"), F.round(F.col("l_discount") * 100).alias("d")))
+        e = self._trade("l_quantity", "l_discount").select(
+            "a", "b", F.col("l_quantity").alias("v"), F.round(F.col("l_discount") * 100).alias("d"))
         return e.select(F.greatest("a", "b").alias("i"), F.least("a", "b").alias("j"), "v",
                         F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.col("d")).alias("im"))
 
