@@ -285,3 +285,15 @@ def test_info_frame_over_a_glob(spark):
     for name, (r, c, stored, sym) in EXPECTED.items():
         assert (rows[name].n_rows, rows[name].n_cols, rows[name].nnz, rows[name].symmetry) == (r, c, stored, sym)
         assert rows[name].data_lines == stored
+
+
+def test_command_line_multiply(spark, tmpdir_path, capsys):
+    import json
+
+    from tessera.__main__ import main
+
+    p = _write(os.path.join(tmpdir_path, "cli.mtx"),
+               "%%MatrixMarket matrix coordinate real symmetric\n3 3 2\n2 1 2\n3 3 5\n")
+    assert main(["multiply", p, "--runs", "2", "--layout", "graph"]) == 0
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["shape"] == [3, 3] and out["symmetry"] == "symmetric" and out["runs"] == 2
