@@ -22,6 +22,17 @@ from .session import default_parallelism
 from .vector import VectorFrame
 
 LAYOUTS = ("join", "packed", "blocked", "graph")
+# the reference's layout names: coordinate entries and compressed-column blocks
+LAYOUT_ALIASES = {"coo": "join", "csc": "blocked"}
+
+
+def layout_name(layout: str) -> str:
+    """Canonical layout name; ``COO`` / ``CSC`` accepted, anything else unknown fails."""
+    name = LAYOUT_ALIASES.get(layout.lower(), layout.lower())
+    if name not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS} "
+                         f"or {tuple(k.upper() for k in LAYOUT_ALIASES)}")
+    return name
 
 DimLike = int | None | Callable[[], int]
 
@@ -192,8 +203,7 @@ class MatrixFrame:
         vector side, whose skewed entry partitions AQE splits. ``prepare(layout)``
         first keeps the layout's form cached for repeated products.
         """
-        if layout not in LAYOUTS:
-            raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
+        layout = layout_name(layout)
         n_in = self.n_rows if trans else self.n_cols
         n_out = (lambda: self.n_cols) if trans else (lambda: self.n_rows)
         if check and x.length != n_in:
@@ -245,8 +255,7 @@ class MatrixFrame:
         task then covers a narrow row range, so the partial sums it sends through the
         product's shuffle number about one per row instead of one per entry, and a
         hot row is still split across tasks by column."""
-        if layout not in LAYOUTS:
-            raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
+        layout = layout_name(layout)
         key = (layout, trans, width if layout in ("packed", "blocked") else 0)
         self._prepared.pop(key, None)
         form = self._layout_form(layout, trans, width)

@@ -200,3 +200,11 @@ def test_nan_propagates(spark, layout):
     a = mat(spark, [(0, 0, float("nan")), (0, 1, 1.0), (1, 1, 2.0)], 2, 2)
     y = {r.i: r.x for r in a.multiply(vec(spark, [1, 1]), layout=layout).df.collect()}
     assert math.isnan(y[0]) and y[1] == 2.0
+
+
+def test_reference_layout_names(spark):
+    a = mat(spark, [(0, 0, 1), (0, 2, 2), (2, 1, 3)], 4, 3)
+    for name in ("COO", "csc", "Join"):
+        assert dense_values(a.multiply(vec(spark, [1, 2, 3]), layout=name)) == [7, 0, 6, 0]
+    with pytest.raises(ValueError, match="unknown layout"):
+        a.multiply(vec(spark, [1, 2, 3]), layout="CSR")
