@@ -19,6 +19,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from . import LAYOUTS, VectorFrame, read_matrix, read_matrix_parquet, repeat_multiply
+from .matrix import layout_name
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,7 +28,8 @@ def main(argv: list[str] | None = None) -> int:
     mul = sub.add_parser("multiply", help="time repeated products A x (or A' x)")
     mul.add_argument("path")
     mul.add_argument("--runs", type=int, default=20)
-    mul.add_argument("--layout", choices=LAYOUTS, default="join")
+    mul.add_argument("--layout", type=layout_name, default="join",
+                     help=f"one of {LAYOUTS}, or COO / CSC")
     mul.add_argument("--trans", action="store_true")
     mul.add_argument("--partitions", type=int, default=None)
     mul.add_argument("--seed", type=int, default=0)
