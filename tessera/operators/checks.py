@@ -15,7 +15,7 @@ from . import spmv, structure
 
 
 def check_results(spark: SparkSession, matrices: str, vectors: str, results: str,
-                  suffix: str = "_rd.txt", by_folder: bool = False) -> DataFrame:
+                  suffix: str = "_rd.txt", by_folder: bool | None = None) -> DataFrame:
     """``(matrix_id, max_abs, norm2)`` of ``A v - r`` for every matrix that has both a
     vector and a result. ``by_folder``: each matrix / vector is a folder of parts."""
     entries, infos = read_entries(spark, matrices, by_folder=by_folder)

@@ -53,6 +53,15 @@ class MatrixInfo:
     data_lines: int | None   # kept lines after the size line (None: not counted)
 
 
+def resolve_by_folder(spark: SparkSession, path: str, by_folder: bool | None) -> bool:
+    """``None``: a folder of Spark ``part-*`` files is one matrix (or vector) per
+    folder, as the writers of this package produce; plain files are one each."""
+    if by_folder is not None:
+        return by_folder
+    files = spark.read.text(path).inputFiles()
+    return bool(files) and all(f.rsplit("/", 1)[-1].startswith("part-") for f in files)
+
+
 def _lines(spark: SparkSession, path: str, by_folder: bool) -> DataFrame:
     raw = spark.read.text(path)
     f = F.col("_metadata.file_path")
@@ -158,7 +167,7 @@ def _head_info(spark: SparkSession, path: str, by_folder: bool) -> list[MatrixIn
     return None
 
 
-def read_info(spark: SparkSession, path: str, by_folder: bool = False,
+def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
               full: bool = False) -> list[MatrixInfo]:
     """Header facts of every matrix under ``path`` (a file, folder or glob), one
     row per matrix to the driver. Banner words are matched case-insensitively.
@@ -168,6 +177,7 @@ def read_info(spark: SparkSession, path: str, by_folder: bool = False,
     aggregates all lines: per split on long counters only (first line, first banner
     line, first kept line, kept count), then per matrix over the split rows.
     """
+    by_folder = resolve_by_folder(spark, path, by_folder)
     if not full:
         head = _head_info(spark, path, by_folder)
         if head is not None:
@@ -212,7 +222,7 @@ def info_frame(spark: SparkSession, infos: list[MatrixInfo]) -> DataFrame:
         "n_rows long, n_cols long, nnz long, data_lines long")
 
 
-def read_info_frame(spark: SparkSession, path: str, by_folder: bool = False,
+def read_info_frame(spark: SparkSession, path: str, by_folder: bool | None = None,
                     full: bool = False) -> DataFrame:
     """``read_info`` as a DataFrame, one row per matrix (``matrix_id, representation,
     field, symmetry, n_rows, n_cols, nnz, data_lines``)."""
@@ -245,7 +255,7 @@ def _with_array_position(t: DataFrame) -> DataFrame:
             .drop("_a", "_j"))
 
 
-def read_entries(spark: SparkSession, path: str, by_folder: bool = False,
+def read_entries(spark: SparkSession, path: str, by_folder: bool | None = None,
                  infos: list[MatrixInfo] | None = None) -> tuple[DataFrame, list[MatrixInfo]]:
     """Stored entries of every matrix under ``path`` as ``(matrix_id, i, j, v[, im], ok)``.
 
@@ -253,6 +263,7 @@ def read_entries(spark: SparkSession, path: str, by_folder: bool = False,
     ``im``; ``array`` files give their values at column-major positions. ``ok`` is
     false for a malformed line (kept, so that the checker can report it).
     """
+    by_folder = resolve_by_folder(spark, path, by_folder)
     infos = infos if infos is not None else read_info(spark, path, by_folder)
     info = F.broadcast(info_frame(spark, infos))  # one row per matrix
     pos = positioned(_lines(spark, path, by_folder)).where(F.col("p") >= 1)
@@ -301,7 +312,7 @@ def valid_entries(entries: DataFrame, strict: bool = True) -> DataFrame:
                             if c in ("i", "j", "v") else F.col(c) for c in keep])
 
 
-def read_matrix(spark: SparkSession, path: str, by_folder: bool = False,
+def read_matrix(spark: SparkSession, path: str, by_folder: bool | None = None,
                 partitions: int | None = None, strict: bool = True) -> MatrixFrame:
     """One Matrix Market matrix as a ``MatrixFrame`` with the declared shape and
     storage symmetry (only the stored triangle is kept; products expand it).
@@ -337,9 +348,10 @@ def read_vector(spark: SparkSession, path: str, length: int | None = None,
     return VectorFrame(df, length, unique=True)
 
 
-def read_vectors(spark: SparkSession, path: str, by_folder: bool = False,
+def read_vectors(spark: SparkSession, path: str, by_folder: bool | None = None,
                  strict: bool = True) -> DataFrame:
     """Many vector files at once: ``(vector_id, i, x)``, ``vector_id`` = file (or folder) name."""
+    by_folder = resolve_by_folder(spark, path, by_folder)
     pos = positioned(_lines(spark, path, by_folder=by_folder))
     return pos.select(_matrix_id(F.col("key")).alias("vector_id"), F.col("p").alias("i"),
                       _number(F.col("value"), strict).alias("x"))

@@ -297,3 +297,14 @@ def test_command_line_multiply(spark, tmpdir_path, capsys):
     assert main(["multiply", p, "--runs", "2", "--layout", "graph"]) == 0
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["shape"] == [3, 3] and out["symmetry"] == "symmetric" and out["runs"] == 2
+
+
+def test_folder_of_parts_detected(spark, tmpdir_path):
+    a = mat(spark, [(0, 1, 3.0), (2, 0, -1.0), (1, 1, 2.0)], 3, 2)
+    path = os.path.join(tmpdir_path, "auto.mtx")
+    write_matrix_market(a, path, partitions=3)
+    back = read_matrix(spark, path)           # no by_folder: parts detected
+    assert back.shape == (3, 2)
+    assert {(r.i, r.j, r.v) for r in back.entries.collect()} == {(0, 1, 3.0), (2, 0, -1.0), (1, 1, 2.0)}
+    (info,) = read_info(spark, path)
+    assert info.matrix_id == "auto.mtx"
