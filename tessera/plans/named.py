@@ -98,6 +98,19 @@ def _layout(layout: str, kind: str) -> Query:
     return q
 
 
+def spmv_hot_row(spark, sf):
+    """A quarter of the entries in row 0: summed map-side before the shuffle."""
+    t = DriverTables(spark, sf)
+    return _vec(t.li_hot("row").multiply(t.px(exact=True)), 4)
+
+
+def spmv_hot_column_shuffled(spark, sf):
+    """A quarter of the entries in column 0, vector not broadcast: shuffled hash join
+    built on the vector side, skewed partitions split by AQE."""
+    t = DriverTables(spark, sf)
+    return _vec(t.li_hot("column").multiply(t.px(exact=True), broadcast=False), 4)
+
+
 # ----------------------------------------------------------------- structure
 def transpose(spark, sf):
     return DriverTables(spark, sf).li().transpose().entries
@@ -260,6 +273,8 @@ QUERIES: dict[str, Query] = {
     "spmv_sym_trans": spmv_sym_trans,
     "spmv_sym_nodiag": spmv_sym_nodiag,
     "spmv_skew": spmv_skew,
+    "spmv_hot_row": spmv_hot_row,
+    "spmv_hot_column_shuffled": spmv_hot_column_shuffled,
     **{f"spmv_{lay}" + ("" if k == "plain" else f"_{k}"): _layout(lay, k)
        for lay in ("packed", "blocked", "graph") for k in ("plain", "trans", "sym")},
     "transpose": transpose,

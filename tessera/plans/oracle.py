@@ -120,6 +120,15 @@ ORACLE: dict[str, str] = {
     "spmv_sym_trans": spmv_sql("symf", "cpn", 2, trans=True),
     "spmv_sym_nodiag": spmv_sql("nodiag", "cpn", 2),
     "spmv_skew": spmv_sql("skewf", "cpn", 2),
+    "spmv_hot_row": "WITH e AS (SELECT CAST(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_orderkey END AS BIGINT) AS i, "
+                    "CAST(l_partkey AS BIGINT) AS j, l_quantity AS v FROM lineitem), x AS (" + CTE["px"] + ") "
+                    "SELECT e.i AS i, ROUND(CAST(SUM(CAST(e.v AS DECIMAL(15,2)) * CAST(COALESCE(x.x, 0) AS "
+                    "DECIMAL(15,2))) AS DOUBLE), 4) AS x FROM e LEFT JOIN x ON e.j = x.i GROUP BY e.i",
+    "spmv_hot_column_shuffled": "WITH e AS (SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(CASE WHEN l_linenumber = 1 "
+                                "THEN 0 ELSE l_partkey END AS BIGINT) AS j, l_quantity AS v FROM lineitem), "
+                                "x AS (" + CTE["px"] + ") SELECT e.i AS i, ROUND(CAST(SUM(CAST(e.v AS DECIMAL(15,2)) * "
+                                "CAST(COALESCE(x.x, 0) AS DECIMAL(15,2))) AS DOUBLE), 4) AS x FROM e LEFT JOIN x "
+                                "ON e.j = x.i GROUP BY e.i",
     "spmv_packed": spmv_sql("li", "px", 4),
     "spmv_packed_trans": spmv_sql("li", "ox", 4, trans=True),
     "spmv_packed_sym": spmv_sql("symf", "cpn", 2),

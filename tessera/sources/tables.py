@@ -91,6 +91,18 @@ class DriverTables:
               .select("l_orderkey", F.col("s_nationkey").cast("long").alias("b"), *values))
         return ls.join(oc, ls.l_orderkey == oc.o_orderkey).select("a", "b", *values)
 
+    def li_hot(self, axis: str) -> MatrixFrame:
+        """LI with skew from the data itself: every order's line 1 moved to row 0
+        (``axis="row"``) or to column 0 (``axis="column"``), about a quarter of all
+        entries on one key; no row is dropped. Exact DECIMAL values."""
+        li = self.table("lineitem")
+        first = F.col("l_linenumber") == 1
+        i = F.when(first, F.lit(0)).otherwise(F.col("l_orderkey")) if axis == "row" else F.col("l_orderkey")
+        j = F.when(first, F.lit(0)).otherwise(F.col("l_partkey")) if axis == "column" else F.col("l_partkey")
+        df = li.select(i.cast("long").alias("i"), j.cast("long").alias("j"),
+                       F.col("l_quantity").cast(EXACT).alias("v"))
+        return MatrixFrame(df, lambda: self.n_orders, lambda: self.n_parts)
+
     def nation_trade_entries(self) -> DataFrame:
         t = self._trade("l_quantity")
         return t.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("l_quantity").alias("v"))
