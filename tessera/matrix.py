@@ -269,6 +269,11 @@ class MatrixFrame:
         self._prepared[key] = form
         return self
 
+    def is_prepared(self, layout: str = "join", trans: bool = False,
+                    width: int = _spmv.DEFAULT_WIDTH) -> bool:
+        layout = layout_name(layout)
+        return (layout, trans, width if layout in ("packed", "blocked") else 0) in self._prepared
+
     def unprepare(self) -> "MatrixFrame":
         for form in self._prepared.values():
             form.unpersist()

@@ -18,10 +18,27 @@ from ..vector import VectorFrame
 
 
 def power_iteration(a: MatrixFrame, x0: VectorFrame, steps: int, layout: str = "join",
-                    checkpoint_every: int | None = 5) -> tuple[VectorFrame, float]:
-    """``steps`` rounds of ``x <- A x / ||A x||``; returns the vector and the last norm."""
+                    checkpoint_every: int | None = 5,
+                    prepare: bool = True) -> tuple[VectorFrame, float]:
+    """``steps`` rounds of ``x <- A x / ||A x||``; returns the vector and the last norm.
+
+    ``prepare``: the matrix is read once into its layout form (cached, clustered
+    by row, see ``MatrixFrame.prepare``) for all steps, and released at the end,
+    unless the caller prepared it already."""
     if a.n_rows != a.n_cols:
         raise ValueError(f"power iteration needs a square matrix, got {a.shape}")
+    owns = prepare and steps > 1 and not a.is_prepared(layout)
+    if owns:
+        a.prepare(layout)
+    try:
+        return _iterate(a, x0, steps, layout, checkpoint_every)
+    finally:
+        if owns:
+            a.unprepare()
+
+
+def _iterate(a: MatrixFrame, x0: VectorFrame, steps: int, layout: str,
+             checkpoint_every: int | None) -> tuple[VectorFrame, float]:
     x, norm = x0, 0.0
     held = None
     for k in range(1, steps + 1):
