@@ -56,9 +56,12 @@ def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
                         symmetry: str | None = "general", comments: tuple[str, ...] = (),
                         precision: int | None = None, n_rows: int | None = None,
                         n_cols: int | None = None, partitions: int | None = None,
-                        mode: str = "errorifexists") -> int:
+                        mode: str = "errorifexists", date_stamp: bool = False) -> int:
     """Write the non-zero cells of ``m`` as a ``coordinate`` file; returns the entry count.
 
+    ``date_stamp`` adds a comment line with today's date when no comment is given
+    (off by default, so that the output is deterministic).
+
     ``symmetry=None`` detects it (symmetric, skew-symmetric or general, in that
     order); a triangle kind stores the lower triangle. ``field`` is ``real``,
     ``integer`` or ``pattern``; ``precision`` = significant digits (None: exact
@@ -79,6 +82,10 @@ def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
     r = n_rows if n_rows is not None else m.n_rows
     c = n_cols if n_cols is not None else m.n_cols
     header = [f"%%MatrixMarket matrix coordinate {field} {sym}"]
+    if date_stamp and not comments:
+        import datetime
+
+        comments = (datetime.date.today().strftime("%d-%b-%Y"),)
     header += ["%" + (t if t.startswith(" ") or not t else " " + t) for t in comments]
     header.append(f"{r} {c} {count}")
     spark = m.spark

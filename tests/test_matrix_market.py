@@ -308,3 +308,14 @@ def test_folder_of_parts_detected(spark, tmpdir_path):
     assert {(r.i, r.j, r.v) for r in back.entries.collect()} == {(0, 1, 3.0), (2, 0, -1.0), (1, 1, 2.0)}
     (info,) = read_info(spark, path)
     assert info.matrix_id == "auto.mtx"
+
+
+def test_date_stamp_comment(spark, tmpdir_path):
+    import datetime
+
+    a = mat(spark, [(0, 0, 1.0)], 1, 1)
+    path = os.path.join(tmpdir_path, "dated.mtx")
+    write_matrix_market(a, path, date_stamp=True)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert f"% {datetime.date.today().strftime('%d-%b-%Y')}" in lines
+    assert read_matrix(spark, path).stored_count() == 1
