@@ -29,6 +29,10 @@ class VectorFrame:
     @classmethod
     def from_df(cls, df: DataFrame, i: str = "i", x: str = "x", length: int | None = None,
                 unique: bool = False) -> "VectorFrame":
+        """Any DataFrame with an index and a value column. ``length=None``: max index
+        + 1, computed when first needed. ``unique``: the caller guarantees one row per
+        index (then the length bounds the rows, for the broadcast choice); otherwise
+        repeated indices are allowed and summed where it matters."""
         xcol = keep_or_double(df, x)
         return cls(df.select(F.col(i).cast("long").alias("i"), xcol.alias("x")), length, unique)
 
