@@ -114,3 +114,30 @@ def test_shuffled_join_splits_a_hot_column(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_prepare_clusters_rows_so_partial_sums_shrink(spark):
+    """On entries in random order, the product's shuffle carries one partial sum per
+    (task, row); after prepare('join') it carries about one per row."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tessera import MatrixFrame
+
+    df = spark.range(40000).selectExpr("id % 2000 AS i", "(id div 2000) * 25 AS j", "1.0 AS v")
+    scrambled = df.repartition(8, F.xxhash64("i", "j")).cache()   # explicit count: not coalesced
+    scrambled.count()
+    a = MatrixFrame(scrambled, 2000, 500)
+    x = VectorFrame(spark.range(500).selectExpr("id AS i", "1.0 AS x"), 500, True)
+
+    def product_shuffle_rows(y):
+        y.df.collect()
+        stats = re.findall(r"ShuffleQueryStage \(\d+\), Statistics\(sizeInBytes=[^,]+, rowCount=([^)]+)\)",
+                           physical_plan(y.df))
+        return float(stats[0])
+
+    before = product_shuffle_rows(a.multiply(x, broadcast=True))
+    a.prepare("join")
+    after = product_shuffle_rows(a.multiply(x, broadcast=True))
+    assert after <= 2000 * 1.05 < before
