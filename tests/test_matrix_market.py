@@ -319,3 +319,14 @@ def test_date_stamp_comment(spark, tmpdir_path):
     lines = [r.value for r in spark.read.text(path).collect()]
     assert f"% {datetime.date.today().strftime('%d-%b-%Y')}" in lines
     assert read_matrix(spark, path).stored_count() == 1
+
+
+def test_integer_field_write(spark, tmpdir_path):
+    a = mat(spark, [(0, 1, 3.0), (1, 0, -2.0)], 2, 2)
+    path = os.path.join(tmpdir_path, "int.mtx")
+    write_matrix_market(a, path, field="integer")
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert lines[0] == "%%MatrixMarket matrix coordinate integer general"
+    assert "2 1 -2" in lines and "1 2 3" in lines
+    back = read_matrix(spark, path)
+    assert {(r.i, r.j, r.v) for r in back.entries.collect()} == {(0, 1, 3.0), (1, 0, -2.0)}
