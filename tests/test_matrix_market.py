@@ -330,3 +330,17 @@ def test_integer_field_write(spark, tmpdir_path):
     assert "2 1 -2" in lines and "1 2 3" in lines
     back = read_matrix(spark, path)
     assert {(r.i, r.j, r.v) for r in back.entries.collect()} == {(0, 1, 3.0), (1, 0, -2.0)}
+
+
+def test_crlf_and_empty_files(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "crlf.mtx")
+    with open(p, "wb") as fh:
+        fh.write(b"%%MatrixMarket matrix coordinate real general\r\n% c\r\n2 2 1\r\n2 1 7.5\r\n")
+    m = read_matrix(spark, p)
+    assert m.shape == (2, 2)
+    assert [(r.i, r.j, r.v) for r in m.entries.collect()] == [(1, 0, 7.5)]
+    e = _write(os.path.join(tmpdir_path, "empty.mtx"),
+               "%%MatrixMarket matrix coordinate real general\n3 4 0\n")
+    m0 = read_matrix(spark, e)
+    assert m0.shape == (3, 4) and m0.stored_count() == 0
+    assert dense_values(m0.multiply(vec(spark, [1, 1, 1, 1]))) == [0, 0, 0]
