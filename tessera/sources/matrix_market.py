@@ -53,12 +53,18 @@ class MatrixInfo:
     data_lines: int | None   # kept lines after the size line (None: not counted)
 
 
-def resolve_by_folder(spark: SparkSession, path: str, by_folder: bool | None) -> bool:
+def _list_files(spark: SparkSession, path: str) -> list[str]:
+    """The input files of ``path`` (Spark's own listing); called once per read."""
+    return list(spark.read.text(path).inputFiles())
+
+
+def resolve_by_folder(spark: SparkSession, path: str, by_folder: bool | None,
+                      files: list[str] | None = None) -> bool:
     """``None``: a folder of Spark ``part-*`` files is one matrix (or vector) per
     folder, as the writers of this package produce; plain files are one each."""
     if by_folder is not None:
         return by_folder
-    files = spark.read.text(path).inputFiles()
+    files = _list_files(spark, path) if files is None else files
     return bool(files) and all(f.rsplit("/", 1)[-1].startswith("part-") for f in files)
 
 
@@ -137,14 +143,15 @@ def _parse_header(key: str, banner: str, size_line: str | None,
                       n_rows, n_cols, nnz, data_lines)
 
 
-def _head_info(spark: SparkSession, path: str, by_folder: bool) -> list[MatrixInfo] | None:
+def _head_info(spark: SparkSession, path: str, by_folder: bool,
+               files: list[str]) -> list[MatrixInfo] | None:
     """Header of a single matrix from the first lines of its first file only.
 
     ``limit(...).collect()`` runs incrementally from partition 0, which holds the
     first split of the file, so only the start of the file is read instead of all
     of it. ``None`` (use the full aggregation) for several matrices, or when the
     header is not within the first ``HEAD_LINES`` lines of the first split."""
-    files = sorted(spark.read.text(path).inputFiles(), key=_file_order)
+    files = sorted(files, key=_file_order)
     if not files:
         return None
     keys = {f.rsplit("/", 1)[0] for f in files} if by_folder else set(files)
@@ -168,7 +175,7 @@ def _head_info(spark: SparkSession, path: str, by_folder: bool) -> list[MatrixIn
 
 
 def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
-              full: bool = False) -> list[MatrixInfo]:
+              full: bool = False, files: list[str] | None = None) -> list[MatrixInfo]:
     """Header facts of every matrix under ``path`` (a file, folder or glob), one
     row per matrix to the driver. Banner words are matched case-insensitively.
 
@@ -177,9 +184,11 @@ def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
     aggregates all lines: per split on long counters only (first line, first banner
     line, first kept line, kept count), then per matrix over the split rows.
     """
-    by_folder = resolve_by_folder(spark, path, by_folder)
+    if files is None and (not full or by_folder is None):
+        files = _list_files(spark, path)
+    by_folder = resolve_by_folder(spark, path, by_folder, files)
     if not full:
-        head = _head_info(spark, path, by_folder)
+        head = _head_info(spark, path, by_folder, files)
         if head is not None:
             return head
     v = F.col("value")
@@ -263,8 +272,9 @@ def read_entries(spark: SparkSession, path: str, by_folder: bool | None = None,
     ``im``; ``array`` files give their values at column-major positions. ``ok`` is
     false for a malformed line (kept, so that the checker can report it).
     """
-    by_folder = resolve_by_folder(spark, path, by_folder)
-    infos = infos if infos is not None else read_info(spark, path, by_folder)
+    files = _list_files(spark, path) if infos is None or by_folder is None else None
+    by_folder = resolve_by_folder(spark, path, by_folder, files)
+    infos = infos if infos is not None else read_info(spark, path, by_folder, files=files)
     info = F.broadcast(info_frame(spark, infos))  # one row per matrix
     pos = positioned(_lines(spark, path, by_folder)).where(F.col("p") >= 1)
     t = pos.join(info, on="key").withColumn("tok", tokens(F.col("value")))
