@@ -168,6 +168,11 @@ class MatrixFrame:
         packed = _spmv.pack_rows(_st.canonicalize(self.full_entries()), width)
         return packed.withColumn("size", F.lit(self.n_cols).cast("long"))
 
+    def indexed_entries(self, width: int = _spmv.DEFAULT_WIDTH) -> DataFrame:
+        """``(i, pos, j, v)``: every cell with its 0-based place in its row, ordered by
+        column (the indexed-row view, one row per cell, no unbounded array)."""
+        return _spmv.row_positions(self.indexed_rows(width).drop("size"))
+
     def row_matrix(self, width: int = _spmv.DEFAULT_WIDTH) -> DataFrame:
         return self.indexed_rows(width).drop("i")
 

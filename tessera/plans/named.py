@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..operators import complex as cx
 from ..operators import structure as st
-from ..operators.spmv import row_positions
 from ..operators.power import power_iteration
 from ..sources.tables import DriverTables
 from ..vector import VectorFrame
@@ -156,7 +155,7 @@ def active_size(spark, sf):
 
 
 def indexed_rows(spark, sf):
-    return row_positions(DriverTables(spark, sf).li().indexed_rows().drop("size"))
+    return DriverTables(spark, sf).li().indexed_entries()
 
 
 def row_matrix(spark, sf):
