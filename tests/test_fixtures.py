@@ -208,3 +208,12 @@ def test_reference_layout_names(spark):
         assert dense_values(a.multiply(vec(spark, [1, 2, 3]), layout=name)) == [7, 0, 6, 0]
     with pytest.raises(ValueError, match="unknown layout"):
         a.multiply(vec(spark, [1, 2, 3]), layout="CSR")
+
+
+def test_hermitian_real_storage_is_symmetric(spark):
+    h = mat(spark, [(1, 0, 2), (2, 2, 5)], 3, 3, "hermitian")
+    s = mat(spark, [(1, 0, 2), (2, 2, 5)], 3, 3, "symmetric")
+    for layout in LAYOUTS:
+        assert dense_values(h.multiply(vec(spark, [1, 2, 3]), layout=layout)) == \
+            dense_values(s.multiply(vec(spark, [1, 2, 3]), layout=layout)) == [4, 2, 15]
+    assert h.transpose() is h
