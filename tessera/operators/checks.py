@@ -7,32 +7,46 @@ list position; every matrix is keyed by ``matrix_id`` through one plan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.matrix_market import info_frame, read_entries, read_vectors, valid_entries
+from ..sources.matrix_market import (_list_files, info_frame, read_entries, read_vectors,
+                                     resolve_by_folder, valid_entries)
 from . import spmv, structure
 
 
 def check_results(spark: SparkSession, matrices: str, vectors: str, results: str,
                   suffix: str = "_rd.txt", by_folder: bool | None = None) -> DataFrame:
     """``(matrix_id, max_abs, norm2)`` of ``A v - r`` for every matrix that has both a
-    vector and a result. ``by_folder``: each matrix / vector is a folder of parts."""
+    vector and a result. ``by_folder``: each matrix / vector is a folder of parts.
+
+    Which matrices qualify follows from the file names alone (one listing per
+    folder, bounded by the number of files), so only those are expanded and
+    multiplied, and no pass over the vector data is spent on finding them."""
     entries, infos = read_entries(spark, matrices, by_folder=by_folder)
+
+    def ids(path: str) -> set[str]:
+        files = _list_files(spark, path)
+        folder = resolve_by_folder(spark, path, by_folder, files)
+        names = {f.rsplit("/", 2)[-2] if folder else f.rsplit("/", 1)[-1] for f in files}
+        return {re.sub(re.escape(suffix) + "$", "", n) for n in names}
+
+    have = sorted(ids(vectors) & ids(results) & {m.matrix_id for m in infos})
     sym = F.broadcast(info_frame(spark, infos).select("matrix_id", "symmetry"))  # one row per matrix
-    stored = valid_entries(entries).select("matrix_id", "i", "j", "v").join(sym, on="matrix_id")
+    stored = (valid_entries(entries).where(F.col("matrix_id").isin(have))
+              .select("matrix_id", "i", "j", "v").join(sym, on="matrix_id"))
     full = structure.expand(stored, F.col("symmetry"), by=["matrix_id"])
 
     def keyed(path: str) -> DataFrame:
         v = read_vectors(spark, path, by_folder=by_folder)
-        mid = F.regexp_replace(F.col("vector_id"), suffix.replace(".", r"\.") + "$", "")
-        return v.select(mid.alias("matrix_id"), "i", "x")
+        mid = F.regexp_replace(F.col("vector_id"), re.escape(suffix) + "$", "")
+        return v.select(mid.alias("matrix_id"), "i", "x").where(F.col("matrix_id").isin(have))
 
     x, r = keyed(vectors), keyed(results)
     y = spmv.multiply_join(full, x, by=["matrix_id"])
-    have = r.select("matrix_id").distinct().join(x.select("matrix_id").distinct(), on="matrix_id")
     d = (y.unionByName(r.select("matrix_id", "i", (-F.col("x")).alias("x")))
-         .join(F.broadcast(have), on="matrix_id")
          .groupBy("matrix_id", "i").agg(F.sum("x").alias("x")))
     return d.groupBy("matrix_id").agg(
         F.coalesce(F.max(F.abs("x")), F.lit(0.0)).alias("max_abs"),
