@@ -109,7 +109,11 @@ def main() -> None:
     results = {name: round(t[1], 4) for name, t in timed.items()}
     first = {name: round(t[0], 4) for name, t in timed.items()}
     total = round(sum(results.values()), 4)
-    sf = os.path.basename(sf_dir).replace("sf", "")
+    sf_text = os.path.basename(sf_dir).replace("sf", "")
+    try:
+        sf = float(sf_text)
+    except ValueError:
+        sf = sf_text
     print(json.dumps({
         "metric": "spmv_suite_sum_of_warm_medians",
         "value": total,
