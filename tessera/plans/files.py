@@ -2,6 +2,8 @@
 
 The folder is a fresh sub-folder of ``spark.checkpoint.dir`` (see
 ``tessera.session``); writing is part of the query, reading gives the result.
+The returned DataFrame reads those files lazily, so they are left in place;
+clearing the checkpoint folder between runs is the operator's choice.
 """
 
 from __future__ import annotations
