@@ -2,7 +2,8 @@
 
 ``by`` is an optional list of key columns (for example ``matrix_id``) so that one
 plan handles many matrices at once; every operator keeps those columns.
-All operators here are narrow maps or one keyed aggregation.
+Each operator is a narrow map or one keyed aggregation; symmetry detection adds
+one self join on swapped keys of unique cells.
 """
 
 from __future__ import annotations
