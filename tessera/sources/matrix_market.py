@@ -14,7 +14,8 @@ rebuilt inside one Spark plan, without a shuffle of the lines:
    Position 0 is the size line, 1.. are entries (or array values).
 
 Both scans of a file sit in the same plan, so a recomputed task sees the same
-splits and counters. Only header rows (one per file) reach the driver.
+splits and counters. Only header facts reach the driver: one row per matrix, or for a
+single matrix its first lines (at most ``HEAD_LINES``) from the start of its first file.
 
 A *matrix key* is the file path, or the folder for a multi-part folder as the
 writer of this package produces (parts in name order).
