@@ -17,8 +17,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import document_size, shard_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_documents(docs, shards=8).select(
+        "doc_id", document_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE: dict[str, str] = {}
