@@ -199,6 +199,13 @@ def _known(labels: DataFrame, learn: Column | None) -> DataFrame:
     return known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
 
 
+def _context(text: bytes) -> int:
+    """Smallest hash of five neighbouring words: near copies of a text mostly share it."""
+    words = text.lower().split()
+    grams = zip(*(words[i:] for i in range(5))) if len(words) > 4 else [words]
+    return min(xxhash.xxh64_intdigest(b" ".join(g)) for g in grams) >> 1
+
+
 def _bags(sample: DataFrame) -> DataFrame:
     """``(context, toxic, word)``: distinct words per document; copies of a text share a context."""
 
@@ -210,7 +217,7 @@ def _bags(sample: DataFrame) -> DataFrame:
                 bag = {letters(r.decode("utf-8", "replace")) for r in raw} | {letters(s) for s in spelt}
                 bag = sorted(w for w in bag if 0 < len(w) <= WORD_CHARS)
                 if bag:
-                    context += [min(xxhash.xxh64_intdigest(w) for w in bag) >> 1] * len(bag)
+                    context += [_context(text)] * len(bag)
                     toxic += [label] * len(bag)
                     word += bag
             yield pa.RecordBatch.from_arrays(
@@ -234,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     all_rows = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = cut(_sample(docs, known, sample_rows, id_col, text_col), "toxic-sample")
     rows = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    seen = _bags(sample).groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
+    seen = _bags(sample).distinct()
     stats = cut(seen.groupBy("word").agg(
         F.sum(F.col("toxic")).cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg")), "toxic-words")
     strong = stats.where("pos >= 20 * neg")
