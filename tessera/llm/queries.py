@@ -50,12 +50,19 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_pieces
+
+    return pack_pieces(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op8_sharding": op8_sharding,
+    "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
