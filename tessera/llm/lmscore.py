@@ -34,7 +34,7 @@ PRIOR = 100.0  # weight of the word's own probability against the pair's count
 RUN_TOKENS = 3_000_000  # n-grams counted before they are sent on
 BUCKET_BYTES = 8 << 20  # text bytes per bucket
 MIN_BUCKETS = 256
-SEGMENT_BYTES = 160 << 20
+SEGMENT_BYTES = 48 << 20
 END = np.uint64(0x51ED270B9F1E4D03)
 START = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
