@@ -24,24 +24,20 @@ long texts are cut into slices, which only changes how windows are grouped.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import scratch_path
-
 from . import bwt
-from .common import concat_batches, cut, mix64, shuffle_partitions, utf8_column
+from .common import mix64, utf8_column
+from .exchange import PACKED, answered, bucket_edges, bucket_of, chunk_table, decoded, merged, packed_rows
 from .tokens import hash_spans
 from .windows import anchors
 
-CHUNK_BYTES = 4 << 20
 SLICE = 1 << 20
 BUCKET_BYTES = 16 << 20
 MIN_BUCKETS = 256
@@ -50,17 +46,6 @@ NO_ID = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-
-
-def _edges(sorted_hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """``(bucket, first, last)`` of the buckets that hold some of the sorted hashes."""
-    b = _bucket(sorted_hashes, buckets)
-    first = np.nonzero(np.r_[True, b[1:] != b[:-1]])[0] if len(b) else np.zeros(0, np.int64)
-    yield from zip(b[first].astype(np.int64).tolist(), first.tolist(), np.r_[first[1:], len(b)].tolist())
-
-
 def _group_min(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     key, doc = key[order], doc[order]
@@ -91,7 +76,7 @@ class Chunk:
     """The rows of a chunk and the anchor runs of its texts."""
 
     def __init__(self, blob: bytes, text_col: str, length: int):
-        self.batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+        self.batch = decoded(blob)
         self.data, self.off = utf8_column(self.batch, text_col)
         self.length = length
         self.ids = self.batch.column(self.batch.schema.get_field_index("__id")).to_numpy()
@@ -105,23 +90,13 @@ class Chunk:
 
     def cut_key(self, buckets: int) -> np.ndarray:
         """Bucket and 32 bits of each run's anchor; anchors that fall together are told apart later."""
-        return _bucket(self.hash, buckets) << np.uint64(32) | self.hash & _LOW
+        return bucket_of(self.hash, buckets) << np.uint64(32) | self.hash & _LOW
 
 
 def _keys(row_bucket: int, key: np.ndarray) -> np.ndarray:
     return np.uint64(row_bucket) << np.uint64(32) | key.astype(np.uint64)
 
 
-def _rows(chunk: int, rows: list[tuple]) -> pa.Table:
-    """Packed rows ``(chunk, bucket, keys, a, b)``."""
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "bucket": pa.array(list(cols[0]), pa.int32()),
-                     **{n: pa.array(list(c), pa.binary()) for n, c in zip(("keys", "a", "b"), cols[1:])}})
-
-
-PACKED = "chunk long, bucket int, keys binary, a binary, b binary"
-
-
 def _send_anchors(c: Chunk, chunk: int, buckets: int) -> pa.Table:
     key = c.cut_key(buckets)
     order = np.argsort(key, kind="stable")
@@ -131,7 +106,7 @@ def _send_anchors(c: Chunk, chunk: int, buckets: int) -> pa.Table:
     k = k[first]
     b = (k >> np.uint64(32)).astype(np.int64)
     edge = np.r_[np.nonzero(np.r_[True, b[1:] != b[:-1]])[0], len(k)] if len(k) else np.zeros(1, np.int64)
-    return _rows(chunk, [(int(b[s]), (k[s:e] & _LOW).astype("<u4").tobytes(), np.packbits(several[s:e]).tobytes(), b"")
+    return packed_rows(chunk, [(int(b[s]), (k[s:e] & _LOW).astype("<u4").tobytes(), np.packbits(several[s:e]).tobytes(), b"")
                          for s, e in zip(edge[:-1].tolist(), edge[1:].tolist())])
 
 
@@ -147,8 +122,8 @@ def _merge_anchors(rows: pa.Table) -> pa.Table:
         mine = more[s:s + len(k)]
         s += len(k)
         if mine.any():
-            out.append(_rows(chunk, [(bucket, k[mine].tobytes(), b"", b"")]))
-    return pa.concat_tables(out) if out else _rows(0, [])
+            out.append(packed_rows(chunk, [(bucket, k[mine].tobytes(), b"", b"")]))
+    return pa.concat_tables(out) if out else packed_rows(0, [])
 
 
 def _lookup(c: Chunk, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +146,13 @@ def _send_contents(c: Chunk, chunk: int, replies: pa.Table, buckets: int) -> pa.
     key, content, doc = key[order], content[order], doc[order]
     first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0] if len(key) else np.zeros(0, np.int64)
     if len(first) == 0:
-        return _rows(chunk, [])
+        return packed_rows(chunk, [])
     last = np.r_[first[1:], len(key)] - 1
     one = np.where(content[first] == content[last], content[first], np.uint64(0))
     low, key = np.minimum.reduceat(doc, first), key[first]
     b = (key >> np.uint64(32)).astype(np.int64)
     edge = np.r_[np.nonzero(np.r_[True, b[1:] != b[:-1]])[0], len(key)]
-    return _rows(chunk, [(int(b[s]), (key[s:e] & _LOW).astype("<u4").tobytes(), one[s:e].astype("<u8").tobytes(),
+    return packed_rows(chunk, [(int(b[s]), (key[s:e] & _LOW).astype("<u4").tobytes(), one[s:e].astype("<u8").tobytes(),
                           low[s:e].astype("<i8").tobytes()) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist())])
 
 
@@ -200,7 +175,7 @@ def _merge_contents(rows: pa.Table) -> pa.Table:
     for chunk, x in zip(rows.column("chunk").to_pylist(), lists[0]):
         g = group[s:s + len(x) // 4]
         s += len(x) // 4
-        out.append(_rows(chunk, [(bucket, x, low[g].astype("<i8").tobytes(), np.packbits(differ[g]).tobytes())]))
+        out.append(packed_rows(chunk, [(bucket, x, low[g].astype("<i8").tobytes(), np.packbits(differ[g]).tobytes())]))
     return pa.concat_tables(out)
 
 
@@ -250,10 +225,10 @@ def _send_windows(c: Chunk, chunk: int, replies: pa.Table, buckets: int) -> pa.T
         found.append(windows_of_pieces(c.data, c.first[owner] + skip, np.minimum(np.repeat(size, parts) - skip, 200),
                                        c.doc[owner], c.length))
     if not found:
-        return _rows(chunk, [])
+        return packed_rows(chunk, [])
     key, low = _group_min(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-    return _rows(chunk, [(b, key[s:e].astype("<u8").tobytes(), low[s:e].astype("<i8").tobytes(), b"")
-                         for b, s, e in _edges(key, buckets)])
+    return packed_rows(chunk, [(b, key[s:e].astype("<u8").tobytes(), low[s:e].astype("<i8").tobytes(), b"")
+                         for b, s, e in bucket_edges(key, buckets)])
 
 
 def _merge_windows(rows: pa.Table) -> pa.Table:
@@ -269,9 +244,9 @@ def _merge_windows(rows: pa.Table) -> pa.Table:
         e = s + len(x) // 8
         less = low[s:e] < doc[s:e]
         if less.any():
-            out.append(_rows(chunk, [(bucket, key[s:e][less].tobytes(), low[s:e][less].tobytes(), b"")]))
+            out.append(packed_rows(chunk, [(bucket, key[s:e][less].tobytes(), low[s:e][less].tobytes(), b"")]))
         s = e
-    return pa.concat_tables(out) if out else _rows(0, [])
+    return pa.concat_tables(out) if out else packed_rows(0, [])
 
 
 def _removed(c: Chunk, contents: pa.Table, windows: pa.Table, buckets: int) -> np.ndarray:
@@ -311,64 +286,33 @@ def _removed(c: Chunk, contents: pa.Table, windows: pa.Table, buckets: int) -> n
     return np.cumsum(change[:-1]) > 0
 
 
-def _chunk_table(docs: DataFrame, name: str) -> DataFrame:
-    """``(chunk, blob)``: rows in compressed Arrow streams, written once and bucketed by chunk."""
-    spark = docs.sparkSession
-
-    def run(batches):
-        base, n = TaskContext.get().partitionId() << 32, 0
-        for b in concat_batches(batches, CHUNK_BYTES):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([base + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "blob"])
-            n += 1
-
-    rows = docs.mapInArrow(run, "chunk long, blob binary")
-    (rows.write.option("path", scratch_path(spark, name)).option("compression", "none")
-     .bucketBy(shuffle_partitions(spark), "chunk").saveAsTable(name))
-    return spark.table(name)
-
-
 def _deduplicated(docs: DataFrame, id_col: str, text_col: str, length: int, finish: Callable, target: T.StructType) -> DataFrame:
     src = docs.select(*[F.col(f"`{c}`") for c in docs.columns],
                       F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"))
     src = src.withColumn(text_col, F.col(text_col).cast("string"))
     volume = src.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-volume // BUCKET_BYTES))
-    texts = _chunk_table(src, f"suffix_chunks_{uuid.uuid4().hex[:12]}")
+    texts = chunk_table(src, "suffix_chunks")
 
     def first(batches):
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 yield from _send_anchors(Chunk(blob, text_col, length), chunk, buckets).to_batches()
 
-    def merged(sent: DataFrame, merge: Callable, name: str) -> DataFrame:
-        def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-            return merge(rows)
-
-        return cut(sent.groupBy("bucket").applyInArrow(run, PACKED), name)
-
-    def again(replies: DataFrame, send: Callable, out: T.StructType | str) -> DataFrame:
-        def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-            if left.num_rows == 0:
-                raise RuntimeError("a reply for a chunk that does not exist")
-            return send(Chunk(left.column("blob")[0].as_py(), text_col, length), key[0].as_py(), right)
-
-        return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, out)
+    def with_chunk(send: Callable) -> Callable:
+        return lambda blob, chunk, replies: send(Chunk(blob, text_col, length), chunk, replies, buckets)
 
     repeated = merged(texts.mapInArrow(first, PACKED), _merge_anchors, "suffix-anchors")
-    contents = merged(again(repeated, lambda c, k, r: _send_contents(c, k, r, buckets), PACKED), _merge_contents, "suffix-contents")
-    found = merged(again(contents, lambda c, k, r: _send_windows(c, k, r, buckets), PACKED), _merge_windows, "suffix-windows")
+    contents = merged(answered(texts, repeated, with_chunk(_send_contents), PACKED), _merge_contents, "suffix-contents")
+    found = merged(answered(texts, contents, with_chunk(_send_windows), PACKED), _merge_windows, "suffix-windows")
     both = contents.withColumn("kind", F.lit(1)).unionByName(found.withColumn("kind", F.lit(2)))
 
-    def last(c: Chunk, _: int, replies: pa.Table) -> pa.Table:
+    def last(c: Chunk, _: int, replies: pa.Table, buckets: int) -> pa.Table:
         kind = replies.column("kind").to_numpy()
         gone = _removed(c, replies.filter(pa.array(kind == 1)), replies.filter(pa.array(kind == 2)), buckets)
         return finish(c, gone)
 
-    return again(both, last, target)
+    return answered(texts, both, with_chunk(last), target)
 
 
 def dedup_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
