@@ -16,6 +16,7 @@ which need no padding.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from .common import byte_rows, cut, mix64
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
+SHARD_TOKENS = 1 << 19
+CACHE_WORDS = 1_200_000
 K1, B = 1.2, 0.75
 
 
@@ -42,7 +43,8 @@ class Encoder:
     """Ids of UTF-8 texts; words between ASCII white space are encoded once and cached.
 
     The tokenizer drops white space and none of its steps looks across it, so the
-    ids of a text are those of its words end to end.
+    ids of a text are those of its words end to end. It folds case itself, so A-Z may
+    be folded before the split.
     """
 
     def __init__(self, path: str):
@@ -53,18 +55,39 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+    def _learn(self, words: set[bytes]) -> None:
+        """Caches the ids of new words; a word of letters and a final mark is encoded as its two parts."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = list(set().union(*split) - self.cache.keys())
-        for s in range(0, len(new), 4096):
-            part = new[s:s + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                self.cache[w] = np.array(e.ids, self.dtype).tobytes()
+        marked = {w for w in words if w[-1] in b".,;:!?" and len(w) > 1 and w[:-1].isalpha()}
+        plain = list((words - marked | {w[:-1] for w in marked} | {w[-1:] for w in marked}) - self.cache.keys())
+        for s in range(0, len(plain), 4096):
+            part = plain[s:s + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.cache.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in found)))
+        self.cache.update((w, self.cache[w[:-1]] + self.cache[w[-1:]]) for w in marked)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         end = np.array([END_ID], self.dtype).tobytes()
-        return [b"".join(map(self.cache.__getitem__, words)) + end for words in split]
+        # special tokens are found before case is folded
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.cache.get, words)) for words in split]
+        new = [i for i, ids in enumerate(found) if None in ids]
+        if new:
+            words = set().union(*(split[i] for i in new))
+            self._learn(words - self.cache.keys())
+            # the cache may just have been cleared
+            if not words <= self.cache.keys():
+                self._learn(words - self.cache.keys())
+            for i in new:
+                found[i] = list(map(self.cache.__getitem__, split[i]))
+        return [b"".join(ids) + end for ids in found]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per worker process, so the cache lives on from task to task."""
+    return Encoder(path)
 
 
 def _minhash(ids: np.ndarray) -> int:
@@ -78,7 +101,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """``(doc_id, key, n, ids binary)``: a document's ids with the end id, little-endian, and its min-hash."""
 
     def run(batches):
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             for s in range(0, b.num_rows, 128):
                 part = b.slice(s, 128)
