@@ -36,8 +36,8 @@ def hash_normal(key: Column | str, seed: int, mean: float = 0.0, stddev: float =
 
 
 def tokens(line: Column | str) -> Column:
-    """Split a text line on runs of blanks and tabs; no empty tokens."""
-    return F.split(F.btrim(_as_col(line), F.lit(" \t\r\f")), r"[ \t\r\f]+")
+    """Split a text line on runs of white space; no empty tokens."""
+    return F.split(F.btrim(_as_col(line), F.lit(" \t\r\f\x0b")), r"\s+")
 
 
 def to_long(c: Column) -> Column:
@@ -75,3 +75,14 @@ def keep_or_double(df, name: str) -> Column:
     t = df.schema[name].dataType
     c = F.col(name)
     return c if isinstance(t, (DoubleType, DecimalType)) else c.cast("double")
+
+
+def in_range(index: Column, size: int, value: Column) -> Column:
+    """``value`` where ``0 <= index < size``; any other index fails the job."""
+    fail = F.raise_error(F.concat(F.lit("index "), index.cast("string"), F.lit(f" outside 0..{int(size) - 1}")))
+    return F.when((index >= 0) & (index < F.lit(int(size))), value).otherwise(fail)
+
+
+def not_null(value: Column, type_name: str, what: str) -> Column:
+    """``value``; a null fails the job."""
+    return F.coalesce(value, F.raise_error(F.lit(f"null {what}")).cast(type_name))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import keep_or_double
+from .functions import in_range, keep_or_double, not_null
 from .operators import spmv as _spmv
 from .operators import structure as _st
 from .plans import may_broadcast
@@ -54,7 +54,7 @@ class MatrixFrame:
         self.symmetry = _st.check_symmetry(symmetry)
         self.canonical_entries = canonical
         self._prepared: dict[tuple, DataFrame] = {}
-        self._prepared_rows: dict[tuple, int] = {}
+        self._prepared_counts: dict[tuple, DataFrame] = {}
 
     # ------------------------------------------------------------ building
     @classmethod
@@ -64,8 +64,12 @@ class MatrixFrame:
         """Any DataFrame with two index columns and a value column (``v=None``: pattern, 1.0).
 
         Indices are cast to LONG as they are and must not be null (no per-row guard is
-        added, so that filters on ``i`` / ``j`` still reach a parquet scan)."""
+        added, so that filters on ``i`` / ``j`` still reach a parquet scan). A null value
+        fails the job, in every layout alike."""
         vcol = F.lit(1.0) if v is None else keep_or_double(df, v)
+        if v is not None and df.schema[v].nullable:
+            kept = df.select(vcol.alias("v")).schema["v"].dataType.simpleString()
+            vcol = not_null(vcol, kept, "matrix value")
         entries = df.select(F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"),
                             vcol.alias("v"))
         return cls(entries, n_rows, n_cols, symmetry)
@@ -174,7 +178,16 @@ class MatrixFrame:
         return _spmv.row_positions(self.indexed_rows(width).drop("size"))
 
     def row_matrix(self, width: int = _spmv.DEFAULT_WIDTH) -> DataFrame:
-        return self.indexed_rows(width).drop("i")
+        """Rows without an order: ``(row, s, idx, val, size)``. ``row`` only says which
+        segments are of one row; a row wider than ``width`` columns has several."""
+        return self.indexed_rows(width).withColumnRenamed("i", "row")
+
+    def shape_frame(self) -> DataFrame:
+        """One row ``(n_rows, n_cols, stored)``: the declared shape, or the one that the
+        entries need where that is larger, and the stored entries."""
+        n_rows, n_cols = F.lit(self.n_rows).cast("long"), F.lit(self.n_cols).cast("long")
+        return _st.shape_frame(self.entries).select(
+            F.greatest(n_rows, "n_rows").alias("n_rows"), F.greatest(n_cols, "n_cols").alias("n_cols"), "stored")
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """``(vertices, edges)`` of a square matrix: vertex per row/column id, edge i -> j."""
@@ -187,16 +200,25 @@ class MatrixFrame:
         """Every cell ``(i, j, v)`` of the full matrix, zeros included.
 
         The grid comes from one distributed ``range(n_rows * n_cols)``, not from
-        a cross join; its size is the product of the shape by definition.
+        a cross join; its size is the product of the shape by definition. An entry
+        outside the shape fails the job.
         """
         r, c = self.n_rows, self.n_cols
+        if r * c >= 1 << 63:
+            raise ValueError(f"a dense {r} x {c} matrix has more than 2**63 cells")
         zero = F.lit(0).cast(self.entries.schema["v"].dataType)
         grid = self.spark.range(r * c).select(
             F.expr(f"id div {c}").alias("i"), F.expr(f"id % {c}").alias("j"))
-        cells = _st.canonicalize(self.full_entries())
+        cells = self.checked_cells()
         return (grid.join(cells, on=["i", "j"], how="left")
                 .select("i", "j", F.coalesce(F.col("v"), zero).alias("v")))
 
+    def checked_cells(self) -> DataFrame:
+        """Canonical cells of the full matrix; one outside the shape fails the job."""
+        i, j, v = F.col("i"), F.col("j"), F.col("v")
+        return _st.canonicalize(self.full_entries()).select(
+            "i", "j", in_range(i, self.n_rows, in_range(j, self.n_cols, v)).alias("v"))
+
     # ------------------------------------------------------------ products
     def multiply(self, x: VectorFrame, trans: bool = False, layout: str = "join",
                  broadcast: bool | None = None, width: int = _spmv.DEFAULT_WIDTH,
@@ -229,26 +251,25 @@ class MatrixFrame:
             bc = may_broadcast(spark, n_in) if broadcast is None else broadcast
             y = _spmv.multiply_packed(form, blocks, width, broadcast=bc)
         else:
-            rows = self._prepared_rows.get(("blocked", trans, width))
-            tile = _spmv.DEFAULT_TILE_ENTRIES if rows is None else int(min(
-                _spmv.DEFAULT_TILE_ENTRIES, max(1 << 16, rows // (2 * default_parallelism(spark)))))
-            y = _spmv.multiply_blocked(form, x.to_dense().df, width=width, tile_entries=tile,
-                                       canonical=True)
+            ready = self._prepared_counts.get(("blocked", trans, width))
+            tagged, counts = (form, ready) if ready is not None else _spmv.tile_entries(
+                form, width, few_blocks=may_broadcast(spark, -(-n_in // width)))
+            y = _spmv.multiply_blocked(tagged, counts, x.canonical().df, width=width)
         return VectorFrame(y, n_out, unique=True)
 
     def _layout_form(self, layout: str, trans: bool, width: int) -> DataFrame:
         """The layout's input: full entries (join), edges (graph), packed row
-        segments (packed) or canonical entries (blocked), of ``A`` or ``A'``."""
+        segments (packed), of ``A`` or ``A'``; for blocked the full entries, or, once
+        prepared, the tagged ones (see ``tile_entries``)."""
         key = (layout, trans, width if layout in ("packed", "blocked") else 0)
         if key in self._prepared:
             return self._prepared[key]
         e = (self.transpose() if trans else self).full_entries()
-        if layout == "join":
+        if layout in ("join", "blocked"):
             return e
         if layout == "graph":
             return _spmv.graph_edges(e)
-        canon = _st.canonicalize(e)
-        return _spmv.pack_rows(canon, width) if layout == "packed" else canon
+        return _spmv.pack_rows(_st.canonicalize(e), width)
 
     def prepare(self, layout: str = "join", trans: bool = False,
                 width: int = _spmv.DEFAULT_WIDTH,
@@ -262,28 +283,47 @@ class MatrixFrame:
         hot row is still split across tasks by column."""
         layout = layout_name(layout)
         key = (layout, trans, width if layout in ("packed", "blocked") else 0)
-        self._prepared.pop(key, None)
+        self._release(key)
         form = self._layout_form(layout, trans, width)
         if layout in ("join", "graph"):
             rows, cols = ("i", "j") if layout == "join" else ("src", "dst")
             n = max(1, -(-self.stored_count() // int(entries_per_partition)),
                     default_parallelism(self.spark))
             form = form.repartitionByRange(n, rows, cols)
+        elif layout == "blocked":
+            # tiles are kept where they are multiplied: later products move no entry
+            tile = int(min(_spmv.DEFAULT_TILE_ENTRIES,
+                           max(1 << 16, self.stored_count() // (2 * default_parallelism(self.spark)))))
+            n_in = self.n_rows if trans else self.n_cols
+            form, counts = _spmv.tile_entries(form, width, tile, few_blocks=may_broadcast(self.spark, -(-n_in // width)))
+            counts = counts.cache()
+            form = form.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "s", "c")
+            self._prepared_counts[key] = counts
         form = form.cache()
-        self._prepared_rows[key] = form.count()
+        form.count()
         self._prepared[key] = form
         return self
 
+    def _release(self, key: tuple) -> None:
+        for held in (self._prepared.pop(key, None), self._prepared_counts.pop(key, None)):
+            if held is not None:
+                held.unpersist()
+
     def is_prepared(self, layout: str = "join", trans: bool = False,
                     width: int = _spmv.DEFAULT_WIDTH) -> bool:
         layout = layout_name(layout)
         return (layout, trans, width if layout in ("packed", "blocked") else 0) in self._prepared
 
-    def unprepare(self) -> "MatrixFrame":
-        for form in self._prepared.values():
-            form.unpersist()
-        self._prepared.clear()
-        self._prepared_rows.clear()
+    def unprepare(self, layout: str | None = None, trans: bool = False,
+                  width: int = _spmv.DEFAULT_WIDTH) -> "MatrixFrame":
+        """Releases one prepared form, or all of them (``layout=None``)."""
+        if layout is None:
+            keys = list(self._prepared)
+        else:
+            name = layout_name(layout)
+            keys = [(name, trans, width if name in ("packed", "blocked") else 0)]
+        for key in keys:
+            self._release(key)
         return self
 
     def __matmul__(self, x: VectorFrame) -> VectorFrame:

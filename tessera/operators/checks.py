@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.matrix_market import (_list_files, info_frame, read_entries, read_vectors,
+from ..sources.matrix_market import (_list_files, hint_small, info_frame, read_entries, read_vectors,
                                      resolve_by_folder, valid_entries)
 from . import spmv, structure
 
@@ -23,20 +23,31 @@ def check_results(spark: SparkSession, matrices: str, vectors: str, results: str
     vector and a result. ``by_folder``: each matrix / vector is a folder of parts.
 
     Which matrices qualify follows from the file names alone (one listing per
-    folder, bounded by the number of files), so only those are expanded and
-    multiplied, and no pass over the vector data is spent on finding them."""
-    entries, infos = read_entries(spark, matrices, by_folder=by_folder)
-
+    folder, bounded by the number of files), so only those are read, expanded and
+    multiplied. Names pair matrices with vectors, so two qualifying matrices of one
+    name (in different folders) are refused."""
     def ids(path: str) -> set[str]:
         files = _list_files(spark, path)
         folder = resolve_by_folder(spark, path, by_folder, files)
         names = {f.rsplit("/", 2)[-2] if folder else f.rsplit("/", 1)[-1] for f in files}
         return {re.sub(re.escape(suffix) + "$", "", n) for n in names}
 
-    have = sorted(ids(vectors) & ids(results) & {m.matrix_id for m in infos})
-    sym = F.broadcast(info_frame(spark, infos).select("matrix_id", "symmetry"))  # one row per matrix
-    stored = (valid_entries(entries).where(F.col("matrix_id").isin(have))
-              .select("matrix_id", "i", "j", "v").join(sym, on="matrix_id"))
+    wanted = ids(vectors) & ids(results)
+    files = _list_files(spark, matrices)
+    folder = resolve_by_folder(spark, matrices, by_folder, files)
+    keys = {f.rsplit("/", 1)[0] if folder else f for f in files}
+    by_name: dict[str, list[str]] = {}
+    for k in sorted(keys):
+        by_name.setdefault(k.rsplit("/", 1)[-1], []).append(k)
+    double = sorted(n for n in wanted if len(by_name.get(n, ())) > 1)
+    if double:
+        raise ValueError(f"several matrices named {double}: {[by_name[n] for n in double]}")
+    have = sorted(wanted & by_name.keys())
+    if not have:
+        return spark.createDataFrame([], "matrix_id string, max_abs double, norm2 double")
+    entries, infos = read_entries(spark, [by_name[n][0] for n in have], by_folder=folder)
+    sym = hint_small(spark, info_frame(spark, infos).select("matrix_id", "symmetry"), len(infos))
+    stored = valid_entries(entries).select("matrix_id", "i", "j", "v").join(sym, on="matrix_id")
     full = structure.expand(stored, F.col("symmetry"), by=["matrix_id"])
 
     def keyed(path: str) -> DataFrame:

@@ -68,18 +68,22 @@ def symmetry_kind(entries: DataFrame, square: bool, by: Sequence[str] = ()) -> D
 
 
 def describe(entries: DataFrame, square: bool, by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., kind, field)``: storage symmetry and real-vs-complex, one aggregation."""
-    nz = canonicalize(entries, by).where((F.col("v") != 0) | (F.col("im") != 0))
-    mirror = nz.select(*by, F.col("j").alias("i"), F.col("i").alias("j"),
-                       F.col("v").alias("mv"), F.col("im").alias("mim"))
-    joined = nz.join(mirror, on=[*by, "i", "j"], how="left")
-    mv = F.coalesce(F.col("mv"), F.lit(0.0))
-    mim = F.coalesce(F.col("mim"), F.lit(0.0))
-    flags = joined.groupBy(*by).agg(
-        F.bool_and((F.col("v") == mv) & (F.col("im") == mim)).alias("sym"),
-        F.bool_and((F.col("v") == -mv) & (F.col("im") == -mim)).alias("skew"),
-        F.bool_and((F.col("v") == mv) & (F.col("im") == -mim)).alias("herm"),
-        F.max(F.abs("im")).alias("max_im"))
+    """``(by..., kind, field)``: storage symmetry and real-vs-complex. A cell and its
+    mirror meet in one keyed sum, the only shuffle of entries."""
+    i, j = F.col("i"), F.col("j")
+
+    def part(c: str, cond: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0.0)).alias(name)
+
+    pairs = entries.groupBy(*by, F.least(i, j).alias("a"), F.greatest(i, j).alias("b")).agg(
+        part("v", i > j, "low"), part("im", i > j, "low_im"), part("v", i < j, "up"), part("im", i < j, "up_im"),
+        part("v", i == j, "diag"), part("im", i == j, "diag_im"))
+    low, up, low_im, up_im = (F.col(c) for c in ("low", "up", "low_im", "up_im"))
+    flags = pairs.groupBy(*by).agg(
+        F.bool_and((low == up) & (low_im == up_im)).alias("sym"),
+        F.bool_and((low == -up) & (low_im == -up_im) & (F.col("diag") == 0) & (F.col("diag_im") == 0)).alias("skew"),
+        F.bool_and((low == up) & (low_im == -up_im) & (F.col("diag_im") == 0)).alias("herm"),
+        F.max(F.greatest(F.abs(low_im), F.abs(up_im), F.abs("diag_im"))).alias("max_im"))
     t = F.lit(True)
     kind = (F.when(~F.lit(bool(square)), F.lit("general"))
             .when(F.coalesce(F.col("sym"), t), F.lit("symmetric"))

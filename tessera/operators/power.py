@@ -3,7 +3,8 @@
 Each step is one distributed product and one norm (a scalar to the driver).
 The product of a step is persisted (memory and disk) and materialized by the
 norm, so the next step reads it instead of recomputing the chain; the
-previous step's copy is then dropped. Every ``checkpoint_every`` steps the
+previous step's copy is then dropped, and the last one too: the result is written
+to the checkpoint folder, so nothing stays cached that the caller did not cache. Every ``checkpoint_every`` steps the
 vector is also written to the shared checkpoint folder
 (``spark.checkpoint.dir``), which cuts the lineage that a lost executor
 would otherwise replay.
@@ -34,7 +35,7 @@ def power_iteration(a: MatrixFrame, x0: VectorFrame, steps: int, layout: str = "
         return _iterate(a, x0, steps, layout, checkpoint_every)
     finally:
         if owns:
-            a.unprepare()
+            a.unprepare(layout)
 
 
 def _iterate(a: MatrixFrame, x0: VectorFrame, steps: int, layout: str,
@@ -52,6 +53,10 @@ def _iterate(a: MatrixFrame, x0: VectorFrame, steps: int, layout: str,
             held.unpersist()
         held = y.df
         if norm == 0.0:
-            return y, 0.0
+            break
         x = y / norm
-    return x, norm
+    out = x if norm or held is None else y
+    if held is not None:
+        out = out.checkpoint()
+        held.unpersist()
+    return out, norm

@@ -129,37 +129,43 @@ def _tile_kernel(width: int, by: Sequence[str]):
     return kernel
 
 
-def multiply_blocked(entries: DataFrame, dense_vec: DataFrame, *,
-                     width: int = DEFAULT_WIDTH, tile_entries: int = DEFAULT_TILE_ENTRIES,
-                     by: Sequence[str] = (), canonical: bool = False) -> DataFrame:
-    """Tiles of canonical entries times the matching slice of ``x``.
-
-    A column block with ``c`` stored entries is cut into ``ceil(c / tile_entries)``
-    chunks by a hash of the row index, so a hot column is spread over many
-    tasks; the block's slice of ``x`` (``width`` values) is copied to each chunk.
-    Duplicates are summed first (map-side combined), so a tile holds at most
-    about ``tile_entries + width`` distinct cells. The per-block counts come from
-    the stored entries (an upper bound of the canonical ones) by a partial
-    aggregate over the scan; the table has at most ``ceil(n_cols / width)`` rows
-    per matrix, a proven bound, so it is broadcast.
+def tile_entries(entries: DataFrame, width: int = DEFAULT_WIDTH, target: int = DEFAULT_TILE_ENTRIES, *,
+                 few_blocks: bool = False, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Canonical entries with their tile ``(s, c)``, and the chunks ``k`` per block ``(s, k)``.
+
+    A column block with ``c`` stored entries is cut into ``ceil(c / target)`` chunks by
+    a hash of the row index, so a hot column is spread over many tiles. The counts come
+    from the entries as given (duplicates included: an upper bound), by a partial
+    aggregate over the scan, so they cost no shuffle of entries; duplicates are then
+    summed (map-side combined) by the one exchange on ``(i, j)``. ``few_blocks``: the
+    caller has proven that the count table may be broadcast; else Spark chooses.
     """
     counts = (entries.select(*by, block_of("j", width).alias("s"))
               .groupBy(*by, "s").agg(F.count(F.lit(1)).alias("n"))
-              .select(*by, "s", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(tile_entries)))
+              .select(*by, "s", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(target)))
                       .cast("long").alias("k")))
-    counts = F.broadcast(counts)
-    canon = entries if canonical else (
-        entries.groupBy(*by, "i", "j").agg(F.sum(F.col("v").cast("double")).alias("v")))
-    canon = canon.withColumn("s", block_of("j", width))
-    tagged = (canon.join(counts, on=[*by, "s"])
+    canon = entries.groupBy(*by, "i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
+    counts = F.broadcast(counts) if few_blocks else counts
+    tagged = (canon.withColumn("s", block_of("j", width)).join(counts, on=[*by, "s"])
               .withColumn("c", F.pmod(F.xxhash64("i"), F.col("k")))
               .drop("k"))
-    xrep = (dense_vec.select(*by, F.col("i").alias("o"), F.col("x").cast("double").alias("x"),
-                             block_of("i", width).alias("s"))
+    return tagged, counts
+
+
+def multiply_blocked(tagged: DataFrame, counts: DataFrame, vec: DataFrame, *,
+                     width: int = DEFAULT_WIDTH, by: Sequence[str] = ()) -> DataFrame:
+    """Tiles (see ``tile_entries``) times the matching slice of ``x``.
+
+    The block's stored values of ``x`` (at most ``width``, one per index) are copied to
+    each of its chunks; the kernel fills the others with 0. A tile holds about
+    ``target + width`` distinct cells. ``counts`` has at most ``n_cols / width`` rows.
+    """
+    xrep = (vec.select(*by, F.col("i").alias("o"), F.col("x").cast("double").alias("x"),
+                       block_of("i", width).alias("s"))
             .join(counts, on=[*by, "s"])
             .withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
             .drop("k"))
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in tagged.schema.fields
                         if f.name in by] + ["i bigint", "x double"])
     partial = (tagged.groupBy(*by, "s", "c")
                .cogroup(xrep.groupBy(*by, "s", "c"))

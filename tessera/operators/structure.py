@@ -2,8 +2,7 @@
 
 ``by`` is an optional list of key columns (for example ``matrix_id``) so that one
 plan handles many matrices at once; every operator keeps those columns.
-Each operator is a narrow map or one keyed aggregation; symmetry detection adds
-one self join on swapped keys of unique cells.
+Each operator is a narrow map or one keyed aggregation.
 """
 
 from __future__ import annotations
@@ -97,20 +96,22 @@ def symmetry_kind(entries: DataFrame, square: bool | DataFrame,
                   by: Sequence[str] = ()) -> DataFrame:
     """Detect symmetric / skew-symmetric / general over the full (expanded) entries.
 
-    Order of the tests: non-square is general; else symmetric if every non-zero
+    Order of the tests: non-square is general; else symmetric if every cell
     ``A(i,j)`` equals ``A(j,i)``; else skew-symmetric if it equals ``-A(j,i)``;
-    else general. One self join on swapped keys of the canonical non-zeros; each
-    cell is unique on both sides, so no key is hot. ``square`` is a flag for one
-    matrix, or a frame ``(by..., n_rows, n_cols)`` when ``by`` keys many.
-    Returns ``(by..., kind)``.
+    else general (an absent cell is 0). A cell and its mirror meet in one keyed sum
+    on ``(least, greatest)``, the only shuffle of entries, combined map-side.
+    ``square`` is a flag for one matrix, or a frame ``(by..., n_rows, n_cols)`` when
+    ``by`` keys many. Returns ``(by..., kind)``.
     """
-    nz = canonicalize(entries, by).where(F.col("v") != 0)
-    mirror = nz.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("mv"))
-    joined = nz.join(mirror, on=[*by, "i", "j"], how="left")
-    mv = F.coalesce(F.col("mv"), F.lit(0).cast(nz.schema["v"].dataType))
-    flags = joined.groupBy(*by).agg(
-        F.bool_and(F.col("v") == mv).alias("is_sym"),
-        F.bool_and(F.col("v") == -mv).alias("is_skew"),
+    i, j, v = F.col("i"), F.col("j"), F.col("v")
+    zero = F.lit(0).cast(entries.schema["v"].dataType)
+    pairs = entries.groupBy(*by, F.least(i, j).alias("a"), F.greatest(i, j).alias("b")).agg(
+        F.coalesce(F.sum(F.when(i > j, v)), zero).alias("low"),
+        F.coalesce(F.sum(F.when(i < j, v)), zero).alias("up"),
+        F.coalesce(F.sum(F.when(i == j, v)), zero).alias("diag"))
+    flags = pairs.groupBy(*by).agg(
+        F.bool_and(F.col("low") == F.col("up")).alias("is_sym"),
+        F.bool_and((F.col("low") == -F.col("up")) & (F.col("diag") == 0)).alias("is_skew"),
     )
     if isinstance(square, DataFrame):
         flags = flags.join(square.select(*by, (F.col("n_rows") == F.col("n_cols")).alias("sq")),

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..operators.checks import check_results as _check_results
 from ..session import scratch_path
-from ..sinks.matrix_market import (write_array, write_matrix_market, write_vector_pairs,
-                                   write_vector_text)
-from ..sources.matrix_market import check_entries, read_entries, read_info, read_matrix, read_vector
+from ..operators import complex as cx
+from ..sinks.matrix_market import (write_array, write_complex_array, write_complex_matrix_market, write_lines,
+                                   write_matrix_market, write_vector_pairs, write_vector_text)
+from ..sources.matrix_market import (check_entries, read_entries, read_info, read_matrix, read_vector,
+                                     valid_entries)
 from ..sources.tables import DriverTables
-from .oracle import N_NATIONS, N_ORDERS, N_PARTS, _with
+from .oracle import _HERM, N_NATIONS, N_ORDERS, N_PARTS, _with
 
 
 def _r(df: DataFrame, digits: int, col: str) -> DataFrame:
@@ -68,14 +70,104 @@ def mm_info(spark, sf):
 
 
 def mm_check(spark, sf):
-    """Declare half the rows on the size line: the checker reports the entries outside."""
+    """A file with a fault of every kind: half the rows declared, every fifth entry
+    malformed, one entry more declared than there are."""
     t = DriverTables(spark, sf)
-    path = scratch_path(spark, "li_cut.mtx")
-    write_matrix_market(t.li(), path, n_rows=t.n_orders // 2)
+    cells = t.li().canonicalize().entries.where(F.col("v") != 0)
+    n = cells.count()
+    text = F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1,
+                       F.when(F.pmod("j", F.lit(5)) == 0, F.lit("?")).otherwise(F.col("v").cast("string")))
+    path = scratch_path(spark, "li_faults.mtx")
+    _write_text(cells, text, path, f"{t.n_orders // 2} {t.n_parts} {n + 1}")
     entries, infos = read_entries(spark, path, by_folder=True)
     return check_entries(entries, infos, spark).select("check", "n")
 
 
+def _write_text(cells: DataFrame, text, path: str, *head: str) -> None:
+    """A coordinate file of hand-made lines: the banner, ``head``, then one per cell."""
+    spark = cells.sparkSession
+    first = spark.createDataFrame([(0, k, 0, line) for k, line in enumerate(
+        ("%%MatrixMarket matrix coordinate real general", *head))], "g int, a long, b long, value string")
+    body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"), text.alias("value"))
+    write_lines(first.unionByName(body), path, partitions=3)
+
+
+def mm_quirks(spark, sf):
+    """Tabs, blank lines of white space, indented comments before and between entries."""
+    t = DriverTables(spark, sf)
+    cells = t.nt().canonicalize().entries.where(F.col("v") != 0)
+    n = cells.count()
+    entry = F.concat(F.lit("  "), (F.col("i") + 1).cast("string"), F.lit("\t "), (F.col("j") + 1).cast("string"),
+                     F.lit("   "), F.col("v").cast("string"), F.lit(" \t"))
+    kinds = F.array(F.struct(F.lit(0).alias("k"), entry.alias("t")),
+                    F.struct(F.lit(1).alias("k"), F.lit("\t % a comment between entries").alias("t")),
+                    F.struct(F.lit(2).alias("k"), F.lit(" \t ").alias("t")))
+    lines = cells.select("i", "j", F.explode(kinds).alias("e")).select(
+        (F.col("i") * 3 + F.col("e.k")).alias("i"), "j", F.col("e.t").alias("t"))
+    path = scratch_path(spark, "quirks.mtx")
+    _write_text(lines, F.col("t"), path, "\t", "   % indented", f"\t{t.n_nations} {t.n_nations}\t{n}")
+    return _r(read_matrix(spark, path, by_folder=True).entries, 2, "v")
+
+
+def mm_graph(spark, sf):
+    """A file read as a graph in one call: edges from row to column."""
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "nt_graph.mtx")
+    write_matrix_market(t.nt(), path)
+    _, edges = read_matrix(spark, path, by_folder=True).graph()
+    return _r(edges, 2, "attr")
+
+
+def mm_skew_round_trip(spark, sf):
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "skew.mtx")
+    write_matrix_market(t.skew().expand().canonicalize(), path)
+    m = read_matrix(spark, path, by_folder=True, partitions=3)
+    if m.symmetry != "skew-symmetric":
+        raise AssertionError(f"detected {m.symmetry}")
+    return _r(m.expand().entries, 2, "v")
+
+
+def mm_array_sym_round_trip(spark, sf):
+    t = DriverTables(spark, sf)
+    path = scratch_path(spark, "sym_array.mtx")
+    kind = write_array(t.sym().expand().canonicalize(), path)
+    m = read_matrix(spark, path, by_folder=True)
+    if (kind, m.symmetry) != ("symmetric", "symmetric"):
+        raise AssertionError(f"detected {kind}, read {m.symmetry}")
+    return _r(m.expand().entries.where("v <> 0"), 2, "v")
+
+
+def mm_array_skew_round_trip(spark, sf):
+    """Both conventions of the triangle, with the zero diagonal and without."""
+    t = DriverTables(spark, sf)
+    out = None
+    for diagonal in (True, False):
+        path = scratch_path(spark, "skew_array.mtx")
+        write_array(t.skew().expand().canonicalize(), path, skew_diagonal=diagonal)
+        m = read_matrix(spark, path, by_folder=True)
+        cells = _r(m.expand().entries.where("v <> 0"), 2, "v").select(F.lit(diagonal).alias("diagonal"), "i", "j", "v")
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
+def mm_complex_round_trip(spark, sf):
+    """Hermitian values as a coordinate and as an array file, the kind detected."""
+    t = DriverTables(spark, sf)
+    full = cx.expand(t.hermitian_trade(), "hermitian")
+    out = None
+    for rep, write in (("coordinate", write_complex_matrix_market), ("array", write_complex_array)):
+        path = scratch_path(spark, f"herm_{rep}.mtx")
+        write(full, path, t.n_nations, t.n_nations)
+        entries, (info,) = read_entries(spark, path, by_folder=True, strict_count=True)
+        if (info.representation, info.symmetry) != (rep, "hermitian"):
+            raise AssertionError(f"read {info}")
+        cells = cx.expand(valid_entries(entries).drop("matrix_id"), info.symmetry).where("v <> 0 or im <> 0")
+        cells = _r(_r(cells, 2, "v"), 2, "im").select(F.lit(rep).alias("representation"), "i", "j", "v", "im")
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
 def vector_round_trip(spark, sf):
     t = DriverTables(spark, sf)
     y = t.li().multiply(t.px())
@@ -127,6 +219,12 @@ FILE_QUERIES = {
     "mm_pattern_round_trip": mm_pattern_round_trip,
     "mm_info": mm_info,
     "mm_check": mm_check,
+    "mm_quirks": mm_quirks,
+    "mm_graph": mm_graph,
+    "mm_skew_round_trip": mm_skew_round_trip,
+    "mm_array_sym_round_trip": mm_array_sym_round_trip,
+    "mm_array_skew_round_trip": mm_array_skew_round_trip,
+    "mm_complex_round_trip": mm_complex_round_trip,
     "vector_round_trip": vector_round_trip,
     "vector_pairs_round_trip": vector_pairs_round_trip,
     "check_results": check_results,
@@ -146,8 +244,24 @@ FILE_ORACLE = {
     "mm_info": _with("canon") + f"SELECT 'coordinate' AS representation, 'real' AS field, "
                                 f"'general' AS symmetry, {N_ORDERS} AS n_rows, {N_PARTS} AS n_cols, "
                                 "count(*) AS nnz FROM canon WHERE v <> 0",
-    "mm_check": _with("canon") + f"SELECT 'out_of_shape' AS \"check\", count(*) AS n FROM canon "
-                                 f"WHERE v <> 0 AND i >= {N_ORDERS} // 2 HAVING count(*) > 0",
+    "mm_check": _with("canon") + f", c AS (SELECT * FROM canon WHERE v <> 0) "
+                                 f"SELECT 'out_of_shape' AS \"check\", count(*) AS n FROM c "
+                                 f"WHERE i >= {N_ORDERS} // 2 AND j % 5 <> 0 HAVING count(*) > 0 UNION ALL "
+                                 "SELECT 'malformed', count(*) FROM c WHERE j % 5 = 0 HAVING count(*) > 0 UNION ALL "
+                                 "SELECT 'count', CAST(-1 AS BIGINT)",
+    "mm_quirks": _with("nt") + "SELECT i, j, ROUND(SUM(v), 2) AS v FROM nt GROUP BY i, j HAVING SUM(v) <> 0",
+    "mm_graph": _with("nt") + "SELECT i AS src, j AS dst, ROUND(SUM(v), 2) AS attr FROM nt GROUP BY i, j "
+                              "HAVING SUM(v) <> 0",
+    "mm_skew_round_trip": _with("skewf") + "SELECT i, j, ROUND(SUM(v), 2) AS v FROM skewf GROUP BY i, j "
+                                           "HAVING SUM(v) <> 0",
+    "mm_array_sym_round_trip": _with("symf") + "SELECT i, j, ROUND(SUM(v), 2) AS v FROM symf GROUP BY i, j "
+                                               "HAVING SUM(v) <> 0",
+    "mm_array_skew_round_trip": _with("skewf") + "SELECT d.diagonal, i, j, ROUND(SUM(v), 2) AS v FROM skewf, "
+                                "(SELECT true AS diagonal UNION ALL SELECT false) d GROUP BY d.diagonal, i, j "
+                                "HAVING SUM(v) <> 0",
+    "mm_complex_round_trip": _HERM + "SELECT r.representation, i, j, ROUND(SUM(v), 2) AS v, ROUND(SUM(im), 2) AS im "
+                             "FROM hf, (SELECT 'coordinate' AS representation UNION ALL SELECT 'array') r "
+                             "GROUP BY r.representation, i, j HAVING SUM(v) <> 0 OR SUM(im) <> 0",
     "vector_round_trip": _with("li", "px") + f", r AS (SELECT CAST(unnest(range(0, {N_ORDERS})) AS BIGINT) AS i), "
                          "y AS (SELECT e.i AS i, SUM(e.v * COALESCE(x.x, 0)) AS x "
                          "FROM li e LEFT JOIN px x ON e.j = x.i GROUP BY e.i) "

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import complex as cx
 from ..operators import structure as st
 from ..operators.power import power_iteration
+from ..operators.repeat import repeat_multiply
 from ..sources.tables import DriverTables
 from ..vector import VectorFrame
 
@@ -136,12 +137,7 @@ def canonicalize(spark, sf):
 
 
 def shape(spark, sf):
-    li = DriverTables(spark, sf).li()
-    computed = st.shape_frame(li.entries)
-    return computed.select(
-        F.greatest(F.lit(li.n_rows).cast("long"), F.col("n_rows")).alias("n_rows"),
-        F.greatest(F.lit(li.n_cols).cast("long"), F.col("n_cols")).alias("n_cols"),
-        F.col("stored"))
+    return DriverTables(spark, sf).li().shape_frame()
 
 
 def nnz(spark, sf):
@@ -155,17 +151,17 @@ def active_size(spark, sf):
 
 
 def indexed_rows(spark, sf):
-    return DriverTables(spark, sf).li().indexed_entries()
+    return DriverTables(spark, sf).li().indexed_entries(width=256)
 
 
 def row_matrix(spark, sf):
-    """Rows without their index: stored count and Euclidean norm of each non-empty row
-    (a row may span several packed segments, so segments are summed per row first)."""
-    packed = DriverTables(spark, sf).li().indexed_rows()
+    """Rows without their order: stored count and Euclidean norm of each non-empty row.
+    The width is below the number of columns, so rows have several segments."""
+    segments = DriverTables(spark, sf).li().row_matrix(width=256)
     sq = F.aggregate("val", F.lit(0.0), lambda a, t: a + t * t)
-    per_row = packed.groupBy("i").agg(F.sum(F.size("idx")).cast("long").alias("nnz"),
-                                      F.sqrt(F.sum(sq)).alias("norm"))
-    return per_row.drop("i")
+    per_row = segments.groupBy("row").agg(F.sum(F.size("idx")).cast("long").alias("nnz"),
+                                          F.sqrt(F.sum(sq)).alias("norm"))
+    return per_row.drop("row")
 
 
 def to_dense(spark, sf):
@@ -231,8 +227,25 @@ def residual(spark, sf):
 
 
 def random_vector(spark, sf):
+    """One draw per part: all are there, no two are equal, and mean and deviation lie
+    within four standard errors of 0 and 1."""
     t = DriverTables(spark, sf)
-    return VectorFrame.random_normal(spark, t.n_parts, seed=42).df
+    draws = t.table("part").select(F.col("p_partkey").cast("long").alias("i")).join(
+        VectorFrame.random_normal(spark, t.n_parts, seed=42).df, "i")
+    n = F.count(F.lit(1))
+    return draws.agg(n.alias("n"), F.countDistinct("x").alias("n_distinct"),
+                     (F.abs(F.avg("x")) <= 4 / F.sqrt(n)).alias("mean_near"),
+                     (F.abs(F.stddev_pop("x") - 1) <= 4 / F.sqrt(2 * n)).alias("deviation_near"))
+
+
+def spmv_repeat(spark, sf):
+    """The repeated product's operand form, built once, gives the plain product."""
+    t = DriverTables(spark, sf)
+    a = t.nt()
+    repeat_multiply(a, t.customers_per_nation(), runs=2, layout="blocked")
+    y = a.multiply(t.customers_per_nation(), layout="blocked")
+    a.unprepare()
+    return _vec(y, 2)
 
 
 def power_step_3(spark, sf):
@@ -299,6 +312,7 @@ QUERIES: dict[str, Query] = {
     "vec_mul": vec_mul,
     "residual": residual,
     "random_vector": random_vector,
+    "spmv_repeat": spmv_repeat,
     "power_step_3": power_step_3,
     "complex_spmv": complex_spmv,
     "hermitian_spmv": hermitian_spmv,

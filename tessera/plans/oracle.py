@@ -6,10 +6,6 @@ each matrix or vector is a CTE, each operator a plain SQL formula for it.
 
 from __future__ import annotations
 
-# Event type words of the events table, in the order of their codes.
-_EVENT_CODE = ("CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 "
-               "WHEN 'signup' THEN 3 WHEN 'error' THEN 4 END")
-
 CTE = {
     "li": "SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j, "
           "l_quantity AS v FROM lineitem",
@@ -23,10 +19,10 @@ CTE = {
     "nodiag": "SELECT i, j, v FROM syms WHERE i <> j UNION ALL SELECT j AS i, i AS j, v FROM syms WHERE i <> j",
     "skewf": "SELECT i, j, v FROM syms WHERE i <> j UNION ALL SELECT j AS i, i AS j, -v AS v FROM syms WHERE i <> j",
     "cpn": "SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(count(*) AS DOUBLE) AS x FROM customer GROUP BY 1",
-    "ev": f"SELECT DISTINCT CAST(user_id AS BIGINT) AS i, CAST({_EVENT_CODE} AS BIGINT) AS j, 1.0 AS v "
-          f"FROM events WHERE {_EVENT_CODE} IS NOT NULL",
-    "ept": f"SELECT CAST({_EVENT_CODE} AS BIGINT) AS i, CAST(count(*) AS DOUBLE) AS x FROM events "
-           f"WHERE {_EVENT_CODE} IS NOT NULL GROUP BY 1",
+    "codes": "SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS code "
+             "FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)",
+    "ev": "SELECT DISTINCT CAST(user_id AS BIGINT) AS i, code AS j, 1.0 AS v FROM events JOIN codes USING (event_type)",
+    "ept": "SELECT code AS i, CAST(count(*) AS DOUBLE) AS x FROM events JOIN codes USING (event_type) GROUP BY 1",
     "em": "SELECT CAST(vec_id AS BIGINT) AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, "
           "CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
     "fe": "SELECT CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i, "
@@ -36,7 +32,7 @@ CTE = {
 }
 
 # which CTEs each CTE needs
-_DEPS = {"syms": ["nt"], "symf": ["syms"], "nodiag": ["syms"], "skewf": ["syms"], "canon": ["li"]}
+_DEPS = {"ev": ["codes"], "ept": ["codes"], "syms": ["nt"], "symf": ["syms"], "nodiag": ["syms"], "skewf": ["syms"], "canon": ["li"]}
 
 N_ORDERS = "(SELECT max(o_orderkey) + 1 FROM orders)"
 N_PARTS = "(SELECT max(p_partkey) + 1 FROM part)"
@@ -138,6 +134,9 @@ ORACLE: dict[str, str] = {
     "spmv_graph": spmv_sql("nt", "cpn", 2),
     "spmv_graph_trans": spmv_sql("nt", "cpn", 2, trans=True),
     "spmv_graph_sym": spmv_sql("symf", "cpn", 2),
+    "spmv_repeat": spmv_sql("nt", "cpn", 2),
+    "random_vector": "SELECT count(*) AS n, count(DISTINCT p_partkey) AS n_distinct, true AS mean_near, "
+                     "true AS deviation_near FROM part",
     "transpose": _with("li") + "SELECT j AS i, i AS j, v FROM li",
     "diagonal": _with("nt") + "SELECT i, ROUND(SUM(v), 2) AS x FROM nt WHERE i = j GROUP BY i",
     "lower_triangle": _with("nt") + "SELECT i, j, v FROM nt WHERE i >= j",

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import number_text
+from ..functions import in_range, number_text
 from ..matrix import MatrixFrame
 from ..operators import structure as st
 from ..session import default_parallelism
@@ -26,8 +26,8 @@ MIN_LINES_PER_FILE = 50_000  # small outputs: no more files than this allows
 
 
 
-def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: str,
-                   rows: int | None = None) -> None:
+def write_lines(lines: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists",
+                rows: int | None = None) -> None:
     """``lines(g, a, b, value)``: write ``value`` ordered by ``(g, a, b)``.
 
     The number of part files follows the (known) line count, not the cluster's
@@ -48,12 +48,44 @@ def _write_ordered(lines: DataFrame, path: str, partitions: int | None, mode: st
 
 
 def detect_symmetry(m: MatrixFrame) -> str:
+    """The storage kind of the values; a matrix that is not square is general."""
+    if m.n_rows != m.n_cols:
+        return "general"
     row = m.symmetry_kind().first()
     return row["kind"] if row else "general"
 
 
+def _storage_kind(m: MatrixFrame, symmetry: str | None) -> str:
+    """The kind to write: detected (``None``), or the declared one if the values allow it,
+    so that no entry of the other triangle is lost."""
+    if symmetry is None:
+        return detect_symmetry(m)
+    kind = st.check_symmetry(symmetry)
+    if kind == "hermitian":   # real values: the same as symmetric
+        kind = "symmetric"
+    if kind == "general" or m.symmetry == kind:
+        return st.check_symmetry(symmetry)
+    found = detect_symmetry(m)
+    if found != kind and not (m.n_rows == m.n_cols and m.nnz() == 0):
+        raise ValueError(f"declared {symmetry}, but the values are {found}")
+    return st.check_symmetry(symmetry)
+
+
+def _triangle(cells: DataFrame, kind: str, skew_diagonal: bool = False) -> DataFrame:
+    if kind == "general":
+        return cells
+    strict = kind == "skew-symmetric" and not skew_diagonal
+    return cells.where(F.col("i") > F.col("j") if strict else F.col("i") >= F.col("j"))
+
+
+def _whole(v, what: str):
+    """The value as a whole number; any other value fails the job."""
+    return F.when(v == v.cast("long"), v.cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit(what + " is not a whole number: "), v.cast("string"))))
+
+
 def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
-                        symmetry: str | None = "general", comments: tuple[str, ...] = (),
+                        symmetry: str | None = None, comments: tuple[str, ...] = (),
                         precision: int | None = None, n_rows: int | None = None,
                         n_cols: int | None = None, partitions: int | None = None,
                         mode: str = "errorifexists", date_stamp: bool = False) -> int:
@@ -63,19 +95,19 @@ def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
     (off by default, so that the output is deterministic).
 
     ``symmetry=None`` detects it (symmetric, skew-symmetric or general, in that
-    order); a triangle kind stores the lower triangle. ``field`` is ``real``,
-    ``integer`` or ``pattern``; ``precision`` = significant digits (None: exact
-    round-trip text). Duplicates are summed; entries are in column-major order.
-    ``n_rows`` / ``n_cols`` override the declared shape (the checker reports
-    entries outside it).
+    order); a triangle kind stores the lower triangle, and a declared kind that the
+    values contradict is refused. ``field`` is ``real``, ``integer`` (a value that is
+    not whole fails the job) or ``pattern``; ``precision`` = significant digits (None:
+    exact round-trip text). Duplicates are summed; entries are in column-major order.
+    An entry outside the shape fails the job, unless ``n_rows`` / ``n_cols`` override
+    the declared shape (the checker then reports such entries).
     """
     if field not in ("real", "integer", "pattern"):
         raise ValueError(f"unsupported field {field!r}")
-    sym = detect_symmetry(m) if symmetry is None else st.check_symmetry(symmetry)
-    cells = st.canonicalize(m.full_entries()).where(F.col("v") != 0)
-    if sym != "general":
-        cells = cells.where(F.col("i") > F.col("j") if sym == "skew-symmetric"
-                            else F.col("i") >= F.col("j"))
+    sym = _storage_kind(m, symmetry)
+    own_shape = n_rows is None and n_cols is None
+    cells = m.checked_cells() if own_shape else st.canonicalize(m.full_entries())
+    cells = _triangle(cells.where(F.col("v") != 0), sym)
     # the count (size line), the range sample and the write share one computation
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     count = cells.count()
@@ -96,40 +128,87 @@ def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
     if field == "pattern":
         text = F.concat_ws(" ", i1, j1)
     elif field == "integer":
-        text = F.concat_ws(" ", i1, j1, F.col("v").cast("long").cast("string"))
+        text = F.concat_ws(" ", i1, j1, _whole(F.col("v"), "integer field: value").cast("string"))
     else:
         text = F.concat_ws(" ", i1, j1, number_text(F.col("v"), precision))
     body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),
                         text.alias("value"))
     try:
-        _write_ordered(head.unionByName(body), path, partitions, mode, rows=count + len(header))
+        write_lines(head.unionByName(body), path, partitions, mode, rows=count + len(header))
     finally:
         cells.unpersist()
     return count
 
 
-def write_array(m: MatrixFrame, path: str, *, symmetry: str = "general",
+def write_array(m: MatrixFrame, path: str, *, symmetry: str | None = None, skew_diagonal: bool = True,
                 precision: int | None = None, partitions: int | None = None,
-                mode: str = "errorifexists") -> None:
-    """Dense ``array real`` file, column-major. ``symmetric`` writes each column from
-    the diagonal down, ``skew-symmetric`` from below the diagonal (the densified
-    matrix: only for shapes whose cell count is meant to be written)."""
-    sym = st.check_symmetry(symmetry)
-    if sym == "hermitian":
-        raise ValueError("hermitian array output needs complex values")
-    if sym != "general" and m.n_rows != m.n_cols:
-        raise ValueError(f"{sym} array output needs a square matrix, got {m.shape}")
-    dense = m.to_dense()
-    if sym == "symmetric":
-        dense = dense.where(F.col("i") >= F.col("j"))
-    elif sym == "skew-symmetric":
-        dense = dense.where(F.col("i") > F.col("j"))
-    header = [f"%%MatrixMarket matrix array real {sym}", f"{m.n_rows} {m.n_cols}"]
-    head = m.spark.createDataFrame([(0, k, 0, line) for k, line in enumerate(header)],
-                                   "g int, a long, b long, value string")
-    body = dense.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),
-                        number_text(F.col("v"), precision).alias("value"))
-    _write_ordered(head.unionByName(body), path, partitions, mode, rows=m.n_rows * m.n_cols)
+                mode: str = "errorifexists") -> str:
+    """Dense ``array real`` file, column-major; returns the storage kind.
+
+    ``symmetry=None`` detects it; a declared kind that the values contradict is refused.
+    A triangle kind writes each column from the diagonal down; for ``skew-symmetric``
+    that includes the zero diagonal, or not with ``skew_diagonal=False`` (the reader
+    takes both). Only for shapes whose cell count is meant to be written."""
+    kind = _storage_kind(m, symmetry)
+    if kind == "hermitian":
+        raise ValueError("hermitian array output needs complex values; use write_complex_array")
+    dense = _triangle(m.to_dense(), kind, skew_diagonal)
+    _write_dense(dense.select("i", "j", number_text(F.col("v"), precision).alias("value")), path,
+                 f"array real {kind}", m.n_rows, m.n_cols, partitions, mode)
+    return kind
+
+
+def _write_dense(cells: DataFrame, path: str, words: str, n_rows: int, n_cols: int, partitions: int | None,
+                 mode: str) -> None:
+    head = cells.sparkSession.createDataFrame(
+        [(0, 0, 0, f"%%MatrixMarket matrix {words}"), (0, 1, 0, f"{n_rows} {n_cols}")],
+        "g int, a long, b long, value string")
+    body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"), "value")
+    # the range sample and the write share one computation
+    body = body.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        write_lines(head.unionByName(body), path, partitions, mode, rows=n_rows * n_cols)
+    finally:
+        body.unpersist()
+
+
+def write_complex_array(entries: DataFrame, path: str, n_rows: int, n_cols: int, *, symmetry: str | None = None,
+                        skew_diagonal: bool = True, precision: int | None = None, partitions: int | None = None,
+                        mode: str = "errorifexists") -> str:
+    """Dense ``array complex`` file of full entries ``(i, j, v, im)``; returns the kind.
+    Kinds as in ``write_array``, and ``hermitian``."""
+    from ..operators import complex as cx
+
+    kind = _complex_kind(entries, n_rows, n_cols, symmetry)
+    if n_rows * n_cols >= 1 << 63:
+        raise ValueError(f"a dense {n_rows} x {n_cols} matrix has more than 2**63 cells")
+    cells = _checked_complex(cx.canonicalize(entries), n_rows, n_cols)
+    grid = entries.sparkSession.range(n_rows * n_cols).select(
+        F.expr(f"id div {n_cols}").alias("i"), F.expr(f"id % {n_cols}").alias("j"))
+    dense = grid.join(cells, on=["i", "j"], how="left").fillna(0.0, ["v", "im"])
+    text = F.concat_ws(" ", number_text(F.col("v"), precision), number_text(F.col("im"), precision))
+    _write_dense(_triangle(dense, kind, skew_diagonal).select("i", "j", text.alias("value")), path,
+                 f"array complex {kind}", n_rows, n_cols, partitions, mode)
+    return kind
+
+
+def _complex_kind(entries: DataFrame, n_rows: int, n_cols: int, symmetry: str | None) -> str:
+    from ..operators import complex as cx
+
+    if symmetry is not None and st.check_symmetry(symmetry) == "general":
+        return "general"
+    row = cx.describe(entries, n_rows == n_cols).first()
+    found = row["kind"] if row else "general"
+    if symmetry is None or symmetry == found:
+        return found
+    if symmetry == "hermitian" and found == "symmetric" and row["field"] == "real":
+        return symmetry
+    raise ValueError(f"declared {symmetry}, but the values are {found}")
+
+
+def _checked_complex(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    i, j = F.col("i"), F.col("j")
+    return cells.select("i", "j", in_range(i, n_rows, in_range(j, n_cols, F.col("v"))).alias("v"), "im")
 
 
 def write_vector_text(x: VectorFrame, path: str, *, precision: int | None = None,
@@ -138,7 +217,12 @@ def write_vector_text(x: VectorFrame, path: str, *, precision: int | None = None
     dense = x.to_dense().df
     lines = dense.select(F.lit(1).alias("g"), F.col("i").alias("a"), F.lit(0).cast("long").alias("b"),
                          number_text(F.col("x"), precision).alias("value"))
-    _write_ordered(lines, path, partitions, mode, rows=x.length)
+    # the range sample and the write share one computation
+    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        write_lines(lines, path, partitions, mode, rows=x.length)
+    finally:
+        lines.unpersist()
 
 
 def write_vector_pairs(x: VectorFrame, path: str, mode: str = "errorifexists") -> None:
@@ -151,17 +235,18 @@ def write_complex_matrix_market(entries: DataFrame, path: str, n_rows: int, n_co
                                 precision: int | None = None, partitions: int | None = None,
                                 mode: str = "errorifexists") -> tuple[str, str, int]:
     """Write full complex entries ``(i, j, v, im)``. ``field=None`` detects real vs
-    complex (no non-zero imaginary part: ``real``, imaginary parts dropped);
-    ``symmetry=None`` detects symmetric, skew-symmetric, hermitian or general.
-    Returns ``(field, symmetry, count)``."""
+    complex (no non-zero imaginary part: ``real``); ``field="real"`` is refused for
+    complex values. ``symmetry=None`` detects symmetric, skew-symmetric, hermitian or
+    general; a declared kind that the values contradict is refused. Returns ``(field, symmetry, count)``."""
     from ..operators import complex as cx
 
-    fld = field or cx.value_field(entries).first()["field"]
-    sym = symmetry or cx.symmetry_kind(entries, n_rows == n_cols).first()["kind"]
-    cells = cx.canonicalize(entries).where((F.col("v") != 0) | (F.col("im") != 0))
-    if sym != "general":
-        cells = cells.where(F.col("i") > F.col("j") if sym == "skew-symmetric"
-                            else F.col("i") >= F.col("j"))
+    found = cx.value_field(entries).first()["field"]
+    if field == "real" and found == "complex":
+        raise ValueError("field real, but the values have imaginary parts")
+    fld = field or found
+    sym = _complex_kind(entries, n_rows, n_cols, symmetry)
+    cells = _checked_complex(cx.canonicalize(entries), n_rows, n_cols)
+    cells = _triangle(cells.where((F.col("v") != 0) | (F.col("im") != 0)), sym)
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     count = cells.count()
     header = [f"%%MatrixMarket matrix coordinate {fld} {sym}", f"{n_rows} {n_cols} {count}"]
@@ -174,7 +259,7 @@ def write_complex_matrix_market(entries: DataFrame, path: str, n_rows: int, n_co
     body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"),
                         F.concat_ws(" ", *parts).alias("value"))
     try:
-        _write_ordered(head.unionByName(body), path, partitions, mode, rows=count + len(header))
+        write_lines(head.unionByName(body), path, partitions, mode, rows=count + len(header))
     finally:
         cells.unpersist()
     return fld, sym, count

@@ -14,8 +14,10 @@ rebuilt inside one Spark plan, without a shuffle of the lines:
    Position 0 is the size line, 1.. are entries (or array values).
 
 Both scans of a file sit in the same plan, so a recomputed task sees the same
-splits and counters. Only header facts reach the driver: one row per matrix, or for a
-single matrix its first lines (at most ``HEAD_LINES``) from the start of its first file.
+splits and counters; the split table also gives the number of kept lines per matrix.
+One rule tells data lines from blank and comment lines everywhere (``SKIPPED_LINE``).
+Only header facts reach the driver: one row per matrix, or for a single coordinate
+matrix the first line and the first data line of its first file.
 
 A *matrix key* is the file path, or the folder for a multi-part folder as the
 writer of this package produces (parts in name order).
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from ..functions import to_double, to_long, tokens
 from ..matrix import MatrixFrame
 from ..operators.structure import SYMMETRIES
+from ..plans import may_broadcast
 from ..vector import VectorFrame
 
 # Matrix Market banner words.
@@ -40,6 +44,8 @@ OBJECTS = ("matrix",)
 REPRESENTATIONS = ("coordinate", "array")
 FIELDS = ("real", "integer", "pattern", "complex")
 
+SKIPPED_LINE = r"^\s*(%.*)?$"   # blank lines and comments: every other line is data
+
 
 @dataclass(frozen=True)
 class MatrixInfo:
@@ -52,11 +58,13 @@ class MatrixInfo:
     n_cols: int
     nnz: int          # entries declared on the size line (array: rows * cols or triangle)
     data_lines: int | None   # kept lines after the size line (None: not counted)
+    diagonal: bool = True    # array files of one triangle: the diagonal is listed
 
 
-def _list_files(spark: SparkSession, path: str) -> list[str]:
-    """The input files of ``path`` (Spark's own listing); called once per read."""
-    return list(spark.read.text(path).inputFiles())
+def _list_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The input files of ``path`` (Spark's own listing); called once per read.
+    Spark gives them as encoded URIs, which are decoded to be read again."""
+    return [unquote(f) for f in spark.read.text(path).inputFiles()]
 
 
 def resolve_by_folder(spark: SparkSession, path: str, by_folder: bool | None,
@@ -69,7 +77,7 @@ def resolve_by_folder(spark: SparkSession, path: str, by_folder: bool | None,
     return bool(files) and all(f.rsplit("/", 1)[-1].startswith("part-") for f in files)
 
 
-def _lines(spark: SparkSession, path: str, by_folder: bool) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], by_folder: bool) -> DataFrame:
     raw = spark.read.text(path)
     f = F.col("_metadata.file_path")
     key = F.regexp_extract(f, r"^(.*)/[^/]*$", 1) if by_folder else f
@@ -89,33 +97,40 @@ def _file_order(path: str) -> tuple[int, str]:
     return (int(m.group(1)) if m else 0, path)
 
 
-def _is_comment(value: Column) -> Column:
-    return F.ltrim(value).startswith("%")
+def _is_data(value: Column) -> Column:
+    return ~value.rlike(SKIPPED_LINE)
+
+
+def _is_banner(value: Column) -> Column:
+    return value.rlike(r"(?i)^\s*" + re.escape(BANNER))
 
 
-def _is_blank(value: Column) -> Column:
-    return F.trim(value) == ""
+def hint_small(spark: SparkSession, df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint where ``rows``, a proven bound, allows it; Spark chooses beyond."""
+    return F.broadcast(df) if may_broadcast(spark, rows) else df
 
 
 def positioned(lines: DataFrame) -> DataFrame:
-    """Kept (non-blank, non-comment) lines with ``p``: 0-based position in their matrix."""
-    kept = (lines.where(~_is_comment(F.col("value")) & ~_is_blank(F.col("value")))
-            .withColumn("m", F.monotonically_increasing_id()))
-    splits = kept.groupBy("key", "f", "b").agg(F.min("m").alias("m0"), F.count(F.lit(1)).alias("n"))
-    before = (Window.partitionBy("key").orderBy(_part_no(F.col("f")), "f", "b")
+    """Kept (non-blank, non-comment) lines with ``p``: 0-based position in their matrix,
+    and ``n_lines``: the number of kept lines of the matrix."""
+    spark = lines.sparkSession
+    kept = (lines.where(_is_data(F.col("value")))
+            .withColumn("m", F.monotonically_increasing_id()).withColumn("fid", F.xxhash64("f")))
+    splits = kept.groupBy("key", "f", "fid", "b").agg(F.min("m").alias("m0"), F.count(F.lit(1)).alias("n"))
+    of_key = Window.partitionBy("key")
+    before = (of_key.orderBy(_part_no(F.col("f")), "f", "b")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = splits.select("f", "b", "m0",
-                            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    # one row per file split, about 100 bytes (the path) per 128 MB of input: broadcast
-    return (kept.join(F.broadcast(offsets), on=["f", "b"])
-            .select("key", "value", (F.col("off") + F.col("m") - F.col("m0")).alias("p")))
+    offsets = splits.select("fid", "b", "m0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"),
+                            F.sum("n").over(of_key).alias("n_lines"))
+    # one row of five numbers per file split: a partition holds whole splits, a small file is one
+    n_splits = lines.rdd.getNumPartitions() + len(lines.inputFiles())
+    return (kept.join(hint_small(spark, offsets, n_splits), on=["fid", "b"])
+            .select("key", "value", (F.col("off") + F.col("m") - F.col("m0")).alias("p"), "n_lines"))
 
 
 def _matrix_id(key: Column) -> Column:
-    return F.regexp_extract(key, r"([^/]+)$", 1)
-
-
-HEAD_LINES = 2000   # lines taken from the start of a single matrix to find its header
+    """The decoded last part of a key (keys are encoded URIs)."""
+    return F.url_decode(F.replace(F.regexp_extract(key, r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
 
 
 def _parse_header(key: str, banner: str, size_line: str | None,
@@ -126,53 +141,56 @@ def _parse_header(key: str, banner: str, size_line: str | None,
     obj, rep, field, sym = words[1:5]
     if obj not in OBJECTS or rep not in REPRESENTATIONS or field not in FIELDS or sym not in SYMMETRIES:
         raise ValueError(f"{key}: unknown banner words {words[1:5]}")
+    if rep == "array" and field == "pattern":
+        raise ValueError(f"{key}: an array file cannot have pattern entries")
     if size_line is None:
         raise ValueError(f"{key}: no size line")
     size = size_line.split()
     if rep == "coordinate" and len(size) < 3 or rep == "array" and len(size) < 2:
         raise ValueError(f"{key}: bad size line {size}")
     n_rows, n_cols = int(size[0]), int(size[1])
+    diagonal = True
     if rep == "coordinate":
         nnz = int(size[2])
     elif sym == "general":
         nnz = n_rows * n_cols
     elif sym == "skew-symmetric":
-        nnz = n_rows * (n_rows - 1) // 2
+        # some writers list the zero diagonal as well; the counted lines tell which
+        diagonal = data_lines == n_rows * (n_rows + 1) // 2 and n_rows > 0
+        nnz = n_rows * (n_rows + 1) // 2 if diagonal else n_rows * (n_rows - 1) // 2
     else:
         nnz = n_rows * (n_rows + 1) // 2
-    return MatrixInfo(key, key.rstrip("/").rsplit("/", 1)[-1], rep, field, sym,
-                      n_rows, n_cols, nnz, data_lines)
+    return MatrixInfo(key, unquote(key.rstrip("/").rsplit("/", 1)[-1]), rep, field, sym,
+                      n_rows, n_cols, nnz, data_lines, diagonal)
 
 
 def _head_info(spark: SparkSession, path: str, by_folder: bool,
                files: list[str]) -> list[MatrixInfo] | None:
-    """Header of a single matrix from the first lines of its first file only.
+    """Header of a single coordinate matrix from the start of its first file.
 
-    ``limit(...).collect()`` runs incrementally from partition 0, which holds the
-    first split of the file, so only the start of the file is read instead of all
-    of it. ``None`` (use the full aggregation) for several matrices, or when the
-    header is not within the first ``HEAD_LINES`` lines of the first split."""
+    Two jobs with a limit of one row, which run from the file's first split on: the
+    first line, and the first line that is data by the one rule for it. A row from
+    the split at byte 0 is the first of the file, so this equals the full route.
+    ``None`` (use the full route) for several matrices, for array files, whose lines
+    are counted, and where either line is not in the first split."""
     files = sorted(files, key=_file_order)
     if not files:
         return None
     keys = {f.rsplit("/", 1)[0] for f in files} if by_folder else set(files)
     if len(keys) != 1:
         return None
-    rows = (spark.read.text(files[0])
-            .select("value", F.col("_metadata.file_path").alias("f"),
-                    F.col("_metadata.file_block_start").alias("b"))
-            .limit(HEAD_LINES).collect())
-    if not rows or any(r["b"] != 0 for r in rows):
+    lines = spark.read.text(files[0]).select(
+        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    first, size = lines.limit(1).collect(), lines.where(_is_data(F.col("value"))).limit(1).collect()
+    if not first or not size or first[0]["b"] != 0 or size[0]["b"] != 0:
         return None
-    f = rows[0]["f"]
+    f = first[0]["f"]
     key = re.match(r"^(.*)/[^/]*$", f).group(1) if by_folder else f
-    if not rows[0]["value"].lstrip().lower().startswith(BANNER):
+    banner = first[0]["value"]
+    if not banner.lstrip().lower().startswith(BANNER):
         raise ValueError(f"{key}: first line is not a %%MatrixMarket banner")
-    for r in rows[1:]:
-        t = r["value"].strip()
-        if t and not t.startswith("%"):
-            return [_parse_header(key, rows[0]["value"], t, None)]
-    return None
+    info = _parse_header(key, banner, size[0]["value"], None)
+    return [info] if info.representation == "coordinate" else None
 
 
 def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
@@ -180,7 +198,7 @@ def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
     """Header facts of every matrix under ``path`` (a file, folder or glob), one
     row per matrix to the driver. Banner words are matched case-insensitively.
 
-    A single matrix is read from its first lines only (see ``_head_info``).
+    A single coordinate matrix is read from its first lines (see ``_head_info``).
     Otherwise, or with ``full=True`` (which also counts the data lines), one job
     aggregates all lines: per split on long counters only (first line, first banner
     line, first kept line, kept count), then per matrix over the split rows.
@@ -195,11 +213,8 @@ def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
     v = F.col("value")
     m = F.col("m")
     lines = _lines(spark, path, by_folder).withColumn("m", F.monotonically_increasing_id())
-    is_comment = _is_comment(v)
-    is_banner = is_comment & F.lower(F.ltrim(v)).startswith(BANNER)
-    kept = ~is_comment & ~_is_blank(v)
-    m_banner = F.when(is_banner, m)
-    m_kept = F.when(kept, m)
+    m_banner = F.when(_is_banner(v), m)
+    m_kept = F.when(_is_data(v), m)
     lines = lines.withColumn("pn", _part_no(F.col("f")))
     per_split = lines.groupBy("key", "pn", "f", "b").agg(
         F.min(m).alias("m_first"),
@@ -227,16 +242,16 @@ def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
 def info_frame(spark: SparkSession, infos: list[MatrixInfo]) -> DataFrame:
     return spark.createDataFrame(
         [(m.key, m.matrix_id, m.representation, m.field, m.symmetry, m.n_rows, m.n_cols, m.nnz,
-          m.data_lines) for m in infos],
+          m.data_lines, m.diagonal) for m in infos],
         "key string, matrix_id string, representation string, field string, symmetry string, "
-        "n_rows long, n_cols long, nnz long, data_lines long")
+        "n_rows long, n_cols long, nnz long, data_lines long, diagonal boolean")
 
 
 def read_info_frame(spark: SparkSession, path: str, by_folder: bool | None = None,
                     full: bool = False) -> DataFrame:
     """``read_info`` as a DataFrame, one row per matrix (``matrix_id, representation,
     field, symmetry, n_rows, n_cols, nnz, data_lines``)."""
-    return info_frame(spark, read_info(spark, path, by_folder, full)).drop("key")
+    return info_frame(spark, read_info(spark, path, by_folder, full)).drop("key", "diagonal")
 
 
 def _with_array_position(t: DataFrame) -> DataFrame:
@@ -244,7 +259,7 @@ def _with_array_position(t: DataFrame) -> DataFrame:
     the diagonal (symmetric) or below it (skew-symmetric) down. One projection per
     step, so that no expression is inlined twice."""
     k, n = F.col("k"), F.col("n_rows")
-    skew = F.col("symmetry") == "skew-symmetric"
+    skew = (F.col("symmetry") == "skew-symmetric") & ~F.col("diagonal")
     # values in column j before it: j*n - j(j-1)/2 (with diagonal), j*(n-1) - j(j-1)/2 (without)
     d = F.when(skew, n - 1).otherwise(n).cast("double")
     t = t.withColumn("_a", F.lit(2.0) * d + F.lit(1.0))
@@ -265,20 +280,31 @@ def _with_array_position(t: DataFrame) -> DataFrame:
             .drop("_a", "_j"))
 
 
-def read_entries(spark: SparkSession, path: str, by_folder: bool | None = None,
-                 infos: list[MatrixInfo] | None = None) -> tuple[DataFrame, list[MatrixInfo]]:
-    """Stored entries of every matrix under ``path`` as ``(matrix_id, i, j, v[, im], ok)``.
+def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | None = None,
+                 infos: list[MatrixInfo] | None = None,
+                 strict_count: bool = False) -> tuple[DataFrame, list[MatrixInfo]]:
+    """Stored entries of every matrix under ``path`` as
+    ``(key, matrix_id, i, j, v[, im], ok, inside, line)``.
 
     0-based indices; ``pattern`` gives 1.0; ``complex`` gives ``v`` = real part and
     ``im``; ``array`` files give their values at column-major positions. ``ok`` is
-    false for a malformed line (kept, so that the checker can report it).
+    false for a malformed line, ``inside`` for an entry outside the declared shape
+    (both kept, so that the checker can report them). ``key`` names a matrix: its path;
+    ``matrix_id``, its last part, may repeat across folders. ``strict_count``: a
+    matrix whose data lines are not as many as its size line says fails the job.
     """
     files = _list_files(spark, path) if infos is None or by_folder is None else None
     by_folder = resolve_by_folder(spark, path, by_folder, files)
     infos = infos if infos is not None else read_info(spark, path, by_folder, files=files)
-    info = F.broadcast(info_frame(spark, infos))  # one row per matrix
-    pos = positioned(_lines(spark, path, by_folder)).where(F.col("p") >= 1)
-    t = pos.join(info, on="key").withColumn("tok", tokens(F.col("value")))
+    info = hint_small(spark, info_frame(spark, infos), len(infos))  # one row per matrix
+    t = positioned(_lines(spark, path, by_folder)).join(info, on="key")
+    entry = F.col("p") >= 1
+    if strict_count:   # the size line itself carries the check, once per matrix
+        short = F.raise_error(F.concat(F.col("key"), F.lit(": the size line declares "), F.col("nnz").cast("string"),
+                                       F.lit(" entries, the file holds "), (F.col("n_lines") - 1).cast("string")))
+        entry = F.when(F.col("p") >= 1, F.lit(True)).when(F.col("n_lines") - 1 == F.col("nnz"), F.lit(False)) \
+            .otherwise(short.cast("boolean"))
+    t = t.where(entry).withColumn("tok", tokens(F.col("value")))
     tok = lambda k: F.get(F.col("tok"), k)
     kinds = {(m.representation, m.field) for m in infos}
     # per-row choice only when the files differ; otherwise plain expressions
@@ -304,22 +330,29 @@ def read_entries(spark: SparkSession, path: str, by_folder: bool | None = None,
         .otherwise(F.when(field == "complex", 2).otherwise(1))
     ok = (i.isNotNull() & j.isNotNull() & v.isNotNull() & (F.size("tok") == want)
           & ((field != "complex") | im.isNotNull()))
-    cols = [F.col("matrix_id"), i.alias("i"), j.alias("j"), v.alias("v")]
+    inside = (i >= 0) & (j >= 0) & (i < F.col("n_rows")) & (j < F.col("n_cols"))
+    cols = [F.col("key"), F.col("matrix_id"), i.alias("i"), j.alias("j"), v.alias("v")]
     if any(m.field == "complex" for m in infos):
         cols.append(im.alias("im"))
-    return t.select(*cols, ok.alias("ok"), F.col("value").alias("line")), infos
+    return t.select(*cols, ok.alias("ok"), F.coalesce(inside, F.lit(False)).alias("inside"),
+                    F.col("value").alias("line")), infos
 
 
 def valid_entries(entries: DataFrame, strict: bool = True) -> DataFrame:
-    """Entries without the ``ok`` / ``line`` columns. ``strict``: a malformed line
-    fails the job when the scan reaches it (``raise_error``, no extra pass over
-    the data); otherwise malformed lines are left out, as the caller asked."""
-    keep = [c for c in entries.columns if c not in ("ok", "line")]
+    """Entries without the check columns. ``strict``: a malformed line, or an entry
+    outside the declared shape, fails the job when the scan reaches it
+    (``raise_error``, no extra pass over the data); otherwise malformed lines are left
+    out, as the caller asked, and entries outside the shape are kept."""
+    keep = [c for c in entries.columns if c not in ("ok", "inside", "line", "key")]
     if not strict:
         return entries.where("ok").select(*keep)
-    fail = F.raise_error(F.concat(F.lit("malformed Matrix Market line in "),
-                                  F.col("matrix_id"), F.lit(": "), F.col("line")))
-    return entries.select(*[F.when(F.col("ok"), F.col(c)).otherwise(fail).alias(c)
+
+    def fail(what: str) -> Column:
+        return F.raise_error(F.concat(F.lit(what + " in "), F.col("matrix_id"), F.lit(": "), F.col("line")))
+
+    return entries.select(*[F.when(F.col("ok") & F.col("inside"), F.col(c))
+                            .when(~F.col("ok"), fail("malformed Matrix Market line"))
+                            .otherwise(fail("entry outside the declared shape")).alias(c)
                             if c in ("i", "j", "v") else F.col(c) for c in keep])
 
 
@@ -327,9 +360,10 @@ def read_matrix(spark: SparkSession, path: str, by_folder: bool | None = None,
                 partitions: int | None = None, strict: bool = True) -> MatrixFrame:
     """One Matrix Market matrix as a ``MatrixFrame`` with the declared shape and
     storage symmetry (only the stored triangle is kept; products expand it).
-    A malformed line fails the job (``strict``) or is left out (``strict=False``);
-    ``check_entries`` reports all violations without failing."""
-    entries, infos = read_entries(spark, path, by_folder)
+    A malformed line, an entry outside the declared shape and a wrong number of entries
+    fail the job (``strict``); with ``strict=False`` malformed lines are left out and the
+    rest is taken as it stands. ``check_entries`` reports all violations without failing."""
+    entries, infos = read_entries(spark, path, by_folder, strict_count=strict)
     if len(infos) != 1:
         raise ValueError(f"{path}: expected one matrix, found {len(infos)}; use read_entries")
     m = infos[0]
@@ -353,10 +387,20 @@ def _number(value: Column, strict: bool) -> Column:
 def read_vector(spark: SparkSession, path: str, length: int | None = None,
                 strict: bool = True) -> VectorFrame:
     """Dense vector text, one number per line, line order = index (blank lines skipped).
-    A line that is not a number fails the job (``strict``) or reads as null."""
-    pos = positioned(_lines(spark, path, by_folder=True))
-    df = pos.select(F.col("p").alias("i"), _number(F.col("value"), strict).alias("x"))
-    return VectorFrame(df, length, unique=True)
+    A line that is not a number, or a number of lines other than ``length``, fails the
+    job (``strict``); otherwise such a line reads as null. One file, or one folder of
+    ``part-*`` files; several vectors are refused."""
+    files = _list_files(spark, path)
+    by_folder = resolve_by_folder(spark, path, None, files)
+    keys = {f.rsplit("/", 1)[0] for f in files} if by_folder else set(files)
+    if len(keys) > 1:
+        raise ValueError(f"{path}: expected one vector, found {len(keys)}; use read_vectors")
+    pos = positioned(_lines(spark, path, by_folder=by_folder))
+    x = _number(F.col("value"), strict)
+    if strict and length is not None:
+        x = F.when(F.col("n_lines") == int(length), x).otherwise(F.raise_error(F.concat(
+            F.lit(f"vector of declared length {int(length)} has "), F.col("n_lines").cast("string"), F.lit(" lines"))))
+    return VectorFrame(pos.select(F.col("p").alias("i"), x.alias("x")), length, unique=True)
 
 
 def read_vectors(spark: SparkSession, path: str, by_folder: bool | None = None,
@@ -372,18 +416,16 @@ def check_entries(entries: DataFrame, infos: list[MatrixInfo], spark: SparkSessi
     """Violations per matrix as ``(matrix_id, check, n)``, only checks with n > 0:
     ``malformed`` lines, entries ``out_of_shape``, ``count`` = data lines minus the
     declared number, ``upper_triangle`` entries in a triangle-stored file."""
-    info = F.broadcast(info_frame(spark, infos).select("matrix_id", "n_rows", "n_cols", "symmetry",
-                                                       "nnz"))
-    e = entries.join(info, on="matrix_id")
-    bad_shape = F.col("ok") & ((F.col("i") < 0) | (F.col("j") < 0) | (F.col("i") >= F.col("n_rows"))
-                               | (F.col("j") >= F.col("n_cols")))
+    info = hint_small(spark, info_frame(spark, infos).select("key", "matrix_id", "symmetry", "nnz"), len(infos))
+    e = entries.drop("matrix_id").join(info, on="key")
+    bad_shape = F.col("ok") & ~F.col("inside")
     upper = F.col("ok") & (F.col("symmetry") != "general") & (F.col("i") < F.col("j"))
-    agg = e.groupBy("matrix_id").agg(
+    agg = e.groupBy("key").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count(F.when(~F.col("ok"), 1)).alias("malformed"),
         F.count(F.when(bad_shape, 1)).alias("out_of_shape"),
         F.count(F.when(upper, 1)).alias("upper_triangle"))
-    full = (info.select("matrix_id", "nnz").join(agg, on="matrix_id", how="left").fillna(0)
+    full = (info.select("key", "matrix_id", "nnz").join(agg, on="key", how="left").fillna(0)
             .withColumn("count", F.col("lines") - F.col("nnz")))
     stacked = full.select("matrix_id", F.expr(
         "stack(4, 'count', `count`, 'malformed', malformed, 'out_of_shape', out_of_shape, "

@@ -24,25 +24,15 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..matrix import MatrixFrame
 from ..vector import VectorFrame
 
-# Event type words of the events table, in the order of their codes.
-EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
-
 EXACT = "decimal(15,2)"   # the tables' prices and quantities have two decimals
 
 
-def event_type_code(c: Column) -> Column:
-    out = F.lit(None).cast("long")
-    for k, word in reversed(list(enumerate(EVENT_TYPES))):
-        out = F.when(c == word, F.lit(k).cast("long")).otherwise(out)
-    return out
-
-
 class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -128,11 +118,21 @@ class DriverTables:
                         F.col("val").cast("double").alias("v"))
         return MatrixFrame(df)
 
+    def event_codes(self) -> DataFrame:
+        """``(event_type, code)``: the distinct types of the table in alphabetical order,
+        numbered from 0 (one row per type, whatever the number of events)."""
+        types = self.table("events").select("event_type").where("event_type is not null").distinct()
+        code = F.row_number().over(Window.orderBy("event_type")).cast("long") - 1
+        return types.select("event_type", code.alias("code"))
+
+    @cached_property
+    def n_event_types(self) -> int:
+        return self.table("events").agg(F.countDistinct("event_type")).first()[0]
+
     def ev(self) -> MatrixFrame:
-        ev = self.table("events").select(
-            F.col("user_id").alias("i"), event_type_code(F.col("event_type")).alias("j"))
-        pat = ev.where(F.col("j").isNotNull()).distinct()
-        return MatrixFrame.from_df(pat, v=None, n_cols=len(EVENT_TYPES))
+        ev = self.table("events").select("user_id", "event_type").join(self.event_codes(), "event_type")
+        pat = ev.select(F.col("user_id").alias("i"), F.col("code").alias("j")).distinct()
+        return MatrixFrame.from_df(pat, v=None, n_cols=self.n_event_types)
 
     def li_complex(self) -> DataFrame:
         """Complex entries ``(i, j, v, im)``: lineitem quantity + i * (discount in percent)."""
@@ -178,9 +178,9 @@ class DriverTables:
         return VectorFrame(df, lambda: self.n_nations, True)
 
     def events_per_type(self) -> VectorFrame:
-        ev = self.table("events").select(event_type_code(F.col("event_type")).alias("i"))
-        df = ev.where(F.col("i").isNotNull()).groupBy("i").agg(F.count(F.lit(1)).cast("double").alias("x"))
-        return VectorFrame(df, len(EVENT_TYPES), True)
+        ev = self.table("events").join(self.event_codes(), "event_type")
+        df = ev.groupBy(F.col("code").alias("i")).agg(F.count(F.lit(1)).cast("double").alias("x"))
+        return VectorFrame(df, self.n_event_types, True)
 
     def first_embedding(self) -> VectorFrame:
         """The embedding of the smallest vec_id, as a vector over positions."""

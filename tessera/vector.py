@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import hash_normal, keep_or_double
+from .functions import hash_normal, in_range, keep_or_double
 
 LengthLike = int | None | Callable[[], int]
 
@@ -88,11 +88,15 @@ class VectorFrame:
         return VectorFrame(self.df.groupBy("i").agg(F.sum("x").alias("x")), self._length, True)
 
     def to_dense(self) -> "VectorFrame":
-        """All indices ``0 .. length-1``, absent ones as 0 (distributed range + left join)."""
+        """All indices ``0 .. length-1``, absent ones as 0 (distributed range + left join).
+        A stored index outside the length fails the job."""
         n = self.length
         zero = F.lit(0).cast(self.df.schema["x"].dataType)
+        # checked on the values as well, which no plan prunes, so the check is evaluated
+        stored = self.canonical().df.select(in_range(F.col("i"), n, F.col("i")).alias("i"),
+                                            in_range(F.col("i"), n, F.col("x")).alias("x"))
         dense = (self.spark.range(n).withColumnRenamed("id", "i")
-                 .join(self.canonical().df, on="i", how="left")
+                 .join(stored, on="i", how="left")
                  .select("i", F.coalesce(F.col("x"), zero).alias("x")))
         return VectorFrame(dense, n, unique=True)
 

@@ -66,7 +66,7 @@ def test_blocked_splits_hot_column_into_chunks(spark):
     triples = [(i, 0, 1.0 + i % 7) for i in range(3000)] + [(i, 1 + i % 9, 2.0) for i in range(300)]
     a = mat(spark, triples, 3000, 10)
     x = _rvec(spark, 5, 10)
-    y = spmv.multiply_blocked(a.entries, x.to_dense().df, width=4, tile_entries=500)
+    y = spmv.multiply_blocked(*spmv.tile_entries(a.entries, 4, 500), x.df, width=4)
     assert _close(_as_dict(VectorFrame(y, 3000, True)), _as_dict(a.multiply(x)))
 
 
