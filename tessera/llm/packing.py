@@ -55,12 +55,11 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Caches the ids of new words; a word of letters and a final mark is encoded as its two parts."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        marked = {w for w in words if w[-1] in b".,;:!?" and len(w) > 1 and w[:-1].isalpha()}
-        plain = list((words - marked | {w[:-1] for w in marked} | {w[-1:] for w in marked}) - self.cache.keys())
+        marked = [w for w in words if w[-1] in b".,;:!?" and len(w) > 1 and w[:-1].isalpha()]
+        parts = set(words).difference(marked).union([w[:-1] for w in marked], [w[-1:] for w in marked])
+        plain = [w for w in parts if w not in self.cache]
         for s in range(0, len(plain), 4096):
             part = plain[s:s + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
@@ -75,10 +74,10 @@ class Encoder:
         new = [i for i, ids in enumerate(found) if None in ids]
         if new:
             words = set().union(*(split[i] for i in new))
-            self._learn(words - self.cache.keys())
-            # the cache may just have been cleared
-            if not words <= self.cache.keys():
-                self._learn(words - self.cache.keys())
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            # a difference with the cache's keys would walk through all of them
+            self._learn([w for w in words if w not in self.cache])
             for i in new:
                 found[i] = list(map(self.cache.__getitem__, split[i]))
         return [b"".join(ids) + end for ids in found]
@@ -130,7 +129,7 @@ class Index:
         order = np.argsort(term, kind="stable")
         term, tf, self.doc = term[order], tf[order], doc[order]
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        self.edge = np.r_[first, len(term)]
+        self.first, self.df = first, df
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * size[self.doc] / size.mean())
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm)
@@ -139,9 +138,10 @@ class Index:
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard against the seed's distinct terms."""
         at = np.searchsorted(self.terms, self.terms_of[seed])
-        spans = [slice(self.edge[i], self.edge[i + 1]) for i in at]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]),
-                           np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        size = self.df[at]
+        # the places of these terms' postings, list after list
+        posting = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.doc[posting], self.weight[posting], minlength=self.n)
 
 
 def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
