@@ -308,7 +308,7 @@ def score_rows(df: DataFrame, model: Model, out: str = "score", text_col: str =
                 raw = [r | {x.encode() for x in spelt} for r, spelt in bags]
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
-                fill(list(set().union(*raw) - cache.keys()))
+                fill([w for w in set().union(*raw) if w not in cache])
                 best = [nlargest(TOP, map(cache.__getitem__, r)) for r in raw]
                 best = np.array([m_ + [LOW] * (TOP - len(m_)) for m_ in best]).reshape(-1, TOP)
                 got = pa.array(best.tolist(), pa.list_(pa.float64())) if top else pa.array(m.probability(best), pa.float64())
