@@ -71,11 +71,11 @@ def build(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Collection:
     for j in range(1, int(size.max(initial=0)) + 1):
         going = np.nonzero(size >= j)[0]
         order = np.argsort(symbol, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        done = int(np.searchsorted(symbol[order], 1))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        done = len(symbol) - int(np.count_nonzero(symbol))
         tails = newest[going]
-        at = place[tails]
+        at = place[tails].astype(np.int64)
         sort = np.argsort(at)
         going, tails, at = going[sort], tails[sort], at[sort]
         spots = m + at - done
