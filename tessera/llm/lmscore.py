@@ -19,6 +19,8 @@ read on to the next in two packed columns, written in between.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,7 @@ PRIOR = 100.0  # weight of the word's own probability against the pair's count
 RUN_TOKENS = 3_000_000  # n-grams counted before they are sent on
 BUCKET_BYTES = 8 << 20  # text bytes per bucket
 MIN_BUCKETS = 256
-SEGMENT_BYTES = 48 << 20
+SEGMENT_BYTES = 128 << 20
 END = np.uint64(0x51ED270B9F1E4D03)
 START = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -103,6 +105,10 @@ def _probe_bits(h: np.ndarray, level: np.ndarray, bits: np.ndarray, k: int) -> n
         return ((x >> np.uint64(32)) * bits.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
+def _count_type(c: np.ndarray) -> str:
+    return "<u4" if len(c) == 0 or int(c.max()) < 1 << 32 else "<u8"
+
+
 def _build(h: np.ndarray, c: np.ndarray) -> tuple[bytes, int]:
     """The Bloom part of one bucket: sized for its entries at ``HASHES`` functions."""
     level = quantise(c)
@@ -157,7 +163,7 @@ def model_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "kind": pa.array([kind], pa.int32()), "bucket": pa.array([key[1].as_py()], pa.int32()),
             "buckets": pa.array([buckets], pa.int32()), "n": [len(h)], "total": [int(c.sum())],
             "words": pa.array([h.tobytes() if keep else b""], pa.binary()),
-            "counts": pa.array([c.astype("<i8").tobytes() if keep else b""], pa.binary()),
+            "counts": pa.array([c.astype(_count_type(c)).tobytes() if keep else b""], pa.binary()),
             "bits": pa.array([bits], pa.binary()), "size": [size]})
 
     packed = src.mapInArrow(count, "kind int, bucket int, one binary, many binary, count binary")
@@ -168,22 +174,27 @@ def model_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 class Segment:
     """A run of buckets: their parts of the filter and of the exact word table."""
 
-    def __init__(self, rows: list, buckets: int):
+    def __init__(self, rows: Iterable, buckets: int, bit_bytes: int, n_words: int):
+        """``rows``: of ``model_parts``, words before pairs, by bucket; taken one at a time
+        into arrays of the known size, so no second copy of the segment is held."""
         self.buckets = buckets
-        by = {(r["kind"], r["bucket"]): r for r in rows}
-        order = sorted(by)
         self.known = np.zeros((3, buckets), bool)
         self.size, self.base = np.zeros((3, buckets), np.int64), np.zeros((3, buckets), np.int64)
-        at, bits = 0, []
-        for kind, bucket in order:
-            r = by[kind, bucket]
-            self.known[kind, bucket], self.size[kind, bucket], self.base[kind, bucket] = True, r["size"], at
-            bits.append(r["bits"])
-            at += r["size"]
-        self.bits = np.frombuffer(b"".join(bits), np.uint8)
-        only = [by[k] for k in order if k[0] == 1]
-        self.words = np.frombuffer(b"".join(r["words"] for r in only), "<u8")
-        self.counts = np.frombuffer(b"".join(r["counts"] for r in only), "<i8")
+        self.bits, self.words = np.empty(bit_bytes, np.uint8), np.empty(n_words, np.uint64)
+        self.counts = np.empty(n_words, np.uint32)
+        at = word = 0
+        for r in rows:
+            kind, bucket, part = r["kind"], r["bucket"], np.frombuffer(r["bits"], np.uint8)
+            self.known[kind, bucket], self.size[kind, bucket], self.base[kind, bucket] = True, r["size"], at * 8
+            self.bits[at:at + len(part)] = part
+            at += len(part)
+            if kind == 1 and r["words"]:
+                w = np.frombuffer(r["words"], "<u8")
+                c = np.frombuffer(r["counts"], f"<u{len(r['counts']) // len(w)}")
+                if c.dtype.itemsize > self.counts.dtype.itemsize:
+                    self.counts = self.counts.astype(np.uint64)
+                self.words[word:word + len(w)], self.counts[word:word + len(w)] = w, c
+                word += len(w)
 
     def levels(self, kind: int, h: np.ndarray) -> np.ndarray:
         """Level of every n-gram by probing 1, 2, ... until the first miss; 0 outside the segment."""
@@ -205,7 +216,7 @@ class Segment:
         if len(self.words) == 0:
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.counts[at], 0)
+        return np.where(self.words[at] == h, self.counts[at], 0).astype(np.int64)
 
 
 CARRIED = "__token_levels binary, __pair_levels binary, __known long, __base double"
@@ -281,6 +292,16 @@ def _segments(parts: DataFrame, limit: int) -> list[list[int]]:
     return out
 
 
+def _segment(parts: DataFrame, run: list[int]) -> Segment:
+    if not run:
+        return Segment([], 1, 0, 0)
+    mine = parts.where(F.col("bucket").between(run[0], run[-1]))
+    facts = mine.agg(F.max("buckets").alias("b"), F.sum(F.length("bits")).alias("bits"),
+                     F.sum(F.length("words") / 8).cast("long").alias("words")).first()
+    rows = mine.orderBy("kind", "bucket").select("kind", "bucket", "bits", "size", "words", "counts")
+    return Segment(rows.toLocalIterator(), facts.b, facts.bits, facts.words)
+
+
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``(doc_id, text, n_tokens, n_known, base_score, score, train_tokens)`` of every row of ``docs``.
@@ -298,9 +319,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     runs = _segments(parts, segment_bytes) or [[]]
     for i, run in enumerate(runs):
-        rows = parts.where(F.col("bucket").between(run[0], run[-1])).collect() if run else []
-        held = spark.sparkContext.broadcast(Segment(rows, rows[0]["buckets"] if rows else 1))  # at most segment_bytes
-        del rows
+        held = spark.sparkContext.broadcast(_segment(parts, run))  # at most segment_bytes
         out = _pass(out, held, total, distinct, i == 0, i == len(runs) - 1, "text")
         if i < len(runs) - 1:
             out = cut(out, "lm-pass")
