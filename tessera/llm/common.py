@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.session import scratch_path
 
@@ -37,22 +36,6 @@ def crc_fold(column: str, mod: int) -> Column:
     return (F.crc32(F.col(column).cast("string")) % F.lit(mod)).cast("int")
 
 
-def text_of(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def checked_rows(df: DataFrame, max_bytes: int, what: str, row_bytes: int) -> int:
-    """Rows of a table that is about to reach the driver; an error beyond the bound."""
-    n = df.count()
-    if n * row_bytes > max_bytes:
-        raise ValueError(f"{what}: {n} rows of {row_bytes} bytes exceed the bound of {max_bytes} bytes")
-    return n
-
-
-def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)  # noqa: SLF001 - the DDL parser of DataFrame schemas
-
-
 def utf8_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and n+1 offsets (null: empty)."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -206,7 +206,7 @@ def _best(df: DataFrame, held, dim: int, seed: int, text_col: str) -> DataFrame:
                 cos = (docs @ matrix.T) / np.maximum(norm, 1e-9)[:, None]
                 some = counts.any(axis=1)
                 for i, j in enumerate(cos.argmax(axis=1).tolist()):
-                    if some[i] and (cos[i, j], ) > (score[s + i], ):
+                    if some[i] and cos[i, j] > score[s + i]:
                         lang[s + i], score[s + i] = names[j], float(cos[i, j])
             cols = [c for i, c in enumerate(b.columns) if i not in (at["lang_pred"], at["score"])]
             yield pa.RecordBatch.from_arrays(

@@ -219,15 +219,16 @@ class Segment:
         return np.where(self.words[at] == h, self.counts[at], 0).astype(np.int64)
 
 
+SCORES = "n_tokens long, n_known long, base_score double, score double"
 CARRIED = "__token_levels binary, __pair_levels binary, __known long, __base double"
 
 
 def _pass(df: DataFrame, held, total: int, distinct: int, first: bool, last: bool, text_col: str) -> DataFrame:
     """Reads one segment's counts for all texts; the last pass turns them into scores."""
-    target = df.schema if not first else T.StructType([*df.schema.fields, *T._parse_datatype_string(CARRIED).fields])
+    target = df.schema if not first else T.StructType([*df.schema.fields, *T.StructType.fromDDL(CARRIED).fields])
     if last:
         plain = [f for f in target.fields if not f.name.startswith("__")]
-        target = T.StructType([*plain, *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double").fields])
+        target = T.StructType([*plain, *T.StructType.fromDDL(SCORES).fields])
     scale = total + 0.5 * (distinct + 1)
 
     def run(batches):
