@@ -80,7 +80,6 @@ def main() -> None:
         "spmv_parquet": lambda: _force(spmv_query(spark, sf_dir)),
     }
     from tessera.operators.power import power_iteration
-    from tessera.operators.spmv import row_positions
     from tessera.vector import VectorFrame
 
     y_li = li.multiply(px)
@@ -88,7 +87,7 @@ def main() -> None:
     cases.update({
         "dot": lambda: y_li.dot_value(li.multiply(px, layout="packed")),
         "power_5": lambda: power_iteration(sym, ones, 5, checkpoint_every=None),
-        "indexed_rows": lambda: _force(row_positions(li.indexed_rows().drop("size"))),
+        "indexed_rows": lambda: _force(li.indexed_entries()),
         "symmetry_kind": lambda: sym.symmetry_kind().collect(),
     })
     mm_path = scratch_path(spark, "bench_li.mtx")

@@ -175,7 +175,7 @@ class MatrixFrame:
     def indexed_entries(self, width: int = _spmv.DEFAULT_WIDTH) -> DataFrame:
         """``(i, pos, j, v)``: every cell with its 0-based place in its row, ordered by
         column (the indexed-row view, one row per cell, no unbounded array)."""
-        return _spmv.row_positions(self.indexed_rows(width).drop("size"))
+        return _spmv.row_positions(_spmv.row_segments(_st.canonicalize(self.full_entries()), width))
 
     def row_matrix(self, width: int = _spmv.DEFAULT_WIDTH) -> DataFrame:
         """Rows without an order: ``(row, s, idx, val, size)``. ``row`` only says which

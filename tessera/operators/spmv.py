@@ -53,32 +53,39 @@ def multiply_join(entries: DataFrame, vec: DataFrame, *, broadcast: bool | None
 
 
 # -------------------------------------------------------------- packed layout
-def pack_rows(entries: DataFrame, width: int = DEFAULT_WIDTH, by: Sequence[str] = ()) -> DataFrame:
-    """Row segments ``(by..., i, s, idx, val)``: the entries of row ``i`` whose column
+def row_segments(entries: DataFrame, width: int = DEFAULT_WIDTH, by: Sequence[str] = ()) -> DataFrame:
+    """Row segments ``(by..., i, s, e)``: the entries ``(j, v)`` of row ``i`` whose column
     lies in block ``s``, sorted by column. Expects canonical entries, so a segment
     holds at most ``width`` entries, and a row of any length is spread over
     ``n_cols / width`` segments instead of one unbounded array."""
     return (entries.withColumn("s", block_of("j", width))
             .groupBy(*by, "i", "s")
-            .agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e"))
-            .select(*by, "i", "s", F.col("e.j").alias("idx"), F.col("e.v").alias("val")))
+            .agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e")))
+
+
+def pack_rows(entries: DataFrame, width: int = DEFAULT_WIDTH, by: Sequence[str] = ()) -> DataFrame:
+    """Row segments as ``(by..., i, s, idx, val)``; see ``row_segments``."""
+    return row_segments(entries, width, by).select(*by, "i", "s", F.col("e.j").alias("idx"), F.col("e.v").alias("val"))
 
 
-def row_positions(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Explode packed segments to ``(by..., i, pos, j, v)``, ``pos`` = the entry's
-    0-based place in its whole row (ordered by column).
+def row_positions(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Explode row segments to ``(by..., i, pos, j, v)``, ``pos`` = the entry's 0-based
+    place in its whole row (ordered by column).
 
     Segment offsets come from a running sum over a one-row-per-segment table
     (the window sees segment sizes only), joined back on the unique ``(i, s)``
     key, so a long row is exploded by the tasks that hold its segments, not by
-    one task."""
+    one task. Both sides need the same aggregate, whose exchange Spark reuses. Packed
+    rows (``idx``, ``val``) are taken as well."""
+    if "e" not in segments.columns:
+        cell = F.zip_with("idx", "val", lambda j, v: F.struct(j.alias("j"), v.alias("v")))
+        segments = segments.select(*by, "i", "s", cell.alias("e"))
     before = Window.partitionBy(*by, "i").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = packed.select(*by, "i", "s", F.size("idx").alias("n")).select(
+    offsets = segments.select(*by, "i", "s", F.size("e").alias("n")).select(
         *by, "i", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("off"))
-    with_off = packed.join(offsets, on=[*by, "i", "s"])
-    z = with_off.select(*by, "i", "off", F.posexplode(F.arrays_zip("idx", "val")).alias("p", "t"))
+    z = segments.join(offsets, on=[*by, "i", "s"]).select(*by, "i", "off", F.posexplode("e").alias("p", "t"))
     return z.select(*by, "i", (F.col("off") + F.col("p")).alias("pos"),
-                    F.col("t.idx").alias("j"), F.col("t.val").alias("v"))
+                    F.col("t.j").alias("j"), F.col("t.v").alias("v"))
 
 
 def vector_blocks(dense_vec: DataFrame, width: int = DEFAULT_WIDTH,

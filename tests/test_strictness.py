@@ -202,3 +202,14 @@ def test_power_iteration_frees_what_it_made_and_nothing_else(spark):
     assert abs(norm - (3 + 5 ** 0.5) / 2) < 1e-6 and len(dense_values(x)) == 2
     assert a.is_prepared("packed") and len(spark.sparkContext._jsc.getPersistentRDDs()) == before
     a.unprepare()
+
+
+def test_indexed_entries_read_the_entries_once(spark):
+    a = mat(spark, [(i % 7, (i * 11) % 97, 1.0) for i in range(300)], 7, 97)
+    df = a.indexed_entries(width=16)
+    rows = df.collect()
+    plan = physical_plan(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan or plan.count("Scan ExistingRDD") <= 2
+    for i in range(7):
+        mine = sorted((r.pos, r.j) for r in rows if r.i == i)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [j for _, j in mine] == sorted(j for _, j in mine)
