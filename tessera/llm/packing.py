@@ -29,7 +29,7 @@ from .common import byte_rows, cut, mix64
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 19
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 2_200_000  # about 400 MB
 K1, B = 1.2, 0.75
 
 
