@@ -60,7 +60,7 @@ def level_values() -> np.ndarray:
 
 def sequences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(token, pair, text)`` hashes of all words and ends of the texts, in order."""
-    h, _, text = words(data, off)
+    h, _, _, text = words(data, off)
     n = len(off) - 1
     total = len(h) + n
     token, owner = np.empty(total, np.uint64), np.empty(total, np.int64)

@@ -24,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, cut, mix64
+from .common import cut, mix64, utf8_column
+from .tokens import LOWER, chunks, hash_spans, words
 
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 19
-CACHE_WORDS = 2_200_000  # about 400 MB
+CACHE_WORDS = 2_200_000  # about 60 MB
 K1, B = 1.2, 0.75
 
 
@@ -39,12 +40,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordTable:
+    """Ids of words by 64-bit hash: sorted hashes with the place and number of their ids.
+
+    Arrays take about 25 bytes a word. New words go to a small second part, which is
+    merged into the first when it has grown.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.parts = [none, none]
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, number)`` of each word's ids; -1 ids for an unknown word."""
+        place, number = np.zeros(len(key), np.int64), np.full(len(key), -1, np.int64)
+        for keys, places, numbers in self.parts:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                place[hit], number[hit] = places[at[hit]], numbers[at[hit]]
+        return place, number
+
+    def add(self, key: np.ndarray, ids: list[np.ndarray]) -> None:
+        number = np.array([len(x) for x in ids], np.int32)
+        total = int(number.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if total:
+            self.ids[self.used:self.used + total] = np.concatenate(ids)
+        new = (key, self.used + np.cumsum(number) - number, number)
+        self.used += total
+        self.parts[1] = self._merged(self.parts[1], new)
+        if len(self.parts[1][0]) > max(100_000, len(self.parts[0][0]) // 8):
+            self.parts = [self._merged(*self.parts), (key[:0], new[1][:0], number[:0])]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(x[order] for x in both)
+
+    def gather(self, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The ids of words end to end."""
+        return self.ids[np.repeat(place - (np.cumsum(number) - number), number) + np.arange(number.sum())]
+
+
 class Encoder:
-    """Ids of UTF-8 texts; words between ASCII white space are encoded once and cached.
+    """Ids of UTF-8 texts; words between ASCII white space are encoded once and kept.
 
     The tokenizer drops white space and none of its steps looks across it, so the
-    ids of a text are those of its words end to end. It folds case itself, so A-Z may
-    be folded before the split.
+    ids of a text are those of its words end to end. It folds case itself, so words are
+    told apart by the hash of their bytes with A-Z folded; a text that may hold special
+    tokens, which are found before that, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,39 +108,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Caches the ids of new words; a word of letters and a final mark is encoded as its two parts."""
-        marked = [w for w in words if w[-1] in b".,;:!?" and len(w) > 1 and w[:-1].isalpha()]
-        parts = set(words).difference(marked).union([w[:-1] for w in marked], [w[-1:] for w in marked])
-        plain = [w for w in parts if w not in self.cache]
-        for s in range(0, len(plain), 4096):
-            part = plain[s:s + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.cache.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in found)))
-        self.cache.update((w, self.cache[w[:-1]] + self.cache[w[-1:]]) for w in marked)
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        end = np.array([END_ID], self.dtype).tobytes()
-        # special tokens are found before case is folded
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        found = [list(map(self.cache.get, words)) for words in split]
-        new = [i for i, ids in enumerate(found) if None in ids]
-        if new:
-            words = set().union(*(split[i] for i in new))
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            # a difference with the cache's keys would walk through all of them
-            self._learn([w for w in words if w not in self.cache])
-            for i in new:
-                found[i] = list(map(self.cache.__getitem__, split[i]))
-        return [b"".join(ids) + end for ids in found]
+        self.table = WordTable(self.dtype)
+        self.marks = {m: self._encode([m.decode()])[0] for m in (b".", b",", b";", b":", b"!", b"?")}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, data: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Adds new words; the letters before a final mark are looked up, or learnt, on their own."""
+        words = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())]
+        marked = np.array([len(w) > 1 and w[-1:] in self.marks and w[:-1].isalpha() for w in words], bool)
+        core = np.where(marked, hash_spans(LOWER[data], start, end - marked), key)
+        every, first = np.unique(core, return_index=True)
+        unknown = np.nonzero(self.table.find(every)[1] < 0)[0]
+        for s in range(0, len(unknown), 4096):
+            part = unknown[s:s + 4096]
+            texts = [(words[i][:-1] if marked[i] else words[i]).decode("utf-8", "replace") for i in first[part].tolist()]
+            self.table.add(every[part], self._encode(texts))
+        some = np.nonzero(marked)[0]
+        if len(some):
+            place, number = self.table.find(core[some])
+            whole = [np.concatenate([self.table.ids[p:p + n], self.marks[words[i][-1:]]])
+                     for i, p, n in zip(some.tolist(), place.tolist(), number.tolist())]
+            self.table.add(key[some], whole)
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text that lies in ``data``, the end id after them."""
+        if len(self.table) > CACHE_WORDS:
+            self.table.clear()
+        h, start, end, text = words(data, off)
+        key, first, at = np.unique(h, return_index=True, return_inverse=True)
+        place, number = self.table.find(key)
+        new = np.nonzero(number < 0)[0]
+        if len(new):
+            self._learn(data, key[new], start[first[new]], end[first[new]])
+            place, number = self.table.find(key)
+        size = number[at]
+        ids = self.table.gather(place[at], size)
+        edge = np.r_[0, np.cumsum(np.bincount(text, size, minlength=len(off) - 1).astype(np.int64))]
+        last = np.array([END_ID], self.dtype)
+        out = [np.concatenate([ids[a:b], last]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        if b"<|" in data.tobytes():
+            for i in range(len(off) - 1):
+                raw = data[off[i]:off[i + 1]].tobytes()
+                if b"<|" in raw:
+                    out[i] = np.concatenate([self._encode([raw.decode("utf-8", "replace")])[0], last])
+        return out
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per worker process, so the cache lives on from task to task."""
+    """One per worker process, so its words live on from task to task."""
     return Encoder(path)
 
 
@@ -102,13 +175,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            for s in range(0, b.num_rows, 128):
-                part = b.slice(s, 128)
-                packed = enc(list(byte_rows(part, "text")))
-                ids = [np.frombuffer(p, enc.dtype) for p in packed]
+            for s, e, data, off in chunks(*utf8_column(b, "text")):
+                ids = enc(data, off)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([_minhash(x) for x in ids], pa.int64()),
-                     pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())],
+                    [b.column(0).slice(s, e - s), pa.array([_minhash(x) for x in ids], pa.int64()),
+                     pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                     ["doc_id", "key", "n", "ids"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

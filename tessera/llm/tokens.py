@@ -43,10 +43,10 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return (sums[end] - sums[start]) * inverse[start]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, start, text)`` of the words of texts that lie end to end in ``data``."""
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, start, end, text)`` of the words of texts that lie end to end in ``data``."""
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     inside = ~SPACE[data]
     border = np.zeros(len(data) + 1, bool)
     border[off] = True
@@ -54,7 +54,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     after = np.r_[inside[1:], False] & ~border[1:]
     start = np.nonzero(inside & ~before)[0]
     end = np.nonzero(inside & ~after)[0] + 1
-    return hash_spans(LOWER[data], start, end), start, np.searchsorted(off, start, side="right") - 1
+    return hash_spans(LOWER[data], start, end), start, end, np.searchsorted(off, start, side="right") - 1
 
 
 def chunks(data: np.ndarray, off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
