@@ -33,7 +33,7 @@ from .tokens import chunks, words
 BASE = 1.5  # ratio between quantisation levels
 HASHES = 6
 PRIOR = 100.0  # weight of the word's own probability against the pair's count
-RUN_TOKENS = 3_000_000  # n-grams counted before they are sent on
+RUN_TOKENS = 1_500_000  # distinct n-grams held before they are sent on
 BUCKET_BYTES = 8 << 20  # text bytes per bucket
 MIN_BUCKETS = 256
 SEGMENT_BYTES = 128 << 20
