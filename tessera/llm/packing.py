@@ -29,7 +29,7 @@ from .tokens import LOWER, chunks, hash_spans, words
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 20
 CACHE_WORDS = 2_200_000  # about 60 MB
 K1, B = 1.2, 0.75
 
@@ -200,7 +200,7 @@ class Index:
         order = np.argsort(term, kind="stable")
         term, tf, self.doc = term[order], tf[order], doc[order]
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        self.first, self.df = first, df
+        self.first, self.left = first, df
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * size[self.doc] / size.mean())
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm)
@@ -209,11 +209,18 @@ class Index:
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard against the seed's distinct terms."""
         at = np.searchsorted(self.terms, self.terms_of[seed])
-        size = self.df[at]
+        size = self.left[at]
         # the places of these terms' postings, list after list
         posting = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return np.bincount(self.doc[posting], self.weight[posting], minlength=self.n)
 
+    def keep(self, docs: np.ndarray) -> None:
+        """Leaves only the postings of the marked documents, with their weights; the others score 0."""
+        held = docs[self.doc]
+        before = np.r_[0, np.cumsum(held)]
+        self.first, self.left = before[self.first], before[self.first + self.left] - before[self.first]
+        self.doc, self.weight = self.doc[held], self.weight[held]
+
 
 def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` for every piece of a shard's documents."""
@@ -222,6 +229,7 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     out: list[tuple[int, int, int, int, int]] = []
     sequence, room = 0, window
     ranked: list[int] = []
+    held = len(docs)  # documents whose postings are in the index
     later = 0  # no document before this one is unused
 
     def place(doc: int) -> bool:
@@ -248,6 +256,9 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
             place(seed)
             ranked = []
         if not ranked:
+            if unused.sum() < 0.8 * held:
+                index.keep(unused)
+                held = unused.sum()
             score = np.where(unused, index.scores(seed), -1.0)
             some = min(len(docs), 64)
             best = np.argpartition(-score, some - 1)[:some]

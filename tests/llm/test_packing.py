@@ -87,6 +87,35 @@ def test_neighbours_come_by_bm25():
         assert index.scores(0)[i] == pytest.approx(want)
 
 
+def test_postings_of_used_documents_go_without_effect_on_the_rest():
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 90, rng.integers(1, 60)) for _ in range(50)]
+    index, less, held = packing.Index(docs), packing.Index(docs), np.ones(50, bool)
+    for gone in rng.permutation(50).reshape(5, 10):
+        held[gone] = False
+        less.keep(held)
+        for seed in range(50):
+            assert less.scores(seed).tolist() == np.where(held, index.scores(seed), 0).tolist()
+
+
+def test_neighbours_without_a_common_min_hash_meet_in_a_million_ids(spark, tokenizer):
+    rng = np.random.default_rng(11)
+    words = [w for w in sorted(tokenizer.get_vocab()) if w.isascii() and w.isalpha() and w.islower()]
+    words = [w for w in words if len(tokenizer.encode(w, add_special_tokens=False).ids) == 1]
+    rows = []
+    for i in range(200):  # two documents of the same 50 words, in orders with few common triples
+        shared = words[50 * i:50 * i + 50]
+        rows += [(2 * i + side, " ".join(rng.permutation(shared * 36))) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack(df).collect()
+    total = sum(r.length for r in pieces)
+    assert 1 << 19 < total < 1 << 20
+    shard = {}
+    for r in pieces:
+        shard.setdefault(r.doc_id, set()).add(r.sequence_id >> 40)
+    assert all(shard[2 * i] == shard[2 * i + 1] for i in range(200))
+
+
 def test_query_on_whole_table(spark, sf, tokenizer):
     from tessera.llm.queries import QUERIES
 
