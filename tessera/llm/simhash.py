@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_rows, cut, forest, shuffle_partitions
 from .components import components
@@ -194,6 +195,18 @@ def grouped(batches, keys: list[str]) -> Iterator[tuple[tuple, int, np.ndarray,
         yield out()
 
 
+def _named(docs: DataFrame, shingle: int, radius: int, blocks: int, tile: int, id_col: str,
+           text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of every row, and ``(fp, root, component_id)`` of every fingerprint; ``root`` tells components apart."""
+    fps = cut(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    comp = components(links(nodes.select("fp"), radius, blocks, tile))
+    rooted = nodes.join(comp.hint("merge"), nodes.fp == comp.node, "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps, cut(rooted.select("fp", "root").join(low.hint("merge"), "root").select("fp", "root", "component_id"), "simhash-names")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 4, tile: int = TILE,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``.
@@ -205,28 +218,33 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: i
     a null ``component_id``. Other columns of ``docs`` are ignored. An empty table
     gives an empty result.
     """
-    fps = cut(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comp = components(links(nodes.select("fp"), radius, blocks, tile))
-    rooted = nodes.join(comp.hint("merge"), nodes.fp == comp.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = cut(rooted.select("fp", "root").join(low.hint("merge"), "root").select("fp", "component_id"), "simhash-names")
+    fps, names = _named(docs, shingle, radius, blocks, tile, id_col, text_col)
     return fps.join(names.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; columns unchanged.
+    """One row of each group of ``docs``, with the smallest id of the group; columns unchanged.
 
-    A row with a null id stays (no group is named after it). Of rows that repeat
-    the kept id, one stays: the one with the smallest text, then other columns.
+    A row with a null id stays (no group is named after it). Of a group's rows that
+    repeat the kept id, one stays: the one with the smallest text, then other columns.
+    Where an id has rows in several groups and is the smallest of each, each keeps its own.
     """
-    groups = simhash_groups(docs, shingle, radius, id_col=id_col, text_col=text_col)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull())
-    kept = with_id.join(keep.hint("merge"), with_id[id_col].cast("long") == keep["__keep"], "left_semi")
-    once = kept.groupBy(F.col(id_col).alias("__id")).agg(
+    fps, names = _named(docs, shingle, radius, 4, TILE, id_col, text_col)
+    keep = fps.join(names.hint("merge"), "fp").where("doc_id = component_id").select(
+        F.col("doc_id").alias("__keep"), F.col("fp").alias("__keep_fp"), F.col("root").alias("__root")).distinct()
+
+    def run(batches):
+        for b in batches:
+            fps = np.fromiter((fingerprint(t, shingle) for t in byte_rows(b, "__text")), np.uint64, b.num_rows)
+            at = b.schema.get_field_index("__text")
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(fps.view(np.int64))], [*b.schema.names[:at], "__fp"])
+
+    marked = docs.where(F.col(id_col).isNotNull()).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    marked = marked.mapInArrow(run, T.StructType([*marked.schema.fields[:-1], T.StructField("__fp", T.LongType())]))
+    kept = marked.join(keep.hint("merge"), (F.col("__id") == F.col("__keep")) & (F.col("__fp") == F.col("__keep_fp")))
+    once = kept.groupBy("__root").agg(
         F.min(F.struct(F.col(text_col).alias("__t"), *[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
     return once.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]).unionByName(
         docs.where(F.col(id_col).isNull()))

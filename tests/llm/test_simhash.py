@@ -78,6 +78,14 @@ def test_extra_columns_with_clashing_names_and_empty_table(spark):
     assert simhash.simhash_groups(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_in_two_groups_are_kept_in_both(spark):
+    rows = [(1, "a b c d e f g h", "x"), (1, "k l m n o p q r", "y"), (2, "k l m n o p q r", "z"), (3, "a b c d e f g h", "w"),
+            (1, "a b c d e f g h", "v"), (4, "s t u v w x y z", "u"), (None, "a b c d e f g h", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sorted((tuple(r) for r in simhash.keep_one_per_group(df).collect()), key=repr)
+    assert got == sorted([rows[1], rows[4], rows[5], rows[6]], key=repr)
+
+
 def test_bit_slices_find_every_pair_within_any_radius():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2 ** 63, 6, dtype=np.uint64)
