@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import in_range, keep_or_double, not_null
+from .operators import blocks as _blocks
+from .operators import partition as _part
+from .operators import routing as _routing
 from .operators import spmv as _spmv
 from .operators import structure as _st
 from .plans import may_broadcast
 from .session import default_parallelism
 from .vector import VectorFrame
 
-LAYOUTS = ("join", "packed", "blocked", "graph")
+LAYOUTS = ("join", "packed", "blocked", "grid", "graph", "routed")
 # the reference's layout names: coordinate entries and compressed-column blocks
 LAYOUT_ALIASES = {"coo": "join", "csc": "blocked"}
 
@@ -175,7 +178,28 @@ class MatrixFrame:
     def indexed_entries(self, width: int = _spmv.DEFAULT_WIDTH) -> DataFrame:
         """``(i, pos, j, v)``: every cell with its 0-based place in its row, ordered by
         column (the indexed-row view, one row per cell, no unbounded array)."""
-        return _spmv.row_positions(_spmv.row_segments(_st.canonicalize(self.full_entries()), width))
+        # rows of at most LONG_ROW columns are numbered whole; else rows with a large share of the
+        # entries are looked for, and numbered by blocks of ``width`` columns
+        long_rows = None
+        if self.n_cols > _part.LONG_ROW:
+            long_rows, _ = _part.heavy_keys(self.full_entries(), "i", _part.LEAST_SHARE)
+        return _spmv.cell_positions(self.cells(), long_rows, width)
+
+    # ------------------------------------------------------------ partitions
+    def cells(self) -> DataFrame:
+        """The full matrix's cells, duplicates summed."""
+        if self.canonical_entries and self.symmetry == "general":
+            return self.entries
+        return _st.canonicalize(self.full_entries())
+
+    def nnz_cuts(self, parts: int) -> _part.Cuts:
+        """Where the cells, in (row, column) order, split into ``parts`` runs of equal size (at
+        most one cell apart); a row larger than a share is cut by column."""
+        return _part.nnz_cuts(self.cells(), self.n_rows, self.n_cols, parts)
+
+    def balanced_cells(self, parts: int, cuts: _part.Cuts | None = None) -> DataFrame:
+        """``(i, j, v, part)``: partition k holds the k-th run of cells, sorted; see ``nnz_cuts``."""
+        return _part.balanced(self.cells(), cuts or self.nnz_cuts(parts))
 
     def row_matrix(self, width: int = _spmv.DEFAULT_WIDTH) -> DataFrame:
         """Rows without an order: ``(row, s, idx, val, size)``. ``row`` only says which
@@ -222,13 +246,14 @@ class MatrixFrame:
     # ------------------------------------------------------------ products
     def multiply(self, x: VectorFrame, trans: bool = False, layout: str = "join",
                  broadcast: bool | None = None, width: int = _spmv.DEFAULT_WIDTH,
-                 check: bool = True) -> VectorFrame:
+                 check: bool = True, salt: bool = False) -> VectorFrame:
         """``A x`` (or ``A' x`` with ``trans``) as a sparse ``VectorFrame``.
 
         ``broadcast=None`` broadcasts the operand only below a proven row bound
         (``tessera.broadcast.maxRows``); otherwise a shuffled hash join built on the
         vector side, whose skewed entry partitions AQE splits. ``prepare(layout)``
-        first keeps the layout's form cached for repeated products.
+        first keeps the layout's form cached for repeated products. ``salt`` (join layout):
+        hot columns are looked for and dealt over partitions, where AQE is not at hand.
         """
         layout = layout_name(layout)
         n_in = self.n_rows if trans else self.n_cols
@@ -242,7 +267,18 @@ class MatrixFrame:
         spark = self.spark
         if layout == "join":
             bc = may_broadcast(spark, x.row_bound()) if broadcast is None else broadcast
-            y = _spmv.multiply_join(form, x.df, broadcast=bc)
+            if salt and not bc:
+                parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+                hot, total = _part.heavy_keys(form, "j", max(0.25 / parts, _part.LEAST_SHARE))
+                y = _spmv.multiply_join_salted(form, x.canonical().df, hot, total, parts)
+            else:
+                y = _spmv.multiply_join(form, x.df, broadcast=bc)
+        elif layout == "grid":
+            bc = may_broadcast(spark, n_in) if broadcast is None else broadcast
+            blocks, chunks = self._grid_form(form, trans, width)
+            y = _blocks.multiply_grid(blocks, chunks, x.canonical().df, width=width, broadcast=bc)
+        elif layout == "routed":
+            y = _routing.multiply_routed(form, x.canonical().df)
         elif layout == "graph":
             bc = may_broadcast(spark, x.row_bound()) if broadcast is None else broadcast
             y = _spmv.multiply_graph(form, x.df, broadcast=bc)
@@ -258,34 +294,68 @@ class MatrixFrame:
         return VectorFrame(y, n_out, unique=True)
 
     def _layout_form(self, layout: str, trans: bool, width: int) -> DataFrame:
-        """The layout's input: full entries (join), edges (graph), packed row
-        segments (packed), of ``A`` or ``A'``; for blocked the full entries, or, once
-        prepared, the tagged ones (see ``tile_entries``)."""
-        key = (layout, trans, width if layout in ("packed", "blocked") else 0)
+        """The layout's input: full entries (join, grid), edges (graph), packed row
+        segments (packed), edge partitions (routed), of ``A`` or ``A'``; for blocked the full
+        entries, or, once prepared, the tagged ones (see ``tile_entries``), for grid the blocks."""
+        key = self._form_key(layout, trans, width)
         if key in self._prepared:
             return self._prepared[key]
         e = (self.transpose() if trans else self).full_entries()
-        if layout in ("join", "blocked"):
+        if layout in ("join", "blocked", "grid"):
             return e
         if layout == "graph":
             return _spmv.graph_edges(e)
+        if layout == "routed":
+            edges = _spmv.graph_edges(e)
+            parts = max(default_parallelism(self.spark), -(-self.stored_count() // _routing.EDGES))
+            return _routing.edge_partitions(edges, parts)
         return _spmv.pack_rows(_st.canonicalize(e), width)
 
+    @staticmethod
+    def _form_key(layout: str, trans: bool, width: int) -> tuple:
+        return layout, trans, width if layout in ("packed", "blocked", "grid") else 0
+
+    def _grid_form(self, entries: DataFrame, trans: bool, width: int) -> tuple[DataFrame, DataFrame]:
+        """Blocks and the chunks per column of blocks; ``entries`` are the blocks once prepared."""
+        ready = self._prepared_counts.get(("grid", trans, width))
+        if ready is not None:
+            return entries, ready
+        chunks = _blocks.chunk_counts(entries, width)
+        few = may_broadcast(self.spark, -(-(self.n_rows if trans else self.n_cols) // width))
+        return _blocks.grid_blocks(entries, chunks, width=width, few_columns=few), chunks
+
+    def grid_blocks(self, height: int = _blocks.HEIGHT, width: int = _blocks.WIDTH) -> DataFrame:
+        """One row per non-empty block of the grid: compressed columns; see ``operators.blocks``."""
+        entries = self.full_entries()
+        return _blocks.grid_blocks(entries, _blocks.chunk_counts(entries, width), height, width)
+
+    def edge_partitions(self, parts: int) -> DataFrame:
+        """The square matrix's edges on a vertex cut, one row per partition; see ``operators.routing``."""
+        return _routing.edge_partitions(self.graph()[1], parts)
+
     def prepare(self, layout: str = "join", trans: bool = False,
                 width: int = _spmv.DEFAULT_WIDTH,
-                entries_per_partition: int = 4_000_000) -> "MatrixFrame":
+                entries_per_partition: int = 4_000_000, balance: str = "range") -> "MatrixFrame":
         """Build and cache the layout's form once for repeated products (the
         reference keeps its row and column forms persisted the same way).
 
         The join and graph forms are range-partitioned on (row, column) first: each
         task then covers a narrow row range, so the partial sums it sends through the
         product's shuffle number about one per row instead of one per entry, and a
-        hot row is still split across tasks by column."""
+        hot row is still split across tasks by column. ``balance="nnz"`` (join, graph) sums
+        duplicates and cuts at exact counts instead of sampled bounds: partitions hold equal
+        numbers of cells, at most one apart. Grid blocks and edge partitions are kept where
+        they are multiplied, so later products move no cell."""
         layout = layout_name(layout)
-        key = (layout, trans, width if layout in ("packed", "blocked") else 0)
+        if balance not in ("range", "nnz"):
+            raise ValueError(f"unknown balance {balance!r}; expected 'range' or 'nnz'")
+        key = self._form_key(layout, trans, width)
         self._release(key)
-        form = self._layout_form(layout, trans, width)
-        if layout in ("join", "graph"):
+        form, made = self._layout_form(layout, trans, width), None
+        if layout in ("join", "graph") and balance == "nnz":
+            n = max(1, -(-self.stored_count() // int(entries_per_partition)), default_parallelism(self.spark))
+            form = self._balanced_form(layout, trans, n)
+        elif layout in ("join", "graph"):
             rows, cols = ("i", "j") if layout == "join" else ("src", "dst")
             n = max(1, -(-self.stored_count() // int(entries_per_partition)),
                     default_parallelism(self.spark))
@@ -299,11 +369,36 @@ class MatrixFrame:
             counts = counts.cache()
             form = form.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "s", "c")
             self._prepared_counts[key] = counts
+        elif layout == "grid":
+            form, chunks = self._grid_form(form, trans, width)
+            self._prepared_counts[key] = chunks.cache()
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            if may_broadcast(self.spark, self.n_rows if trans else self.n_cols):
+                # in row order: neighbours add up before anything is sent; sampled from kept blocks
+                made = form.cache()
+                form = made.repartitionByRange(n, "bi", "bj").sortWithinPartitions("bi", "bj")
+            else:   # where the shuffled vector blocks will come to
+                form = form.repartition(n, "bj", "c")
+        elif layout == "routed":
+            form = form.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "part")
         form = form.cache()
         form.count()
+        if made is not None:
+            made.unpersist()
         self._prepared[key] = form
         return self
 
+    def _balanced_form(self, layout: str, trans: bool, parts: int) -> DataFrame:
+        """Cells in partitions of equal counts; they are kept only while the cuts are found."""
+        m = self.transpose().canonicalize() if trans else self.canonicalize()
+        cells = m.cells().cache()
+        try:
+            cuts = _part.nnz_cuts(cells, m.n_rows, m.n_cols, parts)
+        finally:
+            cells.unpersist()
+        form = _part.balanced(m.cells(), cuts).drop("part")
+        return form if layout == "join" else _spmv.graph_edges(form)
+
     def _release(self, key: tuple) -> None:
         for held in (self._prepared.pop(key, None), self._prepared_counts.pop(key, None)):
             if held is not None:
@@ -312,7 +407,7 @@ class MatrixFrame:
     def is_prepared(self, layout: str = "join", trans: bool = False,
                     width: int = _spmv.DEFAULT_WIDTH) -> bool:
         layout = layout_name(layout)
-        return (layout, trans, width if layout in ("packed", "blocked") else 0) in self._prepared
+        return self._form_key(layout, trans, width) in self._prepared
 
     def unprepare(self, layout: str | None = None, trans: bool = False,
                   width: int = _spmv.DEFAULT_WIDTH) -> "MatrixFrame":
@@ -321,7 +416,7 @@ class MatrixFrame:
             keys = list(self._prepared)
         else:
             name = layout_name(layout)
-            keys = [(name, trans, width if name in ("packed", "blocked") else 0)]
+            keys = [self._form_key(name, trans, width)]
         for key in keys:
             self._release(key)
         return self

@@ -16,10 +16,12 @@ matrix row. They differ in how the work is grouped:
                 slice of ``x`` go to a numpy kernel through Arrow (cogroup).
 * ``graph``   - edges ``(src, dst, attr)`` send ``attr * x(dst)`` to ``src``.
 
+The ``grid`` layout (compressed blocks) is in ``blocks``, the routed graph in ``routing``.
+
 Scale notes. A hot row (many entries with one ``i``) is harmless: the sum is
 partially aggregated before the shuffle. A hot column only matters when ``x``
 is not broadcast: the join is then a shuffled hash join built on the vector
-side, and AQE's skew join splits the entries side. Segments and tiles never
+side, and AQE's skew join splits the entries side, or, without AQE, hot columns are salted. Segments and tiles never
 hold more than a bounded number of entries, whatever the skew.
 """
 
@@ -52,6 +54,37 @@ def multiply_join(entries: DataFrame, vec: DataFrame, *, broadcast: bool | None
     return joined.groupBy(*by, "i").agg(F.sum(prod).alias("x"))
 
 
+def salted(entries: DataFrame, hot: dict[int, int], total: int, parts: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(entries with s, copies)``: entries of hot columns dealt over salts ``s``, 0 elsewhere.
+
+    ``hot``: entries per hot column, ``total`` of all. A column gets one salt per eighth of
+    the share of a partition (``total / parts``); ``copies (j, k)`` says how many, and has at most
+    one row per hot column. The salt depends on the entry alone, so a task that is run again
+    sends it to the same place. Without hot columns there are no copies."""
+    if not hot:
+        return entries.withColumn("s", F.lit(0).cast("long")), None
+    rows = [(int(j), max(1, -(-8 * n * parts // max(1, total)))) for j, n in sorted(hot.items())]
+    copies = F.broadcast(entries.sparkSession.createDataFrame(rows, "j long, k long"))
+    dealt = entries.join(copies, "j", "left").withColumn(
+        "s", F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("i", "v"), F.col("k"))).cast("long"))
+    return dealt.drop("k"), copies
+
+
+def multiply_join_salted(entries: DataFrame, vec: DataFrame, hot: dict[int, int], total: int, parts: int) -> DataFrame:
+    """The join layout without a broadcast and without help from AQE: the entries of a hot column meet
+    copies of its one vector value in several partitions; other columns are joined as they are."""
+    dealt, copies = salted(entries, hot, total, parts)
+    xs = vec.select(F.col("i").alias("j"), "x")
+    if copies is None:
+        xs = xs.withColumn("s", F.lit(0).cast("long"))
+    else:
+        xs = xs.join(copies, "j", "left").select(
+            "j", "x", F.explode(F.expr("sequence(0L, coalesce(k, 1L) - 1)")).alias("s"))
+    joined = dealt.join(hint_broadcast(xs, False), on=["j", "s"], how="left")
+    prod = F.col("v") * F.coalesce(F.col("x"), _zero_like(vec, "x"))
+    return joined.groupBy("i").agg(F.sum(prod).alias("x"))
+
+
 # -------------------------------------------------------------- packed layout
 def row_segments(entries: DataFrame, width: int = DEFAULT_WIDTH, by: Sequence[str] = ()) -> DataFrame:
     """Row segments ``(by..., i, s, e)``: the entries ``(j, v)`` of row ``i`` whose column
@@ -68,6 +101,28 @@ def pack_rows(entries: DataFrame, width: int = DEFAULT_WIDTH, by: Sequence[str]
     return row_segments(entries, width, by).select(*by, "i", "s", F.col("e.j").alias("idx"), F.col("e.v").alias("val"))
 
 
+def cell_positions(cells: DataFrame, long_rows: dict[int, int] | None = None, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """``(i, pos, j, v)`` of unique cells, ``pos`` = the cell's 0-based place in its row (by column).
+
+    Rows are numbered by one window over ``(i, s)``, the one exchange of cells. ``s`` is 0 but in
+    the listed long rows, where it is the column block: a long row is numbered block by
+    block by different tasks, and the cells before each block come from a running sum over
+    the block counts of the long rows alone."""
+    def numbered(by: list[str]):
+        return (F.row_number().over(Window.partitionBy(*by).orderBy("j")) - 1).cast("long")
+
+    if not long_rows:
+        return cells.select("i", numbered(["i"]).alias("pos"), "j", "v")
+    listed = F.broadcast(cells.sparkSession.createDataFrame([(int(i),) for i in sorted(long_rows)], "i long").withColumn("long", F.lit(True)))
+    marked = cells.join(listed, "i", "left").withColumn(
+        "s", F.when(F.col("long"), block_of("j", width)).otherwise(F.lit(0).cast("long"))).drop("long")
+    counts = cells.join(listed, "i").groupBy("i", block_of("j", width).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("i").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("i", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    placed = marked.withColumn("p", numbered(["i", "s"])).join(offsets, ["i", "s"], "left")
+    return placed.select("i", (F.col("p") + F.coalesce("off", F.lit(0))).cast("long").alias("pos"), "j", "v")
+
+
 def row_positions(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Explode row segments to ``(by..., i, pos, j, v)``, ``pos`` = the entry's 0-based
     place in its whole row (ordered by column).
@@ -75,8 +130,8 @@ def row_positions(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Segment offsets come from a running sum over a one-row-per-segment table
     (the window sees segment sizes only), joined back on the unique ``(i, s)``
     key, so a long row is exploded by the tasks that hold its segments, not by
-    one task. Both sides need the same aggregate, whose exchange Spark reuses. Packed
-    rows (``idx``, ``val``) are taken as well."""
+    one task. The segments are read twice: for cells that are not packed yet use
+    ``cell_positions``. Packed rows (``idx``, ``val``) are taken as well."""
     if "e" not in segments.columns:
         cell = F.zip_with("idx", "val", lambda j, v: F.struct(j.alias("j"), v.alias("v")))
         segments = segments.select(*by, "i", "s", cell.alias("e"))

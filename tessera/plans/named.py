@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import complex as cx
+from ..matrix import MatrixFrame
 from ..operators import structure as st
+from ..operators.blocks import block_columns
+from ..operators.partition import part_positions
 from ..operators.power import power_iteration
 from ..operators.repeat import repeat_multiply
 from ..sources.tables import DriverTables
@@ -111,6 +114,72 @@ def spmv_hot_column_shuffled(spark, sf):
     return _vec(t.li_hot("column").multiply(t.px(exact=True), broadcast=False), 4)
 
 
+def spmv_hot_column_salted(spark, sf):
+    """The same skew and no broadcast, without help from AQE: the hot column is found by a
+    sketch and dealt over partitions."""
+    t = DriverTables(spark, sf)
+    return _vec(t.li_hot("column").multiply(t.px(exact=True), broadcast=False, salt=True), 4)
+
+
+def spmv_grid_shuffled(spark, sf):
+    """Compressed blocks against shuffled vector blocks, a chunk of a block column at a time."""
+    t = DriverTables(spark, sf)
+    return _vec(t.li().multiply(t.px(), layout="grid", broadcast=False), 4)
+
+
+def _routed(trans: bool) -> Query:
+    def q(spark, sf):
+        t = DriverTables(spark, sf)
+        return _vec(t.ps().multiply(t.part_supplier_values(), trans=trans, layout="routed"), 2)
+
+    q.__name__ = "spmv_graph_routed" + ("_trans" if trans else "")
+    return q
+
+
+# ---------------------------------------------------------------- partitions
+NNZ_PARTS, ROUTED_PARTS = 16, 16
+
+
+def nnz_partitions(spark, sf):
+    """Rows and cells of each of 16 partitions of equal counts; a quarter of the entries lie in row 0."""
+    t = DriverTables(spark, sf)
+    parts = t.li_hot("row").balanced_cells(NNZ_PARTS)
+    return parts.groupBy("part").agg(F.countDistinct("i").alias("rows"), F.count(F.lit(1)).alias("nnz"))
+
+
+def spmv_balanced(spark, sf):
+    t = DriverTables(spark, sf)
+    a = t.li()
+    kept = MatrixFrame(a.balanced_cells(NNZ_PARTS).drop("part"), a.n_rows, a.n_cols, canonical=True)
+    return _vec(kept.multiply(t.px()), 4)
+
+
+def balanced_positions(spark, sf):
+    """The row positions of all cells from one scan of each balanced partition."""
+    a = DriverTables(spark, sf).li_hot("row")
+    cuts = a.nnz_cuts(NNZ_PARTS)
+    pos = part_positions(a.balanced_cells(NNZ_PARTS, cuts), cuts)
+    return pos.select("i", "pos", "j", F.col("v").cast("double").alias("v"))
+
+
+def grid_blocks(spark, sf):
+    """Directory of the 1024 x 256 blocks: cells, stored columns, distinct rows."""
+    blocks = DriverTables(spark, sf).li().grid_blocks(1024, 256)
+    return blocks.select("bi", "bj", "nnz", F.size("cols").alias("n_cols"), F.size(F.array_distinct("idx")).alias("n_rows"),
+                         F.get("ptr", F.size("ptr") - 1).alias("end"))
+
+
+def csc_blocks(spark, sf):
+    """Every stored column of the compressed blocks with its pointers."""
+    return _r(block_columns(DriverTables(spark, sf).li().grid_blocks(1024, 256)), 2, "total")
+
+
+def graph_routing(spark, sf):
+    """Per edge partition: edges, vertices shipped to it, vertices it writes."""
+    parts = DriverTables(spark, sf).ps().edge_partitions(ROUTED_PARTS)
+    return parts.select("part", "n_edges", F.size("dst").alias("n_in"), F.size("src").alias("n_out"))
+
+
 # ----------------------------------------------------------------- structure
 def transpose(spark, sf):
     return DriverTables(spark, sf).li().transpose().entries
@@ -288,7 +357,17 @@ QUERIES: dict[str, Query] = {
     "spmv_hot_row": spmv_hot_row,
     "spmv_hot_column_shuffled": spmv_hot_column_shuffled,
     **{f"spmv_{lay}" + ("" if k == "plain" else f"_{k}"): _layout(lay, k)
-       for lay in ("packed", "blocked", "graph") for k in ("plain", "trans", "sym")},
+       for lay in ("packed", "blocked", "graph", "grid") for k in ("plain", "trans", "sym")},
+    "spmv_hot_column_salted": spmv_hot_column_salted,
+    "spmv_grid_shuffled": spmv_grid_shuffled,
+    "spmv_graph_routed": _routed(False),
+    "spmv_graph_routed_trans": _routed(True),
+    "nnz_partitions": nnz_partitions,
+    "spmv_balanced": spmv_balanced,
+    "balanced_positions": balanced_positions,
+    "grid_blocks": grid_blocks,
+    "csc_blocks": csc_blocks,
+    "graph_routing": graph_routing,
     "transpose": transpose,
     "diagonal": diagonal,
     "lower_triangle": lower_triangle,

@@ -29,10 +29,28 @@ CTE = {
           "CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings "
           "WHERE vec_id = (SELECT min(vec_id) FROM embeddings)",
     "canon": "SELECT i, j, SUM(v) AS v FROM li GROUP BY i, j",
+    "hotrow": "SELECT CAST(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_orderkey END AS BIGINT) AS i, "
+              "CAST(l_partkey AS BIGINT) AS j, CAST(l_quantity AS DECIMAL(15,2)) AS v FROM lineitem",
+    "hotcells": "SELECT i, j, CAST(SUM(v) AS DOUBLE) AS v, row_number() OVER (ORDER BY i, j) - 1 AS r, "
+                "count(*) OVER () AS total FROM hotrow GROUP BY i, j",
+    "grid": "SELECT i // 1024 AS bi, j // 256 AS bj, CAST(j % 256 AS INTEGER) AS col, CAST(i % 1024 AS INTEGER) AS r, v FROM canon",
+    "gcols": "SELECT bi, bj, col, count(*) AS n, min(r) AS first_row, sum(v) AS total FROM grid GROUP BY bi, bj, col",
+    "ps": "SELECT CAST(l_partkey AS BIGINT) AS i, CAST(l_suppkey + (SELECT max(p_partkey) + 1 FROM part) AS BIGINT) AS j, "
+          "l_quantity AS v FROM lineitem",
+    "psx": "SELECT CAST(p_partkey AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS x FROM part UNION ALL "
+           "SELECT CAST(s_suppkey + (SELECT max(p_partkey) + 1 FROM part) AS BIGINT), CAST(s_nationkey + 1 AS DOUBLE) FROM supplier",
+    # 16 edge partitions, a square of side 4; an end with a sixteenth of all edges is a hub
+    "psh": "SELECT i AS id FROM ps GROUP BY i HAVING count(*) >= (SELECT count(*) FROM ps) / 16.0 UNION "
+           "SELECT j FROM ps GROUP BY j HAVING count(*) >= (SELECT count(*) FROM ps) / 16.0",
+    "pse": "SELECT i, j, CAST(CASE WHEN i IN (SELECT id FROM psh) OR j IN (SELECT id FROM psh) "
+           "THEN (i % 2147483647 * 48271 % 2147483647 + j % 2147483647 * 48271 % 2147483647 * 3) % 16 "
+           "ELSE i % 2147483647 * 48271 % 2147483647 % 4 * 4 + j % 2147483647 * 48271 % 2147483647 % 4 END AS INTEGER) AS part "
+           "FROM (SELECT DISTINCT i, j FROM ps)",
 }
 
 # which CTEs each CTE needs
-_DEPS = {"ev": ["codes"], "ept": ["codes"], "syms": ["nt"], "symf": ["syms"], "nodiag": ["syms"], "skewf": ["syms"], "canon": ["li"]}
+_DEPS = {"ev": ["codes"], "ept": ["codes"], "syms": ["nt"], "symf": ["syms"], "nodiag": ["syms"], "skewf": ["syms"], "canon": ["li"],
+         "hotcells": ["hotrow"], "grid": ["canon"], "gcols": ["grid"], "psh": ["ps"], "pse": ["ps", "psh"]}
 
 N_ORDERS = "(SELECT max(o_orderkey) + 1 FROM orders)"
 N_PARTS = "(SELECT max(p_partkey) + 1 FROM part)"
@@ -131,6 +149,29 @@ ORACLE: dict[str, str] = {
     "spmv_blocked": spmv_sql("li", "px", 4),
     "spmv_blocked_trans": spmv_sql("li", "ox", 4, trans=True),
     "spmv_blocked_sym": spmv_sql("symf", "cpn", 2),
+    "spmv_hot_column_salted": "WITH e AS (SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(CASE WHEN l_linenumber = 1 "
+                              "THEN 0 ELSE l_partkey END AS BIGINT) AS j, l_quantity AS v FROM lineitem), "
+                              "x AS (" + CTE["px"] + ") SELECT e.i AS i, ROUND(CAST(SUM(CAST(e.v AS DECIMAL(15,2)) * "
+                              "CAST(COALESCE(x.x, 0) AS DECIMAL(15,2))) AS DOUBLE), 4) AS x FROM e LEFT JOIN x "
+                              "ON e.j = x.i GROUP BY e.i",
+    "spmv_grid": spmv_sql("li", "px", 4),
+    "spmv_grid_trans": spmv_sql("li", "ox", 4, trans=True),
+    "spmv_grid_sym": spmv_sql("symf", "cpn", 2),
+    "spmv_grid_shuffled": spmv_sql("li", "px", 4),
+    "spmv_balanced": spmv_sql("li", "px", 4),
+    "spmv_graph_routed": spmv_sql("ps", "psx", 2),
+    "spmv_graph_routed_trans": spmv_sql("ps", "psx", 2, trans=True),
+    "nnz_partitions": _with("hotcells") + "SELECT CAST(r * 16 // total AS INTEGER) AS part, count(DISTINCT i) AS rows, "
+                                          "count(*) AS nnz FROM hotcells GROUP BY 1",
+    "balanced_positions": _with("hotcells") + "SELECT i, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS pos, j, v FROM hotcells",
+    "grid_blocks": _with("grid") + "SELECT bi, bj, count(*) AS nnz, CAST(count(DISTINCT col) AS INTEGER) AS n_cols, "
+                                   "CAST(count(DISTINCT r) AS INTEGER) AS n_rows, CAST(count(*) AS INTEGER) AS \"end\" "
+                                   "FROM grid GROUP BY bi, bj",
+    "csc_blocks": _with("gcols") + "SELECT bi, bj, col, CAST(sum(n) OVER w - n AS INTEGER) AS first, CAST(sum(n) OVER w AS INTEGER) AS last, "
+                                   "CAST(n AS INTEGER) AS nnz, first_row, ROUND(total, 2) AS total FROM gcols "
+                                   "WINDOW w AS (PARTITION BY bi, bj ORDER BY col)",
+    "graph_routing": _with("pse") + "SELECT part, count(*) AS n_edges, CAST(count(DISTINCT j) AS INTEGER) AS n_in, "
+                                    "CAST(count(DISTINCT i) AS INTEGER) AS n_out FROM pse GROUP BY part",
     "spmv_graph": spmv_sql("nt", "cpn", 2),
     "spmv_graph_trans": spmv_sql("nt", "cpn", 2, trans=True),
     "spmv_graph_sym": spmv_sql("symf", "cpn", 2),

@@ -16,6 +16,8 @@ NT     lineitem-orders-customer-supplier: i = customer nation,     nations x nat
 SYM    NT folded onto its lower triangle (i >= j), stored as       nations, symmetric
        ``symmetric``: the full matrix is NT + NT' - diag(NT)
 EM     embeddings: i = vec_id, j = position, v = element           vectors x dims, dense
+PS     lineitem as a graph: part p -> supplier n_parts + s,          parts + suppliers,
+       v = l_quantity                                               square, parallel edges
 EV     events: distinct (user_id, event type code), pattern        users x types
 =====  ==========================================================  ==========
 """
@@ -112,6 +114,24 @@ class DriverTables:
         e = self.sym(diagonal=False).entries
         return MatrixFrame(e, lambda: self.n_nations, lambda: self.n_nations, "skew-symmetric")
 
+    @cached_property
+    def n_suppliers(self) -> int:
+        return self._max_plus_one("supplier", "s_suppkey")
+
+    def ps(self) -> MatrixFrame:
+        li = self.table("lineitem").select(
+            F.col("l_partkey").cast("long").alias("i"), (F.col("l_suppkey") + F.lit(self.n_parts)).cast("long").alias("j"),
+            F.col("l_quantity").alias("v"))
+        n = self.n_parts + self.n_suppliers
+        return MatrixFrame(li, n, n)
+
+    def part_supplier_values(self) -> VectorFrame:
+        """A value per vertex of PS: the part's size, the supplier's nation + 1."""
+        part = self.table("part").select(F.col("p_partkey").cast("long").alias("i"), F.col("p_size").cast("double").alias("x"))
+        supp = self.table("supplier").select((F.col("s_suppkey") + F.lit(self.n_parts)).cast("long").alias("i"),
+                                             (F.col("s_nationkey") + 1).cast("double").alias("x"))
+        return VectorFrame(part.unionByName(supp), self.n_parts + self.n_suppliers, True)
+
     def em(self) -> MatrixFrame:
         emb = self.table("embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "val"))
         df = emb.select(F.col("vec_id").alias("i"), F.col("pos").cast("long").alias("j"),
