@@ -1,16 +1,17 @@
 """Distributed writers: Matrix Market files and vector text.
 
-Header lines and entries get one order key; ``repartitionByRange`` on it (Spark
-samples the key to cut ranges; all rows are kept) and ``sortWithinPartitions``
-make the part files of the output folder, read in name order, one valid file:
-banner and size line land in the first part. No row goes through the driver;
+Header lines and entries get one order key. Dense outputs know every line's place, and so its
+part file (``write_placed``); coordinate entries are cut by ``repartitionByRange`` (Spark
+samples the key to cut ranges; all rows are kept). With ``sortWithinPartitions`` the part
+files of the output folder, read in name order, are one valid file: banner and size
+line land in the first part. No row goes through the driver;
 only the entry count (for the size line) is computed there as a scalar.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import in_range, number_text
@@ -26,27 +27,40 @@ MIN_LINES_PER_FILE = 50_000  # small outputs: no more files than this allows
 
 
 
-def write_lines(lines: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists",
-                rows: int | None = None) -> None:
-    """``lines(g, a, b, value)``: write ``value`` ordered by ``(g, a, b)``.
-
-    The number of part files follows the (known) line count, not the cluster's
-    shuffle setting: at most ``LINES_PER_FILE`` lines each (about 100 MB), and for
-    small outputs up to one file per core as long as each keeps
-    ``MIN_LINES_PER_FILE`` lines, so that reading it back is parallel too."""
+def _file_count(spark: SparkSession, partitions: int | None, rows: int | None) -> int:
+    """Part files for so many lines: at most ``LINES_PER_FILE`` each (about 100 MB), and for
+    small outputs up to one per core as long as each keeps ``MIN_LINES_PER_FILE`` lines, so
+    that reading it back is parallel too (not the cluster's shuffle setting)."""
     if partitions:
-        n = int(partitions)
-    elif rows is not None:
+        return int(partitions)
+    if rows is not None:
         rows = int(rows)
-        n = max(1, -(-rows // LINES_PER_FILE),
-                min(default_parallelism(lines.sparkSession), rows // MIN_LINES_PER_FILE))
-    else:
-        n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return max(1, -(-rows // LINES_PER_FILE), min(default_parallelism(spark), rows // MIN_LINES_PER_FILE))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def write_lines(lines: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists",
+                rows: int | None = None) -> None:
+    """``lines(g, a, b, value)``: write ``value`` ordered by ``(g, a, b)``; ranges are sampled."""
+    n = _file_count(lines.sparkSession, partitions, rows)
     order = ["g", "a", "b"]
     (lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
      .select("value").write.mode(mode).text(path))
 
 
+def write_placed(lines: DataFrame, path: str, places: int, partitions: int | None = None, mode: str = "errorifexists",
+                 rows: int | None = None) -> None:
+    """``lines(at, value)``: write ``value`` in the order of ``at`` in ``0 .. places-1`` (header lines: below 0).
+
+    Places are known, so a line's part file follows from its place alone: lines are sent
+    there directly, nothing is sampled, and the lines are computed once."""
+    n = _file_count(lines.sparkSession, partitions, rows)
+    width = max(1, -(-int(places) // n))
+    part = F.greatest(F.lit(0), F.expr(f"at div {width}")).cast("int")
+    (lines.withColumn("part", part).repartitionById(n, "part").sortWithinPartitions("at")
+     .select("value").write.mode(mode).text(path))
+
+
 def detect_symmetry(m: MatrixFrame) -> str:
     """The storage kind of the values; a matrix that is not square is general."""
     if m.n_rows != m.n_cols:
@@ -161,15 +175,9 @@ def write_array(m: MatrixFrame, path: str, *, symmetry: str | None = None, skew_
 def _write_dense(cells: DataFrame, path: str, words: str, n_rows: int, n_cols: int, partitions: int | None,
                  mode: str) -> None:
     head = cells.sparkSession.createDataFrame(
-        [(0, 0, 0, f"%%MatrixMarket matrix {words}"), (0, 1, 0, f"{n_rows} {n_cols}")],
-        "g int, a long, b long, value string")
-    body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"), "value")
-    # the range sample and the write share one computation
-    body = body.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_lines(head.unionByName(body), path, partitions, mode, rows=n_rows * n_cols)
-    finally:
-        body.unpersist()
+        [(-2, f"%%MatrixMarket matrix {words}"), (-1, f"{n_rows} {n_cols}")], "at long, value string")
+    body = cells.select((F.col("j") * F.lit(n_rows) + F.col("i")).alias("at"), "value")
+    write_placed(head.unionByName(body), path, n_rows * n_cols, partitions, mode, rows=n_rows * n_cols)
 
 
 def write_complex_array(entries: DataFrame, path: str, n_rows: int, n_cols: int, *, symmetry: str | None = None,
@@ -214,15 +222,8 @@ def _checked_complex(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
 def write_vector_text(x: VectorFrame, path: str, *, precision: int | None = None,
                       partitions: int | None = None, mode: str = "errorifexists") -> None:
     """Dense vector, one number per line in index order (absent indices written as 0)."""
-    dense = x.to_dense().df
-    lines = dense.select(F.lit(1).alias("g"), F.col("i").alias("a"), F.lit(0).cast("long").alias("b"),
-                         number_text(F.col("x"), precision).alias("value"))
-    # the range sample and the write share one computation
-    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_lines(lines, path, partitions, mode, rows=x.length)
-    finally:
-        lines.unpersist()
+    lines = x.to_dense().df.select(F.col("i").alias("at"), number_text(F.col("x"), precision).alias("value"))
+    write_placed(lines, path, x.length, partitions, mode, rows=x.length)
 
 
 def write_vector_pairs(x: VectorFrame, path: str, mode: str = "errorifexists") -> None:

@@ -13,6 +13,7 @@ rebuilt inside one Spark plan, without a shuffle of the lines:
 3. the kept line's position in its matrix is ``offset(split) + m - min(m)``.
    Position 0 is the size line, 1.. are entries (or array values).
 
+A single coordinate matrix needs no positions and is scanned once (``_scanned_once``).
 Both scans of a file sit in the same plan, so a recomputed task sees the same
 splits and counters; the split table also gives the number of kept lines per matrix.
 One rule tells data lines from blank and comment lines everywhere (``SKIPPED_LINE``).
@@ -26,7 +27,7 @@ writer of this package produces (parts in name order).
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,6 +60,8 @@ class MatrixInfo:
     nnz: int          # entries declared on the size line (array: rows * cols or triangle)
     data_lines: int | None   # kept lines after the size line (None: not counted)
     diagonal: bool = True    # array files of one triangle: the diagonal is listed
+    size_line: str | None = None    # text of the size line, where it lies in the first split of
+    first_file: str | None = None   # this file, the first of the matrix (None: not looked at)
 
 
 def _list_files(spark: SparkSession, path: str | list[str]) -> list[str]:
@@ -190,7 +193,9 @@ def _head_info(spark: SparkSession, path: str, by_folder: bool,
     if not banner.lstrip().lower().startswith(BANNER):
         raise ValueError(f"{key}: first line is not a %%MatrixMarket banner")
     info = _parse_header(key, banner, size[0]["value"], None)
-    return [info] if info.representation == "coordinate" else None
+    if info.representation != "coordinate":
+        return None
+    return [replace(info, size_line=size[0]["value"], first_file=files[0])]
 
 
 def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
@@ -280,6 +285,53 @@ def _with_array_position(t: DataFrame) -> DataFrame:
             .drop("_a", "_j"))
 
 
+def _positioned_entries(spark: SparkSession, path: str | list[str], by_folder: bool, infos: list[MatrixInfo],
+                        strict_count: bool) -> DataFrame:
+    """The lines after each matrix's size line with their positions and the matrix's header."""
+    info = hint_small(spark, info_frame(spark, infos), len(infos))  # one row per matrix
+    t = positioned(_lines(spark, path, by_folder)).join(info, on="key")
+    entry = F.col("p") >= 1
+    if strict_count:   # the size line itself carries the check, once per matrix
+        short = F.raise_error(F.concat(F.col("key"), F.lit(": the size line declares "), F.col("nnz").cast("string"),
+                                       F.lit(" entries, the file holds "), (F.col("n_lines") - 1).cast("string")))
+        entry = F.when(F.col("p") >= 1, F.lit(True)).when(F.col("n_lines") - 1 == F.col("nnz"), F.lit(False)) \
+            .otherwise(short.cast("boolean"))
+    return t.where(entry).withColumn("head", F.col("p") < 1)
+
+
+def _scanned_once(spark: SparkSession, files: list[str], m: MatrixInfo, strict_count: bool) -> DataFrame:
+    """The entry lines of a single coordinate matrix from one scan of its text, with the header as literals.
+
+    Entries need no position, only the size line has to go: the first kept line of the split at
+    byte 0 of the first file. That file is scanned apart from the others: its splits, all
+    of one size but the last, are then one to a partition from byte 0 on, so the line is
+    the one with counter 0 at block start 0. It is compared with the text that the header was
+    read from, so another cut of the file fails and nothing is dropped in its place.
+    ``strict_count``: the size line also compares the declared entries with a scalar subquery
+    that counts the kept lines, the only second look at the text."""
+    def kept(some: list[str]) -> DataFrame:
+        return spark.read.text(some).select("value", F.col("_metadata.file_block_start").alias("b")).where(_is_data(F.col("value")))
+
+    def fail(text: Column) -> Column:
+        return F.raise_error(F.concat(F.lit(m.key), text)).cast("boolean")
+
+    rest = [f for f in files if f != m.first_file]
+    counter = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    first = kept([m.first_file]).withColumn("is_size", (F.col("b") == 0) & (counter == 0))
+    entry = F.lit(False)
+    if strict_count:
+        counted = kept(files).agg((F.count(F.lit(1)) - 1).alias("n")).scalar()
+        entry = F.when(counted == F.lit(m.nnz), F.lit(False)).otherwise(
+            fail(F.concat(F.lit(f": the size line declares {m.nnz} entries, the file holds "), counted.cast("string"))))
+    entry = F.when(~F.col("is_size"), F.lit(True)).when(F.col("value") == F.lit(m.size_line), entry).otherwise(
+        fail(F.lit(": the size line is not the first data line any more")))
+    lines = first.where(entry).select("value", F.col("is_size").alias("head"))
+    if rest:
+        lines = lines.unionByName(kept(rest).select("value", F.lit(False).alias("head")))
+    return lines.select(F.lit(m.key).alias("key"), F.lit(m.matrix_id).alias("matrix_id"), "value", "head",
+                        F.lit(m.n_rows).cast("long").alias("n_rows"), F.lit(m.n_cols).cast("long").alias("n_cols"))
+
+
 def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | None = None,
                  infos: list[MatrixInfo] | None = None,
                  strict_count: bool = False) -> tuple[DataFrame, list[MatrixInfo]]:
@@ -296,15 +348,11 @@ def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | N
     files = _list_files(spark, path) if infos is None or by_folder is None else None
     by_folder = resolve_by_folder(spark, path, by_folder, files)
     infos = infos if infos is not None else read_info(spark, path, by_folder, files=files)
-    info = hint_small(spark, info_frame(spark, infos), len(infos))  # one row per matrix
-    t = positioned(_lines(spark, path, by_folder)).join(info, on="key")
-    entry = F.col("p") >= 1
-    if strict_count:   # the size line itself carries the check, once per matrix
-        short = F.raise_error(F.concat(F.col("key"), F.lit(": the size line declares "), F.col("nnz").cast("string"),
-                                       F.lit(" entries, the file holds "), (F.col("n_lines") - 1).cast("string")))
-        entry = F.when(F.col("p") >= 1, F.lit(True)).when(F.col("n_lines") - 1 == F.col("nnz"), F.lit(False)) \
-            .otherwise(short.cast("boolean"))
-    t = t.where(entry).withColumn("tok", tokens(F.col("value")))
+    if len(infos) == 1 and infos[0].size_line is not None:
+        t = _scanned_once(spark, files or _list_files(spark, path), infos[0], strict_count)
+    else:
+        t = _positioned_entries(spark, path, by_folder, infos, strict_count)
+    t = t.withColumn("tok", tokens(F.col("value")))
     tok = lambda k: F.get(F.col("tok"), k)
     kinds = {(m.representation, m.field) for m in infos}
     # per-row choice only when the files differ; otherwise plain expressions
@@ -315,9 +363,8 @@ def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | N
     else:
         coord = F.col("representation") == "coordinate"
         field = F.col("field")
-    t = t.withColumn("k", F.col("p") - 1)
     if any(m.representation == "array" for m in infos):
-        t = _with_array_position(t)
+        t = _with_array_position(t.withColumn("k", F.col("p") - 1))
         ai, aj = F.col("ai"), F.col("aj")
     else:
         ai = aj = F.lit(None).cast("long")
@@ -331,6 +378,9 @@ def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | N
     ok = (i.isNotNull() & j.isNotNull() & v.isNotNull() & (F.size("tok") == want)
           & ((field != "complex") | im.isNotNull()))
     inside = (i >= 0) & (j >= 0) & (i < F.col("n_rows")) & (j < F.col("n_cols"))
+    # the size line is filtered out above, but a filter that Spark derives may look at it
+    # first, and must not take it for a malformed entry
+    ok, inside = F.col("head") | ok, F.col("head") | inside
     cols = [F.col("key"), F.col("matrix_id"), i.alias("i"), j.alias("j"), v.alias("v")]
     if any(m.field == "complex" for m in infos):
         cols.append(im.alias("im"))

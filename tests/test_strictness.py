@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import dense_values, mat, vec
 from tessera import MatrixFrame, VectorFrame
@@ -213,3 +214,63 @@ def test_indexed_entries_read_the_entries_once(spark):
     for i in range(7):
         mine = sorted((r.pos, r.j) for r in rows if r.i == i)
         assert [p for p, _ in mine] == list(range(len(mine))) and [j for _, j in mine] == sorted(j for _, j in mine)
+
+
+def test_a_coordinate_matrix_is_scanned_once(spark, tmpdir_path):
+    a = mat(spark, [(i % 50, i % 41, float(i)) for i in range(3000)], 50, 41)
+    path = f"{tmpdir_path}/m.mtx"
+    write_matrix_market(a, path, partitions=1)
+    for strict in (True, False):
+        got = read_matrix(spark, path, strict=strict)
+        plan = physical_plan(got.entries, "simple")
+        assert "Join" not in plan and "Window" not in plan
+        if not strict:   # strict reads also count the lines, by a scalar subquery
+            assert plan.count("FileScan text") == 1 and "Exchange" not in plan
+        assert sorted(map(tuple, got.entries.collect())) == sorted(map(tuple, a.canonicalize().entries.where("v != 0").collect()))
+
+
+def test_an_entry_that_looks_like_the_size_line_stays(spark, tmpdir_path):
+    """The corner cell's value equals the number of entries, so its line repeats the size line, also at small splits."""
+    path = f"{tmpdir_path}/corner.mtx"
+    with open(path, "w") as f:
+        f.write("%%MatrixMarket matrix coordinate integer general\n% a comment\n\n3 3 40\n")
+        f.write("3 3 40\n" * 20 + "1 1 2\n" * 20)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "100", "64"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {tuple(r) for r in read_matrix(spark, path).canonicalize().entries.collect()}
+            assert got == {(2, 2, 800.0), (0, 0, 40.0)}, size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_folder_of_parts_is_scanned_once_and_counted(spark, tmpdir_path):
+    import os
+
+    folder = f"{tmpdir_path}/parts.mtx"
+    os.makedirs(folder)
+    for n, text in enumerate(("%%MatrixMarket matrix coordinate real general\n2 2 3\n1 1 1.5\n", "% none\n\n", "2 2 2.5\n1 2 3\n")):
+        with open(f"{folder}/part-{n:05d}", "w") as f:
+            f.write(text)
+    assert sorted(map(tuple, read_matrix(spark, folder).entries.collect())) == [(0, 0, 1.5), (0, 1, 3.0), (1, 1, 2.5)]
+    with open(f"{folder}/part-00003", "w") as f:
+        f.write("2 1 9\n")
+    with pytest.raises(Exception, match="declares 3 entries, the file holds 4"):
+        read_matrix(spark, folder).entries.collect()
+    assert read_matrix(spark, folder, strict=False).entries.count() == 4
+
+
+def test_dense_outputs_are_placed_without_a_sample(spark, tmpdir_path):
+    x = vec(spark, [float(k) for k in range(1000)])
+    write_vector_text(x, f"{tmpdir_path}/x", partitions=7)
+    lines = [r.value for r in spark.read.text(f"{tmpdir_path}/x").select("value", F.col("_metadata.file_path").alias("f"),
+                                                                          F.monotonically_increasing_id().alias("m")).orderBy("f", "m").collect()]
+    assert [float(t) for t in lines] == [float(k) for k in range(1000)]
+    assert dense_values(read_vector(spark, f"{tmpdir_path}/x", 1000)) == [float(k) for k in range(1000)]
+    a = mat(spark, [(i % 13, i % 7, float(i)) for i in range(60)], 13, 7)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    write_array(a, f"{tmpdir_path}/a.mtx", partitions=5)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    back = read_matrix(spark, f"{tmpdir_path}/a.mtx")
+    assert sorted(map(tuple, back.to_dense().collect())) == sorted(map(tuple, a.to_dense().collect()))
