@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +83,30 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix64(base + mix64(np.array([seed], np.uint64)))
 
 
+_KEPT: list[tuple[Hashable, Any]] = []
+
+
+def kept(name: Hashable, make: Callable[[], Any]) -> Any:
+    """A worker's one large thing that outlives its task (a cache, an encoder).
+
+    Workers are used again by later stages; asking for another name drops the thing kept
+    before, so what stages leave behind does not add up."""
+    if not _KEPT or _KEPT[0][0] != name:
+        _KEPT.clear()
+        give_back()
+        _KEPT.append((name, make()))
+    return _KEPT[0][1]
+
+
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system, where its allocators can do so."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def concat_batches(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches put together or cut to about ``max_bytes`` each (one row at least)."""
     held: list[pa.RecordBatch] = []

@@ -16,7 +16,6 @@ which need no padding.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, utf8_column
+from .common import cut, kept, mix64, utf8_column
 from .tokens import LOWER, chunks, hash_spans, words
 
 WINDOW = 2048
@@ -156,10 +155,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per worker process, so its words live on from task to task."""
-    return Encoder(path)
+    """One per worker process, so its words live on from task to task of one stage."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def _minhash(ids: np.ndarray) -> int:

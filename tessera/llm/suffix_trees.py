@@ -111,7 +111,8 @@ def prefix_runs(words: np.ndarray, text: np.ndarray, length: int, prefix: int) -
         new = np.nonzero(np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])[0]
         first, last = start[new], start[np.r_[new[1:], len(start)] - 1]
         content = mix64((sums[last + length] - sums[first]) * inverse[first])
-        out.append((first + s, last + s, gram[at[new]], content))
+        # chosen hashes are small ones: mixed again, they spread evenly over the groups
+        out.append((first + s, last + s, mix64(gram[at[new]] ^ _LOW), content))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_rows, crc_fold, cut, mix64
+from .common import byte_rows, crc_fold, cut, give_back, kept, mix64
 
 GAP = 3
 DECAY = 0.6
@@ -283,12 +283,12 @@ def score_rows(df: DataFrame, model: Model, out: str = "score", text_col: str =
     """
     spark = df.sparkSession
     held = spark.sparkContext.broadcast(model)  # one table of 64**3 doubles: 2 MB
-    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
-    src = df.select(*kept)
+    src = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out])
     target = T.StructType([*src.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()) if top else T.DoubleType())])
 
     def run(batches):
         m = held.value
+        kept("margins", lambda: None)  # what another stage has kept in this worker goes first
         cache: dict[bytes, float] = {}
 
         def fill(words: list[bytes]) -> None:
@@ -313,6 +313,8 @@ def score_rows(df: DataFrame, model: Model, out: str = "score", text_col: str =
                 best = np.array([m_ + [LOW] * (TOP - len(m_)) for m_ in best]).reshape(-1, TOP)
                 got = pa.array(best.tolist(), pa.list_(pa.float64())) if top else pa.array(m.probability(best), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, got], [*part.schema.names, out])
+        cache.clear()
+        give_back()
 
     return src.mapInArrow(run, target)
 
