@@ -19,7 +19,7 @@ from ..matrix import MatrixFrame
 from ..operators import structure as st
 from ..operators.blocks import block_columns
 from ..operators.partition import part_positions
-from ..operators.power import power_iteration
+from ..operators.power import power_iteration, power_method
 from ..operators.repeat import repeat_multiply
 from ..sources.tables import DriverTables
 from ..vector import VectorFrame
@@ -326,6 +326,19 @@ def power_step_3(spark, sf):
     return _vec(x, 8)
 
 
+def power_converged(spark, sf):
+    """The dominant eigenvalue of the symmetric trade matrix, to a residual of 1e-6."""
+    t = DriverTables(spark, sf)
+    a = t.sym()
+    ones = VectorFrame(spark.range(a.n_rows).select(F.col("id").alias("i"), F.lit(1.0).alias("x")), a.n_rows, True)
+    r = power_method(a, ones, tolerance=1e-6, max_steps=60)
+    if not r.converged:
+        raise AssertionError(f"no convergence: {r}")
+    found = r.vector.df.agg(F.max(F.abs("x")).alias("largest"))
+    return found.select(F.round(F.lit(r.eigenvalue), 3).alias("eigenvalue"), F.lit(r.steps).cast("long").alias("steps"),
+                        F.round(F.lit(r.residual), 9).alias("residual"), F.round("largest", 8).alias("largest"))
+
+
 # ------------------------------------------------------------------ complex
 def complex_spmv(spark, sf):
     t = DriverTables(spark, sf)
@@ -393,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "random_vector": random_vector,
     "spmv_repeat": spmv_repeat,
     "power_step_3": power_step_3,
+    "power_converged": power_converged,
     "complex_spmv": complex_spmv,
     "hermitian_spmv": hermitian_spmv,
     "complex_kind": complex_kind,

@@ -97,6 +97,24 @@ def _power_sql(steps: int, digits: int) -> str:
             + f" SELECT i, ROUND(x, {digits}) AS x FROM x{steps}")
 
 
+def _converged_sql(tolerance: float, steps: int) -> str:
+    """``steps`` rounds written out; the first whose residual is within the tolerance is taken."""
+    n = N_NATIONS
+    parts = ["a AS MATERIALIZED (SELECT i, j, SUM(v) AS v FROM symf GROUP BY i, j)",
+             f"x1 AS MATERIALIZED (SELECT CAST(unnest(range(0, {n})) AS BIGINT) AS i, 1.0 / sqrt({n}) AS x)"]
+    found = []
+    for k in range(1, steps + 1):
+        parts.append(f"b{k} AS MATERIALIZED (SELECT x.i AS i, x.x AS x, COALESCE(y.y, 0) AS y FROM x{k} x LEFT JOIN "
+                     f"(SELECT a.i AS i, SUM(a.v * z.x) AS y FROM a JOIN x{k} z ON a.j = z.i GROUP BY a.i) y ON x.i = y.i)")
+        parts.append(f"e{k} AS MATERIALIZED (SELECT SUM(x * y) / SUM(x * x) AS e, sqrt(SUM(y * y)) AS n FROM b{k})")
+        found.append(f"SELECT {k} AS steps, e, sqrt(SUM((y - e * x) * (y - e * x))) / abs(e) AS residual, "
+                     f"max(abs(x)) AS largest FROM b{k}, e{k} GROUP BY e")
+        parts.append(f"x{k + 1} AS MATERIALIZED (SELECT i, y / n AS x FROM b{k}, e{k})")
+    return (_with("symf")[:-1] + ", " + ", ".join(parts) + ", found AS (" + " UNION ALL ".join(found)
+            + ") SELECT ROUND(e, 3) AS eigenvalue, CAST(steps AS BIGINT) AS steps, ROUND(residual, 9) AS residual, "
+            f"ROUND(largest, 8) AS largest FROM found WHERE residual <= {tolerance} ORDER BY steps LIMIT 1")
+
+
 _KIND = """
 SELECT m.matrix_id, CASE WHEN NOT sq THEN 'general'
   WHEN coalesce(is_sym, true) THEN 'symmetric'
@@ -218,6 +236,7 @@ ORACLE: dict[str, str] = {
                 "GROUP BY i) SELECT ROUND(COALESCE(max(abs(x)), 0), 2) AS max_abs, "
                 "ROUND(sqrt(COALESCE(SUM(x * x), 0)), 2) AS norm2 FROM d",
     "power_step_3": _power_sql(3, 8),
+    "power_converged": _converged_sql(1e-6, 30),
     "complex_spmv": "WITH e AS (SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j, "
                     "l_quantity AS v, round(l_discount * 100) AS im FROM lineitem), "
                     "x AS (SELECT CAST(p_partkey AS BIGINT) AS i, p_retailprice AS xr, "
