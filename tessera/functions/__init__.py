@@ -79,7 +79,7 @@ def keep_or_double(df, name: str) -> Column:
 
 def in_range(index: Column, size: int, value: Column) -> Column:
     """``value`` where ``0 <= index < size``; any other index fails the job."""
-    fail = F.raise_error(F.concat(F.lit("index "), index.cast("string"), F.lit(f" outside 0..{int(size) - 1}")))
+    fail = F.raise_error(F.concat(F.lit("index "), F.coalesce(index.cast("string"), F.lit("null")), F.lit(f" outside 0..{int(size) - 1}")))
     return F.when((index >= 0) & (index < F.lit(int(size))), value).otherwise(fail)
 
 

@@ -66,13 +66,16 @@ class MatrixFrame:
                 symmetry: str = "general") -> "MatrixFrame":
         """Any DataFrame with two index columns and a value column (``v=None``: pattern, 1.0).
 
-        Indices are cast to LONG as they are and must not be null (no per-row guard is
-        added, so that filters on ``i`` / ``j`` still reach a parquet scan). A null value
-        fails the job, in every layout alike."""
+        Indices are cast to LONG as they are. A null value or index fails the job that reads
+        the value, in every layout alike; the guard sits in the value column, so that filters
+        on ``i`` / ``j`` still reach a parquet scan (and drop null indices as filters do)."""
         vcol = F.lit(1.0) if v is None else keep_or_double(df, v)
         if v is not None and df.schema[v].nullable:
             kept = df.select(vcol.alias("v")).schema["v"].dataType.simpleString()
             vcol = not_null(vcol, kept, "matrix value")
+        for name in (i, j):
+            if df.schema[name].nullable:
+                vcol = F.when(F.col(name).isNotNull(), vcol).otherwise(F.raise_error(F.lit("null matrix index")))
         entries = df.select(F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"),
                             vcol.alias("v"))
         return cls(entries, n_rows, n_cols, symmetry)
@@ -243,6 +246,18 @@ class MatrixFrame:
         return _st.canonicalize(self.full_entries()).select(
             "i", "j", in_range(i, self.n_rows, in_range(j, self.n_cols, v)).alias("v"))
 
+    def _inside(self) -> "MatrixFrame":
+        """The matrix with guarded entries: one outside the declared shape fails the job. A dimension
+        that is not declared is taken from the entries, so only its lower end counts. The guard
+        is in the indices, which joins on them may drop when null, and in the values, which
+        no plan prunes."""
+        rows = self.n_rows if self._n_rows is not None else (1 << 63) - 1
+        cols = self.n_cols if self._n_cols is not None else (1 << 63) - 1
+        i, j = F.col("i"), F.col("j")
+        return self._like(self.entries.select(
+            in_range(i, rows, i).alias("i"), in_range(j, cols, j).alias("j"),
+            in_range(j, cols, in_range(i, rows, F.col("v"))).alias("v")), canonical=self.canonical_entries)
+
     # ------------------------------------------------------------ products
     def multiply(self, x: VectorFrame, trans: bool = False, layout: str = "join",
                  broadcast: bool | None = None, width: int = _spmv.DEFAULT_WIDTH,
@@ -252,7 +267,8 @@ class MatrixFrame:
         ``broadcast=None`` broadcasts the operand only below a proven row bound
         (``tessera.broadcast.maxRows``); otherwise a shuffled hash join built on the
         vector side, whose skewed entry partitions AQE splits. ``prepare(layout)``
-        first keeps the layout's form cached for repeated products. ``salt`` (join layout):
+        first keeps the layout's form cached for repeated products. An entry outside the declared
+        shape fails the job in every layout. ``salt`` (join layout):
         hot columns are looked for and dealt over partitions, where AQE is not at hand.
         """
         layout = layout_name(layout)
@@ -300,7 +316,7 @@ class MatrixFrame:
         key = self._form_key(layout, trans, width)
         if key in self._prepared:
             return self._prepared[key]
-        e = (self.transpose() if trans else self).full_entries()
+        e = (self.transpose() if trans else self)._inside().full_entries()
         if layout in ("join", "blocked", "grid"):
             return e
         if layout == "graph":
@@ -390,7 +406,7 @@ class MatrixFrame:
 
     def _balanced_form(self, layout: str, trans: bool, parts: int) -> DataFrame:
         """Cells in partitions of equal counts; they are kept only while the cuts are found."""
-        m = self.transpose().canonicalize() if trans else self.canonicalize()
+        m = (self.transpose() if trans else self)._inside().canonicalize()
         cells = m.cells().cache()
         try:
             cuts = _part.nnz_cuts(cells, m.n_rows, m.n_cols, parts)

@@ -12,8 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.matrix_market import (_list_files, hint_small, info_frame, read_entries, read_vectors,
-                                     resolve_by_folder, valid_entries)
+from ..sources.matrix_market import hint_small, names, read_all, read_vectors, split_bound, valid_entries
 from . import spmv, structure
 
 
@@ -22,38 +21,26 @@ def check_results(spark: SparkSession, matrices: str, vectors: str, results: str
     """``(matrix_id, max_abs, norm2)`` of ``A v - r`` for every matrix that has both a
     vector and a result. ``by_folder``: each matrix / vector is a folder of parts.
 
-    Which matrices qualify follows from the file names alone (one listing per
-    folder, bounded by the number of files), so only those are read, expanded and
-    multiplied. Names pair matrices with vectors, so two qualifying matrices of one
-    name (in different folders) are refused."""
-    def ids(path: str) -> set[str]:
-        files = _list_files(spark, path)
-        folder = resolve_by_folder(spark, path, by_folder, files)
-        names = {f.rsplit("/", 2)[-2] if folder else f.rsplit("/", 1)[-1] for f in files}
-        return {re.sub(re.escape(suffix) + "$", "", n) for n in names}
-
-    wanted = ids(vectors) & ids(results)
-    files = _list_files(spark, matrices)
-    folder = resolve_by_folder(spark, matrices, by_folder, files)
-    keys = {f.rsplit("/", 1)[0] if folder else f for f in files}
-    by_name: dict[str, list[str]] = {}
-    for k in sorted(keys):
-        by_name.setdefault(k.rsplit("/", 1)[-1], []).append(k)
-    double = sorted(n for n in wanted if len(by_name.get(n, ())) > 1)
-    if double:
-        raise ValueError(f"several matrices named {double}: {[by_name[n] for n in double]}")
-    have = sorted(wanted & by_name.keys())
-    if not have:
-        return spark.createDataFrame([], "matrix_id string, max_abs double, norm2 double")
-    entries, infos = read_entries(spark, [by_name[n][0] for n in have], by_folder=folder)
-    sym = hint_small(spark, info_frame(spark, infos).select("matrix_id", "symmetry"), len(infos))
-    stored = valid_entries(entries).select("matrix_id", "i", "j", "v").join(sym, on="matrix_id")
+    Matrices, vectors and results are paired by joins on their names, and headers are
+    parsed inside the plan: no name and no row per file reaches the driver. Files without a partner
+    may hold anything. Two qualifying matrices of one name (in different folders) are
+    refused, by a job over the names that returns one row at most; so are complex matrices, by
+    the job that reads them."""
+    name = F.regexp_replace(F.col("matrix_id"), re.escape(suffix) + "$", "").alias("matrix_id")
+    wanted = names(spark, vectors, by_folder).select(name).intersect(names(spark, results, by_folder).select(name))
+    found = names(spark, matrices, by_folder).join(wanted, "matrix_id")
+    double = found.groupBy("matrix_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").first()
+    if double is not None:
+        raise ValueError(f"several matrices named {double['matrix_id']!r}: {double['a']}, {double['b']}, ...")
+    entries, heads = read_all(spark, matrices, by_folder, keys=found)
+    fail = F.raise_error(F.concat(F.col("matrix_id"), F.lit(": complex values are not checked here")))
+    sym = heads.select("matrix_id", F.when(F.col("field") == "complex", fail).otherwise(F.col("symmetry")).alias("symmetry"))
+    stored = valid_entries(entries).select("matrix_id", "i", "j", "v").join(hint_small(spark, sym, split_bound(spark, matrices)), on="matrix_id")
     full = structure.expand(stored, F.col("symmetry"), by=["matrix_id"])
 
     def keyed(path: str) -> DataFrame:
-        v = read_vectors(spark, path, by_folder=by_folder)
-        mid = F.regexp_replace(F.col("vector_id"), re.escape(suffix) + "$", "")
-        return v.select(mid.alias("matrix_id"), "i", "x").where(F.col("matrix_id").isin(have))
+        v = read_vectors(spark, path, by_folder=by_folder).withColumnRenamed("vector_id", "matrix_id").select(name, "i", "x")
+        return v.join(hint_small(spark, found.select("matrix_id"), split_bound(spark, matrices)), "matrix_id", "left_semi")
 
     x, r = keyed(vectors), keyed(results)
     y = spmv.multiply_join(full, x, by=["matrix_id"])

@@ -15,10 +15,11 @@ from ..operators.checks import check_results as _check_results
 from ..session import scratch_path
 from ..operators import complex as cx
 from ..sinks.matrix_market import (write_array, write_complex_array, write_complex_matrix_market, write_lines,
-                                   write_matrix_market, write_vector_pairs, write_vector_text)
-from ..sources.matrix_market import (check_entries, read_entries, read_info, read_matrix, read_vector,
+                                   write_lines_many, write_matrix_market, write_vector_pairs, write_vector_text)
+from ..sources.matrix_market import (check_entries, header_frame, read_entries, read_info, read_matrix, read_vector,
                                      valid_entries)
 from ..sources.tables import DriverTables
+from ..vector import VectorFrame
 from .oracle import _HERM, N_NATIONS, N_ORDERS, N_PARTS, _with
 
 
@@ -201,6 +202,52 @@ def check_results(spark, sf):
     return _r(_r(res, 2, "max_abs"), 2, "norm2")
 
 
+N_MANY = 200   # matrices written by the queries over many files
+
+
+def _write_many(spark, t: DriverTables, path: str, words=None, value=None) -> None:
+    """Lineitem cut into 200 matrices by order: line number x supplier, quantities summed."""
+    words = F.lit("real") if words is None else words
+    value = F.col("v").cast("string") if value is None else value
+    li = t.table("lineitem").select((F.col("l_orderkey") % N_MANY).cast("long").alias("m"), F.col("l_linenumber").cast("long").alias("i"),
+                                    F.col("l_suppkey").cast("long").alias("j"), F.col("l_quantity").cast("long").alias("v"))
+    cells = li.groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
+    rows, cols = t._max_plus_one("lineitem", "l_linenumber"), t._max_plus_one("supplier", "s_suppkey")
+    size = cells.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    head = size.select("m", F.explode(F.array(
+        F.struct(F.lit(-2).cast("long").alias("at"), F.concat(F.lit("%%MatrixMarket matrix coordinate "), words, F.lit(" general")).alias("value")),
+        F.struct(F.lit(-1).cast("long").alias("at"), F.concat_ws(" ", F.lit(rows), F.lit(cols), F.col("n")).alias("value")))).alias("l"))
+    body = cells.select("m", (F.col("j") * F.lit(rows) + F.col("i")).alias("at"),
+                        F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, value).alias("value"))
+    write_lines_many(head.select("m", "l.*").unionByName(body).withColumnRenamed("m", "matrix_id"), path)
+
+
+def mm_info_many(spark, sf):
+    """The headers of 200 files of three fields as one table made inside the plan."""
+    t = DriverTables(spark, sf)
+    base = scratch_path(spark, "many")
+    kind = F.col("m") % 3
+    words = F.when(kind == 0, "real").when(kind == 1, "integer").otherwise("pattern")
+    _write_many(spark, t, base, words, F.when(kind != 2, F.col("v").cast("string")))
+    return header_frame(spark, f"{base}/*/part-*").drop("key", "diagonal")
+
+
+def check_results_many(spark, sf):
+    """200 matrices times the suppliers' balances against recorded results, paired by name."""
+    t = DriverTables(spark, sf)
+    base = scratch_path(spark, "check_many")
+    _write_many(spark, t, f"{base}/matrices")
+    every = F.explode(F.sequence(F.lit(0), F.lit(N_MANY - 1))).alias("matrix_id")
+    n_supp, n_rows = t._max_plus_one("supplier", "s_suppkey"), t._max_plus_one("lineitem", "l_linenumber")
+    bal = VectorFrame.from_df(t.table("supplier"), "s_suppkey", "s_acctbal", n_supp, unique=True).to_dense().df
+    write_lines_many(bal.select(every, F.col("i").alias("at"), F.col("x").cast("string").alias("value")), f"{base}/vectors")
+    # recorded: the matrix number plus the row
+    write_lines_many(spark.range(n_rows).select(every, F.col("id").alias("at")).withColumn(
+        "value", (F.col("matrix_id") + F.col("at")).cast("string")), f"{base}/output")
+    res = _check_results(spark, *[f"{base}/{k}/*/part-*" for k in ("matrices", "vectors", "output")])
+    return _r(_r(res, 2, "max_abs"), 2, "norm2")
+
+
 def parquet_round_trip(spark, sf):
     from ..sinks.parquet import write_matrix_parquet
     from ..sources.parquet import read_matrix_parquet
@@ -228,8 +275,13 @@ FILE_QUERIES = {
     "vector_round_trip": vector_round_trip,
     "vector_pairs_round_trip": vector_pairs_round_trip,
     "check_results": check_results,
+    "mm_info_many": mm_info_many,
+    "check_results_many": check_results_many,
 }
 
+_MANY = (f"WITH cells AS (SELECT CAST(l_orderkey % {N_MANY} AS BIGINT) AS m, CAST(l_linenumber AS BIGINT) AS i, "
+         "CAST(l_suppkey AS BIGINT) AS j, SUM(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2, 3)")
+
 FILE_ORACLE = {
     "parquet_round_trip": _with("li") + "SELECT i, j, v FROM li",
     "mm_round_trip": _with("canon") + "SELECT i, j, v FROM canon WHERE v <> 0",
@@ -280,4 +332,15 @@ FILE_ORACLE = {
       "SELECT 'li.mtx' AS matrix_id, ROUND(COALESCE(max(abs(x)), 0), 2) AS max_abs, "
       "ROUND(sqrt(COALESCE(SUM(x * x), 0)), 2) AS norm2 FROM d1 UNION ALL "
       "SELECT 'nt.mtx', ROUND(COALESCE(max(abs(x)), 0), 2), ROUND(sqrt(COALESCE(SUM(x * x), 0)), 2) FROM d2",
+    "mm_info_many": _MANY + "SELECT 'matrix_id=' || m AS matrix_id, 'coordinate' AS representation, CASE m % 3 WHEN 0 THEN 'real' "
+                    "WHEN 1 THEN 'integer' ELSE 'pattern' END AS field, 'general' AS symmetry, "
+                    "(SELECT CAST(max(l_linenumber) + 1 AS BIGINT) FROM lineitem) AS n_rows, "
+                    "(SELECT CAST(max(s_suppkey) + 1 AS BIGINT) FROM supplier) AS n_cols, count(*) AS nnz, "
+                    "count(*) AS data_lines FROM cells GROUP BY m",
+    "check_results_many": _MANY + ", y AS (SELECT m, i, SUM(v * COALESCE(s_acctbal, 0)) AS x FROM cells LEFT JOIN supplier "
+                          "ON j = s_suppkey GROUP BY m, i), g AS (SELECT m, i FROM (SELECT DISTINCT m FROM cells), "
+                          "(SELECT CAST(unnest(range(0, (SELECT max(l_linenumber) + 1 FROM lineitem))) AS BIGINT) AS i)), "
+                          "d AS (SELECT g.m AS m, COALESCE(y.x, 0) - (g.m + g.i) AS x FROM g LEFT JOIN y ON g.m = y.m AND g.i = y.i) "
+                          "SELECT 'matrix_id=' || m AS matrix_id, ROUND(max(abs(x)), 2) AS max_abs, "
+                          "ROUND(sqrt(SUM(x * x)), 2) AS norm2 FROM d GROUP BY m",
 }

@@ -154,6 +154,15 @@ def write_matrix_market(m: MatrixFrame, path: str, *, field: str = "real",
     return count
 
 
+def write_lines_many(lines: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
+    """``lines(matrix_id, at, value)``: one folder ``matrix_id=...`` per matrix under ``path``, its lines
+    ordered by ``at``; all of them in one job. A matrix is written by one task, as one file: for
+    many small matrices (a large one is written by the other writers)."""
+    n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (lines.select("matrix_id", "at", "value").repartition(n, "matrix_id").sortWithinPartitions("matrix_id", "at")
+     .select("matrix_id", "value").write.mode(mode).partitionBy("matrix_id").text(path))
+
+
 def write_array(m: MatrixFrame, path: str, *, symmetry: str | None = None, skew_diagonal: bool = True,
                 precision: int | None = None, partitions: int | None = None,
                 mode: str = "errorifexists") -> str:
@@ -227,8 +236,9 @@ def write_vector_text(x: VectorFrame, path: str, *, precision: int | None = None
 
 
 def write_vector_pairs(x: VectorFrame, path: str, mode: str = "errorifexists") -> None:
-    """Stored entries as ``i,x`` CSV part files (no order, no densifying)."""
-    x.df.select("i", "x").write.mode(mode).csv(path)
+    """Stored entries as ``i,x`` CSV part files (no order, no densifying). An index outside the
+    length fails the job."""
+    x.df.select(in_range(F.col("i"), x.length, F.col("i")).alias("i"), "x").write.mode(mode).csv(path)
 
 
 def write_complex_matrix_market(entries: DataFrame, path: str, n_rows: int, n_cols: int, *,

@@ -80,14 +80,49 @@ def resolve_by_folder(spark: SparkSession, path: str, by_folder: bool | None,
     return bool(files) and all(f.rsplit("/", 1)[-1].startswith("part-") for f in files)
 
 
-def _lines(spark: SparkSession, path: str | list[str], by_folder: bool) -> DataFrame:
+def _key_of(f: Column, by_folder: bool | None) -> Column:
+    """The key of a file's matrix or vector; ``None``: the folder of a ``part-*`` file, else the file."""
+    folder = F.regexp_extract(f, r"^(.*)/[^/]*$", 1)
+    if by_folder is None:
+        return F.when(f.rlike(r"/part-[^/]*$"), folder).otherwise(f)
+    return folder if by_folder else f
+
+
+def _lines(spark: SparkSession, path: str | list[str], by_folder: bool | None) -> DataFrame:
     raw = spark.read.text(path)
     f = F.col("_metadata.file_path")
-    key = F.regexp_extract(f, r"^(.*)/[^/]*$", 1) if by_folder else f
-    return raw.select(F.col("value"), key.alias("key"), f.alias("f"),
+    return raw.select(F.col("value"), _key_of(f, by_folder).alias("key"), f.alias("f"),
                       F.col("_metadata.file_block_start").alias("b"))
 
 
+def names(spark: SparkSession, path: str | list[str], by_folder: bool | None = None) -> DataFrame:
+    """``(key, matrix_id)`` of every matrix or vector under ``path``, one row each: a table made
+    from the file listing. No file is opened and no name comes to the caller."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("f"))
+    return files.select(_key_of(F.col("f"), by_folder).alias("key")).distinct().withColumn("matrix_id", _matrix_id(F.col("key")))
+
+
+def _split_bound(lines: DataFrame) -> int:
+    """A proven bound on the file splits of a scan, from its plan: every file of a partition
+    fills it by ``openCostInBytes`` at least."""
+    conf = lines.sparkSession.conf
+    size, least = (_bytes(conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes"))
+    return lines.rdd.getNumPartitions() * (size // max(1, least) + 1)
+
+
+def split_bound(spark: SparkSession, path: str | list[str]) -> int:
+    """A proven bound on the file splits, and so on the files, under ``path``."""
+    return _split_bound(spark.read.text(path))
+
+
+def _bytes(text: str) -> int:
+    """A size setting in bytes (``134217728``, ``134217728b``, ``128m``)."""
+    m = re.fullmatch(r"(\d+)([bkmgtp]?)b?", text.strip().lower())
+    if not m:
+        raise ValueError(f"not a size: {text!r}")
+    return int(m.group(1)) << 10 * "bkmgtp".index(m.group(2) or "b")
+
+
 def _part_no(f: Column) -> Column:
     """Numeric part number of a ``part-NNNNN...`` file (0 otherwise): part files are
     ordered by it, as names stop sorting numerically past 99 999 parts."""
@@ -113,9 +148,9 @@ def hint_small(spark: SparkSession, df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if may_broadcast(spark, rows) else df
 
 
-def positioned(lines: DataFrame) -> DataFrame:
+def positioned(lines: DataFrame, n_splits: int | None = None) -> DataFrame:
     """Kept (non-blank, non-comment) lines with ``p``: 0-based position in their matrix,
-    and ``n_lines``: the number of kept lines of the matrix."""
+    and ``n_lines``: the number of kept lines of the matrix. ``n_splits``: a bound on the file splits."""
     spark = lines.sparkSession
     kept = (lines.where(_is_data(F.col("value")))
             .withColumn("m", F.monotonically_increasing_id()).withColumn("fid", F.xxhash64("f")))
@@ -126,7 +161,8 @@ def positioned(lines: DataFrame) -> DataFrame:
     offsets = splits.select("fid", "b", "m0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"),
                             F.sum("n").over(of_key).alias("n_lines"))
     # one row of five numbers per file split: a partition holds whole splits, a small file is one
-    n_splits = lines.rdd.getNumPartitions() + len(lines.inputFiles())
+    if n_splits is None:
+        n_splits = lines.rdd.getNumPartitions() + len(lines.inputFiles())
     return (kept.join(hint_small(spark, offsets, n_splits), on=["fid", "b"])
             .select("key", "value", (F.col("off") + F.col("m") - F.col("m0")).alias("p"), "n_lines"))
 
@@ -198,6 +234,98 @@ def _head_info(spark: SparkSession, path: str, by_folder: bool,
     return [replace(info, size_line=size[0]["value"], first_file=files[0])]
 
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """Per key the first line, the first banner line and the first kept line with their places,
+    and the kept lines: one row per split on long counters, then one per key."""
+    v = F.col("value")
+    m = F.col("m")
+    lines = lines.withColumn("m", F.monotonically_increasing_id())
+    m_banner = F.when(_is_banner(v), m)
+    m_kept = F.when(_is_data(v), m)
+    lines = lines.withColumn("pn", _part_no(F.col("f")))
+    per_split = lines.groupBy("key", "pn", "f", "b").agg(
+        F.min(m).alias("m_first"),
+        F.min(m_banner).alias("m_banner"), F.min_by(v, m_banner).alias("banner"),
+        F.min(m_kept).alias("m_size"), F.min_by(v, m_kept).alias("size"),
+        F.count(m_kept).alias("kept"))
+    has = lambda c: F.col(c).isNotNull()
+    return per_split.groupBy("key").agg(
+        F.min(F.struct("pn", "f", "b", "m_first")).alias("first"),
+        F.min(F.when(has("m_banner"), F.struct("pn", "f", "b", F.col("m_banner").alias("m_first"),
+                                               "banner"))).alias("banner"),
+        F.min(F.when(has("m_size"), F.struct("pn", "f", "b", "m_size", "size"))).alias("size"),
+        F.sum("kept").alias("kept_lines"))
+
+
+def _parsed_heads(heads: DataFrame) -> DataFrame:
+    """The columns of ``info_frame`` from ``_heads``, by the rules of ``_parse_header``: a wrong
+    banner or size line fails the job that reads the row."""
+    word = lambda k: F.get(F.col("words"), k)
+    size = lambda k: to_long(F.get(F.col("sizes"), k))
+    h = heads.select("key", "kept_lines", "first", "banner", F.col("size.size").alias("size")).withColumn(
+        "words", tokens(F.lower("banner.banner"))).withColumn("sizes", tokens(F.col("size")))
+    at = F.struct("banner.pn", "banner.f", "banner.b", "banner.m_first")
+    rep, field, sym = word(2), word(3), word(4)
+    n_rows, n_cols = size(0), size(1)
+    coord = rep == "coordinate"
+    faults = [(F.col("banner").isNull() | (F.col("first") != at), "first line is not a %%MatrixMarket banner"),
+              (F.size("words") < 5, "banner needs 5 words"),
+              (~(word(1).isin(*OBJECTS) & rep.isin(*REPRESENTATIONS) & field.isin(*FIELDS) & sym.isin(*SYMMETRIES)),
+               "unknown banner words"),
+              ((rep == "array") & (field == "pattern"), "an array file cannot have pattern entries"),
+              (F.col("size").isNull(), "no size line"),
+              (n_rows.isNull() | n_cols.isNull() | (coord & size(2).isNull()), "bad size line")]
+    fine = F.lit(True)
+    for bad, text in reversed(faults):
+        fail = F.raise_error(F.concat(F.col("key"), F.lit(f": {text}"))).cast("boolean")
+        fine = F.when(bad, fail).otherwise(fine)
+    lines = F.col("kept_lines") - 1
+    h = h.where(fine).select(
+        "key", _matrix_id(F.col("key")).alias("matrix_id"), rep.alias("representation"), field.alias("field"),
+        sym.alias("symmetry"), n_rows.alias("n_rows"), n_cols.alias("n_cols"), size(2).alias("declared"),
+        lines.cast("long").alias("data_lines"))
+    half = F.expr("n_rows * (n_rows - 1) div 2")   # cells of one triangle without its diagonal
+    with_diagonal = half + F.col("n_rows")
+    diagonal = ((F.col("representation") != "array") | (F.col("symmetry") != "skew-symmetric")
+                | ((F.col("data_lines") == with_diagonal) & (F.col("n_rows") > 0)))
+    nnz = (F.when(F.col("representation") == "coordinate", F.col("declared"))
+           .when(F.col("symmetry") == "general", F.col("n_rows") * F.col("n_cols"))
+           .when(F.col("diagonal"), with_diagonal).otherwise(half))
+    return h.withColumn("diagonal", diagonal).select(
+        "key", "matrix_id", "representation", "field", "symmetry", "n_rows", "n_cols", nnz.alias("nnz"),
+        "data_lines", "diagonal")
+
+
+def header_frame(spark: SparkSession, path: str | list[str], by_folder: bool | None = None,
+                 keys: DataFrame | None = None) -> DataFrame:
+    """Header facts of all matrices under ``path`` as a lazy table, one row per matrix:
+    ``key, matrix_id, representation, field, symmetry, n_rows, n_cols, nnz, data_lines, diagonal``.
+
+    Nothing is run or collected here: headers are parsed by column expressions, and a wrong
+    one fails the job that uses it. ``keys``: only these matrices (others may be anything).
+    ``by_folder=None``: a ``part-*`` file belongs to its folder's matrix, any other is one itself."""
+    lines = _lines(spark, path, by_folder)
+    if keys is not None:
+        lines = lines.join(hint_small(spark, keys.select("key"), _split_bound(lines)), "key", "left_semi")
+    return _parsed_heads(_heads(lines))
+
+
+def read_all(spark: SparkSession, path: str | list[str], by_folder: bool | None = None,
+             keys: DataFrame | None = None, strict_count: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(entries, headers)`` of all matrices under ``path``, both lazy: the columns of
+    ``read_entries`` with ``im`` (null but for complex fields), and ``header_frame``.
+
+    The headers are joined to the lines inside the plan, so the driver holds no name and no
+    row per file, however many there are; the text is scanned for headers, positions and entries."""
+    heads = header_frame(spark, path, by_folder, keys)
+    lines = _lines(spark, path, by_folder)
+    bound = _split_bound(lines)
+    if keys is not None:
+        lines = lines.join(hint_small(spark, keys.select("key"), bound), "key", "left_semi")
+    t = _entry_lines(positioned(lines, bound).join(hint_small(spark, heads, bound), "key"), strict_count)
+    return _entries(t, F.col("representation") == "coordinate", F.col("field"), arrays=True, complexes=True), heads
+
+
 def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
               full: bool = False, files: list[str] | None = None) -> list[MatrixInfo]:
     """Header facts of every matrix under ``path`` (a file, folder or glob), one
@@ -215,25 +343,7 @@ def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
         head = _head_info(spark, path, by_folder, files)
         if head is not None:
             return head
-    v = F.col("value")
-    m = F.col("m")
-    lines = _lines(spark, path, by_folder).withColumn("m", F.monotonically_increasing_id())
-    m_banner = F.when(_is_banner(v), m)
-    m_kept = F.when(_is_data(v), m)
-    lines = lines.withColumn("pn", _part_no(F.col("f")))
-    per_split = lines.groupBy("key", "pn", "f", "b").agg(
-        F.min(m).alias("m_first"),
-        F.min(m_banner).alias("m_banner"), F.min_by(v, m_banner).alias("banner"),
-        F.min(m_kept).alias("m_size"), F.min_by(v, m_kept).alias("size"),
-        F.count(m_kept).alias("kept"))
-    has = lambda c: F.col(c).isNotNull()
-    rows = (per_split.groupBy("key").agg(
-        F.min(F.struct("pn", "f", "b", "m_first")).alias("first"),
-        F.min(F.when(has("m_banner"), F.struct("pn", "f", "b", F.col("m_banner").alias("m_first"),
-                                               "banner"))).alias("banner"),
-        F.min(F.when(has("m_size"), F.struct("pn", "f", "b", "m_size", "size"))).alias("size"),
-        F.sum("kept").alias("kept_lines"))
-        .collect())
+    rows = _heads(_lines(spark, path, by_folder)).collect()
     out = []
     for r in rows:
         first, banner = r["first"], r["banner"]
@@ -255,7 +365,9 @@ def info_frame(spark: SparkSession, infos: list[MatrixInfo]) -> DataFrame:
 def read_info_frame(spark: SparkSession, path: str, by_folder: bool | None = None,
                     full: bool = False) -> DataFrame:
     """``read_info`` as a DataFrame, one row per matrix (``matrix_id, representation,
-    field, symmetry, n_rows, n_cols, nnz, data_lines``)."""
+    field, symmetry, n_rows, n_cols, nnz, data_lines``); with ``full`` it is ``header_frame``."""
+    if full:
+        return header_frame(spark, path, by_folder).drop("key", "diagonal")
     return info_frame(spark, read_info(spark, path, by_folder, full)).drop("key", "diagonal")
 
 
@@ -289,7 +401,11 @@ def _positioned_entries(spark: SparkSession, path: str | list[str], by_folder: b
                         strict_count: bool) -> DataFrame:
     """The lines after each matrix's size line with their positions and the matrix's header."""
     info = hint_small(spark, info_frame(spark, infos), len(infos))  # one row per matrix
-    t = positioned(_lines(spark, path, by_folder)).join(info, on="key")
+    return _entry_lines(positioned(_lines(spark, path, by_folder)).join(info, on="key"), strict_count)
+
+
+def _entry_lines(t: DataFrame, strict_count: bool) -> DataFrame:
+    """Positioned lines with their header, without the size lines."""
     entry = F.col("p") >= 1
     if strict_count:   # the size line itself carries the check, once per matrix
         short = F.raise_error(F.concat(F.col("key"), F.lit(": the size line declares "), F.col("nnz").cast("string"),
@@ -352,8 +468,6 @@ def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | N
         t = _scanned_once(spark, files or _list_files(spark, path), infos[0], strict_count)
     else:
         t = _positioned_entries(spark, path, by_folder, infos, strict_count)
-    t = t.withColumn("tok", tokens(F.col("value")))
-    tok = lambda k: F.get(F.col("tok"), k)
     kinds = {(m.representation, m.field) for m in infos}
     # per-row choice only when the files differ; otherwise plain expressions
     if len(kinds) == 1:
@@ -363,7 +477,15 @@ def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | N
     else:
         coord = F.col("representation") == "coordinate"
         field = F.col("field")
-    if any(m.representation == "array" for m in infos):
+    return _entries(t, coord, field, any(m.representation == "array" for m in infos),
+                    any(m.field == "complex" for m in infos)), infos
+
+
+def _entries(t: DataFrame, coord: Column, field: Column, arrays: bool, complexes: bool) -> DataFrame:
+    """Parsed entry lines; ``coord`` and ``field``: the kind of a row's file."""
+    t = t.withColumn("tok", tokens(F.col("value")))
+    tok = lambda k: F.get(F.col("tok"), k)
+    if arrays:
         t = _with_array_position(t.withColumn("k", F.col("p") - 1))
         ai, aj = F.col("ai"), F.col("aj")
     else:
@@ -382,10 +504,10 @@ def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | N
     # first, and must not take it for a malformed entry
     ok, inside = F.col("head") | ok, F.col("head") | inside
     cols = [F.col("key"), F.col("matrix_id"), i.alias("i"), j.alias("j"), v.alias("v")]
-    if any(m.field == "complex" for m in infos):
+    if complexes:
         cols.append(im.alias("im"))
     return t.select(*cols, ok.alias("ok"), F.coalesce(inside, F.lit(False)).alias("inside"),
-                    F.col("value").alias("line")), infos
+                    F.col("value").alias("line"))
 
 
 def valid_entries(entries: DataFrame, strict: bool = True) -> DataFrame:
@@ -455,9 +577,10 @@ def read_vector(spark: SparkSession, path: str, length: int | None = None,
 
 def read_vectors(spark: SparkSession, path: str, by_folder: bool | None = None,
                  strict: bool = True) -> DataFrame:
-    """Many vector files at once: ``(vector_id, i, x)``, ``vector_id`` = file (or folder) name."""
-    by_folder = resolve_by_folder(spark, path, by_folder)
-    pos = positioned(_lines(spark, path, by_folder=by_folder))
+    """Many vector files at once: ``(vector_id, i, x)``, ``vector_id`` = file (or folder) name.
+    ``by_folder=None``: a ``part-*`` file belongs to its folder's vector, any other is one itself."""
+    lines = _lines(spark, path, by_folder)
+    pos = positioned(lines, _split_bound(lines))
     return pos.select(_matrix_id(F.col("key")).alias("vector_id"), F.col("p").alias("i"),
                       _number(F.col("value"), strict).alias("x"))
 

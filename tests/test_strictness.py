@@ -5,14 +5,15 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import dense_values, mat, vec
+from conftest import dense_values, mat, sparse_vec, vec
 from tessera import MatrixFrame, VectorFrame
 from tessera.operators.checks import check_results
 from tessera.operators.power import power_iteration
 from tessera.plans import physical_plan
 from tessera.sinks.matrix_market import (write_array, write_complex_array, write_complex_matrix_market,
-                                         write_matrix_market, write_vector_text)
-from tessera.sources.matrix_market import check_entries, read_entries, read_info, read_matrix, read_vector
+                                         write_matrix_market, write_vector_pairs, write_vector_text)
+from tessera.sources.matrix_market import (check_entries, header_frame, names, read_all, read_entries, read_info,
+                                            read_matrix, read_vector)
 
 REAL = "%%MatrixMarket matrix coordinate real general\n"
 
@@ -274,3 +275,65 @@ def test_dense_outputs_are_placed_without_a_sample(spark, tmpdir_path):
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
     back = read_matrix(spark, f"{tmpdir_path}/a.mtx")
     assert sorted(map(tuple, back.to_dense().collect())) == sorted(map(tuple, a.to_dense().collect()))
+
+
+ALL_LAYOUTS = ["join", "packed", "blocked", "grid", "graph", "routed"]
+
+
+@pytest.mark.parametrize("layout", ALL_LAYOUTS)
+def test_a_null_index_fails_in_every_layout(spark, layout):
+    for rows in ([(0, 0, 1.0), (None, 1, 2.0)], [(0, 0, 1.0), (1, None, 2.0)]):
+        a = MatrixFrame.from_df(spark.createDataFrame(rows, "i long, j long, v double"), n_rows=2, n_cols=2)
+        for trans in (False, True):
+            with pytest.raises(Exception, match="index null|null matrix index"):
+                a.multiply(vec(spark, [1, 1]), trans=trans, layout=layout).df.collect()
+
+
+@pytest.mark.parametrize("layout", ALL_LAYOUTS)
+def test_entries_outside_the_shape_fail_in_every_product(spark, layout):
+    for bad in ((5, 0), (0, 7), (-1, 0), (0, -1)):
+        a = mat(spark, [(0, 0, 1.0), (*bad, 2.0)], 2, 2)
+        with pytest.raises(Exception, match="outside 0..1"):
+            a.multiply(vec(spark, [1, 1]), layout=layout).df.collect()
+
+
+def test_prepared_products_are_guarded_and_pairs_keep_their_length(spark, tmpdir_path):
+    for balance in ("range", "nnz"):
+        with pytest.raises(Exception, match="outside 0..1"):
+            mat(spark, [(0, 0, 1.0), (0, 7, 2.0)], 2, 2).prepare(balance=balance)
+    v = sparse_vec(spark, [(0, 1.0), (4, 2.0)], 2)
+    with pytest.raises(Exception, match="outside 0..1"):
+        write_vector_pairs(v, os.path.join(tmpdir_path, "pairs"))
+
+
+def test_headers_and_results_of_many_files_stay_in_the_plan(spark, tmpdir_path, monkeypatch):
+    for k in range(30):
+        write(tmpdir_path, f"m/{k}.mtx", REAL + f"2 2 1\n1 2 {k}\n")
+        write(tmpdir_path, f"v/{k}.mtx_rd.txt", "1\n2\n")
+        write(tmpdir_path, f"r/{k}.mtx_rd.txt", "0\n0\n")
+    write(tmpdir_path, "m/array.mtx", "%%MatrixMarket matrix array real skew-symmetric\n3 3\n1\n2\n3\n")
+    kind, rows = type(spark.range(1)), []
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (lambda got: (rows.append(len(got)), got)[1])(real(self)))
+    monkeypatch.setattr(kind, "inputFiles", None)
+    heads = header_frame(spark, f"{tmpdir_path}/m/*.mtx")
+    res = check_results(spark, f"{tmpdir_path}/m/*.mtx", f"{tmpdir_path}/v/*", f"{tmpdir_path}/r/*")
+    assert sum(rows) == 0
+    monkeypatch.undo()
+    assert {r.matrix_id: r.max_abs for r in res.collect()} == {f"{k}.mtx": 2.0 * k for k in range(30)}
+    got = {r.matrix_id: (r.representation, r.symmetry, r.n_rows, r.n_cols, r.nnz, r.data_lines, r.diagonal) for r in heads.collect()}
+    assert got["array.mtx"] == ("array", "skew-symmetric", 3, 3, 3, 3, False) and got["7.mtx"] == ("coordinate", "general", 2, 2, 1, 1, True)
+
+
+@pytest.mark.parametrize("text, words", [("no banner\n1 1 0\n", "not a %%MatrixMarket banner"), (REAL, "no size line"),
+                                         ("%%MatrixMarket matrix coordinate real\n1 1 0\n", "banner needs 5 words"),
+                                         (REAL + "2 x 1\n", "bad size line"), (REAL + "2 2\n", "bad size line"),
+                                         ("%%MatrixMarket matrix array pattern general\n1 1\n1\n", "cannot have pattern")])
+def test_wrong_headers_fail_the_job_that_reads_them(spark, tmpdir_path, text, words):
+    write(tmpdir_path, "m/bad.mtx", text)
+    write(tmpdir_path, "m/good.mtx", REAL + "1 1 1\n1 1 2\n")
+    with pytest.raises(Exception, match=words):
+        header_frame(spark, f"{tmpdir_path}/m/*").collect()
+    entries, heads = read_all(spark, f"{tmpdir_path}/m/*", keys=names(spark, f"{tmpdir_path}/m/good*"))
+    assert [(r.i, r.j, r.v, r.im, r.ok, r.inside) for r in entries.collect()] == [(0, 0, 2.0, None, True, True)]
+    assert [r.matrix_id for r in heads.collect()] == ["good.mtx"]
