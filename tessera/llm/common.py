@@ -39,6 +39,14 @@ def crc_fold(column: str, mod: int) -> Column:
     return (F.crc32(F.col(column).cast("string")) % F.lit(mod)).cast("int")
 
 
+def free(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores added until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and n+1 offsets (null: empty)."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -97,9 +97,10 @@ def shard_rows(df: DataFrame, shards: int, key: Column, size: Column, tolerance:
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    keyed = df.select(*[F.col(f"`{c}`") for c in kept], key.alias("__key"), size.alias("__size"))
+    own = "__row"   # the columns of the caller in one, so that no name clashes
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(own) if kept else F.lit(0).alias(own),
+                      key.alias("__key"), size.alias("__size"))
     keys = cut(keyed.select("__key", "__size"), "shard-keys")
     bounds = boundaries(keys, shards, tolerance)
     pieces = max(1, -(-keys.count() // (shards * piece_rows)))
@@ -112,7 +113,7 @@ def shard_rows(df: DataFrame, shards: int, key: Column, size: Column, tolerance:
     inside = Window.partitionBy("__shard", "__piece").orderBy("__key")
     placed = keyed.select("*", shard, piece).withColumn("__rank", F.row_number().over(inside))
     joined = placed.join(starts, ["__shard", "__piece"])
-    return joined.select(*[F.col(f"`{c}`") for c in kept], F.col("__shard").alias("shard"),
+    return joined.select(*[F.col(own).getField(c).alias(c) for c in kept], F.col("__shard").alias("shard"),
                          (F.col("__start") + F.col("__rank") - 1).alias("slot"))
 
 

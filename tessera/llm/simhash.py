@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_rows, cut, forest, shuffle_partitions
+from .common import byte_rows, cut, forest, free, shuffle_partitions
 from .components import components
 
 TILE = 512
@@ -231,20 +231,23 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 2, id_co
     Where an id has rows in several groups and is the smallest of each, each keeps its own.
     """
     fps, names = _named(docs, shingle, radius, 4, TILE, id_col, text_col)
+    own, whole, mark, keep_id, keep_fp, root = (
+        free(n, docs.columns) for n in ("__id", "__text", "__fp", "__keep", "__keep_fp", "__root"))
     keep = fps.join(names.hint("merge"), "fp").where("doc_id = component_id").select(
-        F.col("doc_id").alias("__keep"), F.col("fp").alias("__keep_fp"), F.col("root").alias("__root")).distinct()
+        F.col("doc_id").alias(keep_id), F.col("fp").alias(keep_fp), F.col("root").alias(root)).distinct()
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in byte_rows(b, "__text")), np.uint64, b.num_rows)
-            at = b.schema.get_field_index("__text")
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(fps.view(np.int64))], [*b.schema.names[:at], "__fp"])
+            fps = np.fromiter((fingerprint(t, shingle) for t in byte_rows(b, whole)), np.uint64, b.num_rows)
+            at = b.schema.get_field_index(whole)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(fps.view(np.int64))], [*b.schema.names[:at], mark])
 
     marked = docs.where(F.col(id_col).isNotNull()).select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    marked = marked.mapInArrow(run, T.StructType([*marked.schema.fields[:-1], T.StructField("__fp", T.LongType())]))
-    kept = marked.join(keep.hint("merge"), (F.col("__id") == F.col("__keep")) & (F.col("__fp") == F.col("__keep_fp")))
-    once = kept.groupBy("__root").agg(
-        F.min(F.struct(F.col(text_col).alias("__t"), *[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(id_col).cast("long").alias(own), F.col(text_col).cast("string").alias(whole))
+    marked = marked.mapInArrow(run, T.StructType([*marked.schema.fields[:-1], T.StructField(mark, T.LongType())]))
+    kept = marked.join(keep.hint("merge"), (F.col(own) == F.col(keep_id)) & (F.col(mark) == F.col(keep_fp)))
+    first = free("__t", docs.columns)
+    once = kept.groupBy(root).agg(
+        F.min(F.struct(F.col(text_col).alias(first), *[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
     return once.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]).unionByName(
         docs.where(F.col(id_col).isNull()))

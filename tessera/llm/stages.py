@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from .toxicity import THRESHOLD, score_rows, train
 
     model = train(docs, table(spark, sf_dir, "labels"))
-    scored = score_rows(docs, model, out="__toxic_score")
-    return scored.where(F.col("__toxic_score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = free("__toxic_score", docs.columns)
+    scored = score_rows(docs, model, out=score)
+    return scored.where(F.col(score) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bwt
-from .common import mix64, utf8_column
+from .common import free, mix64, utf8_column
 from .exchange import PACKED, answered, bucket_edges, bucket_of, chunk_table, decoded, merged, packed_rows
 from .tokens import hash_spans
 from .windows import anchors
@@ -75,11 +75,11 @@ def slices(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.
 class Chunk:
     """The rows of a chunk and the anchor runs of its texts."""
 
-    def __init__(self, blob: bytes, text_col: str, length: int):
+    def __init__(self, blob: bytes, text_col: str, length: int, id_col: str = "__id"):
         self.batch = decoded(blob)
         self.data, self.off = utf8_column(self.batch, text_col)
         self.length = length
-        self.ids = self.batch.column(self.batch.schema.get_field_index("__id")).to_numpy()
+        self.ids = self.batch.column(self.batch.schema.get_field_index(id_col)).to_numpy()
         parts = []
         for data, off, text, base in slices(self.data, self.off, length):
             a = anchors(data, off, length)
@@ -287,8 +287,9 @@ def _removed(c: Chunk, contents: pa.Table, windows: pa.Table, buckets: int) -> n
 
 
 def _deduplicated(docs: DataFrame, id_col: str, text_col: str, length: int, finish: Callable, target: T.StructType) -> DataFrame:
+    own = free("__id", docs.columns)
     src = docs.select(*[F.col(f"`{c}`") for c in docs.columns],
-                      F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"))
+                      F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(own))
     src = src.withColumn(text_col, F.col(text_col).cast("string"))
     volume = src.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-volume // BUCKET_BYTES))
@@ -297,10 +298,10 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, length: int, fini
     def first(batches):
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield from _send_anchors(Chunk(blob, text_col, length), chunk, buckets).to_batches()
+                yield from _send_anchors(Chunk(blob, text_col, length, own), chunk, buckets).to_batches()
 
     def with_chunk(send: Callable) -> Callable:
-        return lambda blob, chunk, replies: send(Chunk(blob, text_col, length), chunk, replies, buckets)
+        return lambda blob, chunk, replies: send(Chunk(blob, text_col, length, own), chunk, replies, buckets)
 
     repeated = merged(texts.mapInArrow(first, PACKED), _merge_anchors, "suffix-anchors")
     contents = merged(answered(texts, repeated, with_chunk(_send_contents), PACKED), _merge_contents, "suffix-contents")
@@ -353,6 +354,6 @@ def dedup_texts(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
                 for n, a, b in zip(null, c.off[:-1].tolist(), c.off[1:].tolist())]
         cols = list(c.batch.columns)
         cols[at] = pa.array(kept, pa.string())
-        return pa.table(dict(zip(c.batch.schema.names, cols))).drop_columns(["__id"])
+        return pa.table(dict(zip(c.batch.schema.names, cols))).drop_columns([free("__id", docs.columns)])
 
     return _deduplicated(docs, id_col, text_col, length, finish, target)

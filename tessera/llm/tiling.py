@@ -60,6 +60,7 @@ class Benchmark:
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
+        self.short = [k for k, x in enumerate(self.items) if 0 < len(x) < min_match]
         self.seed, self.item, self.place = every[order], item[order], place[order]
 
     def numbers(self, text: str) -> np.ndarray:
@@ -67,9 +68,10 @@ class Benchmark:
         get = self.vocab.get
         return np.array([get(w, -1) for w in words_of(text)], np.int64)
 
-    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(item, place in the document, place in the item)`` of all shared seeds."""
-        none = (np.zeros(0, np.int64),) * 3
+    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(order, first, lo, hi)``: places of the document's windows that are a seed, by seed; where each
+        distinct seed begins in them; and its entries in the benchmark."""
+        none = (np.zeros(0, np.int64),) * 4
         if len(ids) < self.min_match or len(self.seed) == 0:
             return none
         unknown = np.r_[0, np.cumsum(ids < 0)]
@@ -77,16 +79,50 @@ class Benchmark:
         if len(at) == 0:
             return none
         h = running_hashes(ids, self.min_match)[at]
-        lo, hi = np.searchsorted(self.seed, h, side="left"), np.searchsorted(self.seed, h, side="right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        if len(at) == 0:
-            return none
-        entry = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        item, q, p = self.item[entry], self.place[entry], np.repeat(at, n)
-        same = np.array([np.array_equal(ids[a:a + self.min_match], self.items[i][b:b + self.min_match])
-                         for i, a, b in zip(item.tolist(), p.tolist(), q.tolist())], bool)
-        return item[same], p[same], q[same]
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        first = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0]
+        lo, hi = (np.searchsorted(self.seed, h[first], side=s) for s in ("left", "right"))
+        return at, np.r_[first, len(at)], lo, hi
+
+    def pairs(self, ids: np.ndarray, item: int, at: np.ndarray, first: np.ndarray, which: np.ndarray,
+              q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places ``(document, item)`` where one item's seeds start, confirmed word by word: entry
+        ``q[k]`` with every window of seed ``which[k]``."""
+        n = first[which + 1] - first[which]
+        p = at[np.repeat(first[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        q, words = np.repeat(q, n), self.items[item]
+        same = np.ones(len(p), bool)
+        for k in range(self.min_match):
+            same &= ids[p + k] == words[q + k]
+        return p[same], q[same]
+
+    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item, place in the document, place in the item)`` of all shared seeds."""
+        at, first, lo, hi = self.windows(ids)
+        which = np.repeat(np.arange(len(lo)), hi - lo)
+        entry = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(len(which)) if len(lo) else which
+        out = []
+        for i in np.unique(self.item[entry]).tolist():
+            mine = self.item[entry] == i
+            p, q = self.pairs(ids, i, at, first, which[mine], self.place[entry[mine]])
+            out.append((np.full(len(p), i), p, q))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def whole(self, ids: np.ndarray, item: int, starts: np.ndarray) -> int:
+        """The first of the places ``starts`` where the document holds the item whole, or -1."""
+        words = self.items[item]
+        starts = starts[starts + len(words) <= len(ids)]
+        for s in range(0, len(starts), 256):
+            some = starts[s:s + 256]
+            fits = np.ones(len(some), bool)
+            for k in range(len(words)):
+                fits &= ids[some + k] == words[k]
+                if not fits.any():
+                    break
+            if fits.any():
+                return int(some[fits][0])
+        return -1
 
 
 def tile(p: np.ndarray, q: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -112,21 +148,41 @@ def tile(p: np.ndarray, q: np.ndarray, min_match: int) -> list[tuple[int, int, i
 
 
 def covered(bench: Benchmark, text: str, coverage: float) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """``(item, tiles)`` of the items that a document covers to ``coverage``."""
-    item, p, q = bench.seeds(bench.numbers(text))
-    out = []
-    for i in np.unique(item).tolist():
+    """``(item, tiles)`` of the items that a document covers to ``coverage``.
+
+    Items are judged one after the other, first by the distinct seeds alone: no tiling covers
+    more words than they do. An item that stands whole in the document is one tile, the first
+    place of it, as the greedy rule has it; so a text that repeats it a thousand times lists no
+    pairs. Items of fewer than ``min_match`` words are looked for whole, and nothing else."""
+    ids, out = bench.numbers(text), []
+    for i in bench.short:
+        found = bench.whole(ids, i, np.nonzero(ids == bench.items[i][0])[0])
+        if found >= 0:
+            out.append((i, [(found, 0, len(bench.items[i]))]))
+    at, first, lo, hi = bench.windows(ids)
+    if len(lo) == 0 or (hi == lo).all():
+        return out
+    n = hi - lo
+    which = np.repeat(np.arange(len(lo)), n)
+    entry = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    items = bench.item[entry]
+    order = np.argsort(items, kind="stable")
+    edges = np.nonzero(np.r_[True, np.diff(items[order]) != 0, True])[0]
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        mine = order[s:e]
+        i, seeds, q = int(items[mine[0]]), which[mine], bench.place[entry[mine]]
         need = coverage * len(bench.items[i])
-        mine = item == i
         reach = np.zeros(len(bench.items[i]), bool)
         for k in range(bench.min_match):
-            reach[q[mine] + k] = True
-        if reach.sum() < need:  # no tiling covers more words than the seeds do
+            reach[q + k] = True
+        if reach.sum() < need:
             continue
-        tiles = tile(p[mine], q[mine], bench.min_match)
+        head = seeds[q == 0]
+        place = bench.whole(ids, i, at[first[head[0]]:first[head[0] + 1]]) if len(head) and reach.all() else -1
+        tiles = [(place, 0, len(bench.items[i]))] if place >= 0 else tile(*bench.pairs(ids, i, at, first, seeds, q), bench.min_match)
         if sum(t[2] for t in tiles) >= need:
             out.append((i, tiles))
-    return out
+    return sorted(out)
 
 
 def _blocks(benchmark: DataFrame, min_match: int, item_col: str, text_col: str) -> list:
@@ -150,8 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
     One row per document row and item whose share of covered words is at least
     ``coverage``; clean documents give none. ``tiles``: array of (doc_word, item_word,
-    words). Null and empty texts and items of fewer than ``min_match`` words match
-    nothing; null ids come back as null; repeated rows give repeated results. Empty
+    words). Items of fewer than ``min_match`` words match where a document holds all their
+    words in a row; null and empty texts, and items without a word, match nothing; null ids come back as null; repeated rows give repeated results. Empty
     tables give an empty result; other columns are ignored.
     """
     target = ("doc_id long, item_id long, item_words long, covered long, coverage double, "

@@ -91,3 +91,36 @@ def test_query_against_brute_force(spark, sf):
             elif len(near) >= 3000:
                 want |= {(d.doc_id, i)} & got
     assert got == want
+
+
+def test_whole_items_equal_greedy_tiles():
+    rnd = random.Random(4)
+    for trial in range(200):
+        vocab = [f"w{i}" for i in range(rnd.choice([1, 2, 3, 20]))]
+        items = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(3, 12))) for _ in range(3)]
+        doc = [rnd.choice(vocab) for _ in range(rnd.randint(0, 25))]
+        if trial % 2:
+            doc[len(doc) // 2:0] = items[0].split()
+        bench = tiling.Benchmark(list(enumerate(items)), 3)
+        want = []
+        for i, item in enumerate(items):
+            tiles = brute_tiles(doc, item.split(), 3)
+            if sum(t[2] for t in tiles) >= 0.7 * len(item.split()):
+                want.append((i, tiles))
+        assert tiling.covered(bench, " ".join(doc), 0.7) == want
+
+
+def test_short_items_are_found_whole():
+    bench = tiling.Benchmark([(1, "What is pi"), (2, "pi"), (3, "..."), (4, "is what")], 4)
+    assert tiling.covered(bench, "So, what is PI?", 0.7) == [(0, [(1, 0, 3)]), (1, [(3, 0, 1)])]
+    assert tiling.covered(bench, "what pi", 0.7) == [(1, [(1, 0, 1)])] and tiling.covered(bench, "", 0.7) == []
+
+
+def test_repetitive_texts_take_no_time_of_their_square():
+    import time
+
+    bench = tiling.Benchmark([(1, "no " * 300)], 4)
+    begin = time.process_time()
+    assert tiling.covered(bench, "no " * 32000, 0.7) == [(0, [(0, 0, 300)])]
+    assert time.process_time() - begin < 1
+    assert tiling.covered(bench, ("no " * 250 + "yes ") * 40, 0.7) == [(0, [(0, 0, 250), (251, 250, 50)])]
