@@ -346,6 +346,7 @@ def dedup_texts(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     Null texts stay null. Bytes of a character that was cut in two are dropped.
     """
     target = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]).schema
+    own = free("__id", docs.columns)
 
     def finish(c: Chunk, gone: np.ndarray) -> pa.Table:
         at = c.batch.schema.get_field_index(text_col)
@@ -354,6 +355,6 @@ def dedup_texts(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
                 for n, a, b in zip(null, c.off[:-1].tolist(), c.off[1:].tolist())]
         cols = list(c.batch.columns)
         cols[at] = pa.array(kept, pa.string())
-        return pa.table(dict(zip(c.batch.schema.names, cols))).drop_columns([free("__id", docs.columns)])
+        return pa.table(dict(zip(c.batch.schema.names, cols))).drop_columns([own])
 
     return _deduplicated(docs, id_col, text_col, length, finish, target)
