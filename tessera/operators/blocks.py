@@ -30,20 +30,48 @@ CHUNK_CELLS = 1 << 21   # cells of a column of blocks that go to one chunk
 GRID = ("bi long, bj long, c long, nnz long, cols array<int>, ptr array<int>, idx array<int>, val array<double>")
 
 
+def _cut_out(t: pa.Table, height: int, width: int) -> pa.RecordBatch:
+    """The blocks of whole blocks' cells, which come in the order of their block, column and row."""
+    bi, bj, i, j = (t.column(n).to_numpy() for n in ("bi", "bj", "i", "j"))
+    new = np.r_[True, (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
+    first = np.nonzero(new)[0]                                       # a block's first cell
+    nnz = np.diff(np.r_[first, len(i)])
+    begin = np.nonzero(new | np.r_[True, j[1:] != j[:-1]])[0]        # a stored column's first cell
+    owner = np.cumsum(new)[begin] - 1                                # and its block
+    n_cols = np.bincount(owner, minlength=len(first))
+    ends = np.cumsum(n_cols + 1)                                     # a block has one pointer more than columns
+    ptr = np.empty(len(begin) + len(first), np.int32)
+    ptr[np.arange(len(begin)) + owner] = begin - first[owner]
+    ptr[ends - 1] = nnz
+
+    def lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, offsets], pa.int32()), pa.array(values, kind))
+
+    cells, blocks = np.r_[first[1:], len(i)], t.take(pa.array(first))
+    return pa.RecordBatch.from_arrays([
+        *(blocks.column(n).combine_chunks() for n in ("bi", "bj", "c")), pa.array(nnz, pa.int64()),
+        lists(np.cumsum(n_cols), (j - bj * width)[begin], pa.int32()), lists(ends, ptr, pa.int32()),
+        lists(cells, i - bi * height, pa.int32()), lists(cells, t.column("v").to_numpy(), pa.float64())],
+        ["bi", "bj", "c", "nnz", "cols", "ptr", "idx", "val"])
+
+
 def _compressed(height: int, width: int):
-    def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        bi, bj, c = (k.as_py() for k in key)
-        i = rows.column("i").to_numpy() - bi * height
-        j = rows.column("j").to_numpy() - bj * width
-        order = np.argsort(j * height + i, kind="stable")
-        j = j[order]
-        begin = np.nonzero(np.r_[True, j[1:] != j[:-1]])[0]
-        return pa.table({
-            "bi": pa.array([bi], pa.int64()), "bj": pa.array([bj], pa.int64()), "c": pa.array([c], pa.int64()),
-            "nnz": pa.array([len(j)], pa.int64()), "cols": pa.array([j[begin]], pa.list_(pa.int32())),
-            "ptr": pa.array([np.r_[begin, len(j)]], pa.list_(pa.int32())),
-            "idx": pa.array([i[order]], pa.list_(pa.int32())),
-            "val": pa.array([rows.column("v").to_numpy()[order]], pa.list_(pa.float64()))})
+    """Blocks from sorted cells, all of a batch at once: a grid of many small blocks costs by its cells, not
+    by its blocks. The last block of a batch waits, as the next batch may go on with it."""
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            bi, bj = b.column("bi").to_numpy(), b.column("bj").to_numpy()
+            last = int(np.argmax((bi == bi[-1]) & (bj == bj[-1])))   # where its last block begins
+            goes_on = held and (held[0].column("bi")[0].as_py(), held[0].column("bj")[0].as_py()) == (bi[-1], bj[-1])
+            if not goes_on and (held or last):
+                yield _cut_out(pa.Table.from_batches([*held, b.slice(0, last)]), height, width)
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield _cut_out(pa.Table.from_batches(held), height, width)
 
     return build
 
@@ -62,7 +90,9 @@ def grid_blocks(entries: DataFrame, chunks: DataFrame, height: int = HEIGHT, wid
     cells = canonicalize(entries).select("i", "j", F.col("v").cast("double").alias("v"))
     cells = cells.withColumn("bi", block_of("i", height)).withColumn("bj", block_of("j", width))
     dealt = cells.join(F.broadcast(chunks) if few_columns else chunks, "bj").withColumn("c", F.pmod(F.xxhash64("bi"), F.col("k")))
-    return dealt.select("bi", "bj", "c", "i", "j", "v").groupBy("bi", "bj", "c").applyInArrow(_compressed(height, width), GRID)
+    # one exchange of cells by block, and one order for all of a task's blocks
+    placed = dealt.select("bi", "bj", "c", "i", "j", "v").repartition("bi", "bj", "c").sortWithinPartitions("bi", "bj", "j", "i")
+    return placed.mapInArrow(_compressed(height, width), GRID)
 
 
 def vector_blocks(vec: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -147,12 +177,23 @@ def multiply_grid(blocks: DataFrame, chunks: DataFrame, vec: DataFrame, height:
     return part.groupBy("i").agg(F.sum("x").alias("x"))
 
 
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        (cols, co), (ptr, _), (idx, io), (val, _) = (_flat(b.column(n)) for n in ("cols", "ptr", "idx", "val"))
+        if len(cols) == 0:
+            continue
+        owner = np.repeat(np.arange(b.num_rows), np.diff(co))
+        at = np.arange(len(cols)) + owner      # a block has one pointer more than columns
+        first, last = ptr[at], ptr[at + 1]
+        yield pa.RecordBatch.from_arrays([
+            b.column("bi").take(pa.array(owner)), b.column("bj").take(pa.array(owner)), pa.array(cols, pa.int32()),
+            pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(last - first, pa.int32()),
+            pa.array(idx[io[owner] + first], pa.int32()), pa.array(np.add.reduceat(val, io[owner] + first), pa.float64())],
+            ["bi", "bj", "col", "first", "last", "nnz", "first_row", "total"])
+
+
 def block_columns(blocks: DataFrame) -> DataFrame:
     """The compressed columns as rows ``(bi, bj, col, first, last, nnz, first_row, total)``: the pointers of
     every stored column, its first row and the sum of its values."""
-    each = blocks.select("bi", "bj", "ptr", "idx", "val", F.posexplode("cols").alias("at", "col"))
-    first, last = F.get("ptr", F.col("at")), F.get("ptr", F.col("at") + 1)
-    part = F.slice("val", first + 1, last - first)
-    return each.select("bi", "bj", F.col("col").cast("int").alias("col"), first.alias("first"), last.alias("last"),
-                       (last - first).alias("nnz"), F.get("idx", first).alias("first_row"),
-                       F.aggregate(part, F.lit(0.0), lambda a, b: a + b).alias("total"))
+    return blocks.select("bi", "bj", "cols", "ptr", "idx", "val").mapInArrow(
+        _columns, "bi long, bj long, col int, first int, last int, nnz int, first_row int, total double")

@@ -162,6 +162,33 @@ def test_compressed_blocks_hold_the_cells(spark, height, width):
     assert got == summed(triples)
 
 
+def test_many_blocks_are_built_and_read_together(spark):
+    """No group per block, and blocks that go on over several batches stay whole."""
+    triples = skewed(seed=15)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = mat(spark, triples, 60, 90).grid_blocks(16, 32)
+        assert "FlatMapGroupsInArrow" not in physical_plan(made, "simple")
+        want = {}
+        for (i, j), v in summed(triples).items():
+            want.setdefault((i // 16, j // 32), {}).setdefault(j % 32, []).append((i % 16, v))
+        rows = made.collect()
+        assert len(rows) == len(want) and sum(r["nnz"] for r in rows) == len(summed(triples))
+        columns = blocks.block_columns(made)
+        assert "Generate" not in physical_plan(columns, "simple")
+        got = {(r["bi"], r["bj"], r["col"]): r for r in columns.collect()}
+        for (bi, bj), cols in want.items():
+            first = 0
+            for col in sorted(cols):
+                r, cells = got.pop((bi, bj, col)), sorted(cols[col])
+                assert (r["first"], r["last"], r["nnz"]) == (first, first + len(cells), len(cells))
+                assert r["first_row"] == cells[0][0] and abs(r["total"] - sum(v for _, v in cells)) < 1e-9
+                first += len(cells)
+        assert not got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("bcast", [True, False])
 def test_grid_product_moves_blocks_not_cells(spark, bcast):
     triples = skewed(seed=6)
