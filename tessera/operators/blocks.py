@@ -27,6 +27,7 @@ from .structure import canonicalize
 
 HEIGHT, WIDTH = 1024, 4096
 CHUNK_CELLS = 1 << 21   # cells of a column of blocks that go to one chunk
+SUMMED = 1024           # blocks summed at a time
 GRID = ("bi long, bj long, c long, nnz long, cols array<int>, ptr array<int>, idx array<int>, val array<double>")
 
 
@@ -96,11 +97,14 @@ def grid_blocks(entries: DataFrame, chunks: DataFrame, height: int = HEIGHT, wid
 
 
 def vector_blocks(vec: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Stored values of a vector (unique indices) by block: ``(bj, at array<int>, xs array<double>)``,
-    at most ``width`` values a block."""
-    placed = vec.select(block_of("i", width).alias("bj"), F.col("i"), F.col("x").cast("double").alias("x"))
-    return placed.groupBy("bj").agg(F.collect_list(F.struct((F.col("i") - F.col("bj") * width).cast("int").alias("at"), "x")).alias("e")).select(
-        "bj", F.col("e.at").alias("at"), F.col("e.x").alias("xs"))
+    """A vector (unique indices) by block: ``(bj, xb array<double>)``, ``width`` values a block, 0 where none is stored."""
+    def dense(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        xb = np.zeros(width)
+        xb[rows.column("i").to_numpy() - key[0].as_py() * width] = rows.column("x").to_numpy()
+        return pa.table({"bj": pa.array([key[0].as_py()], pa.int64()), "xb": pa.array([xb], pa.list_(pa.float64()))})
+
+    placed = vec.where("i is not null").select(block_of("i", width).alias("bj"), F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
+    return placed.groupBy("bj").applyInArrow(dense, "bj long, xb array<double>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,35 +114,25 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values.to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
-def _kernel(height: int, width: int):
-    """Blocks that follow each other in one row of blocks are summed together, so blocks that are
+def _kernel(height: int):
+    """Sums of ``SUMMED`` blocks at a time: those of one row of blocks are summed together, so blocks that are
     kept in row order give about one row per matrix row; any other order is only less compact."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y, seen, row = np.zeros(width), np.zeros(height), np.zeros(height, bool), None
-
-        def sums() -> pa.RecordBatch:
-            at = np.nonzero(seen)[0]
-            out = pa.RecordBatch.from_arrays([pa.array(at + row * height, pa.int64()), pa.array(y[at])], ["i", "x"])
-            y[at], seen[at] = 0.0, False
-            return out
-
         for b in batches:
-            bi = b.column("bi").to_pylist()
-            (cols, co), (ptr, po), (idx, io), (val, _), (at, ao), (xs, _) = (
-                _flat(b.column(n)) for n in ("cols", "ptr", "idx", "val", "at", "xs"))
-            for r in range(b.num_rows):
-                if row is not None and bi[r] != row:
-                    yield sums()
-                row = bi[r]
-                here = at[ao[r]:ao[r + 1]]
-                x[here] = xs[ao[r]:ao[r + 1]]
-                p = ptr[po[r]:po[r + 1]]
-                rows = idx[io[r]:io[r + 1]]
-                y += np.bincount(rows, weights=val[io[r]:io[r + 1]] * np.repeat(x[cols[co[r]:co[r + 1]]], p[1:] - p[:-1]), minlength=height)
-                seen[rows] = True
-                x[here] = 0.0
-        if row is not None:
-            yield sums()
+            bi = b.column("bi").to_numpy()
+            (x, xo), (ptr, _), (idx, io), (val, _) = (_flat(b.column(n)) for n in ("x", "ptr", "idx", "val"))
+            for s in range(0, b.num_rows, SUMMED):
+                e = min(s + SUMMED, b.num_rows)
+                owner = np.repeat(np.arange(s, e), np.diff(xo[s:e + 1]))
+                at = np.arange(xo[s], xo[e]) + owner      # a block has one pointer more than columns
+                here = slice(io[s], io[e])
+                rows, place = np.unique(bi[s:e], return_inverse=True)
+                cell = np.repeat(place, np.diff(io[s:e + 1])) * height + idx[here]
+                y = np.bincount(cell, weights=val[here] * np.repeat(x[xo[s]:xo[e]], ptr[at + 1] - ptr[at]), minlength=len(rows) * height)
+                seen = np.zeros(len(y), bool)
+                seen[cell] = True
+                got = np.nonzero(seen)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[got // height] * height + got % height, pa.int64()), pa.array(y[got])], ["i", "x"])
 
     return run
 
@@ -171,9 +165,10 @@ def multiply_grid(blocks: DataFrame, chunks: DataFrame, vec: DataFrame, height:
     else:
         copies = xb.join(chunks, "bj").withColumn("c", F.explode(F.expr("sequence(0L, k - 1)"))).drop("k")
         met = blocks.join(hint_broadcast(copies, broadcast), ["bj", "c"], "left")
-    none = F.array().cast("array<int>"), F.array().cast("array<double>")
-    packed = met.select("bi", "cols", "ptr", "idx", "val", F.coalesce("at", none[0]).alias("at"), F.coalesce("xs", none[1]).alias("xs"))
-    part = packed.mapInArrow(_merged(_kernel(height, width)), "i long, x double")
+    # a block takes along the values of its own columns, however wide the grid is
+    x = F.transform("cols", lambda k: F.coalesce(F.get("xb", k), F.lit(0.0)))
+    packed = met.select("bi", "ptr", "idx", "val", x.alias("x"))
+    part = packed.mapInArrow(_merged(_kernel(height)), "i long, x double")
     return part.groupBy("i").agg(F.sum("x").alias("x"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,20 @@ def test_cells_are_not_summed_twice(spark):
     s = mat(spark, [(1, 0, 2.0), (1, 1, 3.0)], 2, 2, "symmetric")
     assert sorted(map(tuple, s.canonicalize().cells().collect())) == [(0, 1, 2.0), (1, 0, 2.0), (1, 1, 3.0)]
     assert st.canonicalize(a.entries).count() == a.entries.count()
+
+
+def test_blocks_take_only_the_values_of_their_columns(spark):
+    """A wide grid of nearly empty blocks does not carry a whole vector block per block."""
+    triples = [(k * 50, k * 700 % 40000, float(k % 9 + 1)) for k in range(2000)]
+    a = mat(spark, triples, 100000, 40000)
+    x = VectorFrame(spark.range(40000).selectExpr("id AS i", "CAST(id % 11 AS DOUBLE) AS x").where("i % 3 < 2"), 40000, True)
+    want = sorted(map(tuple, a.multiply(x).df.collect()))
+    for bcast in (True, False):
+        y = a.multiply(x, layout="grid", broadcast=bcast)
+        assert sorted(map(tuple, y.df.collect())) == want
+        plan = physical_plan(y.df, "formatted").split("MapInArrow")
+        assert all("xb" not in part.split("Input [", 1)[1].split("]", 1)[0] for part in plan[1:] if "Input [" in part)
+    one = next(blocks._kernel(8)([pa.record_batch({
+        "bi": pa.array([3, 5, 3]), "ptr": pa.array([[0, 1], [0, 2], [0, 1, 2]], pa.list_(pa.int32())), "idx": pa.array([[2], [0, 7], [2, 4]], pa.list_(pa.int32())),
+        "val": pa.array([[2.0], [1.0, 3.0], [5.0, 1.0]]), "x": pa.array([[10.0], [4.0], [1.0, 0.0]])})]))
+    assert dict(zip(*(c.to_pylist() for c in one.columns))) == {26: 25.0, 28: 0.0, 40: 4.0, 47: 12.0}
