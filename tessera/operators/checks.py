@@ -26,21 +26,24 @@ def check_results(spark: SparkSession, matrices: str, vectors: str, results: str
     may hold anything. Two qualifying matrices of one name (in different folders) are
     refused, by a job over the names that returns one row at most; so are complex matrices, by
     the job that reads them."""
-    name = F.regexp_replace(F.col("matrix_id"), re.escape(suffix) + "$", "").alias("matrix_id")
+    # never null, so that no test for it is moved below the joins
+    name = F.coalesce(F.regexp_replace(F.col("matrix_id"), re.escape(suffix) + "$", ""), F.lit("")).alias("matrix_id")
     wanted = names(spark, vectors, by_folder).select(name).intersect(names(spark, results, by_folder).select(name))
     found = names(spark, matrices, by_folder).join(wanted, "matrix_id")
     double = found.groupBy("matrix_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").first()
     if double is not None:
         raise ValueError(f"several matrices named {double['matrix_id']!r}: {double['a']}, {double['b']}, ...")
-    entries, heads = read_all(spark, matrices, by_folder, keys=found)
+    entries, _ = read_all(spark, matrices, by_folder, keys=found, facts=("field", "symmetry"))
     fail = F.raise_error(F.concat(F.col("matrix_id"), F.lit(": complex values are not checked here")))
-    sym = heads.select("matrix_id", F.when(F.col("field") == "complex", fail).otherwise(F.col("symmetry")).alias("symmetry"))
-    stored = valid_entries(entries).select("matrix_id", "i", "j", "v").join(hint_small(spark, sym, split_bound(spark, matrices)), on="matrix_id")
+    stored = valid_entries(entries).select(
+        "matrix_id", "i", "j", "v", F.when(F.col("field") == "complex", fail).otherwise(F.col("symmetry")).alias("symmetry"))
     full = structure.expand(stored, F.col("symmetry"), by=["matrix_id"])
 
     def keyed(path: str) -> DataFrame:
-        v = read_vectors(spark, path, by_folder=by_folder).withColumnRenamed("vector_id", "matrix_id").select(name, "i", "x")
-        return v.join(hint_small(spark, found.select("matrix_id"), split_bound(spark, matrices)), "matrix_id", "left_semi")
+        of = names(spark, path, by_folder).select("key", name)
+        ids = of.join(hint_small(spark, found.select("matrix_id"), split_bound(spark, matrices)), "matrix_id", "left_semi")
+        return read_vectors(spark, path, by_folder=by_folder, ids=ids.withColumnRenamed("matrix_id", "vector_id")).withColumnRenamed(
+            "vector_id", "matrix_id")
 
     x, r = keyed(vectors), keyed(results)
     y = spmv.multiply_join(full, x, by=["matrix_id"])

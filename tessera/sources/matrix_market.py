@@ -81,18 +81,20 @@ def resolve_by_folder(spark: SparkSession, path: str, by_folder: bool | None,
 
 
 def _key_of(f: Column, by_folder: bool | None) -> Column:
-    """The key of a file's matrix or vector; ``None``: the folder of a ``part-*`` file, else the file."""
+    """The key of a file's matrix or vector; ``None``: the folder of a ``part-*`` file, else the file.
+    Never null, so no test for null is derived from a join and done line by line."""
     folder = F.regexp_extract(f, r"^(.*)/[^/]*$", 1)
     if by_folder is None:
-        return F.when(f.rlike(r"/part-[^/]*$"), folder).otherwise(f)
-    return folder if by_folder else f
+        key = F.when(f.rlike(r"/part-[^/]*$"), folder).otherwise(f)
+    else:
+        key = folder if by_folder else f
+    return F.coalesce(key, F.lit(""))
 
 
-def _lines(spark: SparkSession, path: str | list[str], by_folder: bool | None) -> DataFrame:
-    raw = spark.read.text(path)
-    f = F.col("_metadata.file_path")
-    return raw.select(F.col("value"), _key_of(f, by_folder).alias("key"), f.alias("f"),
-                      F.col("_metadata.file_block_start").alias("b"))
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All lines with their file ``f`` and split start ``b``; a file's key is made per split, not per line."""
+    return spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("f"),
+                                        F.col("_metadata.file_block_start").alias("b"))
 
 
 def names(spark: SparkSession, path: str | list[str], by_folder: bool | None = None) -> DataFrame:
@@ -148,28 +150,36 @@ def hint_small(spark: SparkSession, df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if may_broadcast(spark, rows) else df
 
 
-def positioned(lines: DataFrame, n_splits: int | None = None) -> DataFrame:
-    """Kept (non-blank, non-comment) lines with ``p``: 0-based position in their matrix,
-    and ``n_lines``: the number of kept lines of the matrix. ``n_splits``: a bound on the file splits."""
+def positioned(lines: DataFrame, by_folder: bool | None, n_splits: int | None = None,
+               facts: DataFrame | None = None) -> DataFrame:
+    """Kept (non-blank, non-comment) lines with ``key``, ``p``: 0-based position in their matrix,
+    and ``n_lines``: the number of kept lines of the matrix. ``n_splits``: a bound on the file splits.
+    ``facts``: one row per key; its columns come along, and keys without a row are left out. They
+    meet the splits, so a line is joined once."""
     spark = lines.sparkSession
     kept = (lines.where(_is_data(F.col("value")))
             .withColumn("m", F.monotonically_increasing_id()).withColumn("fid", F.xxhash64("f")))
-    splits = kept.groupBy("key", "f", "fid", "b").agg(F.min("m").alias("m0"), F.count(F.lit(1)).alias("n"))
+    splits = kept.groupBy("f", "fid", "b").agg(F.min("m").alias("m0"), F.count(F.lit(1)).alias("n")).withColumn(
+        "key", _key_of(F.col("f"), by_folder))
     of_key = Window.partitionBy("key")
     before = (of_key.orderBy(_part_no(F.col("f")), "f", "b")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = splits.select("fid", "b", "m0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"),
+    offsets = splits.select("key", "fid", "b", "m0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"),
                             F.sum("n").over(of_key).alias("n_lines"))
-    # one row of five numbers per file split: a partition holds whole splits, a small file is one
+    # one row of few columns per file split: a partition holds whole splits, a small file is one
     if n_splits is None:
         n_splits = lines.rdd.getNumPartitions() + len(lines.inputFiles())
-    return (kept.join(hint_small(spark, offsets, n_splits), on=["fid", "b"])
-            .select("key", "value", (F.col("off") + F.col("m") - F.col("m0")).alias("p"), "n_lines"))
+    more = []
+    if facts is not None:
+        more = [c for c in facts.columns if c != "key"]
+        offsets = offsets.join(hint_small(spark, facts, n_splits), "key")
+    return (kept.select("fid", "b", "m", "value").join(hint_small(spark, offsets, n_splits), on=["fid", "b"])
+            .select("key", "value", (F.col("off") + F.col("m") - F.col("m0")).alias("p"), "n_lines", *more))
 
 
 def _matrix_id(key: Column) -> Column:
-    """The decoded last part of a key (keys are encoded URIs)."""
-    return F.url_decode(F.replace(F.regexp_extract(key, r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    """The decoded last part of a key (keys are encoded URIs); never null, as the key."""
+    return F.coalesce(F.url_decode(F.replace(F.regexp_extract(key, r"([^/]+)$", 1), F.lit("+"), F.lit("%2B"))), F.lit(""))
 
 
 def _parse_header(key: str, banner: str, size_line: str | None,
@@ -234,27 +244,31 @@ def _head_info(spark: SparkSession, path: str, by_folder: bool,
     return [replace(info, size_line=size[0]["value"], first_file=files[0])]
 
 
-def _heads(lines: DataFrame) -> DataFrame:
+def _heads(lines: DataFrame, by_folder: bool | None, n_splits: int) -> DataFrame:
     """Per key the first line, the first banner line and the first kept line with their places,
-    and the kept lines: one row per split on long counters, then one per key."""
-    v = F.col("value")
-    m = F.col("m")
+    and the kept lines.
+
+    Lines are aggregated per split on long counters alone, by hashing; a text in the aggregate would
+    sort them all. The counters of a key's first places then fetch the two texts from the same scan."""
+    spark = lines.sparkSession
+    v, m = F.col("value"), F.col("m")
     lines = lines.withColumn("m", F.monotonically_increasing_id())
-    m_banner = F.when(_is_banner(v), m)
-    m_kept = F.when(_is_data(v), m)
-    lines = lines.withColumn("pn", _part_no(F.col("f")))
-    per_split = lines.groupBy("key", "pn", "f", "b").agg(
-        F.min(m).alias("m_first"),
-        F.min(m_banner).alias("m_banner"), F.min_by(v, m_banner).alias("banner"),
-        F.min(m_kept).alias("m_size"), F.min_by(v, m_kept).alias("size"),
-        F.count(m_kept).alias("kept"))
-    has = lambda c: F.col(c).isNotNull()
-    return per_split.groupBy("key").agg(
-        F.min(F.struct("pn", "f", "b", "m_first")).alias("first"),
-        F.min(F.when(has("m_banner"), F.struct("pn", "f", "b", F.col("m_banner").alias("m_first"),
-                                               "banner"))).alias("banner"),
-        F.min(F.when(has("m_size"), F.struct("pn", "f", "b", "m_size", "size"))).alias("size"),
+    per_split = lines.groupBy("f", "b").agg(
+        F.min(m).alias("m_first"), F.min(F.when(_is_banner(v), m)).alias("m_banner"),
+        F.min(F.when(_is_data(v), m)).alias("m_size"), F.count(F.when(_is_data(v), 1)).alias("kept"))
+    place = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("pn", "f", "b", F.col(c).alias("m_first"))))
+    per_key = per_split.withColumn("key", _key_of(F.col("f"), by_folder)).withColumn("pn", _part_no(F.col("f"))).groupBy("key").agg(
+        place("m_first").alias("first"), place("m_banner").alias("banner"), place("m_size").alias("size"),
         F.sum("kept").alias("kept_lines"))
+    # at most two places a key, and a key has a split of its own
+    wanted = per_key.select("key", F.explode(F.array("banner", "size")).alias("at")).where("at is not null").select(
+        "key", F.col("at.m_first").alias("m")).distinct()
+    texts = lines.select("m", "value").join(hint_small(spark, wanted, 2 * n_splits), "m").groupBy("key").agg(
+        F.map_from_entries(F.collect_list(F.struct("m", "value"))).alias("text"))
+    text = lambda c: F.try_element_at("text", F.col(f"{c}.m_first"))
+    return per_key.join(texts, "key", "left").select(
+        "key", "first", F.when(F.col("banner").isNotNull(), F.struct("banner.*", text("banner").alias("banner"))).alias("banner"),
+        F.when(F.col("size").isNotNull(), F.struct(text("size").alias("size"))).alias("size"), "kept_lines")
 
 
 def _parsed_heads(heads: DataFrame) -> DataFrame:
@@ -304,26 +318,27 @@ def header_frame(spark: SparkSession, path: str | list[str], by_folder: bool | N
     Nothing is run or collected here: headers are parsed by column expressions, and a wrong
     one fails the job that uses it. ``keys``: only these matrices (others may be anything).
     ``by_folder=None``: a ``part-*`` file belongs to its folder's matrix, any other is one itself."""
-    lines = _lines(spark, path, by_folder)
+    lines = _lines(spark, path)
+    bound = _split_bound(lines)
+    heads = _heads(lines, by_folder, bound)
     if keys is not None:
-        lines = lines.join(hint_small(spark, keys.select("key"), _split_bound(lines)), "key", "left_semi")
-    return _parsed_heads(_heads(lines))
+        # an inner join stays above the counters; a semi join would be moved below, to the lines
+        heads = heads.join(hint_small(spark, keys.select("key").distinct(), bound), "key")
+    return _parsed_heads(heads)
 
 
 def read_all(spark: SparkSession, path: str | list[str], by_folder: bool | None = None,
-             keys: DataFrame | None = None, strict_count: bool = False) -> tuple[DataFrame, DataFrame]:
+             keys: DataFrame | None = None, strict_count: bool = False,
+             facts: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(entries, headers)`` of all matrices under ``path``, both lazy: the columns of
-    ``read_entries`` with ``im`` (null but for complex fields), and ``header_frame``.
+    ``read_entries`` with ``im`` (null but for complex fields) and the header's ``facts``, and ``header_frame``.
 
     The headers are joined to the lines inside the plan, so the driver holds no name and no
     row per file, however many there are; the text is scanned for headers, positions and entries."""
     heads = header_frame(spark, path, by_folder, keys)
-    lines = _lines(spark, path, by_folder)
-    bound = _split_bound(lines)
-    if keys is not None:
-        lines = lines.join(hint_small(spark, keys.select("key"), bound), "key", "left_semi")
-    t = _entry_lines(positioned(lines, bound).join(hint_small(spark, heads, bound), "key"), strict_count)
-    return _entries(t, F.col("representation") == "coordinate", F.col("field"), arrays=True, complexes=True), heads
+    lines = _lines(spark, path)
+    t = _entry_lines(positioned(lines, by_folder, _split_bound(lines), heads), strict_count)
+    return _entries(t, F.col("representation") == "coordinate", F.col("field"), arrays=True, complexes=True, facts=facts), heads
 
 
 def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
@@ -343,7 +358,8 @@ def read_info(spark: SparkSession, path: str, by_folder: bool | None = None,
         head = _head_info(spark, path, by_folder, files)
         if head is not None:
             return head
-    rows = _heads(_lines(spark, path, by_folder)).collect()
+    lines = _lines(spark, path)
+    rows = _heads(lines, by_folder, _split_bound(lines)).collect()
     out = []
     for r in rows:
         first, banner = r["first"], r["banner"]
@@ -400,8 +416,7 @@ def _with_array_position(t: DataFrame) -> DataFrame:
 def _positioned_entries(spark: SparkSession, path: str | list[str], by_folder: bool, infos: list[MatrixInfo],
                         strict_count: bool) -> DataFrame:
     """The lines after each matrix's size line with their positions and the matrix's header."""
-    info = hint_small(spark, info_frame(spark, infos), len(infos))  # one row per matrix
-    return _entry_lines(positioned(_lines(spark, path, by_folder)).join(info, on="key"), strict_count)
+    return _entry_lines(positioned(_lines(spark, path), by_folder, facts=info_frame(spark, infos)), strict_count)
 
 
 def _entry_lines(t: DataFrame, strict_count: bool) -> DataFrame:
@@ -481,7 +496,7 @@ def read_entries(spark: SparkSession, path: str | list[str], by_folder: bool | N
                     any(m.field == "complex" for m in infos)), infos
 
 
-def _entries(t: DataFrame, coord: Column, field: Column, arrays: bool, complexes: bool) -> DataFrame:
+def _entries(t: DataFrame, coord: Column, field: Column, arrays: bool, complexes: bool, facts: tuple[str, ...] = ()) -> DataFrame:
     """Parsed entry lines; ``coord`` and ``field``: the kind of a row's file."""
     t = t.withColumn("tok", tokens(F.col("value")))
     tok = lambda k: F.get(F.col("tok"), k)
@@ -506,7 +521,7 @@ def _entries(t: DataFrame, coord: Column, field: Column, arrays: bool, complexes
     cols = [F.col("key"), F.col("matrix_id"), i.alias("i"), j.alias("j"), v.alias("v")]
     if complexes:
         cols.append(im.alias("im"))
-    return t.select(*cols, ok.alias("ok"), F.coalesce(inside, F.lit(False)).alias("inside"),
+    return t.select(*cols, *facts, ok.alias("ok"), F.coalesce(inside, F.lit(False)).alias("inside"),
                     F.col("value").alias("line"))
 
 
@@ -567,7 +582,7 @@ def read_vector(spark: SparkSession, path: str, length: int | None = None,
     keys = {f.rsplit("/", 1)[0] for f in files} if by_folder else set(files)
     if len(keys) > 1:
         raise ValueError(f"{path}: expected one vector, found {len(keys)}; use read_vectors")
-    pos = positioned(_lines(spark, path, by_folder=by_folder))
+    pos = positioned(_lines(spark, path), by_folder)
     x = _number(F.col("value"), strict)
     if strict and length is not None:
         x = F.when(F.col("n_lines") == int(length), x).otherwise(F.raise_error(F.concat(
@@ -576,13 +591,15 @@ def read_vector(spark: SparkSession, path: str, length: int | None = None,
 
 
 def read_vectors(spark: SparkSession, path: str, by_folder: bool | None = None,
-                 strict: bool = True) -> DataFrame:
+                 strict: bool = True, ids: DataFrame | None = None) -> DataFrame:
     """Many vector files at once: ``(vector_id, i, x)``, ``vector_id`` = file (or folder) name.
-    ``by_folder=None``: a ``part-*`` file belongs to its folder's vector, any other is one itself."""
-    lines = _lines(spark, path, by_folder)
-    pos = positioned(lines, _split_bound(lines))
-    return pos.select(_matrix_id(F.col("key")).alias("vector_id"), F.col("p").alias("i"),
-                      _number(F.col("value"), strict).alias("x"))
+    ``by_folder=None``: a ``part-*`` file belongs to its folder's vector, any other is one itself.
+    ``ids (key, vector_id)``: only these vectors, under these names."""
+    lines = _lines(spark, path)
+    if ids is None:
+        ids = names(spark, path, by_folder).withColumnRenamed("matrix_id", "vector_id")
+    pos = positioned(lines, by_folder, _split_bound(lines), ids)
+    return pos.select("vector_id", F.col("p").alias("i"), _number(F.col("value"), strict).alias("x"))
 
 
 def check_entries(entries: DataFrame, infos: list[MatrixInfo], spark: SparkSession) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import pytest
 
@@ -344,3 +345,33 @@ def test_crlf_and_empty_files(spark, tmpdir_path):
     m0 = read_matrix(spark, e)
     assert m0.shape == (3, 4) and m0.stored_count() == 0
     assert dense_values(m0.multiply(vec(spark, [1, 1, 1, 1]))) == [0, 0, 0]
+
+
+def test_headers_are_counted_without_sorting_lines(spark, tmpdir_path):
+    """Texts stay out of the aggregate over all lines, and names are made per split."""
+    from tessera.operators.checks import check_results
+    from tessera.plans import physical_plan
+    from tessera.sources.matrix_market import header_frame
+
+    for k in range(2):
+        for kind, text in (("m", f"%%MatrixMarket matrix coordinate real general\n% note\n\n2 2 2\n1 1 {k + 1}\n2 2 3\n"),
+                           ("v", "1\n2\n"), ("r", f"{k + 1}\n6\n")):
+            os.makedirs(f"{tmpdir_path}/{kind}", exist_ok=True)
+            with open(f"{tmpdir_path}/{kind}/a{k}.mtx" + ("" if kind == "m" else "_rd.txt"), "w") as f:
+                f.write(text)
+    heads = header_frame(spark, f"{tmpdir_path}/m")
+    assert sorted((r["matrix_id"], r["n_rows"], r["nnz"], r["data_lines"]) for r in heads.collect()) == [("a0.mtx", 2, 2, 2), ("a1.mtx", 2, 2, 2)]
+    assert not re.search(r"SortAggregate\(key=\[[^\]]*\bb#", physical_plan(heads, "simple"))   # b: a split's start
+    found = check_results(spark, *[f"{tmpdir_path}/{k}" for k in "mvr"])
+    assert sorted(map(tuple, found.collect())) == [("a0.mtx", 0.0, 0.0), ("a1.mtx", 0.0, 0.0)]
+    scans = physical_plan(found, "simple").split("FileScan text")
+    assert not any("regexp_extract" in line for part in scans[:-1] for line in part.rstrip().split("\n")[-3:] if "Filter" in line)
+
+
+def test_hand_made_lines_are_cut_by_their_number(spark, tmpdir_path, monkeypatch):
+    from tessera.plans import files
+
+    monkeypatch.setattr(files, "LINES_PER_FILE", 100)
+    cells = spark.range(1000).selectExpr("id AS i", "id % 7 AS j")
+    files._write_text(cells, cells.i.cast("string"), f"{tmpdir_path}/t", 1000, "1 1 1")
+    assert len([f for f in os.listdir(f"{tmpdir_path}/t") if f.startswith("part-")]) >= 8
