@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.checks import check_results as _check_results
 from ..session import scratch_path
 from ..operators import complex as cx
-from ..sinks.matrix_market import (write_array, write_complex_array, write_complex_matrix_market, write_lines,
+from ..sinks.matrix_market import (LINES_PER_FILE, write_array, write_complex_array, write_complex_matrix_market, write_lines,
                                    write_lines_many, write_matrix_market, write_vector_pairs, write_vector_text)
 from ..sources.matrix_market import (check_entries, header_frame, read_entries, read_info, read_matrix, read_vector,
                                      valid_entries)
@@ -79,18 +79,19 @@ def mm_check(spark, sf):
     text = F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1,
                        F.when(F.pmod("j", F.lit(5)) == 0, F.lit("?")).otherwise(F.col("v").cast("string")))
     path = scratch_path(spark, "li_faults.mtx")
-    _write_text(cells, text, path, f"{t.n_orders // 2} {t.n_parts} {n + 1}")
+    _write_text(cells, text, path, n, f"{t.n_orders // 2} {t.n_parts} {n + 1}")
     entries, infos = read_entries(spark, path, by_folder=True)
     return check_entries(entries, infos, spark).select("check", "n")
 
 
-def _write_text(cells: DataFrame, text, path: str, *head: str) -> None:
-    """A coordinate file of hand-made lines: the banner, ``head``, then one per cell."""
+def _write_text(cells: DataFrame, text, path: str, rows: int, *head: str) -> None:
+    """A coordinate file of hand-made lines: the banner, ``head``, then one per cell. Three part files,
+    and more for many ``rows``, as a task sorts its file's lines."""
     spark = cells.sparkSession
     first = spark.createDataFrame([(0, k, 0, line) for k, line in enumerate(
         ("%%MatrixMarket matrix coordinate real general", *head))], "g int, a long, b long, value string")
     body = cells.select(F.lit(1).alias("g"), F.col("j").alias("a"), F.col("i").alias("b"), text.alias("value"))
-    write_lines(first.unionByName(body), path, partitions=3)
+    write_lines(first.unionByName(body), path, partitions=max(3, -(-rows // LINES_PER_FILE)))
 
 
 def mm_quirks(spark, sf):
@@ -106,7 +107,7 @@ def mm_quirks(spark, sf):
     lines = cells.select("i", "j", F.explode(kinds).alias("e")).select(
         (F.col("i") * 3 + F.col("e.k")).alias("i"), "j", F.col("e.t").alias("t"))
     path = scratch_path(spark, "quirks.mtx")
-    _write_text(lines, F.col("t"), path, "\t", "   % indented", f"\t{t.n_nations} {t.n_nations}\t{n}")
+    _write_text(lines, F.col("t"), path, 3 * n, "\t", "   % indented", f"\t{t.n_nations} {t.n_nations}\t{n}")
     return _r(read_matrix(spark, path, by_folder=True).entries, 2, "v")
 
 
