@@ -346,7 +346,7 @@ class MatrixFrame:
         return _blocks.grid_blocks(entries, _blocks.chunk_counts(entries, width), height, width)
 
     def edge_partitions(self, parts: int) -> DataFrame:
-        """The square matrix's edges on a vertex cut, one row per partition; see ``operators.routing``."""
+        """The square matrix's edges on a vertex cut, one row per piece of a partition; see ``operators.routing``."""
         return _routing.edge_partitions(self.graph()[1], parts)
 
     def prepare(self, layout: str = "join", trans: bool = False,
@@ -396,7 +396,7 @@ class MatrixFrame:
             else:   # where the shuffled vector blocks will come to
                 form = form.repartition(n, "bj", "c")
         elif layout == "routed":
-            form = form.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "part")
+            form = form.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "part", "piece")
         form = form.cache()
         form.count()
         if made is not None:

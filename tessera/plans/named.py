@@ -21,6 +21,7 @@ from ..operators.blocks import block_columns
 from ..operators.partition import part_positions
 from ..operators.power import power_iteration, power_method
 from ..operators.repeat import repeat_multiply
+from ..operators.routing import partition_sizes
 from ..sources.tables import DriverTables
 from ..vector import VectorFrame
 
@@ -176,8 +177,7 @@ def csc_blocks(spark, sf):
 
 def graph_routing(spark, sf):
     """Per edge partition: edges, vertices shipped to it, vertices it writes."""
-    parts = DriverTables(spark, sf).ps().edge_partitions(ROUTED_PARTS)
-    return parts.select("part", "n_edges", F.size("dst").alias("n_in"), F.size("src").alias("n_out"))
+    return partition_sizes(DriverTables(spark, sf).ps().edge_partitions(ROUTED_PARTS))
 
 
 # ----------------------------------------------------------------- structure

@@ -291,3 +291,20 @@ def test_blocks_take_only_the_values_of_their_columns(spark):
         "bi": pa.array([3, 5, 3]), "ptr": pa.array([[0, 1], [0, 2], [0, 1, 2]], pa.list_(pa.int32())), "idx": pa.array([[2], [0, 7], [2, 4]], pa.list_(pa.int32())),
         "val": pa.array([[2.0], [1.0, 3.0], [5.0, 1.0]]), "x": pa.array([[10.0], [4.0], [1.0, 0.0]])})]))
     assert dict(zip(*(c.to_pylist() for c in one.columns))) == {26: 25.0, 28: 0.0, 40: 4.0, 47: 12.0}
+
+
+def test_a_large_partition_is_kept_in_pieces(spark):
+    triples = graph(11)
+    a = mat(spark, triples, 500, 500)
+    edges = a.graph()[1]
+    made = routing.edge_partitions(edges, 4, piece_edges=100)
+    rows = made.collect()
+    assert max(p["n_edges"] for p in rows) <= 300 and len(rows) > 12
+    kept = [(p["src"][s], p["dst"][d]) for p in rows for s, d in zip(p["s"], p["d"])]
+    assert sorted(kept) == sorted(summed(triples))
+    whole = {p["part"]: p for p in routing.edge_partitions(edges, 4).collect()}
+    sizes = {r["part"]: tuple(r)[1:] for r in routing.partition_sizes(made).collect()}
+    assert sizes == {k: (p["n_edges"], len(p["dst"]), len(p["src"])) for k, p in whole.items()}
+    x = VectorFrame(spark.createDataFrame([(k, float(k)) for k in range(0, 500, 3)], "i long, x double"), 500, True)
+    want = sorted(map(tuple, a.multiply(x).df.collect()))
+    assert sorted(map(tuple, routing.multiply_routed(made, x.df).collect())) == want
