@@ -160,11 +160,18 @@ def encoder(path: str) -> Encoder:
     return kept(("encoder", path), lambda: Encoder(path))
 
 
-def _minhash(ids: np.ndarray) -> int:
-    """Smallest hash of three neighbouring ids (fewer: of all), not negative."""
-    x = ids.astype(np.uint64)
-    grams = x[:-2] << np.uint64(40) | x[1:-1] << np.uint64(20) | x[2:] if len(x) > 2 else x
-    return int(mix64(grams).min() >> np.uint64(1))
+def _minhashes(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Per text the smallest hash of three neighbouring ids (fewer: of all), not negative; texts lie end to end."""
+    x, first = flat.astype(np.uint64), np.cumsum(size) - size
+    out = np.zeros(len(size), np.uint64)
+    some = np.nonzero(size > 2)[0]
+    if len(some):
+        grams = mix64(x[:-2] << np.uint64(40) | x[1:-1] << np.uint64(20) | x[2:])
+        edge = np.column_stack([first[some], first[some] + size[some] - 2]).ravel()
+        out[some] = np.minimum.reduceat(np.r_[grams, np.uint64(0)], edge)[::2]   # every other run crosses texts
+    for k in np.nonzero(size <= 2)[0].tolist():
+        out[k] = mix64(x[first[k]:first[k] + size[k]]).min()
+    return (out >> np.uint64(1)).astype(np.int64)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,9 +182,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for b in batches:
             for s, e, data, off in chunks(*utf8_column(b, "text")):
                 ids = enc(data, off)
+                size, flat = np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
+                edge = np.r_[0, np.cumsum(size * flat.itemsize)].astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edge), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s, e - s), pa.array([_minhash(x) for x in ids], pa.int64()),
-                     pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    [b.column(0).slice(s, e - s), pa.array(_minhashes(flat, size), pa.int64()), pa.array(size, pa.int64()), packed],
                     ["doc_id", "key", "n", "ids"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -122,3 +122,20 @@ def test_query_on_whole_table(spark, sf, tokenizer):
     got = QUERIES["op9_packing"](spark, sf).collect()
     src = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     check(got, {r.doc_id: whole(tokenizer, r.text) for r in src})
+
+
+def test_min_hashes_of_many_texts_at_once():
+    from tessera.llm.common import mix64
+    from tessera.llm.packing import _minhashes
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 49000, n).astype("<u2") for n in (5, 1, 2, 3, 700, 1, 4, 2, 3)]
+
+    def one(ids):
+        x = ids.astype(np.uint64)
+        grams = x[:-2] << np.uint64(40) | x[1:-1] << np.uint64(20) | x[2:] if len(x) > 2 else x
+        return int(mix64(grams).min() >> np.uint64(1))
+
+    for some in (texts, texts[1:3], texts[3:4], texts[::-1]):
+        got = _minhashes(np.concatenate(some), np.array([len(t) for t in some]))
+        assert got.tolist() == [one(t) for t in some]
