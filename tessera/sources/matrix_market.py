@@ -276,7 +276,8 @@ def _parsed_heads(heads: DataFrame) -> DataFrame:
     banner or size line fails the job that reads the row."""
     word = lambda k: F.get(F.col("words"), k)
     size = lambda k: to_long(F.get(F.col("sizes"), k))
-    h = heads.select("key", "kept_lines", "first", "banner", F.col("size.size").alias("size")).withColumn(
+    more = [c for c in heads.columns if c == "wanted"]
+    h = heads.select("key", "kept_lines", "first", "banner", *more, F.col("size.size").alias("size")).withColumn(
         "words", tokens(F.lower("banner.banner"))).withColumn("sizes", tokens(F.col("size")))
     at = F.struct("banner.pn", "banner.f", "banner.b", "banner.m_first")
     rep, field, sym = word(2), word(3), word(4)
@@ -293,6 +294,8 @@ def _parsed_heads(heads: DataFrame) -> DataFrame:
     for bad, text in reversed(faults):
         fail = F.raise_error(F.concat(F.col("key"), F.lit(f": {text}"))).cast("boolean")
         fine = F.when(bad, fail).otherwise(fine)
+    if more:   # a test of both sides is not moved below their join, where other files are met
+        fine = F.when(F.col("wanted") < 1, F.lit(False)).otherwise(fine)
     lines = F.col("kept_lines") - 1
     h = h.where(fine).select(
         "key", _matrix_id(F.col("key")).alias("matrix_id"), rep.alias("representation"), field.alias("field"),
@@ -323,7 +326,8 @@ def header_frame(spark: SparkSession, path: str | list[str], by_folder: bool | N
     heads = _heads(lines, by_folder, bound)
     if keys is not None:
         # an inner join stays above the counters; a semi join would be moved below, to the lines
-        heads = heads.join(hint_small(spark, keys.select("key").distinct(), bound), "key")
+        wanted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("wanted"))
+        heads = heads.join(hint_small(spark, wanted, bound), "key")
     return _parsed_heads(heads)
 
 
