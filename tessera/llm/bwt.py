@@ -27,22 +27,24 @@ class Collection:
 
 
 class _RangeMin:
+    """Least values of ranges: a row per power of two, all in one array."""
+
     def __init__(self, x: np.ndarray):
-        self.levels = [x]
-        span, n = 1, len(x)
-        while span * 2 <= n:
-            x = np.minimum(x[:-span], x[span:])
-            self.levels.append(x)
-            span *= 2
+        self.n = len(x)
+        rows = max(1, self.n.bit_length())
+        self.flat = np.empty(rows * self.n, x.dtype)
+        self.flat[:self.n] = x
+        held, span = self.flat[:self.n], 1
+        for k in range(1, rows):
+            row, fit = self.flat[k * self.n:(k + 1) * self.n], self.n - 2 * span + 1
+            np.minimum(held[:fit], held[span:span + fit], out=row[:fit])
+            held, span = row, span * 2
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Least value between two places, both included."""
-        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-        out = np.zeros(len(first), self.levels[0].dtype)
-        for k in np.unique(level).tolist():
-            at = level == k
-            out[at] = np.minimum(self.levels[k][first[at]], self.levels[k][last[at] - (1 << k) + 1])
-        return out
+        level = np.frexp((last - first + 1).astype(np.float64))[1].astype(np.int64) - 1
+        row = level * self.n
+        return np.minimum(self.flat[row + first], self.flat[row + last + 1 - (np.int64(1) << level)])
 
 
 def build(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Collection:
@@ -54,51 +56,47 @@ def build(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Collection:
     m = len(start)
     if m and size.max() > 250:
         raise ValueError("build: texts of at most 250 bytes")
-    rank = np.zeros(257, np.uint8)
+    rank = np.zeros(256, np.uint8)
     values = np.unique(data)
-    rank[values.astype(np.int64) + 1] = np.arange(1, len(values) + 1)
+    rank[values.astype(np.int64)] = np.arange(1, len(values) + 1)
+    coded, end = np.r_[rank[data], np.uint8(0)], start + size - 1
 
     def before(texts: np.ndarray, j: int) -> np.ndarray:
         """The symbol before each text's suffix of length j; 0 where the text is complete."""
-        left = size[texts] - j
-        at = np.where(left > 0, start[texts] + left - 1, 0)
-        return np.where(left > 0, rank[data[at].astype(np.int64) + 1], 0).astype(np.uint8)
-
-    every = np.arange(m)
-    symbol, common = before(every, 0), np.zeros(m, np.uint8)
-    text, depth = every.astype(np.int32), np.zeros(m, np.uint8)
-    newest = every.copy()
+        return coded[np.where(size[texts] > j, end[texts] - j, len(data))]
+
+    text = np.arange(m, dtype=np.int32)
+    symbol, common, depth = before(text, 0), np.zeros(m, np.uint8), np.zeros(m, np.uint8)
+    fresh = symbol > 0  # the last round's suffixes whose text goes on
     for j in range(1, int(size.max(initial=0)) + 1):
-        going = np.nonzero(size >= j)[0]
         order = np.argsort(symbol, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
         done = len(symbol) - int(np.count_nonzero(symbol))
-        tails = newest[going]
-        at = place[tails].astype(np.int64)
-        sort = np.argsort(at)
-        going, tails, at = going[sort], tails[sort], at[sort]
+        at = np.flatnonzero(fresh[order])
+        tails = order[at]
+        going = text[tails]
         spots = m + at - done
         least = _RangeMin(common)
         c = symbol[tails]
         prev, after = order[at - 1], order[np.minimum(at + 1, len(order) - 1)]
-        same = (at > 0) & (symbol[prev] == c)
+        same = np.flatnonzero((at > 0) & (symbol[prev] == c))
+        follows = np.flatnonzero((at + 1 < len(order)) & (symbol[after] == c))
+        shared = 1 + least(np.r_[prev[same], tails[follows]] + 1, np.r_[tails[same], after[follows]])
         above = np.zeros(len(at), np.uint8)
-        above[same] = 1 + least(prev[same] + 1, tails[same])
-        follows = (at + 1 < len(order)) & (symbol[after] == c)
-        below = 1 + least(tails[follows] + 1, after[follows])
+        above[same] = shared[:len(same)]
         total = len(symbol) + len(going)
-        old = np.ones(total, bool)
-        old[spots] = False
+        fresh = np.zeros(total, bool)
+        fresh[spots] = True
+        old = ~fresh
 
-        def rewrite(held: np.ndarray, fresh) -> np.ndarray:
+        def rewrite(held: np.ndarray, new) -> np.ndarray:
             out = np.empty(total, held.dtype)
             out[old] = held
-            out[spots] = fresh
+            out[spots] = new
             return out
 
-        symbol, text = rewrite(symbol, before(going, j)), rewrite(text, going)
+        new = before(going, j)
+        symbol, text = rewrite(symbol, new), rewrite(text, going)
         depth, common = rewrite(depth, j), rewrite(common, above)
-        common[spots[follows] + 1] = below
-        newest[going] = spots
+        common[spots[follows] + 1] = shared[len(same):]
+        fresh[spots] = new > 0
     return Collection(text, depth, common, symbol)

@@ -75,12 +75,14 @@ def byte_rows(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 steps), vectorised."""
-    x = np.asarray(x, np.uint64).copy()
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x = np.array(x, np.uint64)
+    high = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(shift), out=high)
+        x ^= high
+        x *= np.uint64(factor)
+    np.right_shift(x, np.uint64(31), out=high)
+    x ^= high
     return x
 
 

@@ -33,13 +33,19 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 _LETTERS = seeded(256, 11)
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of every span of bytes: the sum of a random word per byte value times a power of its place."""
-    size = max(CHUNK, 1 << int(len(data)).bit_length())
-    power, inverse = _powers(size)
+def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a random word per byte value times a power of its place, and the powers' inverses."""
+    power, inverse = _powers(max(CHUNK, 1 << int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_LETTERS[data] * power[:len(data)], out=sums[1:])
+    return sums, inverse
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every span of bytes, from the sums before its two ends."""
+    sums, inverse = running(data)
+    with np.errstate(over="ignore"):
         return (sums[end] - sums[start]) * inverse[start]
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from .common import mix64
-from .tokens import hash_spans
+from .tokens import hash_spans, running
 
 GRAM = 24
 _PLACE = np.uint64((1 << 24) - 1)
@@ -56,26 +56,29 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = 50, gram: int = GRA
     count = len(data) - length + 1
     if count <= 0:
         return Anchors(data, none, none, none, none.astype(np.uint64), none.astype(np.uint64), length)
-    places = np.arange(len(data) - gram + 1)
-    grams = mix64(hash_spans(data, places, places + gram))
-    low = grams & ~_PLACE | places.astype(np.uint64)
+    sums, inverse = running(data)
+    n = len(data) - gram + 1
+    grams = mix64((sums[gram:] - sums[:n]) * inverse[:n])
+    low = grams & ~_PLACE
+    low |= np.arange(n, dtype=np.uint64)
     span = 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < width:
         low = np.minimum(low[:len(low) - (width - span)], low[width - span:])
-    start = np.arange(count)
-    text = np.searchsorted(off, start, side="right") - 1
-    inside = start + length <= off[text + 1]
-    start, text, at = start[inside], text[inside], (low[:count][inside] & _PLACE).astype(np.int64)
-    if len(start) == 0:
-        return Anchors(data, none, none, none, none.astype(np.uint64), none.astype(np.uint64), length)
-    new = np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])]
+    at = (low[:count] & _PLACE).astype(np.int64)
+    # a run begins where the anchor changes or a text begins, and ends within its text
+    size = np.maximum(0, np.diff(off) - length + 1)
+    new = np.r_[True, at[1:] != at[:-1]]
+    new[off[:-1][size > 0]] = True
     begin = np.nonzero(new)[0]
-    end = np.r_[begin[1:], len(start)] - 1
-    first, last, at = start[begin], start[end], at[begin]
-    content = hash_spans(data, first, last + length)
+    text = np.searchsorted(off, begin, side="right") - 1
+    stop = off[text] + size[text]
+    some = begin < stop
+    first, last = begin[some], np.minimum(np.r_[begin[1:], count], stop)[some] - 1
+    text, at = text[some], at[first]
     with np.errstate(over="ignore"):
-        content = mix64(content + (at - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return Anchors(data, text[begin], first, last, grams[at], content, length)
+        content = mix64((sums[last + length] - sums[first]) * inverse[first]
+                        + (at - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return Anchors(data, text, first, last, grams[at], content, length)

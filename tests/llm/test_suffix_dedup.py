@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import suffix_dedup, windows
@@ -87,6 +88,55 @@ def test_equal_windows_share_an_anchor():
         assert seen.setdefault(a.data[s:s + 50].tobytes(), h) == h
 
 
+def test_anchors_equal_brute_force():
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("ab") for _ in range(n)).encode() for n in (0, 49, 0, 50, 51, 10, 300, 76, 0, 2000, 3, 0)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    grams = windows.mix64(windows.hash_spans(data, np.arange(len(data) - 23), np.arange(24, len(data) + 1)))
+    low = [(int(g) >> 24, p) for p, g in enumerate(grams)]
+    want, before = [], None
+    for t in range(len(texts)):
+        for s in range(off[t], off[t + 1] - 49):
+            at = min(low[s:s + 27])[1]
+            if before == (t, at):
+                want[-1][2] = s
+            else:
+                want.append([t, s, s, int(grams[at])])
+            before = t, at
+    a = windows.anchors(data, off, 50)
+    assert [list(x) for x in zip(a.text, a.first, a.last, a.hash)] == want
+    places = [min(low[s:s + 27])[1] - s for s in a.first]
+    with np.errstate(over="ignore"):
+        content = windows.mix64(windows.hash_spans(data, a.first, a.last + 50)
+                                + np.array(places, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    assert a.content.tolist() == content.tolist()
+
+
+def test_collections_hold_texts_of_like_length(monkeypatch):
+    """A collection takes as many rounds as its longest text has bytes, so short texts lie apart from long ones."""
+    rows = corpus(5)
+    batch = pa.RecordBatch.from_pydict({"__id": [suffix_dedup.NO_ID if i is None else i for i, _ in rows],
+                                        "text": pa.array([t for _, t in rows], pa.string())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    c = suffix_dedup.Chunk(sink.getvalue().to_pybytes(), "text", 50)
+    repeated = suffix_dedup._merge_anchors(suffix_dedup._send_anchors(c, 0, 1))
+    contents = suffix_dedup._merge_contents(suffix_dedup._send_contents(c, 0, repeated, 1))
+    whole = suffix_dedup._send_windows(c, 0, contents, 1)
+    sizes, real = [], suffix_dedup.windows_of_pieces
+
+    def spy(data, first, size, doc, length):
+        sizes.append((int(size.min()), int(size.max())))
+        return real(data, first, size, doc, length)
+
+    monkeypatch.setattr(suffix_dedup, "windows_of_pieces", spy)
+    monkeypatch.setattr(suffix_dedup, "PIECES", 16)
+    assert suffix_dedup._send_windows(c, 0, contents, 1).equals(whole)
+    assert len(sizes) > 2 and sizes[0][1] < sizes[-1][0]
+    assert all(a[1] <= b[0] for a, b in zip(sizes, sizes[1:]))
+
+
 def test_texts_keep_columns_and_nulls(spark):
     base = "the first sentence of fifty bytes or more, as it goes on é and on"
     rows = [(1, base, "en", 5), (2, "new " + base + " end", "fr", 6), (3, None, None, None), (4, "", "x", 0)]
