@@ -43,6 +43,17 @@ def packed_rows(chunk: int, rows: list[tuple]) -> pa.Table:
                      **{n: pa.array(list(c), pa.binary()) for n, c in zip(("keys", "a", "b"), cols[1:])}})
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: all lowest bytes, then all next ones. Bytes that are alike lie together and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(blob: bytes, dtype: str) -> np.ndarray:
+    """The numbers of ``planes``."""
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(blob, np.uint8).reshape(width, -1).T.copy().view(dtype).ravel()
+
+
 def chunk_table(docs: DataFrame, name: str) -> DataFrame:
     """``(chunk, blob)``: rows in compressed Arrow streams, written once and bucketed by chunk."""
     spark = docs.sparkSession

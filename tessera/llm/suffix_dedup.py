@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import bwt
 from .common import free, mix64, utf8_column
-from .exchange import PACKED, answered, bucket_edges, bucket_of, chunk_table, decoded, merged, packed_rows
+from .exchange import PACKED, answered, bucket_edges, bucket_of, chunk_table, decoded, from_planes, merged, packed_rows, planes
 from .tokens import hash_spans
 from .windows import anchors
 
@@ -153,7 +153,7 @@ def _send_contents(c: Chunk, chunk: int, replies: pa.Table, buckets: int) -> pa.
     b = (key >> np.uint64(32)).astype(np.int64)
     edge = np.r_[np.nonzero(np.r_[True, b[1:] != b[:-1]])[0], len(key)]
     return packed_rows(chunk, [(int(b[s]), (key[s:e] & _LOW).astype("<u4").tobytes(), one[s:e].astype("<u8").tobytes(),
-                          low[s:e].astype("<i8").tobytes()) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist())])
+                          planes(low[s:e].astype("<i8"))) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist())])
 
 
 def _merge_contents(rows: pa.Table) -> pa.Table:
@@ -161,7 +161,7 @@ def _merge_contents(rows: pa.Table) -> pa.Table:
     lists = [rows.column(n).to_pylist() for n in ("keys", "a", "b")]
     key = np.concatenate([np.frombuffer(x, "<u4") for x in lists[0]])
     content = np.concatenate([np.frombuffer(x, "<u8") for x in lists[1]])
-    doc = np.concatenate([np.frombuffer(x, "<i8") for x in lists[2]])
+    doc = np.concatenate([from_planes(x, "<i8") for x in lists[2]])
     order = np.lexsort((content, key))
     k, c = key[order], content[order]
     first = np.nonzero(np.r_[True, k[1:] != k[:-1]])[0]
@@ -175,7 +175,7 @@ def _merge_contents(rows: pa.Table) -> pa.Table:
     for chunk, x in zip(rows.column("chunk").to_pylist(), lists[0]):
         g = group[s:s + len(x) // 4]
         s += len(x) // 4
-        out.append(packed_rows(chunk, [(bucket, x, low[g].astype("<i8").tobytes(), np.packbits(differ[g]).tobytes())]))
+        out.append(packed_rows(chunk, [(bucket, x, planes(low[g].astype("<i8")), np.packbits(differ[g]).tobytes())]))
     return pa.concat_tables(out)
 
 
@@ -183,7 +183,7 @@ def _verdicts(c: Chunk, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np
     """``(run, smallest document, contents differ)`` of the runs whose anchor repeats."""
     run, entry = _lookup(c, replies, buckets)
     keys = replies.column("keys").to_pylist()
-    low = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(a, "<i8") for a in replies.column("a").to_pylist())])
+    low = np.concatenate([np.zeros(0, np.int64), *(from_planes(a, "<i8") for a in replies.column("a").to_pylist())])
     differ = np.concatenate([np.zeros(0, bool), *(
         np.unpackbits(np.frombuffer(b, np.uint8))[:len(k) // 4].astype(bool) for b, k in zip(replies.column("b").to_pylist(), keys))])
     return run, low[entry], differ[entry]
@@ -229,15 +229,15 @@ def _send_windows(c: Chunk, chunk: int, replies: pa.Table, buckets: int) -> pa.T
     if not found:
         return packed_rows(chunk, [])
     key, low = _group_min(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-    return packed_rows(chunk, [(b, key[s:e].astype("<u8").tobytes(), low[s:e].astype("<i8").tobytes(), b"")
+    return packed_rows(chunk, [(b, planes(key[s:e].astype("<u8")), planes(low[s:e].astype("<i8")), b"")
                          for b, s, e in bucket_edges(key, buckets)])
 
 
 def _merge_windows(rows: pa.Table) -> pa.Table:
     """To each chunk: its windows of a bucket that start in a smaller document elsewhere."""
     lists = [rows.column(n).to_pylist() for n in ("keys", "a")]
-    key = np.concatenate([np.frombuffer(x, "<u8") for x in lists[0]])
-    doc = np.concatenate([np.frombuffer(x, "<i8") for x in lists[1]])
+    key = np.concatenate([from_planes(x, "<u8") for x in lists[0]])
+    doc = np.concatenate([from_planes(x, "<i8") for x in lists[1]])
     every, low = _group_min(key, doc)
     low = low[np.searchsorted(every, key)]
     out, s = [], 0
@@ -246,7 +246,7 @@ def _merge_windows(rows: pa.Table) -> pa.Table:
         e = s + len(x) // 8
         less = low[s:e] < doc[s:e]
         if less.any():
-            out.append(packed_rows(chunk, [(bucket, key[s:e][less].tobytes(), low[s:e][less].tobytes(), b"")]))
+            out.append(packed_rows(chunk, [(bucket, planes(key[s:e][less]), planes(low[s:e][less]), b"")]))
         s = e
     return pa.concat_tables(out) if out else packed_rows(0, [])
 
@@ -279,9 +279,9 @@ def _removed(c: Chunk, contents: pa.Table, windows: pa.Table, buckets: int) -> n
     if key:
         key, start, doc = np.concatenate(key), np.concatenate(start), np.concatenate(doc)
         every, least = _group_min(key, doc)
-        keys = [np.frombuffer(k, "<u8") for k in windows.column("keys").to_pylist()]
+        keys = [from_planes(k, "<u8") for k in windows.column("keys").to_pylist()]
         if keys:
-            lows = np.concatenate([np.frombuffer(a, "<i8") for a in windows.column("a").to_pylist()])
+            lows = np.concatenate([from_planes(a, "<i8") for a in windows.column("a").to_pylist()])
             least[np.searchsorted(every, np.concatenate(keys))] = lows
         hit = least[np.searchsorted(every, key)] < doc
         mark(start[hit], start[hit] + c.length)

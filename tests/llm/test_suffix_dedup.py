@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import suffix_dedup, windows
+from tessera.llm import exchange, suffix_dedup, windows
 
 
 def brute(rows, length=50):
@@ -154,3 +154,16 @@ def test_query_equals_brute_force(spark, sf):
 
     src = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert rows_of(QUERIES["op7_suffix_dedup"](spark, sf)) == brute([tuple(r) for r in src])
+
+
+def test_numbers_travel_byte_by_byte():
+    import zlib
+
+    ids = np.array([5, -7, suffix_dedup.NO_ID, 0, -(1 << 63), 1 << 40], np.int64)
+    assert exchange.from_planes(exchange.planes(ids), "<i8").tolist() == ids.tolist()
+    assert exchange.from_planes(exchange.planes(ids[:0]), "<i8").tolist() == []
+    key = np.sort(np.random.default_rng(2).integers(0, 1 << 56, 1400).astype(np.uint64))
+    assert exchange.from_planes(exchange.planes(key), "<u8").tolist() == key.tolist()
+    rows = suffix_dedup.packed_rows(0, [(0, exchange.planes(key), exchange.planes(np.arange(1400)), b"")])
+    assert suffix_dedup._merge_windows(rows).num_rows == 0
+    assert len(zlib.compress(exchange.planes(key), 1)) < 0.9 * key.nbytes
