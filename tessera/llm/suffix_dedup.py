@@ -8,13 +8,15 @@ moving them. Three rounds narrow the windows down, and none loses a match:
 1. Anchors. Every window picks the smallest-hashed short run inside it (``windows``),
    so equal windows have equal anchors. Each chunk sends its distinct anchors once;
    those that occur in one document only are done with.
-2. Contents. For the other anchors, each chunk sends the hash of all bytes of the run
-   of windows that share the anchor, if it has only one. Where all chunks agree, the
-   run's windows are equal everywhere, and the smallest document is known.
-3. Windows. Runs that differ somewhere are short texts, and a chunk builds the
-   Burrows-Wheeler transform and common prefixes of its collection of them, one symbol
-   per text each round (``bwt``). Suffixes that share ``length`` bytes are one window;
-   its smallest document goes to all chunks that have it.
+2. Contents. For the other anchors, each chunk sends the hashes of all bytes of the runs
+   of windows that share the anchor, and the smallest document of each. A run that a
+   smaller document has as a whole goes as a whole; where an anchor has one content
+   only, nothing else is to be told.
+3. Windows. Of an anchor with several contents, the run of the smallest document of each
+   stands for all. These are short texts, and a chunk builds the Burrows-Wheeler transform
+   and common prefixes of its collection of them, one symbol per text each round (``bwt``).
+   Suffixes that share ``length`` bytes are one window; its smallest document goes to
+   all chunks that sent it.
 
 All exchanges carry packed rows per (chunk, bucket of hashes), distinct within the
 chunk, so a passage that every document holds is no larger than any other. Runs of
@@ -126,67 +128,81 @@ def _merge_anchors(rows: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else packed_rows(0, [])
 
 
-def _lookup(c: Chunk, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(runs, entry)``: the runs whose anchor is in the replies, and which of their keys it is."""
+def _new(key: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Where another pair begins among sorted pairs."""
+    return np.nonzero(np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])])[0] if len(key) else np.zeros(0, np.int64)
+
+
+def _among(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted known ones."""
+    if len(known) == 0:
+        return np.zeros(len(key), bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+
+def _lookup(c: Chunk, replies: pa.Table, buckets: int) -> np.ndarray:
+    """The runs whose anchor is in the replies."""
     known = np.concatenate([np.zeros(0, np.uint64), *(
         _keys(b, np.frombuffer(k, "<u4")) for b, k in zip(replies.column("bucket").to_pylist(), replies.column("keys").to_pylist()))])
-    order = np.argsort(known)
-    if len(known) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = c.cut_key(buckets)
-    at = np.minimum(np.searchsorted(known[order], key), len(known) - 1)
-    hit = np.nonzero(known[order][at] == key)[0]
-    return hit, order[at[hit]]
+    return np.nonzero(_among(np.sort(known), c.cut_key(buckets)))[0]
 
 
 def _send_contents(c: Chunk, chunk: int, replies: pa.Table, buckets: int) -> pa.Table:
-    run, _ = _lookup(c, replies, buckets)
-    key, content, doc = c.cut_key(buckets)[run], np.maximum(c.content[run], np.uint64(1)), c.doc[run]
+    """The different contents below each repeated anchor, each with its smallest document."""
+    run = _lookup(c, replies, buckets)
+    key, content, doc = c.cut_key(buckets)[run], c.content[run], c.doc[run]
     order = np.lexsort((content, key))
     key, content, doc = key[order], content[order], doc[order]
-    first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0] if len(key) else np.zeros(0, np.int64)
+    first = _new(key, content)
     if len(first) == 0:
         return packed_rows(chunk, [])
-    last = np.r_[first[1:], len(key)] - 1
-    one = np.where(content[first] == content[last], content[first], np.uint64(0))
-    low, key = np.minimum.reduceat(doc, first), key[first]
+    low, key, content = np.minimum.reduceat(doc, first), key[first], content[first]
     b = (key >> np.uint64(32)).astype(np.int64)
     edge = np.r_[np.nonzero(np.r_[True, b[1:] != b[:-1]])[0], len(key)]
-    return packed_rows(chunk, [(int(b[s]), (key[s:e] & _LOW).astype("<u4").tobytes(), one[s:e].astype("<u8").tobytes(),
+    return packed_rows(chunk, [(int(b[s]), (key[s:e] & _LOW).astype("<u4").tobytes(), content[s:e].astype("<u8").tobytes(),
                           planes(low[s:e].astype("<i8"))) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist())])
 
 
 def _merge_contents(rows: pa.Table) -> pa.Table:
-    """For each chunk's anchors of a bucket: the smallest document, and whether contents differ."""
+    """For each content sent: has a smaller document the same one, and has its anchor other ones?"""
     lists = [rows.column(n).to_pylist() for n in ("keys", "a", "b")]
     key = np.concatenate([np.frombuffer(x, "<u4") for x in lists[0]])
     content = np.concatenate([np.frombuffer(x, "<u8") for x in lists[1]])
     doc = np.concatenate([from_planes(x, "<i8") for x in lists[2]])
     order = np.lexsort((content, key))
-    k, c = key[order], content[order]
-    first = np.nonzero(np.r_[True, k[1:] != k[:-1]])[0]
-    last = np.r_[first[1:], len(k)] - 1
-    differ = (c[first] == 0) | (c[first] != c[last])
-    group = np.empty(len(k), np.int64)
-    group[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
-    low = np.minimum.reduceat(doc[order], first)
+    k, first = key[order], _new(key[order], content[order])
+    size = np.diff(np.r_[first, len(k)])
+    low = np.repeat(np.minimum.reduceat(doc[order], first), size)
+    _, anchor, contents = np.unique(k[first], return_inverse=True, return_counts=True)
+    less, differ = np.empty(len(k), bool), np.empty(len(k), bool)
+    less[order] = low < doc[order]
+    differ[order] = np.repeat(contents[anchor] > 1, size)
     out, s = [], 0
     bucket = rows.column("bucket")[0].as_py()
     for chunk, x in zip(rows.column("chunk").to_pylist(), lists[0]):
-        g = group[s:s + len(x) // 4]
-        s += len(x) // 4
-        out.append(packed_rows(chunk, [(bucket, x, planes(low[g].astype("<i8")), np.packbits(differ[g]).tobytes())]))
+        e = s + len(x) // 4
+        out.append(packed_rows(chunk, [(bucket, x, np.packbits(less[s:e]).tobytes(), np.packbits(differ[s:e]).tobytes())]))
+        s = e
     return pa.concat_tables(out)
 
 
 def _verdicts(c: Chunk, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(run, smallest document, contents differ)`` of the runs whose anchor repeats."""
-    run, entry = _lookup(c, replies, buckets)
-    keys = replies.column("keys").to_pylist()
-    low = np.concatenate([np.zeros(0, np.int64), *(from_planes(a, "<i8") for a in replies.column("a").to_pylist())])
-    differ = np.concatenate([np.zeros(0, bool), *(
-        np.unpackbits(np.frombuffer(b, np.uint8))[:len(k) // 4].astype(bool) for b, k in zip(replies.column("b").to_pylist(), keys))])
-    return run, low[entry], differ[entry]
+    """``(run, gone, open)`` of the runs whose anchor repeats, contents in the order sent: a smaller
+    document has the whole run, or only windows can tell."""
+    rows = sorted(zip(*(replies.column(n).to_pylist() for n in ("bucket", "keys", "a", "b"))), key=lambda r: r[0])
+    known = np.concatenate([np.zeros(0, np.uint64), *(_keys(b, np.frombuffer(k, "<u4")) for b, k, _, _ in rows)])
+    less, differ = (np.concatenate([np.zeros(0, bool), *(
+        np.unpackbits(np.frombuffer(r[n], np.uint8))[:len(r[1]) // 4].astype(bool) for r in rows)]) for n in (2, 3))
+    key = c.cut_key(buckets)
+    run = np.nonzero(_among(known, key))[0]
+    run = run[np.lexsort((c.content[run], key[run]))]
+    first, doc = _new(key[run], c.content[run]), c.doc[run]
+    if len(first) != len(known):
+        raise RuntimeError("contents sent and answered differ")
+    size = np.diff(np.r_[first, len(run)])
+    low = np.repeat(np.minimum.reduceat(doc, first), size) if len(run) else doc
+    gone = np.repeat(less, size) | (low < doc)
+    return run, gone, np.repeat(differ, size) & ~gone
 
 
 def windows_of_pieces(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray,
@@ -207,10 +223,8 @@ def windows_of_pieces(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc
 
 
 def _send_windows(c: Chunk, chunk: int, replies: pa.Table, buckets: int) -> pa.Table:
-    run, _, differ = _verdicts(c, replies, buckets)
-    run = run[differ]
-    order = np.lexsort((c.doc[run], c.content[run], c.hash[run]))
-    run = run[order]
+    run, _, open_ = _verdicts(c, replies, buckets)
+    run = run[open_]  # contents side by side, each in its smallest document only
     content = c.content[run]
     run = run[np.nonzero(np.r_[True, content[1:] != content[:-1]])[0]] if len(run) else run
     # texts of like length end in the same rounds, so a collection takes no more rounds than its texts need
@@ -253,16 +267,15 @@ def _merge_windows(rows: pa.Table) -> pa.Table:
 
 def _removed(c: Chunk, contents: pa.Table, windows: pa.Table, buckets: int) -> np.ndarray:
     """Which bytes of the chunk's texts go."""
-    run, low, differ = _verdicts(c, contents, buckets)
+    run, gone, open_ = _verdicts(c, contents, buckets)
     change = np.zeros(len(c.data) + 1, np.int32)
 
     def mark(start: np.ndarray, end: np.ndarray) -> None:
         np.add.at(change, start, 1)
         np.add.at(change, end, -1)
 
-    gone = run[~differ & (low < c.doc[run])]
-    mark(c.first[gone], c.last[gone] + c.length)
-    open_ = run[differ]
+    mark(c.first[run[gone]], c.last[run[gone]] + c.length)
+    open_ = np.sort(run[open_])
     key, start, doc = [], [], []
     edge = np.searchsorted(c.first[open_], np.arange(0, len(c.data) + SLICE, SLICE))
     for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):

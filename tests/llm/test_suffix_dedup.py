@@ -137,6 +137,34 @@ def test_collections_hold_texts_of_like_length(monkeypatch):
     assert all(a[1] <= b[0] for a, b in zip(sizes, sizes[1:]))
 
 
+def chunk_of(rows):
+    batch = pa.RecordBatch.from_pydict({"__id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return suffix_dedup.Chunk(sink.getvalue().to_pybytes(), "text", 50)
+
+
+def test_only_the_smallest_document_of_a_content_lists_windows():
+    """A run that a smaller document has as a whole goes by its content's hash, also where its anchor has others."""
+    rnd = random.Random(8)
+    passage = "".join(rnd.choice("abcdef ") for _ in range(90))
+    chunks = [chunk_of([(i, passage[:60] + "1" * 30 if i == 1 else "xx" + passage)]) for i in (1, 2, 3, 4)]
+    anchors = suffix_dedup._merge_anchors(pa.concat_tables([suffix_dedup._send_anchors(c, n, 1) for n, c in enumerate(chunks)]))
+
+    def to(rows, n):
+        return rows.filter(pa.array([k == n for k in rows.column("chunk").to_pylist()]))
+
+    contents = suffix_dedup._merge_contents(pa.concat_tables(
+        [suffix_dedup._send_contents(c, n, to(anchors, n), 1) for n, c in enumerate(chunks)]))
+    sent = [suffix_dedup._send_windows(c, n, to(contents, n), 1) for n, c in enumerate(chunks)]
+    listed = [sum(len(k) // 8 for k in t.column("keys").to_pylist()) for t in sent]
+    assert listed[0] > 0 and listed[1] > 0 and listed[2:] == [0, 0]
+    windows_ = suffix_dedup._merge_windows(pa.concat_tables(sent))
+    gone = [int(suffix_dedup._removed(c, to(contents, n), to(windows_, n), 1).sum()) for n, c in enumerate(chunks)]
+    assert gone == [r[2] for r in brute([(int(c.ids[0]), c.data.tobytes().decode()) for c in chunks])] == [0, 60, 92, 92]
+
+
 def test_texts_keep_columns_and_nulls(spark):
     base = "the first sentence of fifty bytes or more, as it goes on é and on"
     rows = [(1, base, "en", 5), (2, "new " + base + " end", "fr", 6), (3, None, None, None), (4, "", "x", 0)]
